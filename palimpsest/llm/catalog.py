@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import language
+from palimpsest.llm import language, toxicity
 
 QUERIES = {
     "op2_language_id": language.op2_language_id,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}

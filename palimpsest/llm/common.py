@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import tempfile
 import uuid
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,3 +77,22 @@ def held_out(key: str = "doc_id") -> Column:
 
 def learnable(key: str = "doc_id") -> Column:
     return F.coalesce(remainder(key) != 0, F.lit(False))
+
+
+_opened: dict[str, object] = {}
+
+
+class Shared:
+    """A driver-side model of bounded size for the Python workers: compressed on the way, opened once in each worker."""
+
+    def __init__(self, spark: SparkSession, model: object):
+        self.name = uuid.uuid4().hex
+        self.packed = spark.sparkContext.broadcast(zlib.compress(pickle.dumps(model, 5), 1))
+
+    @property
+    def value(self):
+        if self.name not in _opened:
+            while len(_opened) > 1:
+                _opened.pop(next(iter(_opened)))
+            _opened[self.name] = pickle.loads(zlib.decompress(self.packed.value))
+        return _opened[self.name]

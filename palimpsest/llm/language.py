@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import held_out, learnable, prepare, table
+from palimpsest.llm.common import Shared, held_out, learnable, prepare, table
 
 ORDER = 4
 #: Contexts seen less often than this in a language's sample are not kept.
-LEAST = 3
+LEAST = 8
 #: The bound of the training sample: documents and bytes for each language, and languages.
 DOCS, BYTES, LANGUAGES = 600, 1_000_000, 256
 
@@ -120,7 +120,7 @@ def train(samples: dict[str, list[bytes]], order: int = ORDER) -> Trees:
         up = np.searchsorted(nodes[k - 1], nodes[k] // width)
         parent.append(up)
         step[base[k - 1] + up, nodes[k] % width] = base[k] + np.arange(len(nodes[k]))
-    cost = np.full((total * width, len(names)), 8.0, np.float32)
+    cost = np.full((total * width, len(names)), 8.0, np.float16)
     for at, found in enumerate(counted):
         p = np.full((1, alphabet), 1 / 256)
         for k in range(order + 1):
@@ -135,7 +135,7 @@ def train(samples: dict[str, list[bytes]], order: int = ORDER) -> Trees:
                 bottom = n + np.where(left > 0, distinct, 0)
                 p = p.copy()
                 p[rows] = np.where(c > 0, c / bottom[:, None], rest * (distinct / bottom / np.where(left > 0, left, 1))[:, None])
-            block = np.zeros((len(nodes[k]), width), np.float32)
+            block = np.zeros((len(nodes[k]), width), np.float16)
             block[:, :alphabet] = -np.log2(np.maximum(p, 1e-300))
             cost[base[k] * width : base[k + 1] * width, at] = block.ravel()
     return Trees(names, symbol, width, step.ravel(), cost, order)
@@ -166,7 +166,7 @@ def with_language(docs: DataFrame, trees: Trees | None, text: str = "text", into
     kind = "struct<lang_pred:string,score:double,bits_per_byte:double>"
     if trees is None:
         return docs.withColumn(into, F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits_per_byte")))
-    shared = docs.sparkSession.sparkContext.broadcast(trees)
+    shared = Shared(docs.sparkSession, trees)
 
     @F.arrow_udf(kind)
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
