@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import language, toxicity
+from palimpsest.llm import language, packing, toxicity, warc
 
 QUERIES = {
     "op2_language_id": language.op2_language_id,
+    "op5_packing": packing.op5_packing,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_warc": warc.op10_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_warc": warc.OP10_SQL,
+}

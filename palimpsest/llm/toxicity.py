@@ -243,7 +243,7 @@ def train(texts: list[list[str]], labels: list[int], seed: int = 0) -> Network:
     epochs = min(40, max(EPOCHS, STEPS * BATCH // len(windows)))
     for epoch in range(epochs):
         clean = rng.permutation(np.flatnonzero(label == 0))
-        if epoch < FLAT:
+        if epoch < max(FLAT, epochs // 5):
             chosen = np.concatenate([np.flatnonzero(label > 0), clean[:FLAT_CLEAN]])
         else:  # of a toxic text only its highest window; of a clean one its two highest; some more clean ones
             order = np.lexsort([-logits(), of])
