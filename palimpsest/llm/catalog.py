@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import language, packing, toxicity, warc
+from palimpsest.llm import language, neardup, packing, toxicity, warc
 
 QUERIES = {
     "op2_language_id": language.op2_language_id,
     "op5_packing": packing.op5_packing,
+    "op6_near_duplicates": neardup.op6_near_duplicates,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_warc": warc.op10_warc,
 }

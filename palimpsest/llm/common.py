@@ -96,3 +96,38 @@ class Shared:
                 _opened.pop(next(iter(_opened)))
             _opened[self.name] = pickle.loads(zlib.decompress(self.packed.value))
         return _opened[self.name]
+
+#: A key that this share of the rows has is joined by broadcast: there are at most 1 / HOT such keys.
+HOT = 0.001
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
+    """left join of right(key, n, ...), n being the rows of left with that key: frequent keys by broadcast of at most
+    1 / HOT rows, the others by shuffle, so that no task gets more than HOT of the rows for one key."""
+    names = [c for c in right.columns if c not in (key, "n")]
+    hot = right.where(F.col("n") > total * HOT).select(F.col(key).alias("_hot_key"), *[F.col(c).alias(f"_hot_{c}") for c in names])
+    cold = right.where(F.col("n") <= total * HOT).select(F.col(key).alias("_cold_key"), *[F.col(c).alias(f"_cold_{c}") for c in names])
+    out = left.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+    salted = F.when(F.col("_hot_key").isNull(), F.col(key)).otherwise(F.concat(F.lit("#"), F.monotonically_increasing_id().cast("string")))
+    out = out.withColumn("_join_key", salted).join(cold, F.col("_join_key") == F.col("_cold_key"), "left")
+    return out.select(*[F.col(f"`{c}`") for c in left.columns], *[F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in names])
+
+
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """node, label (smallest node reachable) for every node of edges(a, b): neighbours' minimum and pointer jumps, each
+    round written to the shared folder, until no label changes."""
+    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    for _ in range(most_rounds):
+        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
+        step = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        jump = labels.select(F.col("node").alias("to"), F.col("label").alias("next"))
+        # only labels that are nodes with a smaller label are followed; many nodes may share a label
+        step = step.join(jump, F.col("label") == F.col("to"), "left").select("node", "was", F.least("label", "next").alias("label"))
+        new = written(step, "labels")
+        drop(labels)
+        labels = new.select("node", "label")
+        labels._palimpsest_path = new._palimpsest_path
+        if new.where(F.col("label") < F.col("was")).limit(1).count() == 0:
+            return labels
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
