@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import language, neardup, packing, toxicity, warc
+from palimpsest.llm import language, neardup, packing, toxicity, vectors, warc
 
 QUERIES = {
     "op2_language_id": language.op2_language_id,
     "op5_packing": packing.op5_packing,
     "op6_near_duplicates": neardup.op6_near_duplicates,
+    "op7_exact_top_k": vectors.op7_exact_top_k,
+    "op8_embedding_near_duplicates": vectors.op8_embedding_near_duplicates,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_warc": warc.op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_exact_top_k": vectors.OP7_SQL,
+    "op8_embedding_near_duplicates": vectors.OP8_SQL,
     "op10_warc": warc.OP10_SQL,
 }
