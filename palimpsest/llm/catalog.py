@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import language, neardup, packing, toxicity, vectors, warc
+from palimpsest.llm import language, neardup, packing, pieces, toxicity, vectors, warc
 
 QUERIES = {
+    "op1_sampled_pieces": pieces.op1_sampled_pieces,
     "op2_language_id": language.op2_language_id,
     "op5_packing": packing.op5_packing,
     "op6_near_duplicates": neardup.op6_near_duplicates,
