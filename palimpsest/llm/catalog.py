@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import language, neardup, packing, pieces, toxicity, vectors, warc
+from palimpsest.llm import counts, language, lmscore, neardup, packing, pieces, toxicity, vectors, warc
 
 QUERIES = {
     "op1_sampled_pieces": pieces.op1_sampled_pieces,
     "op2_language_id": language.op2_language_id,
+    "op3_edited_token_counts": counts.op3_edited_token_counts,
+    "op4_cross_entropy_difference": lmscore.op4_cross_entropy_difference,
     "op5_packing": packing.op5_packing,
     "op6_near_duplicates": neardup.op6_near_duplicates,
     "op7_exact_top_k": vectors.op7_exact_top_k,
