@@ -23,8 +23,20 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable]:
+    _load()
+    _names()
     return _queries
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return _oracle
+
+
+def _load() -> None:
+    from palimpsest.plans import experiments, revisions  # noqa: F401
+
+
+def _names() -> None:
+    for name, f in _queries.items():
+        f.__name__ = f.__qualname__ = name
