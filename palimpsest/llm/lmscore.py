@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Shared, prepare, table
+from palimpsest.llm.common import Shared, drop, prepare, table, written
 
 VOCABULARY, BUCKETS, MASS = 1 << 15, 1 << 20, 200.0
 #: Distinct words that a task holds before it passes their counts on.
@@ -54,8 +54,19 @@ def vocabulary(texts: DataFrame, size: int = VOCABULARY) -> dict[str, int]:
                 held = Counter()
         yield passed()
 
-    found = texts.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {r["word"]: i + 2 for i, r in enumerate(found.orderBy(F.desc("n"), "word").limit(size).collect())}
+    found = written(texts.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # the count at which the vocabulary is full: a top list of every task would be far more than the vocabulary
+    least, above = 0, 0
+    for r in found.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(size).collect():
+        if above + r["words"] > size:
+            least = r["n"]
+            break
+        above += r["words"]
+    rows = found.where(F.col("n") > least).collect()
+    if above < size and least:
+        rows += found.where(F.col("n") == least).orderBy("word").limit(size - above).collect()
+    drop(found)
+    return {r["word"]: i + 2 for i, r in enumerate(sorted(rows, key=lambda r: (-r["n"], r["word"])))}
 
 
 def bucket(previous: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -173,7 +184,8 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
     known = vocabulary(docs)
     named = targets.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("target_id")).distinct()
-    texts = docs.select("doc_id", "text").join(named, F.col("doc_id") == F.col("target_id"), "left").select("text", F.col("target_id").isNotNull().alias("target"))
+    # by shuffle at every size: the target grows with the corpus
+    texts = docs.select("doc_id", "text").join(named.hint("merge"), F.col("doc_id") == F.col("target_id"), "left").select("text", F.col("target_id").isNotNull().alias("target"))
     return scored(docs, count_models(texts, known), known)
 
 
