@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import pickle
 import tempfile
 import uuid
@@ -26,6 +27,14 @@ def prepare(spark: SparkSession) -> SparkSession:
     return workers_can_import(spark)
 
 
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, n: int):
+    """Within, jobs send at most n rows to Python at once: for rows that hold many bytes each."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
+    yield
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

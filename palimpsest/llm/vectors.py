@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from palimpsest.llm.common import Shared, components, prepare, table, written
+from palimpsest.llm.common import Shared, batch_rows, components, prepare, table, written
 
 #: Fitting looks at so many vectors (in order of a hash of vec_id) and keeps so many pivots.
 FIT, PIVOTS = 4096, 32
@@ -25,6 +25,8 @@ INDEX_ROWS, QUERY_ROWS = 512, 256
 NEAREST = 4
 #: Blocks of dimensions and rows of a join tile.
 BLOCKS, JOIN_ROWS = 4, 1024
+#: Rows with tiles that go to Python at once.
+TILE_BATCH = 16
 
 TILE = "tile long, lo double, hi double, ids array<{id}>, rows binary"
 
@@ -191,10 +193,13 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
         return met.mapInArrow(run, f"query_id {kind}, vec_id {kind}, score long")
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    first = written(searched(nearest).distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "first")
+    with batch_rows(spark, TILE_BATCH):
+        first = written(searched(nearest).distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "first")
     sure = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") == k).select(F.col("query_id").alias("of"), "least")
     rest = reach.join(sure, F.col("query_id") == F.col("of"), "left").where(F.col("least").isNull() | (F.col("best") * (1 + 1e-9) + 1 >= F.col("least"))).select("query_id", "tile").join(nearest, ["query_id", "tile"], "left_anti")
-    found = first.select("query_id", "vec_id", "score").union(searched(rest)).distinct()
+    with batch_rows(spark, TILE_BATCH):
+        more = written(searched(rest), "more")
+    found = first.select("query_id", "vec_id", "score").union(more).distinct()
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -319,7 +324,8 @@ def linked(vectors: DataFrame, least: float = 0.93) -> DataFrame:
                 some = n > 0
                 yield pa.RecordBatch.from_arrays([pa.array(names[some], batch.schema.field(4).type.value_type), pa.array(n[some].astype(np.int64)), pa.array(label[some], batch.schema.field(4).type.value_type)], ["vec_id", "n", "near"])
 
-    found = written(met.mapInArrow(run, f"vec_id {kind}, n long, near {kind}"), "found")
+    with batch_rows(spark, TILE_BATCH):
+        found = written(met.mapInArrow(run, f"vec_id {kind}, n long, near {kind}"), "found")
     labels = components(found.where("vec_id <> near").select(F.col("vec_id").alias("a"), F.col("near").alias("b")))
     counts = found.groupBy("vec_id").agg(F.sum("n").alias("n_links")).select(F.col("vec_id").alias("of"), "n_links")
     out = base.select("vec_id").distinct().join(counts, F.col("vec_id") == F.col("of"), "left").join(labels, F.col("vec_id") == F.col("node"), "left")
