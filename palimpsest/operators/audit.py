@@ -29,12 +29,12 @@ def target_balance(episodes: DataFrame, by: list[str] = ()) -> DataFrame:
     return out.select(*by, "episodes", "lineages", "revised", "selected_b", X.share("revised", "episodes").alias("revised_rate"), X.share("selected_b", "episodes").alias("selected_b_rate"), lower.alias("lower"), upper.alias("upper"))
 
 
-def viability_gates(balance: DataFrame, artifact_rate: Column = F.lit(0.0)) -> DataFrame:
+def viability_gates(balance: DataFrame, artifact_rate: Column | float = 0.0) -> DataFrame:
     """[M53]"""
     return balance.select(
         (F.col("episodes") >= 10_000).alias("at_least_10000_episodes"), (F.col("lineages") >= 3_000).alias("at_least_3000_lineages"),
         F.col("revised_rate").between(0.15, 0.40).alias("usable_target_balance"), F.col("selected_b_rate").between(0.45, 0.55).alias("candidate_orientation_balanced"),
-        (artifact_rate <= 0.03).alias("source_boundary_artifacts_below_3_percent"),
+        (F.lit(artifact_rate) <= 0.03).alias("source_boundary_artifacts_below_3_percent"),
     )
 
 
