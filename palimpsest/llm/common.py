@@ -114,12 +114,18 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFra
     """left join of right(key, n, ...), n being the rows of left with that key: frequent keys by broadcast of at most
     1 / HOT rows, the others by shuffle, so that no task gets more than HOT of the rows for one key."""
     names = [c for c in right.columns if c not in (key, "n")]
-    hot = right.where(F.col("n") > total * HOT).select(F.col(key).alias("_hot_key"), *[F.col(c).alias(f"_hot_{c}") for c in names])
-    cold = right.where(F.col("n") <= total * HOT).select(F.col(key).alias("_cold_key"), *[F.col(c).alias(f"_cold_{c}") for c in names])
-    out = left.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
-    salted = F.when(F.col("_hot_key").isNull(), F.col(key)).otherwise(F.concat(F.lit("#"), F.monotonically_increasing_id().cast("string")))
-    out = out.withColumn("_join_key", salted).join(cold, F.col("_join_key") == F.col("_cold_key"), "left")
-    return out.select(*[F.col(f"`{c}`") for c in left.columns], *[F.coalesce(f"_hot_{c}", f"_cold_{c}").alias(c) for c in names])
+    own = [F.col(f"`{c}`") for c in left.columns]
+    side = right.select(F.col(key).alias("_key"), "n", *[F.col(c).alias(f"_{c}") for c in names])
+
+    def joined(rows: DataFrame, other: DataFrame) -> DataFrame:
+        return rows.join(other, F.col(key) == F.col("_key"), "left").select(*own, *[F.col(f"_{c}").alias(c) for c in names])
+
+    hot = side.where(F.col("n") > total * HOT)
+    keys = [r[0] for r in hot.select("_key").collect()]
+    if not keys:
+        return joined(left, side)
+    frequent = F.coalesce(F.col(key).isin(keys), F.lit(False))
+    return joined(left.where(frequent), F.broadcast(hot)).unionByName(joined(left.where(~frequent), side.where(F.col("n") <= total * HOT)))
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
