@@ -43,7 +43,7 @@ def _(spark, sf_dir):
 @query("versions_of_sampled_lineages", """
 WITH k AS (SELECT conv_id FROM conversations GROUP BY conv_id HAVING count(*) >= 3),
 s AS (SELECT conv_id FROM k ORDER BY sha256('17' || chr(31) || conv_id) LIMIT 20)
-SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS nth FROM conversations WHERE conv_id IN (SELECT conv_id FROM s)""")
+SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS nth FROM conversations WHERE conv_id IN (SELECT conv_id FROM s)""")
 def _(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
     keys = S.sample_keys(rows.groupBy("conv_id").count().where("count >= 3").select("conv_id"), "conv_id", 20)
@@ -65,7 +65,7 @@ def _(spark, sf_dir):
     return S.rebuilt(rows, ["doc_id"], "i", "line").select("doc_id", F.array_join("sentences", " ").alias("text"), F.size("sentences").cast("long").alias("sentences"))
 
 
-@query("natural_version_order", "SELECT role, conv_id, turn, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) AS nth FROM conversations")
+@query("natural_version_order", "SELECT role, conv_id, turn, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn)::INT AS nth FROM conversations")
 def _(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").withColumn("version", F.concat(F.lit("v"), F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string")))
     return rows.select("role", "conv_id", "turn", F.row_number().over(Window.partitionBy("role").orderBy(*A.version_order(None, "version"))).alias("nth"))
@@ -165,7 +165,7 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.jsonish_length("text").cast("long").alias("chars"), X.word_count("text").alias("words"), X.numeric_token_count("text").alias("with_digit"))
 
 
-@query("stable_hash_order", "SELECT doc_id, row_number() OVER (ORDER BY sha256('17' || chr(31) || doc_id)) AS nth, substr(sha256('17' || chr(31) || doc_id), 1, 16) AS head FROM documents")
+@query("stable_hash_order", "SELECT doc_id, row_number() OVER (ORDER BY sha256('17' || chr(31) || doc_id))::INT AS nth, substr(sha256('17' || chr(31) || doc_id), 1, 16) AS head FROM documents")
 def _(spark, sf_dir):
     return S.hash_ranked(table(spark, sf_dir, "documents").select("doc_id"), X.stable_hash(17, F.col("doc_id"))).select("doc_id", "nth", F.substring("place", 1, 16).alias("head"))
 
