@@ -79,6 +79,15 @@ def grams(words: list[str]) -> np.ndarray:
     return np.where(ok, found, 0)
 
 
+def gram_table(words: list[str]) -> np.ndarray:
+    """grams() of many words, a part at a time, in a compact table."""
+    out = np.zeros((len(words), 2 * LONGEST - 1), np.int16)
+    for k in range(0, len(words), 4096):
+        part = grams(words[k : k + 4096])
+        out[k : k + len(part), : part.shape[1]] = part
+    return out
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 + 0.5 * np.tanh(0.5 * x)
 
@@ -98,12 +107,18 @@ class Network:
 
     def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         own = np.fromiter((self.words.get(w, 0) for w in words), np.int64, len(words))
-        parts = grams(words)
-        return own, np.where(self.known[parts], parts, 0)
+        parts = gram_table(words)
+        parts[~self.known[parts]] = 0
+        return own, parts
 
     def vectors(self, own: np.ndarray, parts: np.ndarray) -> np.ndarray:
-        per = 2 / np.maximum((parts > 0).sum(1), 1)
-        return np.concatenate([self.p["word"][own], self.p["char"][parts].sum(1) * per[:, None]], 1).astype(np.float32)
+        out = np.empty((len(own), WORD_DIM + CHAR_DIM), np.float32)
+        for k in range(0, len(own), 4096):
+            some = parts[k : k + 4096]
+            per = 2 / np.maximum((some > 0).sum(1), 1)
+            out[k : k + 4096, :WORD_DIM] = self.p["word"][own[k : k + 4096]]
+            out[k : k + 4096, WORD_DIM:] = self.p["char"][some].sum(1) * per[:, None]
+        return out
 
     def run(self, xf: np.ndarray, xb: np.ndarray, mask: np.ndarray, keep: bool = False):
         """Logits of windows from projected inputs (time, window, 3 * hidden); mask (time, window)."""
@@ -214,7 +229,7 @@ def train(texts: list[list[str]], labels: list[int], seed: int = 0) -> Network:
             seen[w] = seen.get(w, 0) + 1
     common = sorted(w for w, n in seen.items() if n >= LEAST)
     every = sorted(seen)
-    parts = grams(every)
+    parts = gram_table(every)
     number = {w: i for i, w in enumerate(every)}
     used = np.zeros(CHAR_BUCKETS + 1, np.int64)
     for t in texts:
