@@ -9,8 +9,10 @@ often enough, and a pair is a link only if its exact weighted Jaccard similarity
 connected components of links; exact copies share a class by their digest before any of this.
 
 Within a band every member meets the band's hub (the text with most exact copies, then smallest id). Buckets of up to
-GROUP texts also give all their pairs; members of at least CROWDED larger ones are dealt again by the band with each of the
-NEXT bands, with the same two rules, so no task ever enumerates the pairs of a large group. README has the chance that this misses a link.
+GROUP texts also give all their pairs. Once these are verified, larger buckets give every pair whose texts are still in
+different classes, compared in tiles of about TILE by TILE texts, so no task holds a large group: first as few pairs as
+would join the classes of each tile, then, with classes joined by what was verified of these, all pairs that are left.
+So two texts of a bucket of any size end in one class, or their pair was compared.
 
 Cases: a null text is a class of its own; empty texts are exact copies of each other; rows that repeat a doc_id are
 judged by their text; the kept row of a class is one with its smallest doc_id; an empty table gives no rows.
@@ -35,8 +37,8 @@ WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 14, 4
 SAMPLES = BANDS * ROWS
 BUCKETS, SPREAD = 1 << 20, 0.25
-#: Texts of a bucket that meet each other; bands after a large bucket's that deal its texts again, if they are in so many.
-GROUP, NEXT, CROWDED = 48, 2, 4
+#: Texts of a bucket that meet each other at once; texts of a larger bucket on each side of a tile.
+GROUP, TILE = 48, 512
 #: Agreeing samples that a candidate needs: at similarity 0.8 fewer come up once in 12,000 pairs.
 AGREE = int(0.6 * SAMPLES)
 CHUNK = 1 << 14
@@ -241,9 +243,61 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out_a, kind), pa.array(out_b, kind)], ["a", "b"])
 
 
+def _forest(one: np.ndarray, two: np.ndarray) -> list[int]:
+    """Of pairs of classes, in their order, those that join two groups of classes not joined yet."""
+    up: dict = {}
+
+    def root(x):
+        while x in up:
+            x = up[x]
+        return x
+
+    out = []
+    for k, (x, y) in enumerate(zip(one.tolist(), two.tolist(), strict=True)):
+        x, y = root(x), root(y)
+        if x != y:
+            up[x] = y
+            out.append(k)
+    return out
+
+
+def _tiles(few: bool):
+    """Pairs (a, b) of tiles that agree in enough samples and have different labels; with few, only a spanning forest of
+    each tile's classes, the most agreeing pairs first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out_a, out_b = [], []
+            for g in range(batch.num_rows):
+                own, label, right, packed = (batch.column(i)[g].as_py() for i in range(4))
+                own, right = np.array(own, object), np.array(right, bool)
+                label = np.unique(np.array(label), return_inverse=True)[1]
+                x = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, SAMPLES)
+                one = np.flatnonzero(~right)
+                two = np.flatnonzero(right) if right.any() else one
+                same = np.zeros((len(one), len(two)), np.uint8)
+                for k in range(SAMPLES):
+                    same += x[one, k][:, None] == x[two, k][None]
+                same[label[one][:, None] == label[two][None]] = 0
+                i, j = np.nonzero(same >= AGREE)
+                if not right.any():
+                    i, j = i[i < j], j[i < j]
+                if few:
+                    order = np.argsort(-same[i, j].astype(np.int64), kind="stable")
+                    order = order[_forest(label[one[i[order]]], label[two[j[order]]])]
+                    i, j = i[order], j[order]
+                for p, q in zip(own[one[i]].tolist(), own[two[j]].tolist(), strict=True):
+                    out_a.append(min(p, q))
+                    out_b.append(max(p, q))
+            kind = batch.column(0).type.value_type
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, kind), pa.array(out_b, kind)], ["a", "b"])
+
+    return run
+
+
 def _met(rows: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of rows(id, copies, b, key): hub lists of two and lists of small buckets, with samples; and the rows of buckets
-    larger than GROUP."""
+    """Of rows(id, copies, b, key): hub lists of two and lists of small buckets, with samples; and key, id and samples of
+    the members of buckets larger than GROUP."""
     rank = F.struct(F.col("copies"), (-F.col("id")).alias("least"), F.col("id").alias("id"))
     top = rows.groupBy("key").agg(F.count("*").alias("n"), F.max(rank)["id"].alias("hub")).where("n > 1")
     samples = reps.select(F.col("id").alias("of"), "samples")
@@ -252,22 +306,37 @@ def _met(rows: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = written(members.join(samples, F.col("id") == F.col("of")).drop("of"), "members")
     stars = members.where("id <> hub").select(F.array("hub", "id").alias("ids"), F.array("hub_samples", "samples").alias("packed"), F.lit(True).alias("head"))
     small = members.where(F.col("size").between(3, GROUP)).groupBy("key").agg(F.collect_list("id").alias("ids"), F.collect_list("samples").alias("packed"))
-    return stars.unionByName(small.select("ids", "packed", F.lit(False).alias("head"))), members.where(F.col("size") > GROUP).select("id", "copies", "b")
+    return stars.unionByName(small.select("ids", "packed", F.lit(False).alias("head"))), members.where(F.col("size") > GROUP).select("key", "id", "samples")
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """Pairs of reps(id, copies, bands, samples) that share a band and agree in enough samples."""
+def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of reps(id, copies, bands, samples) that share a band, one of them the hub or the bucket small, and agree in
+    enough samples; and key, id and samples of the members of large buckets."""
     kind = reps.schema["id"].dataType.simpleString()
     rows = written(reps.select("id", "copies", F.posexplode("bands").alias("b", "key")), "bands")
-    found, crowded = _met(rows, reps)
-    # members of a large bucket meet again where they agree in one of the NEXT bands after it as well
-    # a text that shares most of its bands with few others has met them in small buckets already
-    crowded = crowded.withColumn("many", F.count("*").over(Window.partitionBy("id"))).where(F.col("many") >= CROWDED)
-    again = crowded.join(reps.select(F.col("id").alias("of"), "bands"), F.col("id") == F.col("of"))
-    keys = F.array(*[F.xxhash64(F.get("bands", F.col("b")), F.get("bands", (F.col("b") + k) % BANDS), F.col("b"), F.lit(k)) for k in range(1, NEXT + 1)])
-    again = written(again.select("id", "copies", "b", F.explode(keys).alias("key")), "crowded")
-    finer, _ = _met(again, reps)
-    return found.unionByName(finer).mapInArrow(_agreeing, f"a {kind}, b {kind}").distinct()
+    found, large = _met(rows, reps)
+    return found.mapInArrow(_agreeing, f"a {kind}, b {kind}").distinct(), large
+
+
+def crowded(large: DataFrame, labels: DataFrame, few: bool) -> DataFrame:
+    """Pairs of members of one of the large buckets that have different labels(node, label) and agree in enough samples:
+    all, or with few only such as would join the classes of each tile."""
+    kind = large.schema["id"].dataType.simpleString()
+    own = large.join(labels, F.col("id") == F.col("node"), "left").select("key", "id", "samples", F.coalesce("label", "id").alias("label"))
+    own = written(own, "crowded")
+    each = own.groupBy("key", "label").agg(F.count("*").alias("n"))
+    top = each.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("classes"))
+    # texts of the largest class meet only those of other classes: blocks of these come first
+    blocks = lambda n: F.ceil(n / TILE).cast("int")
+    rest = blocks(F.col("n") - F.col("top.n"))
+    top = written(top.where("classes > 1").select("key", "n", F.col("top.label").alias("most"), rest.alias("rest"), (rest + blocks(F.col("top.n"))).alias("all")), "classes")
+    rows = join_hot(own, top, "key", max(1, own.count())).where(F.col("most").isNotNull())
+    major = F.col("label") == F.col("most")
+    block = F.when(major, F.col("rest") + F.pmod(F.xxhash64("id"), F.col("all") - F.col("rest"))).otherwise(F.pmod(F.xxhash64("id"), F.col("rest"))).cast("int")
+    rows = rows.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(major, F.col("rest")).otherwise(F.col("all")) - 1)))
+    tiles = rows.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    tiles = tiles.agg(F.collect_list("id").alias("ids"), F.collect_list("label").alias("labels"), F.collect_list(F.col("own") > F.col("other")).alias("right"), F.collect_list("samples").alias("packed"))
+    return tiles.select("ids", "labels", "right", "packed").mapInArrow(_tiles(few), f"a {kind}, b {kind}").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -308,10 +377,23 @@ def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFra
     idf = idf_table(df, n)
     signed = written(signatures(docs, idf, text, key), "signatures")
     reps = written(signed.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"), F.any_value("samples").alias("samples")), "reps")
-    pairs = written(candidates(reps.where(F.col("id").isNotNull() & (F.size("bands") > 0))), "pairs")
+    found, large = candidates(reps.where(F.col("id").isNotNull() & (F.size("bands") > 0)))
+    pairs = written(found, "pairs")
     with batch_rows(docs.sparkSession, 64):
         links = written(verified(pairs, docs, idf, text, key), "links")
     labels = components(links)
+    tried = pairs
+    for few in (True, False):
+        with batch_rows(docs.sparkSession, 64):
+            more = written(crowded(large, labels, few).join(tried, ["a", "b"], "left_anti"), "pairs")
+        if more.isEmpty():
+            continue
+        with batch_rows(docs.sparkSession, 64):
+            new = written(verified(more, docs, idf, text, key), "links")
+        tried = tried.unionByName(more)
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            labels = components(links)
     named = reps.join(labels, F.col("id") == F.col("node"), "left").select("digest", F.col("copies").alias("n"), F.coalesce("label", "id").alias("class_id"), F.col("copies").alias("copies"))
     return join_hot(signed.select("doc_id", "digest"), named, "digest", max(1, n))
 

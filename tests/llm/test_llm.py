@@ -251,6 +251,38 @@ def test_near_duplicates(spark, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def paired_rows(n):
+    """n pairs of texts, about 0.82 alike within a pair and 0.7 across, so that bands hold most of them at once."""
+    core = [f"c{k}" for k in range(204)]
+    text = lambda p, m: core + [f"p{p}-{k}" for k in range(12)] + [f"m{p}-{m}-{k}" for k in range(20)]
+    return [(2 * p + m, " ".join(text(p, m))) for p in range(n) for m in (0, 1)]
+
+
+def similarities(rows):
+    """Weighted Jaccard similarity of all texts, by one row of shingle counts each."""
+    found = [collections.Counter(tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)) for _, t in rows]
+    at = {s: i for i, s in enumerate({s for f in found for s in f})}
+    x = np.zeros((len(rows), len(at)), np.float32)
+    for i, f in enumerate(found):
+        x[i, [at[s] for s in f]] = list(f.values())
+    n, df = len(rows), (x > 0).sum(0)
+    x *= 1 + neardup.SPREAD * np.log((n + 1) / (df + 1)) / np.log(n + 2)
+    low = np.stack([np.minimum(x, r).sum(1) for r in x])
+    return low / (x.sum(1)[:, None] + x.sum(1)[None] - low)
+
+
+def check_pairs(spark, n):
+    rows = paired_rows(n)
+    near = similarities(rows)
+    assert all(0.8 < near[2 * p, 2 * p + 1] < 0.84 for p in range(n)) and (np.triu(near, 1) >= 0.78).sum() == n
+    out = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {i: i - i % 2 for i in range(2 * n)}
+
+
+def test_pairs_unlike_the_hub_of_their_buckets(spark):
+    check_pairs(spark, 100)
+
+
 def test_near_duplicate_stage_keeps_one_row(spark):
     rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (2, "a b c d e f", "z"), (None, "p q r s t u", "n"), (4, None, "m"), (4, None, "m")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, digest string").withColumn("class_id", F.lit(0))
