@@ -283,6 +283,11 @@ def test_pairs_unlike_the_hub_of_their_buckets(spark):
     check_pairs(spark, 100)
 
 
+def test_pairs_of_a_large_family_in_many_tiles(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TILE", 64)
+    check_pairs(spark, 300)
+
+
 def test_near_duplicate_stage_keeps_one_row(spark):
     rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (2, "a b c d e f", "z"), (None, "p q r s t u", "n"), (4, None, "m"), (4, None, "m")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, digest string").withColumn("class_id", F.lit(0))
