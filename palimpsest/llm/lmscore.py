@@ -1,13 +1,15 @@
 """Language-model scoring by cross-entropy difference.
 
-Two bigram models, of target texts and of all (background) texts, share one vocabulary: the VOCABULARY most frequent
-words of the background, every other word being one unknown word. Both have the same form: add-half unigrams, and
-Dirichlet-smoothed bigrams p(w|h) = (c(h, w) + MASS * p(w)) / (c(h) + MASS), with c(h, w) counted over all documents
-in BUCKETS hashed buckets, so that a model has a fixed size whatever the corpus. A document's score is the mean over
-its words of target loss minus background loss, in nats: the lower, the more it is like the target.
+Two bigram models, of target texts and of all (background) texts, share one vocabulary: every word of the background and
+one unseen word. Both have the same form: add-half unigrams, and Dirichlet-smoothed bigrams
+p(w|h) = (c(h, w) + MASS * p(w)) / (c(h) + MASS), with c(h, w) the count of that very pair of words in all documents. A
+document's score is the mean over its words of target loss minus background loss, in nats: the lower, the more it is like
+the target.
 
-Words are lower-cased and white-space separated; a document's first word follows a start mark. Counts are added up
-from one table of each task through a shuffle; they grow with the corpus and are never sampled.
+Words are lower-cased and white-space separated; a document's first word follows a start mark. Pairs are counted within
+each document, then over all by shuffle, so the tables grow with the corpus: nothing is sampled, hashed together or left
+out, and no task or driver holds a model. Losses come back to the documents' pairs by a join, with frequent pairs, words and
+histories by broadcast.
 
 Cases: null and empty texts have 0 words and null losses; without target texts, target counts are 0 and the target
 model is uniform; repeated rows count and are scored each; label rows that repeat a doc_id make it a target if any does.
@@ -15,178 +17,97 @@ model is uniform; repeated rows count and are scored each; label rows that repea
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import Shared, drop, prepare, table, written
+from palimpsest.llm.common import join_hot, prepare, table, written
 
-VOCABULARY, BUCKETS, MASS = 1 << 15, 1 << 20, 200.0
-#: Distinct words that a task holds before it passes their counts on.
-HELD = 400_000
-CHUNK = 1 << 14
-UNKNOWN, START = 0, 1
+MASS = 200.0
+#: All words are in the vocabulary. The numbers of the unseen word and of the start mark where words are numbered.
+VOCABULARY, UNKNOWN, START = None, 0, 1
+#: Rows that a task holds before it passes them on.
+HELD = 50_000
 
 
 def words_of(text: str | None) -> list[str]:
     return text.lower().split() if text else []
 
 
-def vocabulary(texts: DataFrame, size: int = VOCABULARY) -> dict[str, int]:
-    """The most frequent words (ties in order of the word) numbered from 2."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+def bucket(previous: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """One number for each pair of word numbers: no two pairs share a count."""
+    return previous.astype(np.int64) << 32 | word.astype(np.int64)
 
-        def passed():
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                held.update(words_of(t))
-            if len(held) > HELD:
-                yield passed()
-                held = Counter()
-        yield passed()
-
-    found = written(texts.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    # the count at which the vocabulary is full: a top list of every task would be far more than the vocabulary
-    least, above = 0, 0
-    for r in found.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(size).collect():
-        if above + r["words"] > size:
-            least = r["n"]
-            break
-        above += r["words"]
-    rows = found.where(F.col("n") > least).collect()
-    if above < size and least:
-        rows += found.where(F.col("n") == least).orderBy("word").limit(size - above).collect()
-    drop(found)
-    return {r["word"]: i + 2 for i, r in enumerate(sorted(rows, key=lambda r: (-r["n"], r["word"])))}
-
-
-def bucket(previous: np.ndarray, word: np.ndarray) -> np.ndarray:
-    h = (previous.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(44)).astype(np.int64)
-
-
-def numbered(texts: list[str | None], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All word numbers end to end, those before them, and the texts' starts."""
-    get = known.get
-    ids = [[get(w, UNKNOWN) for w in words_of(t)] for t in texts]
-    size = np.fromiter(map(len, ids), np.int64, len(ids))
-    starts = np.concatenate([[0], np.cumsum(size)])
-    word = np.fromiter((i for x in ids for i in x), np.int64, int(starts[-1]))
-    before = np.empty_like(word)
-    before[1:] = word[:-1]
-    before[starts[:-1][size > 0]] = START
-    return word, before, starts
-
-
-class Model:
-    """Counts of target and background over one vocabulary."""
-
-    def __init__(self, size: int):
-        self.size = size + 2
-        self.one, self.after, self.two = (np.zeros((2, n), np.int64) for n in (self.size, self.size, BUCKETS))
-
-    def add(self, word: np.ndarray, before: np.ndarray, which: int) -> None:
-        self.one[which] += np.bincount(word, minlength=self.size)
-        self.after[which] += np.bincount(before, minlength=self.size)
-        self.two[which] += np.bincount(bucket(before, word), minlength=BUCKETS)
-
-    def tables(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.one, self.after, self.two)])
-
-    def load(self, flat: np.ndarray) -> Model:
-        n = 2 * self.size
-        self.one, self.after, self.two = flat[:n].reshape(2, -1), flat[n : 2 * n].reshape(2, -1), flat[2 * n :].reshape(2, -1)
-        return self
-
-    def losses(self, word: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Loss of each word under target and background, in nats."""
-        at, out = bucket(before, word), []
-        for k in (0, 1):
-            # every word but the start mark can come up
-            p = (self.one[k] + 0.5) / (self.one[k].sum() + 0.5 * (self.size - 1))
-            out.append(-np.log((self.two[k][at] + MASS * p[word]) / (self.after[k][before] + MASS)))
-        return out[0], out[1]
-
-
-def count_models(texts: DataFrame, known: dict[str, int]) -> Model:
-    """Counts over texts(text, target): every row is background, those with target true are target too."""
-    shared = Shared(texts.sparkSession, known)
-    size = len(known)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, some = Model(size), False
-        for batch in batches:
-            some = some or batch.num_rows > 0
-            target = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            rows = batch.column(0).to_pylist()
-            for which, part in ((0, [t for t, y in zip(rows, target, strict=True) if y]), (1, [t for t, y in zip(rows, target, strict=True) if not y])):
-                word, before, _ = numbered(part, shared.value)
-                model.add(word, before, which)
-                if which == 0:
-                    model.add(word, before, 1)
-        if some:
-            flat = model.tables()
-            parts = [zlib.compress(flat[i : i + CHUNK].astype("<i8").tobytes(), 1) for i in range(0, len(flat), CHUNK)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["chunk", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for c, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = np.frombuffer(zlib.decompress(raw), "<i8")
-                held[c] = held[c] + got if c in held else got
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in held.values()], pa.binary())], ["chunk", "counts"])
-
-    kind = "chunk int, counts binary"
-    spread = min(128, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sums = texts.select("text", "target").mapInArrow(count, kind).repartition(spread, "chunk").mapInArrow(add, kind)
-    model = Model(size)
-    flat = model.tables()
-    for r in sums.collect():
-        part = np.frombuffer(zlib.decompress(r["counts"]), "<i8")
-        flat[r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(part)] = part
-    return model.load(flat)
-
-
-def scored(docs: DataFrame, model: Model, known: dict[str, int]) -> DataFrame:
-    shared = Shared(docs.sparkSession, (model, known))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def pairs_of(texts: DataFrame) -> DataFrame:
+    """row, doc_id, target, pair and n for each row of texts(doc_id, text, target) and pair of words in it, which is joined
+    by a line feed (no word has one; the start mark is no word at all); a row without words has one null pair."""
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    schema = f"row long, doc_id {kind}, target boolean, pair string, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, names = shared.value
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            word, before, starts = numbered(batch.column(1).to_pylist(), names)
-            n = np.diff(starts)
-            sums = []
-            for loss in own.losses(word, before):
-                total = np.concatenate([[0.0], np.cumsum(loss)])
-                sums.append((total[starts[1:]] - total[starts[:-1]]) / np.maximum(n, 1))
-            none = n == 0
-            mean = [pa.array(x, mask=none) for x in (*sums, sums[0] - sums[1])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *mean], ["doc_id", "words", "target_loss", "background_loss", "difference"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, words long, target_loss double, background_loss double, difference double")
+            rows, pairs, counts, at = [], [], [], []
+
+            def passed(batch=batch):
+                of = pa.array(at, pa.int64())
+                return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), batch.column(0).take(of), batch.column(2).take(of), pa.array(pairs, pa.string()), pa.array(counts, pa.int64())], ["row", "doc_id", "target", "pair", "n"])
+
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                words = words_of(text)
+                held = Counter(map("\n".join, zip(["", *words], words, strict=False))) or {None: 0}
+                pairs += held
+                counts += held.values()
+                rows += [row] * len(held)
+                at += [i] * len(held)
+                row += 1
+                if len(pairs) > HELD:
+                    yield passed()
+                    rows, pairs, counts, at = [], [], [], []
+            yield passed()
+
+    return texts.select("doc_id", "text", "target").mapInArrow(run, schema)
+
+
+def pair_losses(pairs: DataFrame) -> DataFrame:
+    """pair, n (rows of pairs that hold it), and its loss under target and background, in nats."""
+    mine = F.when(F.col("target"), F.col("n")).otherwise(0)
+    two = pairs.where(F.col("pair").isNotNull()).groupBy("pair").agg(F.count("*").alias("rows"), F.sum(mine).alias("two_0"), F.sum("n").alias("two_1"))
+    two = written(two.withColumn("history", F.substring_index("pair", "\n", 1)).withColumn("word", F.substring_index("pair", "\n", -1)), "bigrams")
+    sums = lambda key, name: written(two.groupBy(key).agg(F.count("*").alias("n"), F.sum("two_0").alias(f"{name}_0"), F.sum("two_1").alias(f"{name}_1")), name)
+    one, after = sums("word", "one"), sums("history", "after")
+    size, *total = one.agg(F.count("*"), F.sum("one_0"), F.sum("one_1")).first()
+    rows = max(1, two.count())
+    both = join_hot(join_hot(two, one, "word", rows), after, "history", rows)
+    losses = []
+    for k in (0, 1):
+        # every word but the start mark can come up
+        p = (F.col(f"one_{k}") + 0.5) / ((total[k] or 0) + 0.5 * (size + 1))
+        losses.append((-F.log((F.col(f"two_{k}") + MASS * p) / (F.col(f"after_{k}") + MASS))).alias(f"loss_{k}"))
+    return both.select("pair", F.col("rows").alias("n"), *losses)
 
 
 def cross_entropy_difference(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """doc_id, words, target_loss, background_loss, difference for every row of docs(doc_id, text); targets(doc_id)
     names the documents of the target."""
     prepare(docs.sparkSession)
-    known = vocabulary(docs)
     named = targets.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("target_id")).distinct()
     # by shuffle at every size: the target grows with the corpus
-    texts = docs.select("doc_id", "text").join(named.hint("merge"), F.col("doc_id") == F.col("target_id"), "left").select("text", F.col("target_id").isNotNull().alias("target"))
-    return scored(docs, count_models(texts, known), known)
+    texts = docs.select("doc_id", "text").join(named.hint("merge"), F.col("doc_id") == F.col("target_id"), "left").select("doc_id", "text", F.col("target_id").isNotNull().alias("target"))
+    pairs = written(pairs_of(texts), "pairs")
+    losses = written(pair_losses(pairs), "losses")
+    some = pairs.where(F.col("pair").isNotNull()).select("row", "doc_id", "pair", F.col("n").alias("times"))
+    found = join_hot(some, losses, "pair", max(1, some.count())).unionByName(pairs.where(F.col("pair").isNull()).select("row", "doc_id", "pair", F.col("n").alias("times")), allowMissingColumns=True)
+    words = F.sum("times")
+    mean = [F.when(words > 0, F.sum(F.col("times") * F.col(f"loss_{k}")) / words) for k in (0, 1)]
+    sums = found.groupBy("row").agg(F.any_value("doc_id").alias("doc_id"), words.alias("words"), mean[0].alias("target_loss"), mean[1].alias("background_loss"))
+    return sums.select("doc_id", "words", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("difference"))
 
 
 def op4_cross_entropy_difference(spark, sf_dir):

@@ -167,6 +167,18 @@ def test_scores_by_brute_force(spark, docs, empty):
     assert lmscore.cross_entropy_difference(docs, targets.where("false")).count() == docs.count()
 
 
+def test_scores_keep_rare_words_apart(spark):
+    # more words than any fixed vocabulary of 2 ** 15: the last ones differ in how often they come up
+    rows = [(i, " ".join(f"w{i}-{k} w{i}-{k}" for k in range(1000))) for i in range(40)] + [(100, "rare one"), (101, "other"), (102, "other")]
+    out = {r.doc_id: r for r in lmscore.cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(0,)], "doc_id long")).collect()}
+    size, words = 40_003, 80_004
+    for i, n in ((100, None), (101, 2)):
+        p = ((n or 1) + 0.5) / (words + 0.5 * (size + 1))
+        start = -math.log(((n or 1) + lmscore.MASS * p) / (43 + lmscore.MASS))
+        after = -math.log((1 + lmscore.MASS * p) / (1 + lmscore.MASS))
+        assert out[i].background_loss == pytest.approx(start if n else (start + after) / 2)
+
+
 # --- packing
 
 
