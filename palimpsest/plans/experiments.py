@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
@@ -507,7 +510,7 @@ def triples(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
     n = e.select("vec_id", F.col("v").alias("n"))
     rows = e.join(n.select((F.col("vec_id") - 1).alias("vec_id"), F.col("n").alias("a")), "vec_id").join(n.select((F.col("vec_id") - 2).alias("vec_id"), F.col("n").alias("b")), "vec_id")
-    return rows.select(F.col("vec_id").alias("id"), F.col("v").alias("context"), F.col("a").alias("candidate_a"), F.col("b").alias("candidate_b"), (F.col("label") % 2).cast("int").alias("label"), (F.col("vec_id") % 5).cast("int").alias("fold_bucket"))
+    return rows.select(F.col("vec_id").alias("id"), F.col("v").alias("context"), F.col("a").alias("candidate_a"), F.col("b").alias("candidate_b"), (F.col("label") % 2).cast("int").alias("label"), (F.col("vec_id") % FOLDS).cast("int").alias("fold_bucket"))
 
 
 _TRI = "WITH t AS (SELECT c.vec_id AS id, c.embedding::DOUBLE[] AS c, a.embedding::DOUBLE[] AS a, b.embedding::DOUBLE[] AS b FROM embeddings c JOIN embeddings a ON a.vec_id = c.vec_id + 1 JOIN embeddings b ON b.vec_id = c.vec_id + 2)"
@@ -561,28 +564,29 @@ def _(spark, sf_dir):
 @query("logistic_probe_metrics")
 def _(spark, sf_dir):
     rows = triples(spark, sf_dir).select("id", "fold_bucket", F.col("context").alias("v"), "label")
-    return M.binary_metrics(L.probe(rows, "v", "label", 3, (1e-3, 1e-1)), ["fold"])
+    return M.binary_metrics(L.probe(rows, "v", "label", FOLDS), ["fold"])
 
 
 @query("ranker_linear_oof")
 def _(spark, sf_dir):
     rows = triples(spark, sf_dir).withColumn("v", L.antisymmetric("candidate_a", "candidate_b", "context"))
-    return M.binary_metrics(L.probe(rows, "v", "label", 3, (1e-2, 1e-1), intercept=False), ["fold"])
+    return M.binary_metrics(L.probe(rows, "v", "label", FOLDS, intercept=False), ["fold"])
 
 
 @query("value_network_oof")
 def _(spark, sf_dir):
-    return M.binary_metrics(L.value_network(triples(spark, sf_dir), 3, epochs=6), ["fold"])
+    return M.binary_metrics(L.value_network(triples(spark, sf_dir), FOLDS), ["fold"])
 
 
 @query("gbt_arm_metrics")
 def _(spark, sf_dir):
     rows = triples(spark, sf_dir).select("id", "fold_bucket", F.col("context").alias("v"), "label")
-    return M.binary_metrics(L.boosted(rows, "v", "label", 0, 5, trees=5), ["fold"])
+    scored = [L.boosted(rows, "v", "label", fold, FOLDS) for fold in range(FOLDS)]
+    return M.binary_metrics(reduce(DataFrame.unionByName, scored), ["fold"])
 
 
 @query("tfidf_logistic_metrics")
 def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("label")), "doc_id").withColumn("fold_bucket", (F.col("doc_id") % 3).cast("int"))
-    rows = L.tfidf(docs, "text", F.col("fold_bucket") == 2, terms=300).select(F.col("doc_id").alias("id"), "fold_bucket", F.col("tfidf").alias("v"), "label").persist()
-    return M.binary_metrics(L.probe(rows, "v", "label", 3, (1e-3,)), ["fold"])
+    rows = L.tfidf(docs, "text", F.col("fold_bucket") == 2).select(F.col("doc_id").alias("id"), "fold_bucket", F.col("tfidf").alias("v"), "label").persist()
+    return M.binary_metrics(L.probe(rows, "v", "label", 3), ["fold"])

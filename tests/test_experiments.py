@@ -125,3 +125,30 @@ def test_value_network_learns(spark):
 
 def test_registry_names_have_functions():
     assert registry.FLAGSHIP in registry.queries() and set(registry.oracle_sql()) <= set(registry.queries())
+
+
+@pytest.fixture(scope="module")
+def vectors_dir(spark, tmp_path_factory):
+    rng, at = random.Random(7), tmp_path_factory.mktemp("vectors")
+    rows = [(i, [rng.gauss(0, 1) for _ in range(3)], rng.randint(0, 5)) for i in range(102)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{at}/embeddings.parquet")
+    return str(at)
+
+
+@pytest.mark.parametrize("name", ["value_network_oof", "gbt_arm_metrics"])
+def test_every_row_is_scored_out_of_fold(spark, vectors_dir, name):
+    out = {r.fold: r.n for r in registry.queries()[name](spark, vectors_dir).collect()}
+    assert out == {fold: 20 for fold in range(5)}
+
+
+@pytest.mark.parametrize("name", ["logistic_probe_metrics", "ranker_linear_oof"])
+def test_probes_use_every_fold_and_penalty(spark, vectors_dir, name, monkeypatch):
+    seen = []
+
+    def probe(rows, vector, label, folds, grid=L.GRID, intercept=True):
+        seen.append((folds, grid, rows.select("fold_bucket").distinct().count()))
+        return rows.select("id", F.col("fold_bucket").alias("fold"), "label", F.lit(0.5).alias("probability"))
+
+    monkeypatch.setattr(L, "probe", probe)
+    registry.queries()[name](spark, vectors_dir)
+    assert seen == [(5, L.GRID, 5)]
