@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_cross_entropy_difference": lmscore.OP4_SQL,
     "op7_exact_top_k": vectors.OP7_SQL,
     "op8_embedding_near_duplicates": vectors.OP8_SQL,
     "op10_warc": warc.OP10_SQL,

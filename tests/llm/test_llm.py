@@ -135,38 +135,59 @@ def test_edits_count_like_whole_texts(spark, docs, empty):
 # --- language-model scores
 
 
-def test_scores_by_brute_force(spark, docs, empty):
+class Bigrams:
+    """The two models by plain counters of words and pairs of words."""
+
+    def __init__(self, rows, named):
+        self.one, self.after, self.two = ([collections.Counter(), collections.Counter()] for _ in range(3))
+        for i, ws in rows:
+            for a, b in zip([None, *ws], ws, strict=False):
+                for k in (0, 1) if i in named else (1,):
+                    self.one[k][b] += 1
+                    self.after[k][a] += 1
+                    self.two[k][a, b] += 1
+
+    def p(self, k, a, b):
+        p = (self.one[k][b] + 0.5) / (sum(self.one[k].values()) + 0.5 * (len(self.one[1]) + 1))
+        return (self.two[k][a, b] + lmscore.MASS * p) / (self.after[k][a] + lmscore.MASS)
+
+
+@pytest.mark.parametrize("block", [200, 1 << 23])
+def test_scores_by_brute_force(spark, docs, empty, monkeypatch, block):
+    monkeypatch.setattr(lmscore, "BLOCK", block)
     targets = docs.where("doc_id % 3 = 0").select("doc_id")
-    out = {(r.doc_id, r.words): r for r in lmscore.cross_entropy_difference(docs, targets).collect()}
+    clash = docs.select("*", F.lit(1).alias("block"), F.lit("x").alias("words"), F.lit(2).alias("part"), F.lit(True).alias("named"))
+    got = lmscore.cross_entropy_difference(clash, targets.unionAll(targets).withColumn("n", F.lit(1)))
+    assert got.count() == docs.count()
+    out = {(r.doc_id, r.words): r for r in got.collect()}
     rows = [(r.doc_id, (r.text or "").lower().split()) for r in docs.collect()]
-    named = {r.doc_id for r in targets.collect()}
-    seen = collections.Counter(w for _, ws in rows for w in ws)
-    vocabulary = {w: i + 2 for i, w in enumerate(sorted(seen, key=lambda w: (-seen[w], w))[: lmscore.VOCABULARY])}
-    one, after, two = ([collections.Counter(), collections.Counter()] for _ in range(3))
+    model = Bigrams(rows, {r.doc_id for r in targets.collect()})
+    for k in (0, 1):
+        for a in list(model.after[1])[:200]:
+            assert sum(model.p(k, a, b) for b in [*model.one[1], "never seen"]) == pytest.approx(1, abs=1e-9)
     for i, ws in rows:
-        ids = [vocabulary.get(w, 0) for w in ws]
-        for a, b in zip([lmscore.START, *ids], ids, strict=False):
-            for k in (0, 1) if i in named else (1,):
-                one[k][b] += 1
-                after[k][a] += 1
-                two[k][int(lmscore.bucket(np.array([a]), np.array([b]))[0])] += 1
-
-    def loss(k, a, b):
-        p = (one[k][b] + 0.5) / (sum(one[k].values()) + 0.5 * (len(vocabulary) + 1))
-        return -math.log((two[k][int(lmscore.bucket(np.array([a]), np.array([b]))[0])] + lmscore.MASS * p) / (after[k][a] + lmscore.MASS))
-
-    for i, ws in rows[:30]:
         r = out[i, len(ws)]
         if not ws:
-            assert r.difference is None
+            assert r.words == 0 and r.target_loss is r.background_loss is r.difference is None
             continue
-        ids = [vocabulary.get(w, 0) for w in ws]
-        want = [sum(loss(k, a, b) for a, b in zip([lmscore.START, *ids], ids, strict=False)) / len(ws) for k in (0, 1)]
-        assert r.target_loss == pytest.approx(want[0]) and r.difference == pytest.approx(want[0] - want[1])
+        want = [sum(-math.log(model.p(k, a, b)) for a, b in zip([None, *ws[:300]], ws[:300], strict=False)) / len(ws) for k in (0, 1)]
+        if len(ws) <= 300:
+            assert r.target_loss == pytest.approx(want[0]) and r.background_loss == pytest.approx(want[1]) and r.difference == pytest.approx(want[0] - want[1])
     assert lmscore.cross_entropy_difference(empty, targets).count() == 0
     assert lmscore.cross_entropy_difference(docs, targets.where("false")).count() == docs.count()
 
 
+def test_losses_are_not_below_the_entropy_of_the_source(spark):
+    p = 1 / np.arange(1, 61)
+    p /= p.sum()
+    words_ = np.random.default_rng(3).choice([f"w{i}" for i in range(60)], (200, 1000), p=p)
+    rows = [(i, " ".join(ws)) for i, ws in enumerate(words_)]
+    out = lmscore.cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string"), spark.range(100).withColumnRenamed("id", "doc_id"))
+    losses = out.agg(F.avg("target_loss"), F.avg("background_loss")).first()
+    entropy = -(p * np.log(p)).sum()
+    assert all(entropy - 0.02 < x < entropy + 0.1 for x in losses)
+
+
 def test_scores_keep_rare_words_apart(spark):
     # more words than any fixed vocabulary of 2 ** 15: the last ones differ in how often they come up
     rows = [(i, " ".join(f"w{i}-{k} w{i}-{k}" for k in range(1000))) for i in range(40)] + [(100, "rare one"), (101, "other"), (102, "other")]
