@@ -8,14 +8,18 @@ SAMPLES consistent samples of each text are banded; texts that share a band beco
 often enough, and a pair is a link only if its exact weighted Jaccard similarity is at least SIMILAR. Classes are the
 connected components of links; exact copies share a class by their digest before any of this.
 
-Within a band every member meets the band's hub (the text with most exact copies, then smallest id). Buckets of up to
-GROUP texts also give all their pairs. Once these are verified, larger buckets give every pair whose texts are still in
-different classes, compared in tiles of about TILE by TILE texts, so no task holds a large group: first as few pairs as
-would join the classes of each tile, then, with classes joined by what was verified of these, all pairs that are left.
-So two texts of a bucket of any size end in one class, or their pair was compared.
-
-Cases: a null text is a class of its own; empty texts are exact copies of each other; rows that repeat a doc_id are
-judged by their text; the kept row of a class is one with its smallest doc_id; an empty table gives no rows.
+Texts are known by the digest of their bytes, so rows that repeat a doc_id with another text are other texts. Within a
+band every member meets the band's hub (the text with most exact copies, then smallest digest). Buckets of up to GROUP
+texts also give all their pairs. Once these are verified, in larger buckets every pair of texts that are still in
+different classes is compared, in tiles of up to TILE by TILE texts and about TILE_BYTES by TILE_BYTES: a task verifies
+its tile's pairs itself and returns a spanning forest of the links, at most one for each text, so no pairs are sent on
+and no task holds a large group. So two texts of a bucket of any size end in one class, or their pair was compared.
+
+Cases: a null text is a class of its own; empty texts are exact copies of each other; texts of up to WORDS words are one
+shingle; the class's id is its smallest doc_id that is not null, and null where all are; the operator marks every row
+that has this doc_id as kept, the pipeline stage keeps one row of a class (of rows with this doc_id that with the smallest
+digest, of equal texts any one whose other columns come first by their hash); columns of any names may stand beside
+doc_id and text; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,13 +27,11 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from palimpsest.llm.common import Shared, batch_rows, components, join_hot, prepare, table, written
 
@@ -37,8 +39,10 @@ WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 14, 4
 SAMPLES = BANDS * ROWS
 BUCKETS, SPREAD = 1 << 20, 0.25
-#: Texts of a bucket that meet each other at once; texts of a larger bucket on each side of a tile.
-GROUP, TILE = 48, 512
+#: Texts of a bucket that meet each other at once; texts, and bytes of texts, on each side of a larger bucket's tile.
+GROUP, TILE, TILE_BYTES = 48, 512, 4 << 20
+#: Columns of a tile's matrix of shingles that are multiplied at once.
+WIDE = 4096
 #: Agreeing samples that a candidate needs: at similarity 0.8 fewer come up once in 12,000 pairs.
 AGREE = int(0.6 * SAMPLES)
 CHUNK = 1 << 14
@@ -224,7 +228,7 @@ def signatures(docs: DataFrame, idf: np.ndarray, text: str = "text", key: str =
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of group lists that agree in enough samples; a is the smaller id."""
+    """Pairs (a, b) of group lists that agree in enough samples; a is the list's head, or the smaller id."""
     for batch in batches:
         ids, packed, heads = batch.column(0), batch.column(1), batch.column(2).to_pylist()
         out_a, out_b = [], []
@@ -237,8 +241,9 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ok = (x[i] == x[j]).sum(1) >= AGREE
             for p, q in zip(i[ok], j[ok], strict=True):
                 if own[p] != own[q]:
-                    out_a.append(min(own[p], own[q]))
-                    out_b.append(max(own[p], own[q]))
+                    swap = not heads[g] and own[q] < own[p]
+                    out_a.append(own[q] if swap else own[p])
+                    out_b.append(own[p] if swap else own[q])
         kind = ids.type.value_type
         yield pa.RecordBatch.from_arrays([pa.array(out_a, kind), pa.array(out_b, kind)], ["a", "b"])
 
@@ -261,36 +266,75 @@ def _forest(one: np.ndarray, two: np.ndarray) -> list[int]:
     return out
 
 
-def _tiles(few: bool):
-    """Pairs (a, b) of tiles that agree in enough samples and have different labels; with few, only a spanning forest of
-    each tile's classes, the most agreeing pairs first."""
+def elements(texts: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, key and weight of the elements of texts, and each text's sum of weights: a shingle that comes up n times is n
+    elements, so that weighted Jaccard similarity is that of sets of elements."""
+    of, h, n = shingles(*_raw(texts))
+    w = weights[bucket(h)].astype(np.float64)
+    total = np.bincount(of, n * w, len(texts))
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    with np.errstate(over="ignore"):
+        key = np.repeat(h, n) + nth.astype(np.uint64) * _M
+    return np.repeat(of, n), key, np.repeat(w, n), total
+
+
+def similarity_matrix(texts: pa.Array, left: np.ndarray, right: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Exact weighted Jaccard similarity of the texts at left with those at right."""
+    of, key, w, total = elements(texts, weights)
+    key, where, many = np.unique(key, return_inverse=True, return_counts=True)
+    # elements of one text only are in no intersection
+    number = np.cumsum(many > 1) - 1
+    some = many[where] > 1
+    of, column, w = of[some], number[where[some]], w[some]
+    order = np.argsort(column, kind="stable")
+    of, column, w = of[order], column[order], w[order]
+    row = [np.full(len(texts), -1), np.full(len(texts), -1)]
+    row[0][left], row[1][right] = np.arange(len(left)), np.arange(len(right))
+    both = np.zeros((len(left), len(right)))
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, WIDE):
+        a, b = np.searchsorted(column, [lo, lo + WIDE])
+        side = []
+        for k, n in ((0, len(left)), (1, len(right))):
+            x = np.zeros((n, WIDE))
+            at = row[k][of[a:b]]
+            mine = at >= 0
+            x[at[mine], column[a:b][mine] - lo] = w[a:b][mine] if k else 1
+            side.append(x)
+        both += side[0] @ side[1].T
+    every = total[left][:, None] + total[right][None] - both
+    return np.where(every > 0, both / np.where(every > 0, every, 1), 0.0)
+
+
+def _tiles(shared: Shared):
+    """Links (a, b) of tiles between texts of different labels: a spanning forest of each tile's classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out_a, out_b = [], []
             for g in range(batch.num_rows):
                 own, label, right, packed = (batch.column(i)[g].as_py() for i in range(4))
-                own, right = np.array(own, object), np.array(right, bool)
-                label = np.unique(np.array(label), return_inverse=True)[1]
+                right = np.array(right, bool)
+                label = np.unique(np.array(label, object), return_inverse=True)[1]
                 x = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, SAMPLES)
                 one = np.flatnonzero(~right)
                 two = np.flatnonzero(right) if right.any() else one
                 same = np.zeros((len(one), len(two)), np.uint8)
                 for k in range(SAMPLES):
                     same += x[one, k][:, None] == x[two, k][None]
-                same[label[one][:, None] == label[two][None]] = 0
-                i, j = np.nonzero(same >= AGREE)
-                if not right.any():
-                    i, j = i[i < j], j[i < j]
-                if few:
-                    order = np.argsort(-same[i, j].astype(np.int64), kind="stable")
-                    order = order[_forest(label[one[i[order]]], label[two[j[order]]])]
-                    i, j = i[order], j[order]
-                for p, q in zip(own[one[i]].tolist(), own[two[j]].tolist(), strict=True):
-                    out_a.append(min(p, q))
-                    out_b.append(max(p, q))
-            kind = batch.column(0).type.value_type
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, kind), pa.array(out_b, kind)], ["a", "b"])
+                near = (same >= AGREE) & (label[one][:, None] != label[two][None])
+                some, others = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+                if not len(some):
+                    continue
+                picked = np.unique(np.concatenate([one[some], two[others]]))
+                texts = batch.column(4)[g].values.take(pa.array(picked))
+                sim = similarity_matrix(texts, np.searchsorted(picked, one[some]), np.searchsorted(picked, two[others]), shared.value)
+                i, j = np.nonzero(near[np.ix_(some, others)] & (sim >= SIMILAR))
+                order = np.argsort(-sim[i, j], kind="stable")
+                i, j = one[some[i[order]]], two[others[j[order]]]
+                for k in _forest(label[i], label[j]):
+                    out_a.append(own[i[k]])
+                    out_b.append(own[j[k]])
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], ["a", "b"])
 
     return run
 
@@ -298,8 +342,8 @@ def _tiles(few: bool):
 def _met(rows: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of rows(id, copies, b, key): hub lists of two and lists of small buckets, with samples; and key, id and samples of
     the members of buckets larger than GROUP."""
-    rank = F.struct(F.col("copies"), (-F.col("id")).alias("least"), F.col("id").alias("id"))
-    top = rows.groupBy("key").agg(F.count("*").alias("n"), F.max(rank)["id"].alias("hub")).where("n > 1")
+    rank = F.struct((-F.col("copies")).alias("copies"), F.col("id").alias("id"))
+    top = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(rank)["id"].alias("hub")).where("n > 1")
     samples = reps.select(F.col("id").alias("of"), "samples")
     top = written(top.join(samples, F.col("hub") == F.col("of")).select(F.col("key").cast("string").alias("key"), "n", F.col("n").alias("size"), "hub", F.col("samples").alias("hub_samples")), "hubs")
     members = join_hot(rows.withColumn("key", F.col("key").cast("string")), top, "key", max(1, rows.count())).where(F.col("hub").isNotNull())
@@ -312,40 +356,50 @@ def _met(rows: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
 def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs of reps(id, copies, bands, samples) that share a band, one of them the hub or the bucket small, and agree in
     enough samples; and key, id and samples of the members of large buckets."""
-    kind = reps.schema["id"].dataType.simpleString()
     rows = written(reps.select("id", "copies", F.posexplode("bands").alias("b", "key")), "bands")
     found, large = _met(rows, reps)
-    return found.mapInArrow(_agreeing, f"a {kind}, b {kind}").distinct(), large
+    return found.mapInArrow(_agreeing, "a binary, b binary").distinct(), large
+
+
+def texts_of(ids: DataFrame, reps: DataFrame, docs: DataFrame, text: str, key: str) -> DataFrame:
+    """id and text for each of ids(id), from one of the rows that have reps' doc_id and digest."""
+    wanted = ids.hint("merge").join(reps.select("id", "first"), "id")
+    own = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("own"), F.unhex(F.md5(F.col(text).cast("binary"))).alias("digest"), F.col(text).alias("text"))
+    found = own.join(wanted.hint("merge"), (F.col("digest") == F.col("id")) & F.col("own").eqNullSafe(F.col("first"))).select("id", "text")
+    return written(found.dropDuplicates(["id"]), "texts")
 
 
-def crowded(large: DataFrame, labels: DataFrame, few: bool) -> DataFrame:
-    """Pairs of members of one of the large buckets that have different labels(node, label) and agree in enough samples:
-    all, or with few only such as would join the classes of each tile."""
-    kind = large.schema["id"].dataType.simpleString()
+def crowded(large: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, idf: np.ndarray, text: str, key: str) -> DataFrame:
+    """Links between members of one of the large buckets that have different labels(node, label), as many as join the
+    classes of each tile."""
     own = large.join(labels, F.col("id") == F.col("node"), "left").select("key", "id", "samples", F.coalesce("label", "id").alias("label"))
     own = written(own, "crowded")
     each = own.groupBy("key", "label").agg(F.count("*").alias("n"))
-    top = each.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("classes"))
+    mixed = each.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("classes")).where("classes > 1")
+    mixed = written(mixed.select("key", "n", F.col("top.label").alias("most")), "mixed")
+    rows = join_hot(own, mixed, "key", max(1, own.count())).where(F.col("most").isNotNull())
+    texts = texts_of(rows.select("id").distinct(), reps, docs, text, key)
+    rows = rows.join(texts.withColumnRenamed("id", "of").hint("merge"), F.col("id") == F.col("of")).withColumn("major", F.col("label") == F.col("most"))
+    size = F.octet_length("text")
     # texts of the largest class meet only those of other classes: blocks of these come first
-    blocks = lambda n: F.ceil(n / TILE).cast("int")
-    rest = blocks(F.col("n") - F.col("top.n"))
-    top = written(top.where("classes > 1").select("key", "n", F.col("top.label").alias("most"), rest.alias("rest"), (rest + blocks(F.col("top.n"))).alias("all")), "classes")
-    rows = join_hot(own, top, "key", max(1, own.count())).where(F.col("most").isNotNull())
-    major = F.col("label") == F.col("most")
-    block = F.when(major, F.col("rest") + F.pmod(F.xxhash64("id"), F.col("all") - F.col("rest"))).otherwise(F.pmod(F.xxhash64("id"), F.col("rest"))).cast("int")
-    rows = rows.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(major, F.col("rest")).otherwise(F.col("all")) - 1)))
+    sums = rows.groupBy("key").agg(*[f(F.when(c, size).otherwise(0)).alias(n) for f, c, n in ((F.sum, F.col("major"), "major_bytes"), (F.sum, ~F.col("major"), "rest_bytes"))], F.sum(F.col("major").cast("long")).alias("majors"), F.count("*").alias("n"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / TILE), F.ceil(size / TILE_BYTES), F.lit(1)).cast("int")
+    rest = blocks(F.col("n") - F.col("majors"), F.col("rest_bytes"))
+    sums = written(sums.select("key", "n", rest.alias("rest"), (rest + blocks(F.col("majors"), F.col("major_bytes"))).alias("all")), "tiles")
+    rows = join_hot(rows.select("key", "id", "label", "samples", "major", "text"), sums, "key", max(1, own.count()))
+    block = F.when(F.col("major"), F.col("rest") + F.pmod(F.xxhash64("id"), F.col("all") - F.col("rest"))).otherwise(F.pmod(F.xxhash64("id"), F.col("rest"))).cast("int")
+    rows = rows.withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("major"), F.col("rest")).otherwise(F.col("all")) - 1)))
     tiles = rows.groupBy("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    tiles = tiles.agg(F.collect_list("id").alias("ids"), F.collect_list("label").alias("labels"), F.collect_list(F.col("own") > F.col("other")).alias("right"), F.collect_list("samples").alias("packed"))
-    return tiles.select("ids", "labels", "right", "packed").mapInArrow(_tiles(few), f"a {kind}, b {kind}").distinct()
+    tiles = tiles.agg(F.collect_list("id").alias("ids"), F.collect_list("label").alias("labels"), F.collect_list(F.col("own") > F.col("other")).alias("right"), F.collect_list("samples").alias("packed"), F.collect_list("text").alias("texts"))
+    return tiles.select("ids", "labels", "right", "packed", "texts").mapInArrow(_tiles(Shared(docs.sparkSession, idf)), "a binary, b binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The pairs (a, b) with exact weighted Jaccard similarity of at least SIMILAR, and it."""
-    kind = docs.schema[key].dataType.simpleString()
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, idf: np.ndarray, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The pairs (a, b) with exact weighted Jaccard similarity of at least SIMILAR, and it. A hub is the a of its pairs, and
+    a's texts are dealt out by a salt, so no task gets all pairs of a hub."""
     shared = Shared(docs.sparkSession, idf)
     pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(64)).cast("int"))
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = written(docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).alias("text")).join(ids.hint("merge"), F.col("doc_id") == F.col("id")).select("id", "text").dropDuplicates(["id"]), "texts")
+    texts = texts_of(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), reps, docs, text, key)
     left = pairs.select(F.col("a").alias("la"), F.col("salt").alias("ls")).distinct().join(texts, F.col("la") == F.col("id")).select("la", "ls", F.col("text").alias("left"))
     rows = pairs.join(texts, F.col("b") == F.col("id")).select("a", "b", "salt", F.col("text").alias("right"))
     rows = rows.join(left, (F.col("a") == F.col("la")) & (F.col("salt") == F.col("ls"))).select("a", "b", "left", "right")
@@ -366,36 +420,34 @@ def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, text: str = "te
             ok = pa.array(sim >= SIMILAR)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok), pa.array(sim).filter(ok)], ["a", "b", "similarity"])
 
-    return rows.mapInArrow(run, f"a {kind}, b {kind}, similarity double")
+    return rows.mapInArrow(run, "a binary, b binary, similarity double")
 
 
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, digest, class_id (smallest doc_id of the class), copies (rows with this very text) for each row of docs
-    with a text."""
+    """doc_id, digest, class_id (smallest doc_id of the class), top (digest of the smallest text with that doc_id), copies
+    (rows with this very text) for each row of docs with a text."""
     prepare(docs.sparkSession)
     df, n = document_frequency(docs, text)
     idf = idf_table(df, n)
     signed = written(signatures(docs, idf, text, key), "signatures")
-    reps = written(signed.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"), F.any_value("samples").alias("samples")), "reps")
-    found, large = candidates(reps.where(F.col("id").isNotNull() & (F.size("bands") > 0)))
-    pairs = written(found, "pairs")
+    reps = written(signed.groupBy(F.unhex("digest").alias("id")).agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"), F.any_value("samples").alias("samples")), "reps")
+    found, large = candidates(reps.where(F.size("bands") > 0))
+    pairs, large = written(found, "pairs"), written(large, "large")
     with batch_rows(docs.sparkSession, 64):
-        links = written(verified(pairs, docs, idf, text, key), "links")
+        links = written(verified(pairs, reps, docs, idf, text, key), "links")
     labels = components(links)
-    tried = pairs
-    for few in (True, False):
-        with batch_rows(docs.sparkSession, 64):
-            more = written(crowded(large, labels, few).join(tried, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            continue
-        with batch_rows(docs.sparkSession, 64):
-            new = written(verified(more, docs, idf, text, key), "links")
-        tried = tried.unionByName(more)
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            labels = components(links)
-    named = reps.join(labels, F.col("id") == F.col("node"), "left").select("digest", F.col("copies").alias("n"), F.coalesce("label", "id").alias("class_id"), F.col("copies").alias("copies"))
-    return join_hot(signed.select("doc_id", "digest"), named, "digest", max(1, n))
+    if not large.isEmpty():
+        with batch_rows(docs.sparkSession, 2):
+            more = written(crowded(large, labels, reps, docs, idf, text, key), "links")
+        if not more.isEmpty():
+            labels = components(links.select("a", "b").unionByName(more))
+    named = written(reps.join(labels, F.col("id") == F.col("node"), "left").select("id", "first", "copies", F.coalesce("label", "id").alias("label")), "classes")
+    # null is larger than any doc_id
+    least = F.min(F.struct(F.col("first").isNull().alias("none"), F.col("first").alias("class_id"), F.col("id").alias("top")))
+    tops = named.groupBy("label").agg(F.count("*").alias("n"), least.alias("least")).select("label", "n", "least.class_id", F.lower(F.hex("least.top")).alias("top"))
+    named = join_hot(named, tops, "label", max(1, named.count()))
+    named = named.select(F.lower(F.hex("id")).alias("digest"), F.col("copies").alias("n"), "class_id", "top", "copies")
+    return join_hot(signed.select("doc_id", "digest"), written(named, "named"), "digest", max(1, n))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -410,11 +462,16 @@ def op6_near_duplicates(spark, sf_dir):
 
 
 def drop_near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class one document stays, that with its smallest doc_id."""
+    """Pipeline stage: of each class one document stays, that with its smallest doc_id; null texts stay."""
     own = [F.col(f"`{c}`") for c in docs.columns]
-    found = written(classes(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("\u0001id"), F.col("digest").alias("\u0001digest")).distinct(), "kept")
+    found = classes(docs)
+    found = found.where(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("digest") == F.col("top")))
+    found = written(found.groupBy(F.col("doc_id").alias("\u0001id"), F.col("digest").alias("\u0001digest")).agg(F.count("*").alias("\u0001n")), "kept")
     rows = docs.withColumn("\u0001own", F.md5(F.col("text").cast("binary")))
     kept = rows.join(found, F.col("doc_id").eqNullSafe(F.col("\u0001id")) & (F.col("\u0001own") == F.col("\u0001digest")))
-    one = Window.partitionBy("\u0001own", "\u0001id").orderBy("\u0001id")
-    kept = kept.withColumn("\u0001nth", F.row_number().over(one)).where(F.col("\u0001nth") == 1)
-    return kept.select(*own).unionByName(docs.where(F.col("text").isNull()).select(*own))
+    # rows that repeat doc_id and text: the first by a hash of all columns, found by an aggregate that combines before its shuffle
+    many = kept.where(F.col("\u0001n") > 1).withColumn("\u0001hash", F.xxhash64(F.to_json(F.struct(*own))))
+    first = many.groupBy("\u0001own", "\u0001id").agg(F.min("\u0001hash").alias("\u0001least")).select(F.col("\u0001own").alias("\u0001o"), F.col("\u0001id").alias("\u0001i"), "\u0001least")
+    same = (F.col("\u0001own") == F.col("\u0001o")) & F.col("\u0001id").eqNullSafe(F.col("\u0001i")) & (F.col("\u0001hash") == F.col("\u0001least"))
+    many = many.join(first, same).dropDuplicates(["\u0001own", "\u0001id"])
+    return kept.where(F.col("\u0001n") == 1).select(*own).unionByName(many.select(*own)).unionByName(docs.where(F.col("text").isNull()).select(*own))

@@ -321,6 +321,60 @@ def test_pairs_of_a_large_family_in_many_tiles(spark, monkeypatch):
     check_pairs(spark, 300)
 
 
+def brute_classes(rows):
+    """Classes by all pairs' weighted Jaccard similarity."""
+    near = similarities(rows) >= neardup.SIMILAR
+    label = list(range(len(rows)))
+    changed = True
+    while changed:
+        new = [min(label[j] for j in np.flatnonzero(near[i])) for i in range(len(rows))]
+        changed, label = new != label, new
+    return {rows[i][0]: rows[label[i]][0] for i in range(len(rows))}
+
+
+def test_classes_of_a_crowd_by_brute_force(spark, monkeypatch):
+    """A crowd of 500 about one text that is not among them, with links of 0.8 and up in it, and texts just below."""
+    monkeypatch.setattr(neardup, "TILE", 100)
+    rng = random.Random(12)
+    base = [f"b{k}" for k in range(150)]
+    rows = []
+    for i in range(500):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            w[rng.randrange(150)] = f"c{i}-{rng.random()}"
+        rows.append((i, " ".join(w)))
+    want = brute_classes(rows)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(set(want.values())) > 20
+    assert all(got[i] == want[i] for i in got)
+
+
+@pytest.mark.parametrize("changed, low, high", [(6, 0.8, 0.84), (4, 0.84, 0.89), (2, 0.9, 0.95)])
+def test_recall_of_pairs(spark, changed, low, high):
+    rng = random.Random(changed)
+    rows = []
+    for i in range(300):
+        w = [f"{i}-{rng.random()}" for _ in range(280)]
+        v = list(w)
+        for k in range(changed):
+            v[k * 40 + 20] = f"x{i}-{k}"
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    near = similarities(rows)
+    assert all(low <= near[2 * i, 2 * i + 1] < high for i in range(300))
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(c in (i, i - i % 2) for i, c in got.items())
+    assert sum(got[2 * i + 1] == 2 * i for i in range(300)) >= 297
+
+
+def test_texts_with_one_doc_id(spark):
+    one, two = (" ".join(f"{k}{i}" for i in range(60)) for k in "ab")
+    rows = [(5, one), (5, two), (1, two + " end"), (7, one), (None, one), (None, "n n n n n"), (None, "n n n n n"), (None, "m m m m m m")]
+    out = collections.Counter((r.doc_id, r.class_id, r.copies, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert out == {(5, 5, 3, True): 1, (5, 1, 1, False): 1, (1, 1, 1, True): 1, (7, 5, 3, False): 1, (None, 5, 3, False): 1, (None, None, 2, True): 2, (None, None, 1, True): 1}
+    kept = neardup.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.rand(3)), "")
+    assert collections.Counter((r.doc_id, r.text) for r in kept.collect()) == {(5, one): 1, (1, two + " end"): 1, (None, "n n n n n"): 1, (None, "m m m m m m"): 1}
+
+
 def test_near_duplicate_stage_keeps_one_row(spark):
     rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (2, "a b c d e f", "z"), (None, "p q r s t u", "n"), (4, None, "m"), (4, None, "m")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, digest string").withColumn("class_id", F.lit(0))
