@@ -12,13 +12,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
 
-OPCODES = "array<struct<tag:string,i1:int,i2:int,j1:int,j2:int,similarity:double>>"
-
-
-def _normal(s: str) -> str:
-    for a, b in zip("“”‘’", "\"\"''", strict=True):
-        s = s.replace(a, b)
-    return s
+OPCODES = "array<struct<tag:string,i1:int,i2:int,j1:int,j2:int>>"
 
 
 def _matcher(a, b) -> difflib.SequenceMatcher:
@@ -35,24 +29,16 @@ def similarity_ratio(a, b) -> Column:
 
 
 def _opcodes(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    kind = pa.list_(pa.struct([("tag", pa.string()), ("i1", pa.int32()), ("i2", pa.int32()), ("j1", pa.int32()), ("j2", pa.int32()), ("similarity", pa.float64())]))
+    names = ("tag", "i1", "i2", "j1", "j2")
+    kind = pa.list_(pa.struct([(n, pa.string() if n == "tag" else pa.int32()) for n in names]))
     for old, new in batches:
-        out = []
-        for a, b in zip(old.to_pylist(), new.to_pylist(), strict=True):
-            if a is None or b is None:
-                out.append(None)
-                continue
-            rows = []
-            for tag, i1, i2, j1, j2 in _matcher(a, b).get_opcodes():
-                one = tag == "replace" and i2 - i1 == 1 and j2 - j1 == 1
-                rows.append({"tag": tag, "i1": i1, "i2": i2, "j1": j1, "j2": j2, "similarity": _matcher(a[i1], b[j1]).ratio() if one else None})
-            out.append(rows)
-        yield pa.array(out, kind)
-
-
-def opcodes(old, new) -> Column:
+        pairs = zip(old.to_pylist(), new.to_pylist(), strict=True)
+        yield pa.array([None if a is None or b is None else [dict(zip(names, op, strict=True)) for op in _matcher(a, b).get_opcodes()] for a, b in pairs], kind)
+
+
+def opcodes(old, new, normalise=X.normalise_sentence) -> Column:
     """Edit operations between two sentence arrays, compared in normalised form."""
-    return F.arrow_udf(_opcodes, OPCODES)(F.transform(X.col(old), X.normalise_sentence), F.transform(X.col(new), X.normalise_sentence))
+    return F.arrow_udf(_opcodes, OPCODES)(F.transform(X.col(old), normalise), F.transform(X.col(new), normalise))
 
 
 def future_map(middle, future, strict: bool = True) -> Column:
@@ -69,25 +55,35 @@ def future_map(middle, future, strict: bool = True) -> Column:
 
 
 def windows(versions: DataFrame, order: list[Column], size: int = 3) -> DataFrame:
-    """[W01, W02] Each version with those after it: sentences_0.., version_0.. for `size` consecutive versions."""
+    """[W01, W02] Each version with those after it: sentences_0.., version_0.. for `size` consecutive versions, and `nth`."""
     w = Window.partitionBy("lineage_id").orderBy(*order)
-    out = versions
+    out = versions.withColumn("nth", F.row_number().over(w))
     for k in range(size):
         out = out.withColumn(f"sentences_{k}", F.lead("sentences", k).over(w)).withColumn(f"version_{k}", F.lead("version_id", k).over(w))
     return out.where(F.col(f"version_{size - 1}").isNotNull())
 
 
 def version_order(created: str | None, version: str) -> list[Column]:
-    """[S12] Missing dates last, dates, then the version id by its digit and letter runs."""
+    """[S12] Missing dates last, dates, then the version id by its digit and letter runs, digits as numbers of any size."""
     chunks = F.regexp_extract_all(F.lower(F.col(version).cast("string")), F.lit(r"\d+|\D+"), F.lit(0))
-    natural = F.transform(chunks, lambda c: F.struct(c.rlike(r"^\D").alias("alpha"), F.when(c.rlike(r"^\d"), c.cast("decimal(38,0)")).alias("number"), c.alias("text")))
+
+    def place(c: Column) -> Column:
+        digits = F.when(c.rlike(r"^\d"), F.regexp_replace(c, r"^0+(?=\d)", ""))
+        return F.struct(digits.isNull().alias("alpha"), F.coalesce(F.length(digits), F.lit(0)).alias("size"), F.coalesce(digits, c).alias("text"))
+
+    natural = F.transform(chunks, place)
     return [natural] if created is None else [F.col(created).isNull(), F.col(created), natural]
 
 
+def raw_order(created: str | None, version: str) -> list[Column]:
+    """[S31] The same without splitting the version id: by its text."""
+    return [F.col(version)] if created is None else [F.col(created).isNull(), F.col(created), F.col(version)]
+
 
 def replacements(versions: DataFrame, order: list[Column], least: int = 20, most: int = 500, low: float = 0.15, high: float = 0.98, before: int = 1, after: int = 1) -> DataFrame:
-    """[R02-R04, R08, W04] One row for each replaced block of each window of three versions, with `reason` null where it is an
-    episode. versions(lineage_id, source, article_id, version_id, sentences, order columns)."""
+    """[R02-R04, W04] One row for each replaced block of each window of three versions, with `reason` null where it is an
+    episode. versions(lineage_id, source, article_id, version_id, sentences, order columns). Similarity is taken only of
+    one-to-one blocks of valid sentences whose future is known, as no other can be an episode."""
     rows = windows(versions, order)
     rows = rows.where((F.size("sentences_0") > 0) & (F.size("sentences_1") > 0) & (F.size("sentences_2") > 0))
     rows = rows.withColumn("ops", opcodes("sentences_0", "sentences_1")).withColumn("future", future_map("sentences_1", "sentences_2"))
@@ -95,12 +91,14 @@ def replacements(versions: DataFrame, order: list[Column], least: int = 20, most
     i, j = F.col("op")["i1"], F.col("op")["j1"]
     one = (F.col("op")["i2"] - i == 1) & (F.col("op")["j2"] - j == 1)
     rows = rows.select(
-        "lineage_id", "source", "article_id", F.col("version_0").alias("v0_version_id"), F.col("version_1").alias("v1_version_id"), F.col("version_2").alias("v2_version_id"),
+        "lineage_id", "source", "article_id", F.col("version_0").alias("v0_version_id"), F.col("version_1").alias("v1_version_id"), F.col("version_2").alias("v2_version_id"), "nth",
         j.alias("selected_sentence_index"), F.get("sentences_0", i).alias("rejected"), F.get("sentences_1", j).alias("selected"),
         F.element_at("future", j).alias("v2_sentence"), F.map_contains_key("future", j).alias("resolved"), one.alias("one"),
         X.context_before(F.col("sentences_1"), j, before).alias("context_before"), X.context_after(F.col("sentences_1"), j, after).alias("context_after"),
-        (j / F.greatest(F.lit(1), F.size("sentences_1") - 1)).alias("sentence_position"), F.col("op")["similarity"].alias("edit_similarity"),
+        (j / F.greatest(F.lit(1), F.size("sentences_1") - 1)).alias("sentence_position"),
     )
+    usable = F.col("one") & X.valid_sentence("rejected", least, most) & X.valid_sentence("selected", least, most) & F.col("resolved")
+    rows = rows.withColumn("edit_similarity", similarity_ratio(*[F.when(usable, X.normalise_sentence(c)) for c in ("rejected", "selected")]))
     reason = (
         F.when(~F.col("one"), "ambiguous_replacement").when(~X.valid_sentence("rejected", least, most), "invalid_rejected_sentence")
         .when(~X.valid_sentence("selected", least, most), "invalid_selected_sentence").when(~F.col("resolved"), "future_unresolved")
@@ -109,12 +107,16 @@ def replacements(versions: DataFrame, order: list[Column], least: int = 20, most
     return rows.withColumn("reason", reason)
 
 
-def episodes(replaced: DataFrame, seed: int = 17) -> DataFrame:
-    """[P01-P05, R05] Episodes of replacements(): one row for each episode_id, candidates in a hashed order, and whether
-    the retained sentence was revised later."""
+def episodes(replaced: DataFrame, seed: int = 17, most: int | None = None) -> DataFrame:
+    """[P01-P05, R05, T04] Episodes of replacements(): the first of each episode_id in order of windows, candidates in a
+    hashed order, and whether the retained sentence was revised later; with most, the first so many in order of lineage,
+    window and sentence."""
     rows = replaced.where(F.col("reason").isNull())
     rows = rows.withColumn("episode_id", F.concat("lineage_id", F.lit("::"), "v0_version_id", F.lit("->"), "v1_version_id", F.lit("::"), F.col("selected_sentence_index").cast("string")))
-    return oriented(rows.dropDuplicates(["episode_id"]), seed)
+    first = rows.groupBy("episode_id").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "episode_id"]), "nth").alias("r")).select("episode_id", "r.*")
+    if most is not None:
+        first = first.orderBy("lineage_id", "nth", "selected_sentence_index").limit(most)
+    return oriented(first, seed)
 
 
 def oriented(rows: DataFrame, seed: int = 17) -> DataFrame:
@@ -136,27 +138,37 @@ def selected_text(a="candidate_a", b="candidate_b", index="selected_index") -> C
     return F.when(F.col(index) == 0, F.col(a)).otherwise(F.col(b))
 
 
-def rejected_text(a="candidate_a", b="candidate_b", index="selected_index") -> Column:
-    return F.when(F.col(index) == 0, F.col(b)).otherwise(F.col(a))
-
-
 def swapped(prompts: DataFrame) -> DataFrame:
     """[P16] Candidates exchanged."""
     return prompts.withColumns({"candidate_a": F.col("candidate_b"), "candidate_b": F.col("candidate_a")})
 
 
+def sentences_or_split(sentences="sentences", text="text") -> Column:
+    """[R06] Given sentences where there are any, else the text split."""
+    return F.when(F.size(X.col(sentences)) > 0, X.col(sentences)).otherwise(X.sentence_split(text))
+
+
 def temporal_pairs(versions: DataFrame, order: list[Column], excluded: DataFrame, target: int | None = None, seed: int = 17, low: float = 0.05, high: float = 0.995, least: int = 20, most: int = 500) -> DataFrame:
-    """[R11, W02, J05, U08] Replaced pairs of consecutive versions of lineages that are not in excluded(lineage_id),
-    one row for each normalised pair of texts (the first in hash order), the first `target` of them."""
+    """[R11, W02, J05, U08, T04] Replaced pairs of consecutive versions of lineages that are not in excluded(lineage_id),
+    aligned and scored in folded form without punctuation, one row for each pair of texts in that form (the first in hash
+    order); with target, the first `target` of them, and an error if there are fewer."""
     rows = windows(versions.join(excluded.select("lineage_id").distinct(), "lineage_id", "left_anti"), order, 2)
-    rows = rows.withColumn("op", F.explode(opcodes("sentences_0", "sentences_1")))
+    rows = rows.withColumn("op", F.explode(opcodes("sentences_0", "sentences_1", X.normalise_temporal)))
     i, j = F.col("op")["i1"], F.col("op")["j1"]
     rows = rows.where((F.col("op")["tag"] == "replace") & (F.col("op")["i2"] - i == 1) & (F.col("op")["j2"] - j == 1))
-    rows = rows.select("lineage_id", F.concat("lineage_id", F.lit("::"), "version_0", F.lit("->"), "version_1", F.lit("::"), j.cast("string")).alias("temporal_pair_id"),
-                       F.get("sentences_0", i).alias("earlier_text"), F.get("sentences_1", j).alias("later_text"), F.col("op")["similarity"].alias("edit_similarity"),
+    rows = rows.select("lineage_id", F.concat("lineage_id", F.lit("::"), "version_0", F.lit("->"), "version_1", F.lit("::"), j.cast("string"), F.lit("::temporal")).alias("temporal_pair_id"),
+                       X.normalise_space(F.get("sentences_0", i)).alias("earlier_text"), X.normalise_space(F.get("sentences_1", j)).alias("later_text"),
                        X.context_before(F.col("sentences_1"), j).alias("context_before"), X.context_after(F.col("sentences_1"), j).alias("context_after"))
-    rows = rows.where(X.valid_temporal("earlier_text", least, most) & X.valid_temporal("later_text", least, most) & F.col("edit_similarity").between(low, high))
+    rows = rows.where(X.valid_temporal("earlier_text", least, most) & X.valid_temporal("later_text", least, most))
+    rows = rows.withColumns({"earlier_form": X.normalise_temporal("earlier_text"), "later_form": X.normalise_temporal("later_text")})
+    rows = rows.withColumn("edit_similarity", similarity_ratio("earlier_form", "later_form")).where(F.col("edit_similarity").between(low, high))
     rows = rows.withColumn("place", X.stable_hash(seed, F.col("temporal_pair_id")))
-    first = Window.partitionBy(X.normalise_temporal("earlier_text"), X.normalise_temporal("later_text")).orderBy("place")
-    rows = rows.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
-    return rows if target is None else rows.orderBy("place").limit(target)
+    # an aggregate, not a window: it combines before its shuffle
+    own = [c for c in rows.columns if c not in ("earlier_form", "later_form")]
+    rows = rows.groupBy("earlier_form", "later_form").agg(F.min_by(F.struct(*own), "place").alias("r")).select("r.*")
+    if target is None:
+        return rows
+    found = rows.orderBy("place").limit(target)
+    if found.count() < target:
+        raise ValueError(f"fewer than {target} temporal pairs")
+    return found

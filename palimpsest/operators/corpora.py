@@ -9,6 +9,8 @@ from palimpsest.functions import text as X
 from palimpsest.operators.selection import ranked
 
 CELL = ["fold", "partition"]
+# The corpora, and columns that tell the outcome.
+OUTCOME_COLUMNS = ("v2_sentence", "future_revised", "v2_version_id")
 CORPORA = ("language_adaptation", "pair_exposure", "temporal_direction", "random_label", "shuffled_preference", "authentic_preference")
 
 
@@ -35,8 +37,8 @@ def balanced_labels(rows: DataFrame, key: str, seed: int) -> DataFrame:
 
 def donors(rows: DataFrame, seed: int, namespace: str) -> DataFrame:
     """[W08, J06, M10] fold, partition, episode_id, donor_id: records ordered by lineage size, lineage hash and record
-    hash, shifted by the largest lineage, so that a donor is never of the same lineage. Cells in which one lineage owns more
-    than half have no donors: `impossible` says so."""
+    hash, shifted by the largest lineage, so that a donor is never of the same lineage. A cell of one record, or in which one
+    lineage owns more than half, is an error when it is read."""
     rows = rows.select(*CELL, "lineage_id", "episode_id")
     sizes = rows.groupBy(*CELL, "lineage_id").agg(F.count("*").alias("_size"))
     cells = sizes.groupBy(*CELL).agg(F.max("_size").alias("_largest"), F.sum("_size").alias("_all"))
@@ -47,10 +49,12 @@ def donors(rows: DataFrame, seed: int, namespace: str) -> DataFrame:
     rows = ranked(rows, coarse, [F.desc("_size"), "_group", "_record", "episode_id"], CELL, "_nth").join(F.broadcast(cells), CELL)
     giver = rows.select(*CELL, (F.col("_nth") - 1).alias("_at"), F.col("episode_id").alias("donor_id"), F.col("lineage_id").alias("donor_lineage"))
     taker = rows.withColumn("_at", (F.col("_nth") - 1 + F.col("_largest")) % F.col("_all"))
-    return taker.join(giver, [*CELL, "_at"]).select(*CELL, "episode_id", "donor_id", "lineage_id", "donor_lineage", (2 * F.col("_largest") > F.col("_all")).alias("impossible"))
+    wrong = F.raise_error(F.concat(F.lit(f"no donors of other lineages for {namespace}:"), *_cell()))
+    donor = F.when((F.col("_all") < 2) | (2 * F.col("_largest") > F.col("_all")), wrong).otherwise(F.col("donor_id"))
+    return taker.join(giver, [*CELL, "_at"]).select(*CELL, "episode_id", donor.alias("donor_id"), "lineage_id", "donor_lineage")
 
 
-def serialised(prefix: str = "") -> Column:
+def serialised() -> Column:
     return X.serialise_episode("context_before", "candidate_a", "candidate_b", "context_after")
 
 
@@ -66,16 +70,20 @@ def mask_indices(rows: DataFrame, seed: int = 17, rate: float = 0.15) -> DataFra
 
 
 def length_matched(pool: DataFrame, wanted: DataFrame, key: str = "temporal_pair_id", tokens: str = "tokens") -> DataFrame:
-    """[W10, M11] From each cell of pool, wanted(fold, partition, n) rows at even ranks of (tokens, key); the first n where
-    even ranks collide. (For n = 1 give `nearest`, the length that is wanted.)"""
+    """[W10, M11] From each cell of pool, wanted(fold, partition, n, nearest) rows at even ranks of (tokens, key); where n is 1
+    the first row with tokens nearest to `nearest`. A cell with fewer rows than are wanted is an error when it is read."""
     head = F.lpad(F.least(F.col(tokens), F.lit(99999)).cast("string"), 5, "0")
     rows = ranked(pool, head, [tokens, key], CELL, "_nth")
-    sizes = pool.groupBy(*CELL).agg(F.count("*").alias("_m")).join(wanted, CELL)
-    ranks = sizes.withColumn("_i", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0)).cast("int")))).where("n > 0")
-    even = F.bround(F.col("_i") * (F.col("_m") - 1) / F.greatest(F.col("n") - 1, F.lit(1)), 0).cast("int")
-    # even steps of at least one never collide, so the fallback is for pools smaller than what is wanted
-    at = F.when(F.col("_m") >= F.col("n"), even).otherwise(F.col("_i"))
-    return rows.join(ranks.select(*CELL, (at + 1).alias("_nth")).distinct(), [*CELL, "_nth"]).drop("_nth")
+    sizes = wanted.where("n > 0").join(pool.groupBy(*CELL).agg(F.count("*").alias("_m")), CELL, "left").withColumn("_m", F.coalesce("_m", F.lit(0)))
+    short = F.raise_error(F.concat(F.lit("fewer rows than are wanted in "), *_cell()))
+    sizes = sizes.withColumn("n", F.when(F.col("_m") < F.col("n"), short).otherwise(F.col("n")))
+    ranks = sizes.where("n > 1").withColumn("_i", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
+    # even steps of at least one never collide
+    even = F.bround(F.col("_i") * (F.col("_m") - 1) / (F.col("n") - 1), 0).cast("int")
+    many = rows.join(ranks.select(*CELL, (even + 1).alias("_nth")), [*CELL, "_nth"])
+    single = rows.join(F.broadcast(sizes.where("n = 1").select(*CELL, "nearest")), CELL)
+    single = single.groupBy(*CELL).agg(F.min(F.struct(F.abs(F.col(tokens) - F.col("nearest")).alias("gap"), F.col("_nth").alias("at")))["at"].alias("_nth"))
+    return many.unionByName(rows.join(F.broadcast(single), [*CELL, "_nth"])).drop("_nth")
 
 
 def build(episodes: DataFrame, members: DataFrame, pairs: DataFrame, pair_buckets: DataFrame, folds: int, seed: int = 17) -> DataFrame:
@@ -96,7 +104,8 @@ def build(episodes: DataFrame, members: DataFrame, pairs: DataFrame, pair_bucket
 
     tokens = X.token_count(X.serialise_temporal("context_before", "earlier_text", "later_text", "context_after"))
     pool = pairs.join(membership(pair_buckets, folds), "lineage_id").where("partition <> 'test'").withColumn("tokens", tokens)
-    chosen = length_matched(pool.select(*CELL, "temporal_pair_id", "lineage_id", "tokens"), rows.groupBy(*CELL).agg(F.count("*").cast("int").alias("n")))
+    least = F.min(X.token_count(serialised()))
+    chosen = length_matched(pool.select(*CELL, "temporal_pair_id", "lineage_id", "tokens"), rows.groupBy(*CELL).agg(F.count("*").cast("int").alias("n"), least.alias("nearest")))
     temporal = base(balanced_labels(chosen, "temporal_pair_id", seed + 401), "temporal_direction", id="temporal_pair_id", target=F.col("label"))
     return authentic.unionByName(random).unionByName(shuffled).unionByName(exposure).unionByName(language).unionByName(temporal)
 
@@ -124,15 +133,40 @@ def materialised(records: DataFrame, episodes: DataFrame, pairs: DataFrame) -> D
     return rows.select("corpus", *CELL, "source_id", "target", "mask_indices", X.serialise_episode(F.coalesce("context_before", "pb"), a, b, F.coalesce("context_after", "pa")).alias("text"))
 
 
-def gates(records: DataFrame, tokens: DataFrame) -> DataFrame:
-    """[M13, M14, U06] Equal counts, balanced labels, partners of other episodes, masks within words, by cell."""
-    r = records.groupBy(*CELL).pivot("corpus", list(CORPORA)).agg(F.count(F.lit(1)))
-    counts = r.select(*CELL, (F.greatest(*CORPORA) == F.least(*CORPORA)).alias("equal_counts"))
-    label = records.where(F.col("corpus").isin("random_label", "pair_exposure", "temporal_direction")).groupBy(*CELL, "corpus").agg(F.abs(F.sum(2 * F.col("target") - 1)).alias("gap"))
-    label = label.groupBy(*CELL).agg((F.max("gap") <= 1).alias("labels_balanced"))
-    own = records.where(F.col("corpus") == "shuffled_preference").groupBy(*CELL).agg((F.count_if(F.col("partner_id") == F.col("source_id")) == 0).alias("donors_differ"))
-    positive = tokens.groupBy(*CELL).agg((F.min("tokens") > 0).alias("tokens_positive"))
-    return counts.join(label, CELL).join(own, CELL).join(positive, CELL)
+def gates(records: DataFrame, episodes: DataFrame, pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """[M13, U06, U08] The ten gates as one row, over records of build(): equal sizes, no test lineage, no outcome column,
+    balanced labels, donors of other lineages, labels kept by the shuffle, and temporal pairs from other lineages."""
+    of = lambda name: F.col("corpus") == name
+    own = episodes.select(F.col("episode_id").alias("source_id"), F.col("lineage_id").alias("own_lineage"))
+    donor = episodes.select(F.col("episode_id").alias("partner_id"), F.col("lineage_id").alias("partner_lineage"))
+    rows = records.select("corpus", *CELL, "source_id", "lineage_id", "target", "partner_id").join(own, "source_id", "left").join(donor, "partner_id", "left")
+    test = members.where("partition = 'test'").select("fold", "lineage_id", F.lit(True).alias("tested"))
+    inside = episodes.select("lineage_id").distinct().withColumn("evaluated", F.lit(True))
+    known = pairs.select(F.col("temporal_pair_id").alias("source_id"), F.lit(True).alias("known"))
+    rows = rows.join(test, ["fold", "lineage_id"], "left").join(inside, "lineage_id", "left").join(known, "source_id", "left")
+    temporal, moved = of("temporal_direction"), of("shuffled_preference") | (of("pair_exposure") & (F.col("target") == 0))
+    n = F.count_if
+    cells = rows.groupBy(*CELL).agg(
+        *[n(of(c)).alias(c) for c in CORPORA], n(~temporal & F.col("tested").isNotNull()).alias("leaked"),
+        *[F.abs(F.sum(F.when(of(c), 2 * F.col("target") - 1))).alias(f"{c}_gap") for c in ("random_label", "pair_exposure", "temporal_direction")],
+        *[F.coalesce(F.sum(F.when(of(c), F.col("target"))), F.lit(0)).alias(f"{c}_ones") for c in ("authentic_preference", "shuffled_preference")],
+        *[n(of(c) & moved & (F.col("own_lineage") == F.col("partner_lineage"))).alias(f"{c}_same") for c in ("pair_exposure", "shuffled_preference")],
+        n(temporal & (F.col("evaluated").isNotNull() | F.col("known").isNull())).alias("inner"),
+    )
+    every = lambda x: F.coalesce(F.bool_and(x), F.lit(True))
+    return cells.agg(
+        every(F.greatest(*CORPORA) == F.least(*CORPORA)).alias("all_six_corpora_have_equal_record_counts"), every(F.col("leaked") == 0).alias("no_preference_source_record_uses_test_lineages"),
+        F.lit(not set(records.columns) & set(OUTCOME_COLUMNS)).alias("no_source_task_record_contains_future_fields"),
+        every(F.coalesce("random_label_gap", F.lit(0)) <= 1).alias("random_labels_are_balanced"), every(F.coalesce("pair_exposure_gap", F.lit(0)) <= 1).alias("pair_exposure_labels_are_balanced"),
+        every(F.col("pair_exposure_same") == 0).alias("pair_exposure_negative_donors_cross_lineages"), every(F.col("authentic_preference_ones") == F.col("shuffled_preference_ones")).alias("shuffled_preferences_preserve_label_counts"),
+        every(F.col("shuffled_preference_same") == 0).alias("shuffled_preference_donors_cross_lineages"), every(F.col("inner") == 0).alias("temporal_pairs_are_external_to_evaluation_lineages"),
+        every(F.coalesce("temporal_direction_gap", F.lit(0)) <= 1).alias("temporal_direction_labels_are_balanced"),
+    )
+
+
+def token_gate(tokens: DataFrame) -> DataFrame:
+    """[G40] Cells of exposure_tokens() in which every record has a word."""
+    return tokens.groupBy("corpus", *CELL).agg((F.min("tokens") > 0).alias("tokens_positive"))
 
 
 def within_label_shuffle(rows: DataFrame, by: list[str], key: str, label: str, seed: int = 17) -> DataFrame:
@@ -144,12 +178,12 @@ def within_label_shuffle(rows: DataFrame, by: list[str], key: str, label: str, s
     return a.join(b, [*by, "_nth"]).drop("_nth")
 
 
-def block_shift(rows: DataFrame, source: str, order: list[str], key: str, block: int, seed: int = 17) -> DataFrame:
+def block_shift(rows: DataFrame, source: str, order: list[str], key: str, block: int, seed: int = 17, head: Column | None = None) -> DataFrame:
     """[W11, T07, M16] key and donor: rows of a source sorted and cut in blocks, each shifted by a hashed non-zero amount; a
-    last block of one joins the one before."""
-    w = Window.partitionBy(source).orderBy(*order, key)
-    n = F.count("*").over(Window.partitionBy(source))
-    rows = rows.select(source, key, *[c for c in order if c != key], (F.row_number().over(w) - 1).alias("_rn"), n.alias("_n"))
+    last block of one joins the one before. head is a coarse form of the first order column, by which tasks share a source."""
+    rows = rows.select(source, key, *[c for c in order if c != key])
+    sizes = rows.groupBy(source).agg(F.count("*").alias("_n"))
+    rows = ranked(rows, F.lit(0) if head is None else head, [*order, key], [source], "_rn").withColumn("_rn", F.col("_rn") - 1).join(sizes, source)
     number = F.floor(F.col("_rn") / block)
     number = F.when((F.col("_n") % block == 1) & (F.col("_rn") == F.col("_n") - 1) & (F.col("_n") > 1), number - 1).otherwise(number)
     rows = rows.withColumn("_block", number)

@@ -62,16 +62,29 @@ def hash_ranked(rows: DataFrame, place: Column, by: list[str] = (), tie: list[st
 
 def balanced_subset(rows: DataFrame, size: int, seed: int = 17, key: str = "source_id", target: str = "target") -> DataFrame:
     """[A07] The hash-first floor(size / 2) of class 0 and the rest of class 1."""
-    place = F.sha2(F.concat(F.lit(f"diagnostic-subset:{seed}:"), F.col(key).cast("string")), 256)
-    nth = F.row_number().over(Window.partitionBy(target).orderBy(place, key))
-    return rows.withColumn("nth", nth).where(F.col("nth") <= F.when(F.col(target) == 0, size // 2).otherwise(size - size // 2)).drop("nth")
+    rows = rows.withColumn("_place", F.sha2(F.concat(F.lit(f"diagnostic-subset:{seed}:"), F.col(key).cast("string")), 256))
+    first = lambda c, n: rows.where(F.col(target) == c).orderBy("_place", key).limit(n)
+    return first(0, size // 2).unionByName(first(1, size - size // 2)).drop("_place")
 
 
 def whole_sessions(rows: DataFrame, session: str, limit: int, seed: int = 1729) -> DataFrame:
-    """[S23] Whole sessions in hash order while their rows stay within limit."""
-    sizes = rows.groupBy(session).agg(F.count("*").alias("size"))
-    place = X.stable_hash(seed, F.col(session))
-    # a bounded candidate list: every session has a row, so at most `limit` sessions fit
-    first = sizes.withColumn("place", place).orderBy("place").limit(limit)
-    kept = first.withColumn("used", F.sum("size").over(Window.orderBy("place"))).where(F.col("used") <= limit)
-    return rows.join(F.broadcast(kept.select(session)), session, "left_semi")
+    """[S23] Whole sessions in hash order: the first one, then each that fits in what is left of limit, until it is used up.
+    The driver sees at most limit sizes at a time: no more sessions than rows that are left can come in."""
+    sizes = rows.groupBy(session).agg(F.count("*").alias("size")).withColumn("place", X.stable_hash(seed, F.col(session)))
+    kept, used, last, first = [], 0, "", True
+    while used < limit or first:
+        ahead = sizes.where(F.col("place") > last)
+        if first:
+            found, most = ahead.orderBy("place").limit(1).collect(), 1
+        else:
+            most = limit - used
+            found = ahead.where(F.col("size") <= most).orderBy("place").limit(most).collect()
+        for r in found:
+            if first or used + r["size"] <= limit:
+                kept.append(r[session])
+                used += r["size"]
+        if len(found) < most:
+            break
+        last, first = found[-1]["place"], False
+    picked = rows.sparkSession.createDataFrame([(k,) for k in kept], sizes.select(session).schema)
+    return rows.join(F.broadcast(picked), session, "left_semi")

@@ -17,11 +17,11 @@ SHARD = 200_000
 
 
 def lineage_stats(episodes: DataFrame, flags: DataFrame | None = None) -> DataFrame:
-    """[G01, J02] Counters of each lineage; episodes without flags count as unflagged."""
-    rows = episodes.select("episode_id", "lineage_id", "future_revised", "selected_index")
+    """[G01, J02] Counters of each lineage; episodes without flags count as unflagged. Flags may be columns of episodes."""
     names = ("number_changed", "number_dominant_edit", "casualty_count_update")
+    rows = episodes.select("episode_id", "lineage_id", "future_revised", "selected_index", *[n for n in names if n in episodes.columns])
     if flags is None:
-        rows = rows.select("*", *[F.lit(False).alias(n) for n in names])
+        rows = rows.select("*", *[F.lit(False).alias(n) for n in names if n not in rows.columns])
     else:
         rows = rows.join(flags.select("episode_id", *names), "episode_id", "left").fillna(False, list(names))
     n = lambda x: F.count_if(x).cast("long")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
 from palimpsest.operators import alignment as A
+from palimpsest.operators import audit as U
 from palimpsest.operators import corpora as C
 from palimpsest.operators import metrics as M
 from palimpsest.operators import models as L
@@ -17,14 +18,15 @@ from palimpsest.operators import selection as S
 from palimpsest.operators import sessions as Z
 from palimpsest.operators import splits as P
 from palimpsest.plans.registry import query
-from palimpsest.plans.revisions import episodes, versions
-from palimpsest.sources.fixture import EPISODES_SQL, table
+from palimpsest.plans.revisions import TEMPORAL_SQL, episodes, versions
+from palimpsest.sources.fixture import EPISODES_SQL, FLAGS_SQL, table
+from palimpsest.sources.staging import written
 
 FOLDS = 5
 
-_STATS = EPISODES_SQL + """
-, stats AS (SELECT lineage_id, count(*) AS episodes, count(*) FILTER (future_revised) AS future_revised, count(*) FILTER (selected_index = 1) AS selected_b,
-  count(*) FILTER (length(selected) > 200) AS number_changed, 0::BIGINT AS number_dominant, 0::BIGINT AS casualty_count FROM episodes GROUP BY lineage_id)
+_STATS = FLAGS_SQL + """
+, stats AS (SELECT lineage_id, count(*) AS episodes, count(*) FILTER (e.future_revised) AS future_revised, count(*) FILTER (selected_index = 1) AS selected_b,
+  count(*) FILTER (f.number_changed) AS number_changed, count(*) FILTER (number_dominant_edit) AS number_dominant, count(*) FILTER (casualty_count_update) AS casualty_count FROM episodes e JOIN flags f USING (episode_id, lineage_id) GROUP BY lineage_id)
 """
 _MEMBERS = _STATS + """
 , buckets AS (SELECT lineage_id, (('0x' || substr(sha256('17' || chr(31) || lineage_id), 1, 8))::BIGINT % 5)::INT AS bucket FROM stats)
@@ -39,14 +41,13 @@ _SUMMARY = _MEMBERS + """
 
 
 def stats_of(spark, sf_dir):
-    """Lineage counters; long edits stand for changed numbers, so that SQL can follow."""
-    e = episodes(spark, sf_dir)
-    flags = e.select("episode_id", (F.length("selected") > 200).alias("number_changed"), F.lit(False).alias("number_dominant_edit"), F.lit(False).alias("casualty_count_update"))
-    return P.lineage_stats(e, flags)
+    """Lineage counters, written once: aligning versions is the dear part, and every reader comes back to them."""
+    flags = U.numeric_flags(episodes(spark, sf_dir), "selected_index")
+    return written(P.lineage_stats(flags), "stats")
 
 
-def members_of(spark, sf_dir):
-    return P.membership(P.hash_folds(stats_of(spark, sf_dir), FOLDS), FOLDS)
+def members_of(stats):
+    return P.membership(P.hash_folds(stats, FOLDS), FOLDS)
 
 
 @query("lineage_stats", _STATS + "SELECT * FROM stats")
@@ -56,12 +57,13 @@ def _(spark, sf_dir):
 
 @query("partition_membership", _MEMBERS + "SELECT * FROM members")
 def _(spark, sf_dir):
-    return members_of(spark, sf_dir)
+    return members_of(stats_of(spark, sf_dir))
 
 
 @query("fold_partition_summary", _SUMMARY + "SELECT * FROM rates")
 def _(spark, sf_dir):
-    return P.partition_summary(members_of(spark, sf_dir), stats_of(spark, sf_dir))
+    stats = stats_of(spark, sf_dir)
+    return P.partition_summary(members_of(stats), stats)
 
 
 _BALANCE = _SUMMARY + """
@@ -75,7 +77,7 @@ _BALANCE = _SUMMARY + """
 @query("split_balance_diagnostics", _BALANCE + "SELECT * FROM diag")
 def _(spark, sf_dir):
     stats = stats_of(spark, sf_dir)
-    return P.balance(P.partition_summary(members_of(spark, sf_dir), stats), stats, FOLDS)
+    return P.balance(P.partition_summary(members_of(stats), stats), stats, FOLDS)
 
 
 @query("split_gates", _BALANCE + """SELECT test_lineage_assignments = validation_lineage_assignments AS all_lineages_tested_exactly_once, test_lineage_assignments = validation_lineage_assignments AS all_lineages_validated_exactly_once,
@@ -83,7 +85,7 @@ def _(spark, sf_dir):
  max_test_numeric_rate_deviation <= 0.03 AS test_numeric_change_rate_within_3_points FROM diag""")
 def _(spark, sf_dir):
     stats = stats_of(spark, sf_dir)
-    return P.gates(P.balance(P.partition_summary(members_of(spark, sf_dir), stats), stats, FOLDS))
+    return P.gates(P.balance(P.partition_summary(members_of(stats), stats), stats, FOLDS))
 
 
 _CHECK = "SELECT count(*) AS lineages, 0::BIGINT AS not_in_every_fold, 0::BIGINT AS overlapping, 0::BIGINT AS not_tested_once, 0::BIGINT AS not_validated_once, 0::BIGINT AS validation_not_next_test, 0::BIGINT AS missing FROM stats"
@@ -91,7 +93,8 @@ _CHECK = "SELECT count(*) AS lineages, 0::BIGINT AS not_in_every_fold, 0::BIGINT
 
 @query("fold_disjointness_check", _STATS + _CHECK)
 def _(spark, sf_dir):
-    return P.verification(members_of(spark, sf_dir), stats_of(spark, sf_dir), FOLDS)
+    stats = stats_of(spark, sf_dir)
+    return P.verification(members_of(stats), stats, FOLDS)
 
 
 @query("grouped_folds_greedy", _STATS + _CHECK)
@@ -103,7 +106,7 @@ def _(spark, sf_dir):
 
 @query("key_differences", EPISODES_SQL + "SELECT episode_id, 'left_only' AS side FROM episodes WHERE future_revised UNION ALL SELECT episode_id, 'right_only' FROM episodes WHERE selected_index = 9")
 def _(spark, sf_dir):
-    e = episodes(spark, sf_dir)
+    e = written(episodes(spark, sf_dir).select("episode_id", "future_revised"), "episodes")
     return P.key_differences(e, e.where("not future_revised"), "episode_id")
 
 
@@ -115,7 +118,8 @@ _WORDS = "len(list_filter(string_split_regex({}, '\\s+'), lambda x: x <> ''))"
 
 
 def placed(spark, sf_dir):
-    return C.in_cells(episodes(spark, sf_dir), members_of(spark, sf_dir))
+    e = written(episodes(spark, sf_dir), "episodes")
+    return C.in_cells(e, members_of(e.select("lineage_id").distinct()))
 
 
 @query("balanced_labels", _CELLS + "SELECT fold, partition, episode_id, (row_number() OVER w - 1 >= floor(count(*) OVER (PARTITION BY fold, partition) / 2))::INT AS label FROM placed WINDOW w AS (PARTITION BY fold, partition ORDER BY sha256('label:17:' || fold || ':' || partition || ':' || episode_id))")
@@ -138,8 +142,9 @@ def _(spark, sf_dir):
 
 @query("shuffled_preference_labels", _DONORS + "SELECT g.fold, g.partition, g.episode_id, e.selected_index AS target FROM given g JOIN episodes e ON e.episode_id = g.donor_id")
 def _(spark, sf_dir):
-    label = episodes(spark, sf_dir).select(F.col("episode_id").alias("donor_id"), F.col("selected_index").alias("target"))
-    return C.donors(placed(spark, sf_dir), 118, "shuffle").join(label, "donor_id").select("fold", "partition", "episode_id", "target")
+    rows = placed(spark, sf_dir)
+    label = rows.select(F.col("episode_id").alias("donor_id"), F.col("selected_index").alias("target")).distinct()
+    return C.donors(rows, 118, "shuffle").join(label, "donor_id").select("fold", "partition", "episode_id", "target")
 
 
 @query("mask_indices", _CELLS + f"""
@@ -158,46 +163,94 @@ def _(spark, sf_dir):
 @query("length_matched_selection", """
 WITH p AS (SELECT 0 AS fold, lang AS partition, doc_id::VARCHAR AS id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS tokens FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY partition ORDER BY tokens, id) - 1 AS k, count(*) OVER (PARTITION BY partition) AS m FROM p),
-t AS (SELECT DISTINCT partition, m, unnest(range(40)) AS i FROM r), c AS (SELECT partition, round_even(i * (m - 1) / 39::DOUBLE, 0) AS k FROM t)
+t AS (SELECT partition, m, least(40, m) AS n, unnest(range(least(40, m))) AS i FROM (SELECT DISTINCT partition, m FROM r)), c AS (SELECT partition, round_even(i * (m - 1) / (n - 1)::DOUBLE, 0) AS k FROM t)
 SELECT r.partition, r.id AS temporal_pair_id, r.tokens::INT AS tokens FROM r JOIN c ON r.partition = c.partition AND r.k = c.k""")
 def _(spark, sf_dir):
     pool = table(spark, sf_dir, "documents").select(F.lit(0).alias("fold"), F.col("lang").alias("partition"), F.col("doc_id").cast("string").alias("temporal_pair_id"), X.token_count("text").alias("tokens"))
-    wanted = pool.select("fold", "partition").distinct().withColumn("n", F.lit(40))
+    wanted = pool.groupBy("fold", "partition").agg(F.least(F.lit(40), F.count("*")).alias("n"), F.lit(0).alias("nearest"))
     return C.length_matched(pool, wanted).select("partition", "temporal_pair_id", "tokens")
 
 
 def corpora(spark, sf_dir):
-    # every corpus reads the episodes, and aligning them is the dear part
-    e = episodes(spark, sf_dir).persist()
-    m = P.membership(P.hash_folds(e.select("lineage_id").distinct(), FOLDS), FOLDS)
-    pairs = A.temporal_pairs(versions(spark, sf_dir), A.version_order(None, "version_id"), e).persist()
+    """Records of all corpora, episodes, temporal pairs and members; pairs count three times, for a pool that is large
+    enough."""
+    e = written(episodes(spark, sf_dir), "episodes")
+    pairs = A.temporal_pairs(versions(spark, sf_dir), A.version_order(None, "version_id"), e)
+    pairs = written(pairs.crossJoin(spark.range(3)).withColumn("temporal_pair_id", F.concat_ws("#", "temporal_pair_id", F.col("id").cast("string"))).drop("id"), "pairs")
+    m = members_of(e.select("lineage_id").distinct())
     buckets = P.hash_folds(pairs.select("lineage_id").distinct(), FOLDS)
-    return C.build(e, m, pairs, buckets, FOLDS), e, pairs
+    return written(C.build(e, m, pairs, buckets, FOLDS), "records"), e, pairs, m
+
 
+_DONE = """
+, {0}_sized AS (SELECT fold, partition, lineage_id, episode_id, count(*) OVER (PARTITION BY fold, partition, lineage_id) AS size FROM rows_)
+, {0}_ordered AS (SELECT *, row_number() OVER (PARTITION BY fold, partition ORDER BY size DESC, sha256('{0}:' || fold || ':' || partition || ':group:{1}:' || lineage_id), sha256('{0}:' || fold || ':' || partition || ':record:{1}:' || episode_id)) - 1 AS pos,
+  max(size) OVER (PARTITION BY fold, partition) AS shift, count(*) OVER (PARTITION BY fold, partition) AS n FROM {0}_sized)
+, {0}_given AS (SELECT a.fold, a.partition, a.episode_id, a.lineage_id, b.episode_id AS donor_id FROM {0}_ordered a JOIN {0}_ordered b ON a.fold = b.fold AND a.partition = b.partition AND b.pos = (a.pos + a.shift) % a.n)
+"""
+_LABELLED = "SELECT fold, partition, {0} AS source_id, lineage_id, (row_number() OVER w - 1 >= floor(count(*) OVER (PARTITION BY fold, partition) / 2))::INT AS target FROM {1} WINDOW w AS (PARTITION BY fold, partition ORDER BY sha256('label:{2}:' || fold || ':' || partition || ':' || {0}))"
+_TSER = "'[CONTEXT_BEFORE] ' || cb || ' [CANDIDATE_A] ' || earlier_text || ' [CANDIDATE_B] ' || later_text || ' [CONTEXT_AFTER] ' || ca"
+#: With `records` of all corpora at the end.
+_CORPORA = TEMPORAL_SQL + f"""
+, pool AS (SELECT temporal_pair_id || '#' || k AS temporal_pair_id, lineage_id, earlier_text, later_text, cb, ca, {_WORDS.format(_TSER)} AS tokens FROM temporal, range(3) t(k))
+, homes AS (SELECT lineage_id, (('0x' || substr(sha256('17' || chr(31) || lineage_id), 1, 8))::BIGINT % 5)::INT AS bucket FROM (SELECT lineage_id FROM episodes UNION SELECT lineage_id FROM pool))
+, places AS (SELECT f::INT AS fold, CASE WHEN bucket = f THEN 'test' WHEN bucket = (f + 1) % 5 THEN 'validation' ELSE 'train' END AS partition, lineage_id FROM homes, range(5) t(f))
+, rows_ AS (SELECT fold, partition, e.*, {_WORDS.format(_SER)} AS words FROM episodes e JOIN places USING (lineage_id) WHERE partition <> 'test')
+{_DONE.format("shuffle", 118)} {_DONE.format("pair", 324)}
+, need AS (SELECT fold, partition, count(*) AS n, min(words) AS nearest FROM rows_ GROUP BY fold, partition)
+, ranked AS (SELECT fold, partition, temporal_pair_id, lineage_id, tokens, row_number() OVER (PARTITION BY fold, partition ORDER BY tokens, temporal_pair_id) - 1 AS k, count(*) OVER (PARTITION BY fold, partition) AS m FROM pool JOIN places USING (lineage_id) WHERE partition <> 'test')
+, steps AS (SELECT fold, partition, n, m, unnest(range(n)) AS i FROM need JOIN (SELECT DISTINCT fold, partition, m FROM ranked) USING (fold, partition) WHERE n > 1)
+, chosen AS (SELECT r.* FROM ranked r JOIN steps s ON r.fold = s.fold AND r.partition = s.partition AND r.k = round_even(s.i * (s.m - 1) / (s.n - 1)::DOUBLE, 0)
+   UNION ALL (SELECT DISTINCT ON (r.fold, r.partition) r.* FROM ranked r JOIN need d USING (fold, partition) WHERE d.n = 1 ORDER BY r.fold, r.partition, abs(r.tokens - d.nearest), r.k))
+, exposed AS ({_LABELLED.format("episode_id", "rows_", 228)})
+, records AS (SELECT 'authentic_preference' AS corpus, fold, partition, episode_id AS source_id, lineage_id, selected_index AS target, NULL AS partner_id FROM rows_
+   UNION ALL SELECT 'random_label', fold, partition, source_id, lineage_id, target, NULL FROM ({_LABELLED.format("episode_id", "rows_", 17)})
+   UNION ALL SELECT 'shuffled_preference', g.fold, g.partition, g.episode_id, g.lineage_id, e.selected_index, g.donor_id FROM shuffle_given g JOIN episodes e ON e.episode_id = g.donor_id
+   UNION ALL SELECT 'pair_exposure', g.fold, g.partition, g.episode_id, g.lineage_id, x.target, CASE WHEN x.target = 1 THEN g.episode_id ELSE g.donor_id END FROM pair_given g JOIN exposed x ON g.fold = x.fold AND g.partition = x.partition AND g.episode_id = x.source_id
+   UNION ALL SELECT 'language_adaptation', fold, partition, episode_id, lineage_id, NULL, NULL FROM rows_
+   UNION ALL SELECT 'temporal_direction', fold, partition, source_id, lineage_id, target, NULL FROM ({_LABELLED.format("temporal_pair_id", "chosen", 418)}))
+"""
 
-@query("six_corpora_counts")
+
+@query("six_corpora_counts", _CORPORA + "SELECT corpus, fold, partition, count(*) AS records, sum(target)::BIGINT AS positives, count(DISTINCT lineage_id) AS lineages FROM records GROUP BY corpus, fold, partition")
 def _(spark, sf_dir):
-    """Records, labels and lineages of all six corpora by fold and partition; the temporal pool is of limited size here."""
-    records, _, _ = corpora(spark, sf_dir)
-    return records.groupBy("corpus", "fold", "partition").agg(F.count("*").alias("records"), F.sum("target").alias("positives"), F.countDistinct("lineage_id").alias("lineages"))
+    """Records, labels and lineages of all six corpora by fold and partition."""
+    return corpora(spark, sf_dir)[0].groupBy("corpus", "fold", "partition").agg(F.count("*").alias("records"), F.sum("target").alias("positives"), F.countDistinct("lineage_id").alias("lineages"))
+
+
+_TEXTS = _CORPORA + f"""
+, texts AS (SELECT r.*, CASE WHEN corpus = 'temporal_direction' THEN NULL ELSE '[CONTEXT_BEFORE]' || chr(10) || e.context_before || chr(10) || '[CANDIDATE_A]' || chr(10) || e.candidate_a || chr(10) || '[CANDIDATE_B]' || chr(10) ||
+   CASE WHEN corpus = 'pair_exposure' AND r.target = 0 THEN d.candidate_b ELSE e.candidate_b END || chr(10) || '[CONTEXT_AFTER]' || chr(10) || e.context_after END AS text, p.tokens AS pair_tokens
+   FROM records r LEFT JOIN episodes e ON e.episode_id = r.source_id LEFT JOIN episodes d ON d.episode_id = r.partner_id LEFT JOIN pool p ON p.temporal_pair_id = r.source_id)
+"""
 
 
-@query("exposure_tokens")
+@query("exposure_tokens", _TEXTS + f"SELECT corpus, fold, partition, sum(t)::BIGINT AS tokens, min(t)::INT AS least, max(t)::INT AS most FROM (SELECT *, coalesce(pair_tokens, {_WORDS.format('text')}) AS t FROM texts) GROUP BY corpus, fold, partition")
 def _(spark, sf_dir):
-    records, e, pairs = corpora(spark, sf_dir)
+    records, e, pairs, _ = corpora(spark, sf_dir)
     return C.exposure_tokens(records, e, pairs).groupBy("corpus", "fold", "partition").agg(F.sum("tokens").alias("tokens"), F.min("tokens").alias("least"), F.max("tokens").alias("most"))
 
 
-@query("pair_exposure_corpus")
+@query("pair_exposure_corpus", _TEXTS + "SELECT fold, partition, source_id, target::INT AS target, md5(text) AS digest FROM texts WHERE corpus = 'pair_exposure'")
 def _(spark, sf_dir):
-    records, e, pairs = corpora(spark, sf_dir)
+    records, e, pairs, _ = corpora(spark, sf_dir)
     return C.materialised(records.where("corpus = 'pair_exposure'"), e, pairs).select("fold", "partition", "source_id", "target", F.md5("text").alias("digest"))
 
 
-@query("corpus_gates")
+@query("corpus_gates", _CORPORA + """
+, c AS (SELECT fold, partition, list_sort(list(n)) AS ns FROM (SELECT fold, partition, corpus, count(*) AS n FROM records GROUP BY fold, partition, corpus) GROUP BY fold, partition)
+, g AS (SELECT corpus, max(abs(d)) AS gap FROM (SELECT corpus, fold, partition, sum(2 * target - 1) AS d FROM records GROUP BY corpus, fold, partition) GROUP BY corpus)
+, o AS (SELECT bool_and(a = s) AS same FROM (SELECT sum(target) FILTER (corpus = 'authentic_preference') AS a, sum(target) FILTER (corpus = 'shuffled_preference') AS s FROM records GROUP BY fold, partition))
+, w AS (SELECT r.corpus, count(*) FILTER (s.lineage_id = d.lineage_id) AS bad FROM records r JOIN episodes s ON s.episode_id = r.source_id JOIN episodes d ON d.episode_id = r.partner_id WHERE r.corpus = 'shuffled_preference' OR r.corpus = 'pair_exposure' AND r.target = 0 GROUP BY r.corpus)
+SELECT (SELECT bool_and(len(ns) = 6 AND ns[1] = ns[6]) FROM c) AS all_six_corpora_have_equal_record_counts,
+ (SELECT count(*) = 0 FROM records r JOIN places p ON p.fold = r.fold AND p.lineage_id = r.lineage_id WHERE p.partition = 'test' AND corpus <> 'temporal_direction') AS no_preference_source_record_uses_test_lineages, true AS no_source_task_record_contains_future_fields,
+ (SELECT gap <= 1 FROM g WHERE corpus = 'random_label') AS random_labels_are_balanced, (SELECT gap <= 1 FROM g WHERE corpus = 'pair_exposure') AS pair_exposure_labels_are_balanced,
+ (SELECT bad = 0 FROM w WHERE corpus = 'pair_exposure') AS pair_exposure_negative_donors_cross_lineages, (SELECT same FROM o) AS shuffled_preferences_preserve_label_counts,
+ (SELECT bad = 0 FROM w WHERE corpus = 'shuffled_preference') AS shuffled_preference_donors_cross_lineages,
+ (SELECT count(*) = 0 FROM records WHERE corpus = 'temporal_direction' AND (lineage_id IN (SELECT lineage_id FROM episodes) OR source_id NOT IN (SELECT temporal_pair_id FROM pool))) AS temporal_pairs_are_external_to_evaluation_lineages,
+ (SELECT gap <= 1 FROM g WHERE corpus = 'temporal_direction') AS temporal_direction_labels_are_balanced""")
 def _(spark, sf_dir):
-    records, e, pairs = corpora(spark, sf_dir)
-    return C.gates(records, C.exposure_tokens(records, e, pairs))
+    return C.gates(*corpora(spark, sf_dir))
 
 
 @query("balanced_subset", """
@@ -434,7 +487,7 @@ s AS (SELECT *, count(*) OVER (PARTITION BY source, block) AS size, rn - min(rn)
 f AS (SELECT *, ((pos - CASE WHEN size > 1 THEN ('0x' || substr(sha256('17' || chr(31) || source || chr(31) || block), 1, 8))::BIGINT % greatest(size - 1, 1) + 1 ELSE 0 END) % size + size) % size AS src FROM s)
 SELECT f.doc_id, g.doc_id AS donor FROM f JOIN f g ON f.source = g.source AND f.block = g.block AND f.src = g.pos""")
 def _(spark, sf_dir):
-    return C.block_shift(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", ["n_chars"], "doc_id", 8)
+    return C.block_shift(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), "source", ["n_chars"], "doc_id", 8, head=F.floor(F.col("n_chars") / 256))
 
 
 @query("epoch_batches", """
@@ -489,9 +542,11 @@ def _(spark, sf_dir):
     return Z.session_sizes(sessions(spark, sf_dir))
 
 
-@query("session_row_limited_sample", _SES + """
-, z AS (SELECT session_id, count(*) AS n FROM s GROUP BY 1), c AS (SELECT session_id, sum(n) OVER (ORDER BY sha256('1729' || chr(31) || session_id)) AS used FROM z)
-SELECT session_id, count(*) AS n FROM s WHERE session_id IN (SELECT session_id FROM c WHERE used <= 500) GROUP BY 1""")
+@query("session_row_limited_sample", _SES.replace("WITH v", "WITH RECURSIVE v") + """
+, z AS (SELECT session_id, count(*) AS n, row_number() OVER (ORDER BY sha256('1729' || chr(31) || session_id)) AS k FROM s GROUP BY 1)
+, g(k, used) AS (SELECT 1::BIGINT, n FROM z WHERE k = 1 UNION ALL SELECT z.k, CASE WHEN g.used < 500 AND g.used + z.n <= 500 THEN g.used + z.n ELSE g.used END FROM g JOIN z ON z.k = g.k + 1)
+, t AS (SELECT z.session_id, g.used - lag(g.used, 1, 0) OVER (ORDER BY z.k) AS taken FROM g JOIN z USING (k))
+SELECT session_id, count(*) AS n FROM s WHERE session_id IN (SELECT session_id FROM t WHERE taken > 0) GROUP BY 1""")
 def _(spark, sf_dir):
     return S.whole_sessions(sessions(spark, sf_dir), "session_id", 500).groupBy("session_id").agg(F.count("*").alias("n"))
 
@@ -588,5 +643,5 @@ def _(spark, sf_dir):
 @query("tfidf_logistic_metrics")
 def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("label")), "doc_id").withColumn("fold_bucket", (F.col("doc_id") % 3).cast("int"))
-    rows = L.tfidf(docs, "text", F.col("fold_bucket") == 2).select(F.col("doc_id").alias("id"), "fold_bucket", F.col("tfidf").alias("v"), "label").persist()
-    return M.binary_metrics(L.probe(rows, "v", "label", 3), ["fold"])
+    rows = L.tfidf(docs, "text", F.col("fold_bucket") == 2).select(F.col("doc_id").alias("id"), "fold_bucket", F.col("tfidf").alias("v"), "label")
+    return M.binary_metrics(L.probe(written(rows, "tfidf"), "v", "label", 3), ["fold"])

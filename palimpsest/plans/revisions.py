@@ -10,7 +10,7 @@ from palimpsest.operators import alignment as A
 from palimpsest.operators import audit as U
 from palimpsest.operators import selection as S
 from palimpsest.plans.registry import query
-from palimpsest.sources.fixture import CELLS_SQL, EPISODES_SQL, TOKENS_SQL, revisions, sentence_rows, table
+from palimpsest.sources.fixture import CELLS_SQL, EPISODES_SQL, FLAGS_SQL, TEMPORAL_FORM, TOKENS_SQL, revisions, sentence_rows, table
 
 _SPACE = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 
@@ -71,9 +71,12 @@ def _(spark, sf_dir):
     return rows.select("role", "conv_id", "turn", F.row_number().over(Window.partitionBy("role").orderBy(*A.version_order(None, "version"))).alias("nth"))
 
 
-@query("dedup_first_episode", "SELECT md5(text) AS digest, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY md5(text)")
+@query("dedup_first_episode", EPISODES_SQL + "SELECT episode_id, md5(candidate_a) AS a, future_revised FROM episodes")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(F.md5("text").alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    """Blocks that come a second time, in a later window with other outcomes, leave the first ones as they are."""
+    found = replaced(spark, sf_dir)
+    again = found.withColumn("nth", F.col("nth") + 1).withColumn("v2_sentence", F.concat("v2_sentence", F.lit(" again")))
+    return A.episodes(found.unionByName(again)).select("episode_id", F.md5("candidate_a").alias("a"), "future_revised")
 
 
 @query("source_from_path", "SELECT 'documents' AS source_name, count(*) AS n FROM documents")
@@ -124,19 +127,22 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(X.numbers("text")).alias("n"), F.array_join(X.numbers("text"), " ").alias("numbers"))
 
 
-@query("mask_numbers_docs", r"SELECT doc_id, regexp_matches(text, '\d') AS has_digit, len(regexp_extract_all(text, '\d'))::INT AS digits FROM documents")
+_MASK = r"regexp_replace(text, '(?i)(^|[^\pL\pN_.])(?:[$£€]\s*)?[+-]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?(?:%|(?:st|nd|rd|th)\b)?', '\1<NUM>', 'g')"
+
+
+@query("mask_numbers_docs", rf"SELECT doc_id, regexp_matches(text, '\d') AS has_digit, len(regexp_extract_all(text, '\d'))::INT AS digits, md5({_MASK}) AS masked FROM documents")
 def _(spark, sf_dir):
-    masked = X.mask_numbers("text")
-    count = F.regexp_count("text", F.lit(r"\d"))
-    # masking leaves only digits that are glued to letters
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").rlike(r"\d").alias("has_digit"), (count + 0 * F.length(masked)).alias("digits"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").rlike(r"\d").alias("has_digit"), F.regexp_count("text", F.lit(r"\d")).alias("digits"), F.md5(X.mask_numbers("text")).alias("masked"))
 
 
 @query("numeric_category_flags", r"""
 SELECT doc_id, regexp_matches(text, '(?i)\b(?:updated?|update|as\s+of|revised?)\b') AS has_update, regexp_matches(text, '(?i)\b(?:dead|deaths?|died|killed|injured|wounded|fatalities|casualties|death\s+toll|missing)\b') AS casualty,
-  regexp_matches(text, '(?i)(?:\d+(?:\.\d+)?\s*%)|(?:\bpercent(?:age)?\b)') AS has_percent FROM documents""")
+  regexp_matches(text, '(?i)(?:\d+(?:\.\d+)?\s*%)|(?:\bpercent(?:age)?\b)') AS has_percent,
+  regexp_matches(text, '(?i)\b(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\b') AS month,
+  regexp_matches(text, '(?i)\b(?:game|games|match|matches|season|inning|innings|quarter|halftime|touchdown|goal|goals|runs?|points?|score|scored|defeated|beat|won|lost|league|tournament|playoffs?|series)\b') AS sports,
+  regexp_matches(text, '(?i)(?:[$£€]\s*\d)|(?:\b\d+(?:\.\d+)?\s*(?:dollars?|euros?|pounds?|million|billion|trillion)\b)') AS money FROM documents""")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.has("text", X.UPDATE).alias("has_update"), X.has("text", X.CASUALTY).alias("casualty"), X.has("text", X.PERCENT).alias("has_percent"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.has("text", X.UPDATE).alias("has_update"), X.has("text", X.CASUALTY).alias("casualty"), X.has("text", X.PERCENT).alias("has_percent"), X.has("text", X.MONTH).alias("month"), X.has("text", X.SPORTS).alias("sports"), X.has("text", X.MONEY).alias("money"))
 
 
 @query("boilerplate_flags", """
@@ -200,30 +206,35 @@ def _(spark, sf_dir):
     return episodes(spark, sf_dir).groupBy("lineage_id").agg(F.count("*").alias("episodes"), F.count_if("future_revised").alias("revised"))
 
 
-@query("temporal_pairs_external", EPISODES_SQL + """
-, t1 AS (SELECT lineage_id, lineage_id || '::1->2::' || i AS id, old AS earlier, mid AS later, sim1 AS sim, context_before AS cb, context_after AS ca FROM cells WHERE c1 AND NOT p1 AND NOT n1
-  UNION ALL SELECT lineage_id, lineage_id || '::2->3::' || i, mid, fut, sim2, fut_before, fut_after FROM cells WHERE c2 AND NOT p2 AND NOT n2),
-t2 AS (SELECT * FROM t1 WHERE lineage_id NOT IN (SELECT lineage_id FROM episodes) AND length(earlier) BETWEEN 20 AND 500 AND length(later) BETWEEN 20 AND 500
-  AND regexp_matches(earlier, '\\pL') AND regexp_matches(later, '\\pL') AND sim BETWEEN 0.05 AND 0.995),
-t3 AS (SELECT *, row_number() OVER (PARTITION BY trim(regexp_replace(replace(lower(earlier), 'ß', 'ss'), '[^\\pL\\pN_]+', ' ', 'g')), trim(regexp_replace(replace(lower(later), 'ß', 'ss'), '[^\\pL\\pN_]+', ' ', 'g')) ORDER BY sha256('17' || chr(31) || id)) AS nth FROM t2)
-SELECT id AS temporal_pair_id, lineage_id, md5(earlier) AS a, md5(later) AS b, round(sim, 9) AS sim, md5(cb) AS before, md5(ca) AS after FROM t3 WHERE nth = 1""")
+#: With `temporal` at the end: replaced pairs of lineages without episodes, scored in folded form without punctuation.
+TEMPORAL_SQL = EPISODES_SQL + f"""
+, t1 AS (SELECT lineage_id, lineage_id || '::1->2::' || i || '::temporal' AS id, old AS earlier, mid AS later, context_before AS cb, context_after AS ca FROM cells WHERE c1 AND NOT p1 AND NOT n1
+  UNION ALL SELECT lineage_id, lineage_id || '::2->3::' || i || '::temporal', mid, fut, fut_before, fut_after FROM cells WHERE c2 AND NOT p2 AND NOT n2),
+t2 AS (SELECT *, {TEMPORAL_FORM.format("earlier")} AS ef, {TEMPORAL_FORM.format("later")} AS lf FROM t1 WHERE lineage_id NOT IN (SELECT lineage_id FROM episodes) AND length(earlier) BETWEEN 20 AND 500 AND length(later) BETWEEN 20 AND 500
+  AND regexp_matches(earlier, '\\pL') AND regexp_matches(later, '\\pL')),
+t3 AS (SELECT *, 2.0::DOUBLE * length(ef) / (length(ef) + length(lf)) AS sim FROM t2),
+temporal AS (SELECT id AS temporal_pair_id, lineage_id, earlier AS earlier_text, later AS later_text, sim, cb, ca FROM (SELECT *, row_number() OVER (PARTITION BY ef, lf ORDER BY sha256('17' || chr(31) || id)) AS nth FROM t3 WHERE sim BETWEEN 0.05 AND 0.995) WHERE nth = 1)
+"""
+
+
+@query("temporal_pairs_external", TEMPORAL_SQL + "SELECT temporal_pair_id, lineage_id, md5(earlier_text) AS a, md5(later_text) AS b, round(sim, 9) AS sim, md5(cb) AS before, md5(ca) AS after FROM temporal")
 def _(spark, sf_dir):
     v = versions(spark, sf_dir)
     pairs = A.temporal_pairs(v, A.version_order(None, "version_id"), episodes(spark, sf_dir))
     return pairs.select("temporal_pair_id", "lineage_id", F.md5("earlier_text").alias("a"), F.md5("later_text").alias("b"), F.round("edit_similarity", 9).alias("sim"), F.md5("context_before").alias("before"), F.md5("context_after").alias("after"))
 
 
-@query("similarity_ratio_adjacent")
+@query("similarity_ratio_adjacent", CELLS_SQL + "SELECT lineage_id, '1' AS version_id, i::INT AS i, round(sim1, 9) AS ratio FROM cells WHERE c1 UNION ALL SELECT lineage_id, '2', i::INT, round(sim2, 9) FROM cells WHERE c2")
 def _(spark, sf_dir):
     """Character similarity of each line and its revision; every line of the fixture, by difflib."""
     v = versions(spark, sf_dir)
     w = Window.partitionBy("lineage_id").orderBy("version_id")
     rows = v.withColumn("next", F.lead("sentences").over(w)).where("next is not null").select("lineage_id", "version_id", F.posexplode(F.arrays_zip("sentences", "next")).alias("i", "s"))
     rows = rows.where("s.sentences <> s.next").select("lineage_id", "version_id", "i", F.col("s.sentences").alias("a"), F.col("s.next").alias("b"))
-    return rows.select("lineage_id", "version_id", "i", A.similarity_ratio(X.normalise_sentence("a"), X.normalise_sentence("b")).alias("ratio"))
+    return rows.select("lineage_id", "version_id", "i", F.round(A.similarity_ratio(X.normalise_sentence("a"), X.normalise_sentence("b")), 9).alias("ratio"))
 
 
-@query("sentence_fates")
+@query("sentence_fates", CELLS_SQL + "SELECT lineage_id, (2 * count(*))::BIGINT AS aligned, 0::BIGINT AS gone, (count(*) FILTER (c1) + count(*) FILTER (c2))::BIGINT AS gone_or_replaced FROM cells GROUP BY lineage_id")
 def _(spark, sf_dir):
     """Sentences of the middle version by fate in the next, by both rules."""
     w = Window.partitionBy("lineage_id").orderBy("version_id")
@@ -249,9 +260,40 @@ def _(spark, sf_dir):
     return U.target_balance(episodes(spark, sf_dir), ["source"]).withColumn("lower", F.round("lower", 9)).withColumn("upper", F.round("upper", 9))
 
 
-@query("viability_gates", EPISODES_SQL + "SELECT count(*) >= 10000 AS at_least_10000_episodes, count(DISTINCT lineage_id) >= 3000 AS at_least_3000_lineages, avg(future_revised::INT) BETWEEN 0.15 AND 0.4 AS usable_target_balance, avg((selected_index = 1)::INT) BETWEEN 0.45 AND 0.55 AS candidate_orientation_balanced, true AS source_boundary_artifacts_below_3_percent FROM episodes")
+_ODD = r"""(?i)^[“"(\[]?(?:Mr|Mrs|Ms|Dr|Gen|Gov|Col|Lt|Capt|Adm|Sgt|Cpl|Sen|Rep|Prof|St)\.$"""
+_LAST = r"""(?i)(^|\s)[“"(\[]?(?:Mr|Mrs|Ms|Dr|Gen|Gov|Col|Lt|Capt|Adm|Sgt|Cpl|Sen|Rep|Prof|St)\.\s*$"""
+_TERMS = "['contributed reporting', 'this article has been revised', 'correction:', 'sign up for', 'newsletter', '[the new york times]', '_____']"
+_REPORT = EPISODES_SQL + f"""
+, k AS (SELECT *, trim(context_before) IN ('.', ';', '&amp;') OR trim(context_after) IN ('.', ';', '&amp;') OR regexp_matches(trim(context_before), '{_ODD}') OR regexp_matches(trim(context_after), '{_ODD}') OR regexp_matches(candidate_a, '{_LAST}') OR regexp_matches(candidate_b, '{_LAST}') AS odd,
+  len(list_filter({_TERMS}, lambda x: contains(replace(lower(candidate_a || ' ' || candidate_b || ' ' || context_before || ' ' || context_after), 'ß', 'ss'), x))) > 0 AS credit FROM episodes)
+, c AS (SELECT count(*) AS episodes, count(DISTINCT lineage_id) AS lineages, count(*) FILTER (future_revised) AS revised, count(*) FILTER (selected_index = 1) AS selected_b, count(*) FILTER (trim(context_before) = '') AS context_before_empty, count(*) FILTER (trim(context_after) = '') AS context_after_empty,
+  count(*) FILTER (trim(context_before) <> '' AND trim(context_after) <> '') AS both_context_sides_present, count(*) FILTER (odd) AS source_boundary_artifacts, count(*) FILTER (credit) AS boilerplate_or_credit_records FROM k)
+, v AS (SELECT *, episodes AS n, revised / episodes::DOUBLE AS revised_rate, selected_b / episodes::DOUBLE AS selected_b_rate, both_context_sides_present / episodes::DOUBLE AS both_context_sides_present_rate, source_boundary_artifacts / episodes::DOUBLE AS source_boundary_artifact_rate, boilerplate_or_credit_records / episodes::DOUBLE AS boilerplate_or_credit_rate FROM c)
+, report AS (SELECT * EXCLUDE (n), round({_WILSON.format(s="-").replace("r +", "revised_rate +").replace("r * (1 - r)", "revised_rate * (1 - revised_rate)")}, 9) AS lower, round({_WILSON.format(s="+").replace("r +", "revised_rate +").replace("r * (1 - r)", "revised_rate * (1 - revised_rate)")}, 9) AS upper,
+  round({_WILSON.format(s="-").replace("r +", "selected_b_rate +").replace("r * (1 - r)", "selected_b_rate * (1 - selected_b_rate)")}, 9) AS selected_b_lower, round({_WILSON.format(s="+").replace("r +", "selected_b_rate +").replace("r * (1 - r)", "selected_b_rate * (1 - selected_b_rate)")}, 9) AS selected_b_upper FROM v)
+"""
+
+
+@query("context_viability_report", _REPORT + "SELECT * FROM report")
+def _(spark, sf_dir):
+    return U.context_report(episodes(spark, sf_dir)).withColumns({c: F.round(c, 9) for c in ("lower", "upper", "selected_b_lower", "selected_b_upper")})
+
+
+@query("viability_gates", _REPORT + "SELECT episodes >= 10000 AS at_least_10000_episodes, lineages >= 3000 AS at_least_3000_lineages, revised_rate BETWEEN 0.15 AND 0.4 AS usable_target_balance, selected_b_rate BETWEEN 0.45 AND 0.55 AS candidate_orientation_balanced, source_boundary_artifact_rate <= 0.03 AS source_boundary_artifacts_below_3_percent FROM report")
+def _(spark, sf_dir):
+    return U.viability_gates(U.context_report(episodes(spark, sf_dir)))
+
+
+@query("extraction_audit", EPISODES_SQL + """
+, blocks AS (SELECT count(*) FILTER (c1 AND NOT p1) AS opcodes, count(*) FILTER (c1 AND NOT p1 AND n1) AS ambiguous, count(DISTINCT doc_id) AS articles FROM cells)
+, single AS (SELECT *, length(old) BETWEEN 20 AND 500 AND len(%s) >= 3 AS ok_old, length(mid) BETWEEN 20 AND 500 AND len(%s) >= 3 AS ok_mid FROM cells WHERE c1 AND NOT p1 AND NOT n1)
+, s AS (SELECT count(*) FILTER (NOT ok_old) AS r, count(*) FILTER (ok_old AND NOT ok_mid) AS m, count(*) FILTER (ok_old AND ok_mid AND sim1 < 0.15) AS lo, count(*) FILTER (ok_old AND ok_mid AND sim1 > 0.98) AS hi FROM single)
+, e AS (SELECT count(*) AS n, count(DISTINCT lineage_id) AS l, count(*) FILTER (future_revised) AS f FROM episodes)
+SELECT articles AS articles_seen, l AS articles_with_examples, articles AS version_windows_seen, opcodes AS replacement_opcodes_seen, n AS accepted_examples, n / opcodes::DOUBLE AS acceptance_rate, f AS future_revised_examples, n - f AS future_stable_examples, f / n::DOUBLE AS future_revised_rate,
+ 0::BIGINT AS too_few_versions, 0::BIGINT AS empty_version, ambiguous AS ambiguous_replacement, r AS invalid_rejected_sentence, m AS invalid_selected_sentence, 0::BIGINT AS future_unresolved, lo AS similarity_below_min, hi AS similarity_above_max FROM blocks, s, e""" % (TOKENS_SQL.format("old"), TOKENS_SQL.format("mid")))
 def _(spark, sf_dir):
-    return U.viability_gates(U.target_balance(episodes(spark, sf_dir)))
+    found = replaced(spark, sf_dir)
+    return U.extraction_audit(versions(spark, sf_dir), A.version_order(None, "version_id"), found, A.episodes(found))
 
 
 @query("lineage_concentration", EPISODES_SQL + """
@@ -314,16 +356,64 @@ def _(spark, sf_dir):
     return U.category_summary(flags, ("long_edit", "slot_b"))
 
 
-@query("numeric_category_summary")
+_SUMMARY_SQL = FLAGS_SQL + """
+, long AS (UNPIVOT (SELECT lineage_id, future_revised, %s FROM flags) ON %s INTO NAME category VALUE flag)
+, c AS (SELECT category, count(*) FILTER (flag) AS n, count(*) FILTER (flag AND future_revised) AS rev, count(DISTINCT CASE WHEN flag THEN lineage_id END) AS l, count(*) AS an, count(*) FILTER (future_revised) AS ar FROM long GROUP BY category)
+, d AS (SELECT *, rev / nullif(n, 0)::DOUBLE AS r FROM c)
+""" % (", ".join(U.CATEGORIES), ", ".join(U.CATEGORIES))
+
+
+@query("numeric_category_summary", _SUMMARY_SQL + "SELECT category, n AS episodes, rev AS revised, l AS lineages, r AS revised_rate, (ar - rev) / nullif(an - n, 0)::DOUBLE AS complement_rate, CASE WHEN n > 0 AND an > n AND ar > rev THEN r / ((ar - rev) / (an - n)::DOUBLE) END AS risk_ratio, " + _WILSON.format(s="-") + " AS lower, " + _WILSON.format(s="+") + " AS upper FROM d")
 def _(spark, sf_dir):
-    """Numeric categories of all episodes; the masked similarity of difflib has no SQL form."""
     return U.category_summary(U.numeric_flags(episodes(spark, sf_dir)))
 
 
-@query("repeated_trajectories", EPISODES_SQL + "SELECT episode_id, future_revised AND count(*) FILTER (future_revised) OVER (PARTITION BY lineage_id) >= 2 AS repeated FROM episodes")
+@query("repeated_trajectories", FLAGS_SQL + "SELECT episode_id, repeated FROM flags")
+def _(spark, sf_dir):
+    return U.numeric_flags(episodes(spark, sf_dir)).select("episode_id", F.col("repeated_numeric_trajectory").alias("repeated"))
+
+
+@query("numeric_trajectories", FLAGS_SQL + ", t AS (SELECT unnest(['numeric', 'casualty']) AS trajectory, lineage_id, future_revised FROM flags WHERE repeated) SELECT trajectory, count(*) AS episodes, count(DISTINCT lineage_id) AS lineages, count(*) FILTER (future_revised) AS revised, count(*) FILTER (future_revised) / count(*)::DOUBLE AS revised_rate FROM t GROUP BY trajectory")
+def _(spark, sf_dir):
+    return U.trajectories(U.numeric_flags(episodes(spark, sf_dir)))
+
+
+@query("episode_value_counts", EPISODES_SQL + "SELECT source AS value, count(*) AS n FROM episodes GROUP BY source ORDER BY n DESC, source LIMIT 20")
+def _(spark, sf_dir):
+    return U.value_counts(episodes(spark, sf_dir), "source")
+
+
+@query("episode_description", EPISODES_SQL + """, l AS (UNPIVOT (SELECT edit_similarity, sentence_position, selected_sentence_index::DOUBLE AS selected_sentence_index FROM episodes) ON edit_similarity, sentence_position, selected_sentence_index INTO NAME field VALUE x)
+SELECT field, count(x) AS n, round(avg(x), 9) AS mean, round(stddev_samp(x), 9) AS sd, min(x) AS least, max(x) AS most FROM l GROUP BY field""")
+def _(spark, sf_dir):
+    return U.described(episodes(spark, sf_dir), ["edit_similarity", "sentence_position", "selected_sentence_index"]).withColumns({c: F.round(c, 9) for c in ("mean", "sd")})
+
+
+_CASED = "CASE WHEN doc_id % 7 = 0 THEN lower(text) WHEN doc_id % 7 = 1 THEN text || '  ' WHEN doc_id % 7 = 2 THEN text || ' x' WHEN doc_id % 7 = 3 THEN NULL ELSE text END"
+
+
+def recased(spark, sf_dir):
+    """Texts with a later form that differs in case, space or words, or is gone."""
+    r = F.col("doc_id") % 7
+    later = F.when(r == 0, F.lower("text")).when(r == 1, F.concat("text", F.lit("  "))).when(r == 2, F.concat("text", F.lit(" x"))).when(r == 3, F.lit(None)).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("episode_id"), F.col("text").alias("selected"), later.alias("v2_sentence"))
+
+
+_INTEGRITY = f"""
+WITH p AS (SELECT doc_id::VARCHAR AS episode_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS a, trim(regexp_replace({_CASED}, '\\s+', ' ', 'g')) AS b FROM documents)
+, r AS (SELECT *, b IS NULL AS gone, b IS NULL OR a <> b AS revised, coalesce(translate(lower(a), '“”‘’', chr(34) || chr(34) || chr(39) || chr(39)) = translate(lower(b), '“”‘’', chr(34) || chr(34) || chr(39) || chr(39)), false) AS aligned FROM p)
+"""
+
+
+@query("integrity_rates", _INTEGRITY + """, c AS (SELECT count(*) AS episodes, count(*) FILTER (revised) AS revised, count(*) FILTER (gone) AS gone, count(*) FILTER (revised AND aligned) AS mismatches, count(*) FILTER (NOT revised AND NOT aligned) AS stable_unaligned FROM r)
+SELECT *, revised / episodes::DOUBLE AS revised_rate, mismatches / episodes::DOUBLE AS mismatch_rate, mismatches / revised::DOUBLE AS mismatch_rate_of_revised, gone / episodes::DOUBLE AS gone_rate, (revised - mismatches) / episodes::DOUBLE AS revised_rate_without_mismatches FROM c""")
+def _(spark, sf_dir):
+    return U.integrity_rates(recased(spark, sf_dir))
+
+
+@query("mismatch_sample", _INTEGRITY + "SELECT episode_id, CASE WHEN lower(a) = lower(b) THEN 'case_only' ELSE 'other' END AS category FROM r WHERE revised AND aligned ORDER BY episode_id LIMIT 50")
 def _(spark, sf_dir):
-    w = Window.partitionBy("lineage_id")
-    return episodes(spark, sf_dir).select("episode_id", (F.col("future_revised") & (F.count_if("future_revised").over(w) >= 2)).alias("repeated"))
+    return U.mismatch_sample(recased(spark, sf_dir)).select("episode_id", "category")
 
 
 @query("label_integrity_counts", EPISODES_SQL + "SELECT CASE WHEN future_revised THEN 'revised' ELSE 'stable' END AS category, count(*) AS n FROM episodes GROUP BY 1")

@@ -1,5 +1,6 @@
 """Splits, corpora, scores and resampling on small rows."""
 
+import hashlib
 import math
 import random
 
@@ -10,6 +11,7 @@ from palimpsest.operators import corpora as C
 from palimpsest.operators import metrics as M
 from palimpsest.operators import models as L
 from palimpsest.operators import resample as R
+from palimpsest.operators import selection as S
 from palimpsest.operators import sessions as Z
 from palimpsest.operators import splits as P
 from palimpsest.plans import registry
@@ -41,12 +43,80 @@ def test_two_folds_are_refused(spark, episodes):
 def test_donors_are_of_other_lineages(spark, episodes):
     cells = C.in_cells(episodes, P.membership(P.hash_folds(P.lineage_stats(episodes), 5), 5))
     rows = C.donors(cells, 118, "shuffle").collect()
-    assert len(rows) == 5 * 240 and all(r.lineage_id != r.donor_lineage for r in rows if not r.impossible)
+    assert len(rows) == 5 * 240 and all(r.lineage_id != r.donor_lineage for r in rows)
     for key in {(r.fold, r.partition) for r in rows}:
         part = [r for r in rows if (r.fold, r.partition) == key]
         assert sorted(r.episode_id for r in part) == sorted(r.donor_id for r in part)
 
 
+def test_impossible_donors_are_an_error(spark):
+    rows = [(0, "train", f"e{i}", "big" if i < 8 else f"l{i}") for i in range(10)]
+    with pytest.raises(Exception, match="no donors of other lineages"):
+        C.donors(spark.createDataFrame(rows, "fold int, partition string, episode_id string, lineage_id string"), 118, "shuffle").collect()
+
+
+def test_greedy_folds_by_a_plain_loop(spark, episodes):
+    stats = P.lineage_stats(episodes)
+    rows = {r.lineage_id: r.asDict() for r in stats.collect()}
+    digest = lambda *x: hashlib.sha256("\x1f".join(map(str, x)).encode()).hexdigest()
+    fields = ["lineages", *P.COUNTERS]
+    for r in rows.values():
+        r["lineages"] = 1
+    total = {f: sum(r[f] for r in rows.values()) for f in fields}
+    target = {f: max(total[f] / 5, 1.0) for f in fields}
+    rate = total["future_revised"] / total["episodes"]
+    held, want = [dict.fromkeys(fields, 0) for _ in range(5)], {}
+    for i in sorted(rows, key=lambda i: (-rows[i]["episodes"], -abs(rows[i]["future_revised"] - rate * rows[i]["episodes"]), digest(17, i))):
+
+        def cost(k, i=i):
+            after = sum(P.WEIGHTS[f] * ((held[k][f] + rows[i][f] - target[f]) / target[f]) ** 2 for f in fields)
+            return round(after - sum(P.WEIGHTS[f] * ((held[k][f] - target[f]) / target[f]) ** 2 for f in fields), 12), digest(17, i, k)
+
+        k = min(range(5), key=cost)
+        want[i] = k
+        for f in fields:
+            held[k][f] += rows[i][f]
+    assert {r.lineage_id: r.bucket for r in P.greedy_folds(stats, 5).collect()} == want
+
+
+def test_length_matched_rules(spark):
+    pool = spark.createDataFrame([(0, "a", f"p{i}", 10 * i) for i in range(5)] + [(0, "b", "q", 1)], "fold int, partition string, temporal_pair_id string, tokens int")
+    wanted = lambda *rows: spark.createDataFrame(list(rows), "fold int, partition string, n int, nearest int")
+    assert [r.temporal_pair_id for r in C.length_matched(pool, wanted((0, "a", 1, 25))).collect()] == ["p2"]
+    assert sorted(r.temporal_pair_id for r in C.length_matched(pool, wanted((0, "a", 3, 0), (0, "b", 1, 9))).collect()) == ["p0", "p2", "p4", "q"]
+    with pytest.raises(Exception, match="fewer rows than are wanted"):
+        C.length_matched(pool, wanted((0, "b", 2, 0))).collect()
+
+
+@pytest.mark.parametrize("limit", [1, 10, 40, 1000])
+def test_whole_sessions_by_a_plain_loop(spark, limit):
+    sizes = [50, 3, 4, 2, 40, 9, 1, 1, 6]
+    rows = [(f"s{i}",) for i, n in enumerate(sizes) for _ in range(n)]
+    order = sorted(range(len(sizes)), key=lambda i: hashlib.sha256(f"1729\x1fs{i}".encode()).hexdigest())
+    kept, used = [], 0
+    for i in order:
+        if kept and used + sizes[i] > limit:
+            continue
+        kept.append(f"s{i}")
+        used += sizes[i]
+        if used >= limit:
+            break
+    got = S.whole_sessions(spark.createDataFrame(rows, "session_id string"), "session_id", limit)
+    assert sorted({r.session_id for r in got.collect()}) == sorted(kept) and got.count() == used
+
+
+def test_gates_see_what_is_wrong(spark, episodes):
+    members = P.membership(P.hash_folds(P.lineage_stats(episodes), 5), 5)
+    pairs = spark.createDataFrame([(f"t{i}", f"out-{i}", "b", f"one {i}", f"two {i}", "a") for i in range(400)], "temporal_pair_id string, lineage_id string, context_before string, earlier_text string, later_text string, context_after string")
+    records = C.build(episodes, members, pairs, P.hash_folds(pairs.select("lineage_id"), 5), 5).cache()
+    assert all(C.gates(records, episodes, pairs, members).first())
+    own = F.when(F.col("corpus") == "shuffled_preference", F.col("source_id")).otherwise(F.col("partner_id"))
+    bad = C.gates(records.withColumn("partner_id", own), episodes, pairs, members).first().asDict()
+    assert [k for k, v in bad.items() if not v] == ["shuffled_preference_donors_cross_lineages"]
+    bad = C.gates(records.where("corpus <> 'random_label' or target = 0").withColumn("future_revised", F.lit(1)), episodes, pairs, members).first().asDict()
+    assert [k for k, v in bad.items() if not v] == ["all_six_corpora_have_equal_record_counts", "no_source_task_record_contains_future_fields", "random_labels_are_balanced"]
+
+
 def test_labels_are_balanced(spark, episodes):
     cells = C.in_cells(episodes, P.membership(P.hash_folds(P.lineage_stats(episodes), 5), 5))
     for r in C.balanced_labels(cells, "episode_id", 17).groupBy("fold", "partition").agg(F.sum("label").alias("s"), F.count("*").alias("n")).collect():

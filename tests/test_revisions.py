@@ -1,6 +1,7 @@
 """Text functions, alignment and audits on small rows."""
 
 import difflib
+import random
 
 import pytest
 from pyspark.sql import Row
@@ -10,6 +11,7 @@ from palimpsest.functions import text as X
 from palimpsest.operators import alignment as A
 from palimpsest.operators import audit as U
 from palimpsest.operators import selection as S
+from palimpsest.sources import staging
 
 
 def one(spark, column, **values):
@@ -87,6 +89,105 @@ def test_episodes(spark):
         assert (r.candidate_a if r.selected_index == 0 else r.candidate_b) == "The deal will close on Monday now."
 
 
+def plain_blocks(one, two, three):
+    """Outcome, index and future of each replaced block, by a plain loop."""
+    normal = lambda s: " ".join(s.split()).lower()
+    future = {}
+    for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(a=[*map(normal, two)], b=[*map(normal, three)], autojunk=False).get_opcodes():
+        for i in range(i1, i2):
+            keeps = tag == "equal" or (tag == "replace" and i2 - i1 == j2 - j1)
+            future[i] = three[j1 + i - i1] if keeps else None
+    for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(a=[*map(normal, one)], b=[*map(normal, two)], autojunk=False).get_opcodes():
+        if tag == "replace":
+            if (i2 - i1, j2 - j1) != (1, 1):
+                yield "ambiguous_replacement", j1, None
+                continue
+            valid = [20 <= len(s) <= 500 and len(s.split()) >= 3 for s in (one[i1], two[j1])]
+            ratio = difflib.SequenceMatcher(a=normal(one[i1]), b=normal(two[j1]), autojunk=False).ratio()
+            reason = "invalid_rejected_sentence" if not valid[0] else "invalid_selected_sentence" if not valid[1] else "similarity_below_min" if ratio < 0.15 else "similarity_above_max" if ratio > 0.98 else "accepted"
+            yield reason, j1, future[j1]
+
+
+def test_alignment_of_any_edits_by_a_plain_loop(spark):
+    """Versions with insertions, deletions, moved, repeated and changed sentences."""
+    rng = random.Random(9)
+    fresh = lambda: " ".join(rng.choice("abcdefgh") * rng.randint(2, 6) for _ in range(rng.randint(1, 9)))
+
+    def edited(old):
+        new = list(old)
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(new) + 1)
+            kind = rng.choice(["insert", "delete", "move", "repeat", "change", "change", "change"])
+            if kind == "insert" or not new:
+                new.insert(at, fresh())
+            elif kind == "delete":
+                new.pop(at % len(new))
+            elif kind == "move":
+                new.insert(at % len(new), new.pop(rng.randrange(len(new))))
+            elif kind == "repeat":
+                new.insert(at, rng.choice(new))
+            else:
+                k = at % len(new)
+                new[k] = new[k] + " " + fresh()
+        return new or [fresh()]
+
+    rows, want = [], []
+    for k in range(120):
+        texts = [[fresh() for _ in range(rng.randint(1, 8))]]
+        texts += [edited(texts[0])]
+        texts += [edited(texts[1])]
+        rows += [Row(lineage_id=f"l{k}", source="s", article_id=str(k), version_id=str(i + 9), sentences=t) for i, t in enumerate(texts)]
+        want += [(f"l{k}", *x) for x in plain_blocks(*texts)]
+    got = A.replacements(spark.createDataFrame(rows), A.version_order(None, "version_id"))
+    got = [(r.lineage_id, r.reason or "accepted", r.selected_sentence_index, r.v2_sentence if r.one else None) for r in got.collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len({w[1] for w in want}) >= 4
+
+
+def test_first_episode_wins_and_limit(spark):
+    replaced = A.replacements(versions(spark), A.version_order(None, "version_id"))
+    again = replaced.withColumn("nth", F.col("nth") + 1).withColumn("v2_sentence", F.lit("other"))
+    assert A.episodes(again.unionByName(replaced)).collect() == A.episodes(replaced).collect()
+    assert [r.article_id for r in A.episodes(replaced, most=1).collect()] == ["revised"]
+
+
+def test_extraction_audit(spark):
+    v = versions(spark).unionByName(spark.createDataFrame([Row(lineage_id="s::empty", source="s", article_id="empty", version_id=str(i), sentences=["A line of some words."] if i else []) for i in range(3)], versions(spark).schema))
+    order = A.version_order(None, "version_id")
+    replaced = A.replacements(v, order)
+    r = U.extraction_audit(v, order, replaced, A.episodes(replaced)).first()
+    assert (r.articles_seen, r.too_few_versions, r.empty_version, r.version_windows_seen) == (5, 1, 1, 4)
+    assert (r.replacement_opcodes_seen, r.accepted_examples, r.ambiguous_replacement, r.future_revised_examples) == (3, 2, 1, 1)
+
+
+def test_temporal_pairs_ignore_punctuation(spark):
+    rows = [Row(lineage_id="x", source="s", article_id="x", version_id=str(i), sentences=t) for i, t in enumerate([["The first line, as it was.", "A second line of the text here."], ["The first line -- as it was!", "A second line of the story here."]])]
+    got = A.temporal_pairs(spark.createDataFrame(rows), A.version_order(None, "version_id"), spark.createDataFrame([], "lineage_id string")).collect()
+    assert [r.temporal_pair_id for r in got] == ["x::0->1::1::temporal"]
+    with pytest.raises(ValueError, match="fewer than 2"):
+        A.temporal_pairs(spark.createDataFrame(rows), A.version_order(None, "version_id"), spark.createDataFrame([], "lineage_id string"), target=2)
+
+
+def test_version_order_of_long_digits(spark):
+    ids = ["9", "v2", "10", "1" + "0" * 50, "010", "2" + "0" * 49, "v10"]
+    df = spark.createDataFrame([(i,) for i in ids], "v string")
+    got = [r.v for r in df.orderBy(*A.version_order(None, "v"), "v").collect()]
+    assert got == ["9", "010", "10", "2" + "0" * 49, "1" + "0" * 50, "v2", "v10"]
+
+
+def test_no_machine_local_intermediates(spark, monkeypatch):
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+        getConf = staticmethod(lambda: {})
+        getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        staging.shared_dir(type("Session", (), {"sparkContext": Context})())
+    df = staging.written(spark.range(3), "kept")
+    assert df.count() == 3 and df._palimpsest_path in staging._kept
+    staging.drop(df)
+    assert df._palimpsest_path not in staging._kept
+
+
 def test_future_map_marks_removed(spark):
     df = spark.createDataFrame([(["a b", "c d", "e f"], ["a b", "e f"])], "m array<string>, f array<string>")
     assert df.select(A.future_map("m", "f").alias("x")).first().x == {0: "a b", 1: None, 2: "e f"}
