@@ -16,7 +16,6 @@ import base64
 import hashlib
 import os
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import prepare, shared_dir, table, written
+from palimpsest.llm.common import new_path, prepare, table, written
 
 BLOCK = 1 << 16
 #: Bytes after which a task begins another archive.
@@ -174,8 +173,7 @@ def decide(pages: DataFrame, least: int = 0) -> DataFrame:
 def write(pages: DataFrame, least: int = 0) -> DataFrame:
     """Write archives of pages(page_id, url, html); a row for each: path, records, bytes."""
     spark = prepare(pages.sparkSession)
-    run = uuid.uuid4().hex
-    folder = f"{shared_dir(spark)}/warc-{run}"
+    folder = new_path(spark, "warc")
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(folder)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(where)
