@@ -11,7 +11,9 @@ the weight of the last rank. Decoding joins the pieces' bytes and takes off the
 texts that hold the space mark U+2581 itself, which always goes by its bytes.
 
 Cases: a null text has null ids; an empty one is the single piece of a space; rows of one key with equal texts get
-equal ids.
+equal ids, a null key counts as the text None; pieces with a space mark inside are left out of the lattice; a very long
+word takes time in proportion to its length; columns other than the key and text are not looked at; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -81,7 +83,7 @@ class Lattices:
         self.piece_at, self.weight_of = np.full(len(node), -1, np.int32), np.zeros(size)
         for p, i in self.id.items():
             self.piece_at[node[p]], self.weight_of[i] = i, self.weight[p]
-        self.size = size
+        self.size, self.longest = size, max(map(len, self.id))
         self.forget()
 
     def forget(self) -> None:
@@ -95,6 +97,7 @@ class Lattices:
         """Append the word's nodes and edges; gives its number of nodes (ends 0 to len)."""
         get, prefixes = self.weight.get, self.prefixes
         n = len(word)
+        wide = self.longest
         into: list[list] = [[] for _ in range(n + 1)]
         alpha = [1.0] + [0.0] * n
         for i in range(n):
@@ -103,12 +106,11 @@ class Lattices:
                 for _, w, _ in into[i]:
                     s += w
                 alpha[i] = s
-                if s < 1e-200:  # keep sums of very long words in range; the ratios of a node are what counts
+                if s < 1e-200:  # keep sums of very long words in range; a node's ratios are what counts, and no edge is longer than wide
                     scale = 1e200
-                    for j in range(i, n + 1):
+                    for j in range(i + 1, min(n, i + wide) + 1):
                         into[j] = [(a, w * scale, p) for a, w, p in into[j]]
-                    for j in range(i + 1):
-                        alpha[j] *= scale
+                    alpha[i] *= scale
             a = alpha[i]
             if i and word[i] == MARK:
                 alone = True
