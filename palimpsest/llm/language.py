@@ -6,8 +6,13 @@ node that drops the oldest byte, whose distribution is renormalised over the sym
 256 equally likely bytes. Statistics are frozen, so every (context, byte) has a fixed exact code length; all trees are
 compiled into one transition table and one table of code lengths, and a text costs one table walk per byte.
 
+The table holds each code length as a double; a model grows with the number of languages, not with the corpus.
+
 Cases: text null or without a letter gives `und` with score 0; no labelled document gives `und` everywhere; the score
-is the posterior of the chosen language under equal priors; ties go to the alphabetically first language.
+is the posterior of the chosen language under equal priors; ties go to the alphabetically first language; a
+language none of whose labelled texts has up to BYTES bytes is not learned; rows that repeat a doc_id are rows like any
+other, a null doc_id is never learned from; very long texts are coded whole; columns of other names stay out of the way;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,14 +24,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from palimpsest.llm.common import Shared, held_out, learnable, prepare, table
 
 ORDER = 4
 #: Contexts seen less often than this in a language's sample are not kept.
-LEAST = 8
-#: The bound of the training sample: documents and bytes for each language, and languages.
-DOCS, BYTES, LANGUAGES = 600, 1_000_000, 256
+LEAST = 3
+#: The bound of the training sample: documents and bytes for each language.
+DOCS, BYTES = 600, 1_000_000
 
 
 @dataclass
@@ -120,7 +126,7 @@ def train(samples: dict[str, list[bytes]], order: int = ORDER) -> Trees:
         up = np.searchsorted(nodes[k - 1], nodes[k] // width)
         parent.append(up)
         step[base[k - 1] + up, nodes[k] % width] = base[k] + np.arange(len(nodes[k]))
-    cost = np.full((total * width, len(names)), 8.0, np.float16)
+    cost = np.full((total * width, len(names)), 8.0)
     for at, found in enumerate(counted):
         p = np.full((1, alphabet), 1 / 256)
         for k in range(order + 1):
@@ -135,29 +141,34 @@ def train(samples: dict[str, list[bytes]], order: int = ORDER) -> Trees:
                 bottom = n + np.where(left > 0, distinct, 0)
                 p = p.copy()
                 p[rows] = np.where(c > 0, c / bottom[:, None], rest * (distinct / bottom / np.where(left > 0, left, 1))[:, None])
-            block = np.zeros((len(nodes[k]), width), np.float16)
+            block = np.zeros((len(nodes[k]), width))
             block[:, :alphabet] = -np.log2(np.maximum(p, 1e-300))
             cost[base[k] * width : base[k + 1] * width, at] = block.ravel()
     return Trees(names, symbol, width, step.ravel(), cost, order)
 
 
 def sample(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id") -> dict[str, list[bytes]]:
-    """Whole texts for each language, in order of a hash of the key: at most DOCS texts and BYTES bytes of each."""
-    rows = docs.where(learnable(key) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()}
+    """Whole texts for each language, in order of a hash of the key: the first DOCS texts that have BYTES bytes together.
+    Bounds are applied before texts are collected."""
+    size = F.octet_length(F.col(text))
+    rows = docs.where(learnable(key) & F.col(lang).isNotNull() & (size <= BYTES))
+    sizes = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
     if not sizes:
         return {}
     share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, 1.5 * DOCS / n + 20 / n))])
-    at = F.abs(F.xxhash64(F.col(key).cast("string")) % 1_000_000) / 1_000_000
-    picked = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), at.alias("at"), F.col(key).cast("string").alias("key"))
+    at = (F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string")), 11) / float(1 << 53)).alias("at")
+    picked = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), at, F.col(key).cast("string").alias("key"), size.alias("size"))
     picked = picked.where(F.col("at") < F.coalesce(share[F.col("lang")], F.lit(0.0)))
-    out: dict[str, list[bytes]] = {name: [] for name in sizes}
-    used = dict.fromkeys(sizes, 0)
-    for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["at"], r["key"], r["text"])):
-        raw = r["text"].encode()
-        if len(out[r["lang"]]) < DOCS and used[r["lang"]] + len(raw) <= BYTES:
-            out[r["lang"]].append(raw)
-            used[r["lang"]] += len(raw)
+    # repeated keys may pass together, so their number is bounded in Spark; a window holds sizes and digests, no texts
+    slim = picked.select("lang", "at", "key", "size", F.md5("text").alias("digest"))
+    w = Window.partitionBy("lang").orderBy("at", "key", "digest")
+    slim = slim.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= DOCS).withColumn("used", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    kept = {(r["lang"], r["key"], r["digest"]): r["nth"] for r in slim.where(F.col("used") <= BYTES).collect()}
+    chosen = docs.sparkSession.createDataFrame([(*k, n) for k, n in kept.items()], "lang string, key string, digest string, nth int")
+    full = picked.withColumn("digest", F.md5("text")).join(F.broadcast(chosen), ["lang", "key", "digest"]).groupBy("lang", "nth").agg(F.min("text").alias("text"))
+    out: dict[str, list[bytes]] = {}
+    for r in sorted(full.collect(), key=lambda r: (r["lang"], r["nth"])):
+        out.setdefault(r["lang"], []).append(r["text"].encode())
     return out
 
 
