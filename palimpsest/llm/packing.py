@@ -2,7 +2,7 @@
 
 A document's vector is the sum over its words of hashed random directions; projected to DIMS dimensions and mapped to
 its rank in the normal distribution, it gets a Hilbert key of DIMS * BITS bits. Documents are put in order of
-(key, doc_id), cut into ranges at quantiles of that order, and laid end to end: sequence k holds the tokens
+key, cut into ranges at quantiles of that order, and laid end to end: sequence k holds the tokens
 k * LENGTH up to (k + 1) * LENGTH, so neighbours on the curve share sequences and only the last one is not full. The
 last run is cut at powers of two, which need no padding.
 
@@ -11,7 +11,8 @@ under this tokenizer, so a worker keeps the ids of chunks; a chunk outside of pl
 tokenizer itself. Ids travel through one shuffle, with two bytes each where the vocabulary allows.
 
 Cases: a null text is an empty one (only the end id); rows of one doc_id are separate documents, told apart by
-their order on the curve (key, then the ids themselves); an empty table gives no piece; null doc_id comes first.
+their order on the curve; an empty table gives no piece; a null doc_id is a document like any other; very long texts are
+cut at sequences; columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -21,18 +22,19 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import prepare, table, written
+from palimpsest.llm.common import Shared, prepare, table, written
 
 LENGTH, END = 4096, 2
 DIMS, BITS = 4, 12
-#: Chunks whose ids a worker keeps, and about how many ids go to one range.
-KEPT, RANGE_TOKENS = 600_000, 4_000_000
+#: Chunks whose ids a worker keeps, about how many ids go to one range, and the most ranges. A range is sorted and read as a
+#: stream, so ranges may grow without bound on memory when there are many; the number of ranges bounds what is broadcast.
+KEPT, RANGE_TOKENS, RANGES = 600_000, 4_000_000, 1 << 16
 
 _split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
@@ -188,13 +190,15 @@ def curve_keys(ids: np.ndarray, starts: np.ndarray, signs: np.ndarray) -> np.nda
 
 
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, key, n, ids (little-endian bytes of two or four each) of docs(doc_id, text)."""
+    """doc_id, key, n, ids (little-endian bytes of two or four each) and place of docs(doc_id, text). place is the key's
+    upper 36 bits and 16 bits of a hash of the row, so that equal documents can be cut apart; a double holds it."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = ChunkIds(path)
         signs = directions(np.arange(known.tokenizer.get_vocab_size()))
         unit = np.dtype("<u4" if known.wide else "<u2")
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = batch.column(1).to_pylist()
             if not texts:
@@ -202,9 +206,12 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
             ids, starts, _, _ = known.encode(texts)
             raw = pa.py_buffer(ids.astype(unit).tobytes())
             packed = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer((starts * unit.itemsize).astype(np.int64).tobytes()), raw]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(curve_keys(ids, starts, signs)), pa.array(np.diff(starts)), packed, pa.array(np.full(len(texts), unit.itemsize, np.int32))], ["doc_id", "key", "n", "ids", "unit"])
+            key = curve_keys(ids, starts, signs)
+            tie = (np.arange(row, row + len(texts), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.int64)
+            row += len(texts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key), pa.array(np.diff(starts)), packed, pa.array(np.full(len(texts), unit.itemsize, np.int32)), pa.array((key >> (DIMS * BITS - 36)) << 16 | tie)], ["doc_id", "key", "n", "ids", "unit", "place"])
 
-    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, key long, n long, ids binary, unit int")
+    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, key long, n long, ids binary, unit int, place long")
 
 
 def pieces_of(starts: np.ndarray, sizes: np.ndarray, total: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -255,27 +262,26 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Data
     spark = prepare(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = written(tokenized(docs, path or tokenizer_path()), "ids")
-    # the place in the curve's order: key first, then a hash of doc_id, so that equal documents can be cut apart
-    place = (F.shiftleft(F.shiftrightunsigned("key", DIMS * BITS - 47 if DIMS * BITS > 47 else 0), 16) + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 16))).alias("place")
     total, count = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    ranges = int(max(1, min(-(-total // RANGE_TOKENS), max(1, count // 8))))
-    bounds = rows.select(place).approxQuantile("place", [i / ranges for i in range(1, ranges)], 0.2 / ranges) if ranges > 1 else []
-    bounds = sorted(set(int(b) for b in bounds))
-    part = F.lit(0)
-    if bounds:
-        edges = F.array(*[F.lit(b) for b in bounds])
-        # how many edges are at or below the place: binary search over a literal array
-        part = F.expr("0")
-        part = (F.lit(len(bounds)) - F.size(F.filter(edges, lambda e: e > F.col("place")))).cast("int")
-    rows = rows.withColumn("place", place).withColumn("part", part)
-    sums = {r[0]: r[1] for r in rows.groupBy("part").agg(F.sum("n")).collect()}
-    start, at = {}, 0
-    for k in sorted(sums):
-        start[k], at = at, at + sums[k]
-    total = at
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
-        now, at = None, 0
+    ranges = int(max(1, min(-(-total // RANGE_TOKENS), max(1, count // 8), RANGES)))
+    bounds = rows.approxQuantile("place", [i / ranges for i in range(1, ranges)], max(0.2 / ranges, 1e-5)) if ranges > 1 else []
+    bounds = np.array(sorted({int(b) for b in bounds}), np.int64)
+    edges = Shared(spark, bounds)
+
+    @F.arrow_udf("int")
+    def part_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for place in batches:
+            yield pa.array(np.searchsorted(edges.value, place.to_numpy(), "right").astype(np.int32))
+
+    rows = rows.withColumn("part", part_of("place"))
+    sums = np.zeros(len(bounds) + 1, np.int64)
+    for r in rows.groupBy("part").agg(F.sum("n")).collect():
+        sums[r[0]] = r[1]
+    total = int(sums.sum())
+    first = Shared(spark, np.cumsum(sums) - sums)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, at, start = None, 0, first.value
         for batch in batches:
             parts = batch.column(1).to_numpy()
             n = batch.column(2).to_numpy()
@@ -303,8 +309,8 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Data
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
             )
 
-    spread = max(len(sums), 1)
-    ordered = rows.repartition(spread, "part").sortWithinPartitions("part", "place", "key", "doc_id", "ids")
+    # a task for each range, not a hash of it: no two ranges meet
+    ordered = rows.repartitionById(len(sums), "part").sortWithinPartitions("part", "key", "place", "doc_id", "ids")
     return ordered.select("doc_id", "part", "n", "ids", "unit").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
