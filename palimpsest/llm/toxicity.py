@@ -7,10 +7,11 @@ highest window, over all windows of the whole text. Training is multiple-instanc
 label, then only the highest windows of a toxic text count as toxic, while all windows of a clean text stay clean.
 
 Labels are read only where crc32(doc_id as text) mod 5 is not 0. The training sample is bounded by SAMPLE (texts of
-each label, in order of a hash of doc_id) and WORDS (words of each label).
+each label, in order of a hash of doc_id) and WORDS (words of each label, long ones counted in parts).
 
 Cases: a text that is null or has no word has score 0; without labels of both kinds every score is 0; rows of one
-doc_id are scored one by one; words longer than LONGEST characters are cut into pieces of that length.
+doc_id are scored one by one, and a null doc_id is scored but never learned from; columns of other names stay out of the
+way; an empty table gives no rows; words longer than LONGEST characters are cut into pieces of that length.
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from palimpsest.llm.common import Shared, held_out, learnable, prepare, table
+from palimpsest.llm.common import Shared, drop, held_out, learnable, prepare, table, written
 
-WINDOW, STRIDE = 64, 56
+#: Words of a window, the step between windows, and the step between windows of the training sample.
+WINDOW, STRIDE, SAMPLE_STRIDE = 64, 32, 56
 LONGEST = 24
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_BUCKETS = 8, 8, 12, 1 << 13
 #: The bound of the training sample: texts, and words, of either label.
@@ -239,7 +242,7 @@ def train(texts: list[list[str]], labels: list[int], seed: int = 0) -> Network:
     net = Network({w: i + 1 for i, w in enumerate(common)}, known, seed)
     own, parts = net.features(every)
     ids = [np.fromiter((number[w] for w in t), np.int64, len(t)) for t in texts]
-    windows = [(d, s) for d, t in enumerate(ids) for s in range(0, max(1, len(t) - (WINDOW - STRIDE)), STRIDE)]
+    windows = [(d, s) for d, t in enumerate(ids) for s in range(0, max(1, len(t) - (WINDOW - SAMPLE_STRIDE)), SAMPLE_STRIDE)]
     of = np.array([d for d, _ in windows])
     label = np.array(labels, np.float32)[of]
     grid = np.zeros((len(windows), WINDOW), np.int64)
@@ -279,9 +282,8 @@ def train(texts: list[list[str]], labels: list[int], seed: int = 0) -> Network:
                 m += 0.1 * (x - m)
                 s += 0.01 * (x * x - s)
                 net.p[name] -= (RATE * (1 - epoch / epochs) * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-    top = np.full(len(texts), -np.inf)
-    np.maximum.at(top, of, logits())
-    net.shift = -threshold(top, np.array(labels))
+    p = net.scores(ids, net.vectors(own, parts)).clip(1e-12, 1 - 1e-12)
+    net.shift = -threshold(np.log(p / (1 - p)), np.array(labels))
     return net
 
 
@@ -297,21 +299,28 @@ def threshold(top: np.ndarray, labels: np.ndarray) -> float:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[list[str]], list[int]]:
-    """Whole texts with labels, in order of a hash of doc_id, within the bounds SAMPLE and WORDS."""
+    """Whole texts with labels, in order of a hash of doc_id: the first within the bounds SAMPLE and WORDS. A doc_id with
+    several labels is toxic if any says so; of several texts it gives the smallest. Bounds are applied before texts are
+    collected; a word takes two characters at least."""
     at = F.xxhash64(F.col("doc_id").cast("string"))
-    known = labels.where(learnable() & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"), at.alias("at")).dropDuplicates(["doc_id"])
+    known = labels.where(learnable() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).withColumn("at", at)
     picked = None
     for y, most in SAMPLE.items():
         part = known.where(F.col("toxic") == y).orderBy("at", "doc_id").limit(most)
         picked = part if picked is None else picked.unionByName(part)
     found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where(F.col("text").isNotNull())
-    texts: list[list[str]] = []
-    ys: list[int] = []
-    used = {0: 0, 1: 0}
-    for r in sorted(found.collect(), key=lambda r: (r["at"], r["doc_id"], r["text"])):
+    found = written(found.groupBy("doc_id", "toxic", "at").agg(F.min("text").alias("text")), "sample")
+    words = F.regexp_count("text", F.lit(r"\S+")) + F.floor(F.length("text") / LONGEST)
+    w = Window.partitionBy("toxic").orderBy("at", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = found.select("doc_id", "toxic", "at", words.alias("words"))
+    most = F.when(F.col("toxic") == 1, WORDS[1]).otherwise(WORDS[0])
+    chosen = sizes.where(F.col("words") <= most).withColumn("used", F.sum("words").over(w)).where(F.col("used") <= most).select("doc_id")
+    rows = found.join(F.broadcast(chosen), "doc_id").collect()
+    drop(found)
+    texts, ys = [], []
+    for r in sorted(rows, key=lambda r: (r["at"], r["doc_id"])):
         words = [bare(w) for w in words_of(r["text"])]
-        if words and used[r["toxic"]] + len(words) <= WORDS[r["toxic"]]:
-            used[r["toxic"]] += len(words)
+        if words:
             texts.append(words)
             ys.append(r["toxic"])
     return texts, ys
