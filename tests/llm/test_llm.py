@@ -5,6 +5,7 @@ import io
 import itertools
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -69,6 +70,34 @@ def test_pieces_follow_the_lattice():
     assert all(abs(got[k] / n - p / total) < 0.012 for k, p in every.items())
 
 
+def test_whole_rows_follow_the_lattice():
+    """Draws of a row of several words, each in proportion to its weight."""
+    model = pieces.Lattices(pieces.model_path(), 0.5)
+
+    def segmentations(w):
+        if not w:
+            yield (), 1.0
+        for k in range(1, len(w) + 1):
+            if w[:k] in model.id:
+                for rest, p in segmentations(w[k:]):
+                    yield (model.id[w[:k]], *rest), p * model.weight[w[:k]]
+
+    one, two = (dict(segmentations(w)) for w in ("▁on", "▁it"))
+    every = {a + b: p * q for a, p in one.items() for b, q in two.items()}
+    total, n = sum(every.values()), 30_000
+    ids, starts = model.sample(["on it"] * n, pieces.seeds_of(list(range(n)), 5))
+    got = collections.Counter(tuple(ids[a:b].tolist()) for a, b in itertools.pairwise(starts))
+    assert set(got) <= set(every) and all(abs(got[k] / n - p / total) < 0.012 for k, p in every.items())
+
+
+def test_very_long_words_take_time_in_proportion():
+    model = pieces.Lattices(pieces.model_path(), 1.0)
+    text = "語" * 300_000 + "thing" * 20_000
+    began = time.time()
+    ids, starts = model.sample([text], pieces.seeds_of([1], 1))
+    assert model.decode(ids.tolist()).decode() == text and time.time() - began < 60
+
+
 def test_long_words_match_short_ones():
     model = pieces.Lattices(pieces.model_path(), 1.0)
     text = "thinginthe" * 3
@@ -99,6 +128,47 @@ def test_code_lengths_are_those_of_the_trees():
     assert total[0] < total[1]
 
 
+def test_code_lengths_by_recursion():
+    """Partial matching with escapes as it is defined, a symbol at a time."""
+    texts = {"x": [b"abracadabra" * 5, b"abacus"], "y": [b"banana bandana" * 4]}
+    trees = language.train(texts, 3)
+    known = sorted({b for ts in texts.values() for t in ts for b in t})
+
+    def counts_of(name):
+        found = collections.defaultdict(collections.Counter)
+        for t in texts[name]:
+            for i, b in enumerate(t):
+                for k in range(min(i, 3) + 1):
+                    found[t[i - k : i]][b] += 1
+        return {c: n for c, n in found.items() if not c or sum(n.values()) >= language.LEAST}
+
+    def probabilities(counts, context):
+        """Of all 256 bytes."""
+        below = np.full(256, 1 / 256) if not context else probabilities(counts, context[1:])
+        seen = counts.get(context)
+        if not seen:
+            return below
+        left = sum(below[b] for b in range(256) if b not in seen)
+        bottom = sum(seen.values()) + (len(seen) if left > 0 else 0)
+        return np.array([seen[b] / bottom if b in seen else below[b] / left * len(seen) / bottom for b in range(256)])
+
+    for text in (b"abra bandanazq", b"", b"cab\xff" * 3, b"banana"):
+        got = trees.bits(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
+        for at, name in enumerate(trees.names):
+            counts = counts_of(name)
+            want = -sum(np.log2(probabilities(counts, text[max(0, i - 3) : i])[b]) for i, b in enumerate(text))
+            assert got[at] == pytest.approx(want, abs=1e-9)
+    assert len(known) > 5
+
+
+def test_sample_is_bounded_before_it_is_collected(spark, monkeypatch):
+    monkeypatch.setattr(language, "DOCS", 5)
+    monkeypatch.setattr(language, "BYTES", 100)
+    rows = [(i, "ab" * 12, "x") for i in range(1, 60)] + [(100 + i, "z" * 101, "long") for i in range(9)] + [(7, "ab" * 12, "x")] * 3
+    got = language.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(got) == {"x"} and 0 < len(got["x"]) <= 4
+
+
 def test_languages(spark, docs, empty):
     out = language.identify(docs).collect()
     assert len(out) == docs.count()
@@ -415,6 +485,8 @@ def vector_rows():
     rows = [(i, rng.standard_normal(8).tolist(), int(i % 3)) for i in range(300)]
     rows += [(400 + i, rows[i][1], 0) for i in range(50)] + [(500 + i, (np.array(rows[0][1]) * (1 + i)).tolist(), 0) for i in range(20)]
     rows += [(600, None, 0), (601, [1.0, None] * 4, 0), (602, [float("nan")] * 8, 0), (603, [0.0] * 8, 0), (650, [], 0), (700, [1.0, 2.0], 1), (750, [3.0, 1.0], 1), (10, rows[10][1], 1), (None, rows[0][1], 0), (800, rows[0][1], None)]
+    rows += [(850, [1e9] * 8, 2), (900, [-1e9, 3.0] * 4, 2), (901, [1e9, 1.0] * 4, 2)]  # components whose squares are beyond 64 bits
+    rows += [(70, rows[0][1], 0), (70, (np.array(rows[0][1]) * 1.01).tolist(), 0), (70, rows[1][1], 1), (71, rows[0][1], 0)]  # an id with several vectors
     return rows
 
 
@@ -423,21 +495,22 @@ def test_top_k_by_brute_force(spark, monkeypatch):
     monkeypatch.setattr(vectors, "INDEX_ROWS", 16)
     rows = vector_rows()
     got = collections.defaultdict(list)
-    for r in vectors.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).orderBy("query_id", "rank").collect():
+    for r in vectors.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({c: F.lit("clash") for c in ("dim", "v", "norm", "tile", "pivot", "score", "rank")})).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
-    fine = {i: [math.floor(256 * x) for x in v] for i, v, _ in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
-    for q in (i for i in fine if i % 50 == 0):
-        every = sorted(((-sum(a * b for a, b in zip(fine[q], v, strict=True)), i) for i, v in fine.items() if i != q and len(v) == len(fine[q])))[:5]
-        assert got[q] == [(i, -s) for s, i in every]
+    fine = sorted({(i, tuple(math.floor(256 * x) for x in v)) for i, v, _ in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)})
+    clip = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    for q in {i for i, _ in fine if i % 50 == 0}:
+        every = {(-clip(sum(a * b for a, b in zip(w, v, strict=True))), i) for j, w in fine if j == q for i, v in fine if i != q and len(v) == len(w)}
+        assert got[q] == [(i, -s) for s, i in sorted(every)[:5]]
     assert vectors.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
 def test_links_by_brute_force(spark, monkeypatch):
     monkeypatch.setattr(vectors, "JOIN_ROWS", 32)
     rows = vector_rows()
-    out = {r.vec_id: r for r in vectors.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), 0.8).collect()}
+    out = {r.vec_id: r for r in vectors.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({c: F.lit("clash") for c in ("dim", "v", "several", "tile", "block", "n_links", "kept")}), 0.8).collect()}
     fine = sorted({(i, y, tuple(v)) for i, v, y in rows if i is not None and y is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)})
-    near, union = collections.Counter(), {i: i for i, _, _ in fine}
+    near, union = collections.defaultdict(set), {i: i for i, _, _ in fine}
 
     def root(i):
         while union[i] != i:
@@ -446,11 +519,11 @@ def test_links_by_brute_force(spark, monkeypatch):
 
     for (i, y, v), (j, z, w) in itertools.combinations(fine, 2):
         if y == z and len(v) == len(w) and i != j and np.dot(v, w) / (np.linalg.norm(v) * np.linalg.norm(w)) >= 0.8:
-            near[i] += 1
-            near[j] += 1
+            near[i].add(j)
+            near[j].add(i)
             union[max(root(i), root(j))] = min(root(i), root(j))
     for i in {r[0] for r in rows} - {None}:
-        assert out[i].n_links == near[i] and out[i].component_id == (root(i) if i in union else i) and out[i].kept == (out[i].component_id == i)
+        assert out[i].n_links == len(near[i]) and out[i].component_id == (root(i) if i in union else i) and out[i].kept == (out[i].component_id == i)
     assert vectors.linked(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
@@ -474,6 +547,46 @@ def test_gradients_are_numeric_gradients():
             assert (ends[0] - ends[1]) / 2e-2 == pytest.approx(g[name].ravel()[i], rel=0.05, abs=1e-3)
 
 
+def test_scores_by_a_plain_forward_pass():
+    """Every window a word at a time, by the formulas of gated units and attention."""
+    net = toxicity.Network({"a": 1, "b": 2}, np.ones(toxicity.CHAR_BUCKETS + 1, bool), 1)
+    net.shift = 0.3
+    vocabulary = ["a", "b", "cde", "fgh", "toxic"]
+    vec = net.vectors(*net.features(vocabulary)).astype(float)
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    h = toxicity.HIDDEN
+
+    def logit(words):
+        states = {}
+        for way in "fb":
+            now, out = np.zeros(h), {}
+            for i in range(len(words)) if way == "f" else reversed(range(len(words))):
+                x, u = vec[words[i]] @ p[f"x{way}"] + p[f"c{way}"], now @ p[f"h{way}"]
+                z, r = sigmoid(x[:h] + u[:h]), sigmoid(x[h : 2 * h] + u[h : 2 * h])
+                now = (1 - z) * np.tanh(x[2 * h :] + r * u[2 * h :]) + z * now
+                out[i] = now
+            states[way] = out
+        s = np.array([np.concatenate([states["f"][i], states["b"][i]]) for i in range(len(words))])
+        a = np.exp(s @ p["attend"])
+        return (a / a.sum()) @ (s @ p["out"]) + p["bias"][0]
+
+    rng = random.Random(2)
+    texts = [[rng.randrange(5) for _ in range(n)] for n in (1, 5, 64, 65, 96, 97, 200)] + [[]]
+    got = net.scores(texts, vec.astype(np.float32))
+    for t, score in zip(texts, got, strict=True):
+        starts = sorted({min(s, max(0, len(t) - toxicity.WINDOW)) for s in range(0, max(1, len(t) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE)})
+        want = max((sigmoid(logit(t[s : s + toxicity.WINDOW]) + net.shift) for s in starts), default=0) if t else 0
+        assert score == pytest.approx(want, abs=1e-5)
+
+
+def test_every_passage_is_whole_in_a_window():
+    for size in range(1, 400):
+        count = max(1, -(-(size - toxicity.WINDOW) // toxicity.STRIDE) + 1)
+        starts = [min(k * toxicity.STRIDE, max(size - toxicity.WINDOW, 0)) for k in range(count)]
+        assert all(any(s <= at and at + 32 <= s + toxicity.WINDOW for s in starts) for at in range(max(0, size - 31)))
+
+
 def toxic_tables(spark):
     rng = random.Random(6)
     rows, labels = [], []
@@ -486,13 +599,14 @@ def toxic_tables(spark):
         rows.append((i, " ".join(ws), "en", "s", 1))
         labels.append((i, 1, int(y)))
     rows += [(1000 + i, t, None, None, None) for i, t in enumerate(ODD)]
-    labels += [(None, None, None), (0, 1, 1), (9999, 0, 1)]
+    labels += [(None, None, None), (0, 1, 1), (9999, 0, 1), (4, 1, 0), (4, None, 1)]
     return spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
 def test_toxicity(spark, empty):
     docs, labels = toxic_tables(spark)
-    out = {r.doc_id: r for r in toxicity.score_documents(docs, labels).collect()}
+    clash = docs.withColumns({c: F.lit("x") for c in ("score", "toxic", "at", "held_out", "predicted")})
+    out = {r.doc_id: r for r in toxicity.score_documents(clash, labels).collect()}
     assert len(out) == docs.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in out.values())
     held = [r for i, r in out.items() if r.held_out and i < 500]
     assert sum(r.predicted == int(r.doc_id % 4 == 0) for r in held) / len(held) > 0.9
