@@ -52,20 +52,25 @@ _opened: dict[str, object] = {}
 
 
 class Shared:
-    """A driver-side model of bounded size for the Python workers: compressed on the way, opened once in each worker."""
+    """A driver-side model of bounded size for the Python workers: compressed on the way, opened once in each worker. Arrays travel
+    beside the pickled rest, so that a worker holds each of them once."""
 
     def __init__(self, spark: SparkSession, model: object):
         self.name = uuid.uuid4().hex
-        self.packed = spark.sparkContext.broadcast(zlib.compress(pickle.dumps(model, 5), 1))
+        arrays: list[pickle.PickleBuffer] = []
+        rest = pickle.dumps(model, 5, buffer_callback=arrays.append)
+        self.packed = spark.sparkContext.broadcast((rest, [(x.raw().nbytes, zlib.compress(x.raw(), 1)) for x in arrays]))
 
     @property
     def value(self):
         if self.name not in _opened:
             while len(_opened) > 1:
                 _opened.pop(next(iter(_opened)))
-            _opened[self.name] = pickle.loads(zlib.decompress(self.packed.value))
+            rest, arrays = self.packed.value
+            _opened[self.name] = pickle.loads(rest, buffers=[zlib.decompress(raw, bufsize=max(1, size)) for size, raw in arrays])
         return _opened[self.name]
 
+
 #: A key that this share of the rows has is joined by broadcast: there are at most 1 / HOT such keys.
 HOT = 0.001
 
