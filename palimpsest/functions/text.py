@@ -213,20 +213,11 @@ def stable_hash(*parts) -> Column:
     return F.sha2(F.concat_ws("\x1f", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]), 256)
 
 
-def hash_hex(x: Column) -> Column:
-    return F.sha2(x, 256)
-
-
 def hash_bit(hex_digest: Column, at: int = 2) -> Column:
     """Parity of one hexadecimal digit."""
     return F.conv(F.substring(hex_digest, at, 1), 16, 10).cast("int") % 2
 
 
-def hash_number(hex_digest: Column) -> Column:
-    """The leading 64 bits as decimal(20, 0)."""
-    return F.conv(F.substring(hex_digest, 1, 16), 16, 10).cast("decimal(20,0)")
-
-
 def sigmoid(x) -> Column:
     """[F37]"""
     return 1 / (1 + F.exp(-col(x)))
@@ -285,3 +276,13 @@ def risk_ratio(successes, total, all_successes, all_total) -> Column:
 def share(a, b) -> Column:
     """Zero-safe division."""
     return F.when(col(b) == 0, 0.0).otherwise(col(a) / col(b))
+
+
+def context_view(before="context_before", after="context_after") -> Column:
+    """[F24]"""
+    return F.concat_ws("\n", F.lit("[CONTEXT_BEFORE]"), F.coalesce(col(before), F.lit("")), F.lit("[CONTEXT_AFTER]"), F.coalesce(col(after), F.lit("")))
+
+
+def candidate_view(candidate, before="context_before", after="context_after") -> Column:
+    """[F23]"""
+    return F.concat_ws("\n", F.lit("[CONTEXT_BEFORE]"), F.coalesce(col(before), F.lit("")), F.lit("[CANDIDATE]"), col(candidate), F.lit("[CONTEXT_AFTER]"), F.coalesce(col(after), F.lit("")))

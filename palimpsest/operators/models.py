@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import IDF, PCA, CountVectorizer, NGram, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
 from palimpsest.operators.metrics import select_l2
+from palimpsest.operators.resample import group_holdout
+from palimpsest.sources.staging import written
 
 GRID = (1e-5, 1e-4, 1e-3, 1e-2, 1e-1)
 
@@ -57,7 +60,8 @@ def probe(rows: DataFrame, vector: str, label: str, folds: int, grid: tuple[floa
     out = None
     for fold in range(folds):
         part = F.when(F.col("fold_bucket") == fold, "test").when(F.col("fold_bucket") == (fold + 1) % folds, "validation").otherwise("train")
-        data = scaled(rows.withColumn("partition", part), vector, F.col("partition") == "train").withColumn("features", array_to_vector("scaled")).withColumn("y", F.col(label).cast("double")).persist()
+        data = scaled(rows.withColumn("partition", part), vector, F.col("partition") == "train").withColumn("features", array_to_vector("scaled")).withColumn("y", F.col(label).cast("double"))
+        data = written(data.select("id", "partition", "features", "y"), "probe")
         fits, losses = {}, []
         for lam in grid:
             fits[lam] = LogisticRegression(featuresCol="features", labelCol="y", regParam=lam, elasticNetParam=0.0, standardization=False, fitIntercept=intercept, maxIter=60).fit(data.where("partition = 'train'"))
@@ -71,13 +75,23 @@ def probe(rows: DataFrame, vector: str, label: str, folds: int, grid: tuple[floa
 
 
 def boosted(rows: DataFrame, vector: str, label: str, fold: int, folds: int, trees: int = 20) -> DataFrame:
-    """[M45, M46] Shallow boosted trees with early stopping on the validation bucket; scores of the test bucket."""
+    """[M45] Shallow boosted trees with early stopping on the validation bucket; scores of the test bucket."""
     data = rows.withColumn("features", array_to_vector(F.col(vector).cast("array<double>"))).withColumn("y", F.col(label).cast("double")).withColumn("is_validation", F.col("fold_bucket") == (fold + 1) % folds)
     model = GBTClassifier(featuresCol="features", labelCol="y", maxDepth=2, stepSize=0.03, subsamplingRate=0.8, featureSubsetStrategy="0.25", maxIter=trees, validationIndicatorCol="is_validation", seed=17)
     fit = model.fit(data.where(F.col("fold_bucket") != fold))
     return fit.transform(data.where(F.col("fold_bucket") == fold)).select("id", F.lit(fold).alias("fold"), F.col("y").cast("int").alias("label"), vector_to_array("probability")[1].alias("probability"))
 
 
+def boosted_arms(rows: DataFrame, arms: dict[str, str], label: str, folds: int, trees: int = 20) -> DataFrame:
+    """[M46] boosted() of every arm (a vector column) and fold: arm, id, fold, label, probability."""
+    out = None
+    for arm, vector in arms.items():
+        for fold in range(folds):
+            part = boosted(rows, vector, label, fold, folds, trees).select(F.lit(arm).alias("arm"), "*")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 def tfidf(rows: DataFrame, text: str, train: Column, terms: int = 2000, least: int = 2) -> DataFrame:
     """[M17, M18] Unit-length TF-IDF of words and pairs with 1 + ln tf and smoothed idf, as `features`."""
     words = RegexTokenizer(inputCol=text, outputCol="_w", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False).transform(rows)
@@ -86,34 +100,115 @@ def tfidf(rows: DataFrame, text: str, train: Column, terms: int = 2000, least: i
     counted = counter.transform(words)
     idf = IDF(inputCol="_c", outputCol="_i").fit(counted.where(train))
     df, n = np.array(idf.docFreq, float), float(idf.numDocs)
-    weight = F.array(*[F.lit(float(x)) for x in np.log((1 + n) / (1 + df)) + 1]) if len(df) < 4096 else None
-    if weight is None:
-        raise ValueError("terms must be below 4096 here")
-    raw = F.zip_with(vector_to_array("_c"), weight, lambda c, w: F.when(c > 0, (1 + F.ln(c)) * w).otherwise(0.0))
+    # one row, of as many numbers as there are terms
+    weights = rows.sparkSession.createDataFrame([((np.log((1 + n) / (1 + df)) + 1).tolist(),)], "_idf array<double>")
+    counted = counted.crossJoin(F.broadcast(weights))
+    raw = F.zip_with(vector_to_array("_c"), F.col("_idf"), lambda c, w: F.when(c > 0, (1 + F.ln(c)) * w).otherwise(0.0))
     norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda s, x: s + x * x))
-    return counted.withColumn("_raw", raw).withColumn("_norm", norm).withColumn("tfidf", F.when(F.col("_norm") > 0, F.transform("_raw", lambda x: x / F.col("_norm"))).otherwise(F.col("_raw"))).drop("_w", "_g", "_t", "_c", "_raw", "_norm")
+    return counted.withColumn("_raw", raw).withColumn("_norm", norm).withColumn("tfidf", F.when(F.col("_norm") > 0, F.transform("_raw", lambda x: x / F.col("_norm"))).otherwise(F.col("_raw"))).drop("_w", "_g", "_t", "_c", "_raw", "_norm", "_idf")
+
+
+def numeric_part(rows: DataFrame, columns: list[str], train: Column, into: str = "numeric") -> DataFrame:
+    """[M17, M18] Columns with missing values as the training median, then by training mean and deviation."""
+    medians = rows.where(train).agg(*[F.percentile(c, F.lit(0.5)).alias(f"_m_{c}") for c in columns])
+    filled = F.array(*[F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}"), F.lit(0.0)) for c in columns])
+    rows = rows.crossJoin(F.broadcast(medians)).withColumn("_filled", filled).drop(*[f"_m_{c}" for c in columns])
+    return scaled(rows, "_filled", train, into).drop("_filled")
+
+
+def one_hot_part(rows: DataFrame, column: str, train: Column, into: str = "categories", most: int = 1000) -> DataFrame:
+    """[M17, M18] One component for each training value in order (the most frequent ones, at most `most`); others are all zeros."""
+    values = rows.where(train & F.col(column).isNotNull()).groupBy(column).count().orderBy(F.desc("count"), column).limit(most).agg(F.sort_array(F.collect_list(column)).alias("_values"))
+    return rows.crossJoin(F.broadcast(values)).withColumn(into, F.transform("_values", lambda v: (v.eqNullSafe(F.col(column))).cast("double"))).drop("_values")
+
+
+def text_pipeline(rows: DataFrame, texts: list[str], numeric: list[str], categorical: list[str], label: str, train: Column, c: float = 1.0, terms: int = 2000) -> DataFrame:
+    """[M17, M18] TF-IDF of each text, numbers and one-hot categories fitted on training rows, then a logistic model with penalty
+    1 / (c n); probability of every row that is not a training row. rows(id, ...)."""
+    parts = []
+    for k, text in enumerate(texts):
+        rows = tfidf(rows.withColumn(text, F.coalesce(text, F.lit(""))), text, train, terms).withColumnRenamed("tfidf", f"_text_{k}")
+        parts.append(f"_text_{k}")
+    if numeric:
+        rows = numeric_part(rows, numeric, train, "_numeric")
+        parts.append("_numeric")
+    for k, column in enumerate(categorical):
+        rows = one_hot_part(rows, column, train, f"_category_{k}")
+        parts.append(f"_category_{k}")
+    rows = rows.withColumn("features", array_to_vector(F.concat(*parts))).withColumn("y", F.col(label).cast("double")).withColumn("_train", train)
+    n = max(1, rows.where("_train").count())
+    model = LogisticRegression(featuresCol="features", labelCol="y", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=60).fit(rows.where("_train"))
+    return model.transform(rows.where("not _train")).select("id", F.col("y").cast("int").alias("label"), vector_to_array("probability")[1].alias("probability"))
+
+
+def four_arms(rows: DataFrame, group: str, target: str, base: list[str], preference: list[str], seed: int = 17, fraction: float = 0.2, key: str = "id") -> DataFrame:
+    """[M19, M20] arm, id, group, label and probability of held-out groups under four sets of numeric columns: base alone, preference alone,
+    both, and both with the preference columns dealt again among the rows of each side of the split."""
+    held = group_holdout(rows, group, fraction, seed)
+    nth = lambda tag: F.row_number().over(Window.partitionBy("held_out", "_slice").orderBy(F.sha2(F.concat(F.lit(f"{tag}:{seed}:"), F.col(key).cast("string")), 256)))
+    # rows are dealt again within slices of hash, so no task sees a whole side
+    held = held.withColumn("_slice", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(64)))
+    own = held.withColumn("_at", nth("natural"))
+    dealt = held.select("held_out", "_slice", nth("dealt").alias("_at"), *[F.col(c).alias(f"_new_{c}") for c in preference])
+    own = own.join(dealt, ["held_out", "_slice", "_at"])
+    arms = {"no_preference": base, "preference_only": preference, "full": base + preference, "shuffled": base + [f"_new_{c}" for c in preference]}
+    out = None
+    for arm, columns in arms.items():
+        data = numeric_part(own, columns, ~F.col("held_out"), "_v").withColumn("features", array_to_vector("_v")).withColumn("y", F.col(target).cast("double"))
+        model = LogisticRegression(featuresCol="features", labelCol="y", regParam=1e-4, standardization=False, maxIter=60).fit(data.where("not held_out"))
+        part = model.transform(data.where("held_out")).select(F.lit(arm).alias("arm"), F.col(key).alias("id"), F.col(group).alias("lineage_id"), F.col("y").cast("int").alias("label"), vector_to_array("probability")[1].alias("probability"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def arm_matrix(tables: dict[str, DataFrame], group: str, target: str, base: list[str], preference: list[str], seeds: list[int]) -> DataFrame:
+    """[M21-M23] condition, seed, and four_arms() of each table (a condition) and seed."""
+    out = None
+    for condition, rows in tables.items():
+        for seed in seeds:
+            part = four_arms(rows, group, target, base, preference, seed).select(F.lit(condition).alias("condition"), F.lit(seed).alias("seed"), "*")
+            out = part if out is None else out.unionByName(part)
+    return out
+
 
+VALUE_STATE = "fold int, weights array<array<double>>"
 
-def value_network(rows: DataFrame, folds: int, hidden: int = 32, bottleneck: int = 8, epochs: int = 30, rate: float = 3e-3, decay: float = 1e-2, seed: int = 17, most: int = 20_000) -> DataFrame:
-    """[M37, M38, M40-M42] Ranker q(A) - q(B) with q a two-layer network over [context, candidate, candidate * context, |candidate -
-    context|], one per fold, trained on at most `most` hash-first training rows with early stopping on the validation bucket.
-    rows(id, fold_bucket, context, candidate_a, candidate_b, label = 1 where B is selected); gives id, fold, label, probability."""
-    sample = rows.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+
+def _view(c: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.concatenate([c, x, x * c, np.abs(x - c)], 1)
+
+
+class ValueNetwork:
+    """Two tanh layers over [context, candidate, candidate * context, |candidate - context|] and a linear value."""
+
+    def __init__(self, flat: list[list[float]]):
+        size = len(flat[0])
+        self.mean, self.sd = np.array(flat[0]), np.array(flat[1])
+        self.p = [np.array(flat[2]).reshape(size, -1), np.array(flat[3]), np.array(flat[4]).reshape(len(flat[3]), -1), np.array(flat[5]), np.array(flat[6])]
+
+    def values(self, c: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """State and value of each candidate."""
+        v = (_view(c, x) - self.mean) / self.sd
+        z = np.tanh(np.tanh(v @ self.p[0] + self.p[1]) @ self.p[2] + self.p[3])
+        return z, z @ self.p[4]
+
+
+def value_networks(rows: DataFrame, folds: int, hidden: int = 32, bottleneck: int = 8, epochs: int = 30, rate: float = 3e-3, decay: float = 1e-2, seed: int = 17, most: int = 20_000) -> dict[int, list[list[float]]]:
+    """[M37, M38, M41] A ranker q(B) - q(A) for each fold, trained on at most about `most` hash-first rows outside of its test bucket,
+    with early stopping on its validation bucket. rows(id, fold_bucket, context, candidate_a, candidate_b, label from 0 to 1: 1 where B is
+    selected, or a mix with a teacher's probability); with shuffled labels it is the control. A few kilobytes for each fold."""
+    sample = rows.select("id", "fold_bucket", "context", "candidate_a", "candidate_b", F.col("label").cast("double").alias("label"))
     share = max(1, -(-rows.count() // most))
-    test = F.col("fold_bucket") == F.col("fold")
-    # each fold's group holds a bounded sample to train on; test rows are scored from it in chunks by the same task
-    sample = sample.where(test | (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(share)) == 0))
+    sample = sample.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(share)) == 0).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where("fold_bucket <> fold")
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id")
         fold = int(part["fold"].iat[0])
         c, a, b = (np.stack(part[x].to_numpy()).astype(np.float64) for x in ("context", "candidate_a", "candidate_b"))
         y = part["label"].to_numpy(float)
-        bucket = part["fold_bucket"].to_numpy()
-        test, valid = bucket == fold, bucket == (fold + 1) % folds
-        train = ~(test | valid)
-        view = lambda x: np.concatenate([c, x, x * c, np.abs(x - c)], 1)
-        fa, fb = view(a), view(b)
+        valid = part["fold_bucket"].to_numpy() == (fold + 1) % folds
+        train = ~valid
+        fa, fb = _view(c, a), _view(c, b)
         mean, sd = np.concatenate([fa[train], fb[train]]).mean(0), np.concatenate([fa[train], fb[train]]).std(0)
         sd[sd <= 1e-6] = 1
         fa, fb = (fa - mean) / sd, (fb - mean) / sd
@@ -151,8 +246,55 @@ def value_network(rows: DataFrame, folds: int, hidden: int = 32, bottleneck: int
                 if wait >= 5:
                     break
         p[:] = kept
-        q = forward(fb[test])[2] - forward(fa[test])[2]
-        return pd.DataFrame({"id": part["id"].to_numpy()[test], "fold": np.int32(fold), "label": y[test].astype(np.int32), "probability": 1 / (1 + np.exp(-q))})
+        flat = [mean, sd, p[0].ravel(), p[1], p[2].ravel(), p[3], p[4]]
+        return pd.DataFrame({"fold": [np.int32(fold)], "weights": [[x.tolist() for x in flat]]})
+
+    return {r["fold"]: r["weights"] for r in sample.groupBy("fold").applyInPandas(fit, VALUE_STATE).collect()}
+
+
+def _batches(columns: list[str], run, kind: str, rows: DataFrame) -> DataFrame:
+    def each(batches):
+        for batch in batches:
+            if batch.num_rows:
+                table = {n: batch.column(i) for i, n in enumerate(columns)}
+                wide = {n: table[n].flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64) for n in ("context", "candidate_a", "candidate_b")}
+                yield from run(table, wide)
+
+    return rows.select(*columns).mapInArrow(each, kind)
+
+
+def value_network(rows: DataFrame, folds: int, **settings) -> DataFrame:
+    """[M37, M38] id, fold, label and probability of every row by the network of the fold that tests its bucket; rows pass as a
+    stream of batches."""
+    nets = value_networks(rows, folds, **settings)
+
+    def run(table, wide):
+        bucket = table["fold_bucket"].to_numpy()
+        p = np.full(len(bucket), 0.5)
+        for fold, weights in nets.items():
+            at = np.flatnonzero(bucket == fold)
+            net = ValueNetwork(weights)
+            p[at] = 1 / (1 + np.exp(net.values(wide["context"][at], wide["candidate_a"][at])[1] - net.values(wide["context"][at], wide["candidate_b"][at])[1]))
+        yield pa.RecordBatch.from_arrays([table["id"], table["fold_bucket"].cast(pa.int32()), table["label"].cast(pa.int32()), pa.array(p)], ["id", "fold", "label", "probability"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return _batches(["id", "fold_bucket", "label", "context", "candidate_a", "candidate_b"], run, f"id {kind}, fold int, label int, probability double", rows)
+
+
+def value_states(rows: DataFrame, weights: list[list[float]]) -> DataFrame:
+    """[M40, M42] id and two states of each row by one network: `blind` (sum and absolute difference of the candidates' states, and of
+    values) does not tell which candidate was selected; `choice_aware` has the selected one, the other, and their differences.
+    rows(id, context, candidate_a, candidate_b, label = 1 where B is selected)."""
+
+    def run(table, wide):
+        net = ValueNetwork(weights)
+        (ha, qa), (hb, qb) = (net.values(wide["context"], wide[c]) for c in ("candidate_a", "candidate_b"))
+        b = table["label"].to_numpy(zero_copy_only=False) == 1
+        hs, hr = np.where(b[:, None], hb, ha), np.where(b[:, None], ha, hb)
+        gap = np.where(b, qb - qa, qa - qb)
+        blind = np.concatenate([ha + hb, np.abs(ha - hb), np.abs(qa - qb)[:, None]], 1)
+        aware = np.concatenate([hs, hr, hs - hr, gap[:, None]], 1)
+        yield pa.RecordBatch.from_arrays([table["id"], pa.array(list(blind), pa.list_(pa.float64())), pa.array(list(aware), pa.list_(pa.float64()))], ["id", "blind", "choice_aware"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return sample.groupBy("fold").applyInPandas(fit, f"id {kind}, fold int, label int, probability double")
+    return _batches(["id", "label", "context", "candidate_a", "candidate_b"], run, f"id {kind}, blind array<double>, choice_aware array<double>", rows)

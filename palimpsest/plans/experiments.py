@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
@@ -633,11 +630,35 @@ def _(spark, sf_dir):
     return M.binary_metrics(L.value_network(triples(spark, sf_dir), FOLDS), ["fold"])
 
 
+@query("value_states", _TRI + " SELECT id, (2 * 8 + 1)::INT AS blind, (3 * 8 + 1)::INT AS choice_aware FROM t")
+def _(spark, sf_dir):
+    """Sizes of both states of every row, by a network trained on shuffled labels."""
+    rows = triples(spark, sf_dir)
+    dealt = C.within_label_shuffle(rows.select("id", "fold_bucket", "label"), ["fold_bucket"], "id", "label").select("id", "shuffled")
+    control = rows.join(dealt, "id").withColumn("label", F.col("shuffled"))
+    states = L.value_states(rows, L.value_networks(control, 3, epochs=2, most=2000)[0])
+    return states.select("id", F.size("blind").alias("blind"), F.size("choice_aware").alias("choice_aware"))
+
+
 @query("gbt_arm_metrics")
 def _(spark, sf_dir):
-    rows = triples(spark, sf_dir).select("id", "fold_bucket", F.col("context").alias("v"), "label")
-    scored = [L.boosted(rows, "v", "label", fold, FOLDS) for fold in range(FOLDS)]
-    return M.binary_metrics(reduce(DataFrame.unionByName, scored), ["fold"])
+    rows = triples(spark, sf_dir)
+    return M.binary_metrics(L.boosted_arms(rows, {"context": "context"}, "label", FOLDS), ["fold"])
+
+
+@query("text_pipeline_metrics")
+def _(spark, sf_dir):
+    """Words, length and source of labelled documents, for a held-out fifth."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("label")), "doc_id")
+    rows = docs.select(F.col("doc_id").alias("id"), "text", "n_chars", "source", "label", (F.col("doc_id") % 5 != 0).alias("train"))
+    return M.binary_metrics(L.text_pipeline(rows, ["text"], ["n_chars"], ["source"], "label", F.col("train"), terms=500))
+
+
+@query("session_arms")
+def _(spark, sf_dir):
+    """Whether a session goes on, by its round and size, by votes, by both, and by votes dealt again."""
+    rows = sessions(spark, sf_dir).withColumn("id", F.concat_ws(":", F.col("session_id").cast("string"), F.col("round").cast("string")))
+    return M.binary_metrics(L.arm_matrix({"events": rows}, "session_id", "continues", ["round"], [f"pref_{v}" for v in Z.VOTES], [17]), ["condition", "seed", "arm"])
 
 
 @query("tfidf_logistic_metrics")

@@ -34,7 +34,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from palimpsest.plans import experiments, revisions  # noqa: F401
+    from palimpsest.plans import experiments, reports, revisions  # noqa: F401
 
 
 def _names() -> None:
