@@ -11,7 +11,7 @@ from palimpsest.operators import metrics as M
 from palimpsest.operators import projections as J
 from palimpsest.operators import reports as B
 from palimpsest.operators import verify as V
-from palimpsest.plans.experiments import _L2, _MEMBERS, _PRED, _SUMS, candidates, members_of, predictions, stats_of
+from palimpsest.plans.experiments import _L2, _MEMBERS, _PRED, candidates, members_of, predictions
 from palimpsest.plans.registry import query
 from palimpsest.plans.revisions import episodes, replaced, versions
 from palimpsest.sources.fixture import CELLS_SQL, EPISODES_SQL, TOKENS_SQL, table
