@@ -19,7 +19,6 @@ no rows.
 from __future__ import annotations
 
 import hashlib
-import math
 import zlib
 from collections.abc import Iterator
 
