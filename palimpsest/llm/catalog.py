@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import counts, language, lmscore, neardup, packing, pieces, toxicity, vectors, warc
+from palimpsest.llm import counts, language, lmscore, neardup, packing, pieces, toxicity, vectors, warc, whitening
 
 QUERIES = {
     "op1_sampled_pieces": pieces.op1_sampled_pieces,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_embedding_near_duplicates": vectors.op8_embedding_near_duplicates,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_warc": warc.op10_warc,
+    "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
