@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palimpsest.llm import counts, fingerprints, language, lmscore, neardup, packing, pieces, toxicity, vectors, warc, whitening
+from palimpsest.llm import counts, fingerprints, language, lmscore, neardup, packing, pieces, toxicity, trie, vectors, warc, whitening
 
 QUERIES = {
     "op1_sampled_pieces": pieces.op1_sampled_pieces,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_embedding_near_duplicates": vectors.op8_embedding_near_duplicates,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_warc": warc.op10_warc,
+    "op11_conversation_trie": trie.op11_conversation_trie,
     "op12_document_fingerprints": fingerprints.op12_document_fingerprints,
     "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
@@ -24,4 +25,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_exact_top_k": vectors.OP7_SQL,
     "op8_embedding_near_duplicates": vectors.OP8_SQL,
     "op10_warc": warc.OP10_SQL,
+    "op11_conversation_trie": trie.OP11_SQL,
 }
