@@ -3,12 +3,13 @@
 Each language has a context tree over the bytes of a bounded sample of its labelled documents. A node's
 distribution gives its symbols count / (total + distinct) and leaves distinct / (total + distinct) for escape to the
 node that drops the oldest byte, whose distribution is renormalised over the symbols not seen here; the root escapes to
-256 equally likely bytes. Statistics are frozen, so every (context, byte) has a fixed exact code length; all trees are
-compiled into one transition table and one table of code lengths, and a text costs one table walk per byte.
+256 equally likely bytes. Statistics are frozen, so every (context, byte) has a fixed exact code length: what escaping from a
+context costs, renormalisation included, is one number of the context, so a tree holds its contexts, their escapes and the
+bytes seen after them, and no more. A code length is the sum of the escapes from the longest known context down and of the
+byte where it was seen. The model is one such tree a language, so it grows with the sum of the trees; workers remember
+code lengths of (context, byte) under all languages in a table of REMEMBERED numbers and forget all when it is full.
 
-The table holds each code length to 24 bits, sums are doubles: a text's code length is exact to a few parts in 10^8. (As
-doubles the tables took more than 3,000 MB of an executor on 0.51 GB.) A model grows with the number of languages, not with
-the corpus.
+Remembered code lengths have 24 bits, sums are doubles: a text's code length is exact to a few parts in 10^8.
 
 Cases: text null or without a letter gives `und` with score 0; no labelled document gives `und` everywhere; the score
 is the posterior of the chosen language under equal priors; ties go to the alphabetically first language; a
@@ -35,125 +36,177 @@ ORDER = 4
 LEAST = 3
 #: The bound of the training sample: documents and bytes for each language.
 DOCS, BYTES = 600, 1_000_000
+#: Code lengths that a worker remembers, over all languages.
+REMEMBERED = 1 << 22
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places among ascending keys, and whether the wanted keys are there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return place, keys[place] == wanted
 
 
 @dataclass
+class Tree:
+    """One language's contexts by order. A context is a number of 9-bit digits (byte + 1, nearest byte first), so that a shift
+    drops its oldest byte. For each order: contexts ascending with what escaping from them costs, and (context, byte) pairs
+    ascending with what the byte costs there, in bits."""
+
+    contexts: list[np.ndarray]
+    escapes: list[np.ndarray]
+    pairs: list[np.ndarray]
+    costs: list[np.ndarray]
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for part in (self.contexts, self.escapes, self.pairs, self.costs) for x in part)
+
+    def bits(self, context: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """Code lengths of bytes after contexts of the whole order: escapes are followed from the longest known context down."""
+        order, out = len(self.contexts) - 1, np.zeros(len(byte))
+        open_ = np.arange(len(byte))
+        for k in range(order, -1, -1):
+            at = context[open_] >> (9 * (order - k))
+            place, hit = _found(self.pairs[k], at << 8 | byte[open_])
+            out[open_[hit]] += self.costs[k][place[hit]]
+            open_, at = open_[~hit], at[~hit]
+            place, hit = _found(self.contexts[k], at)
+            out[open_[hit]] += self.escapes[k][place[hit]]
+        out[open_] += 8.0
+        return out
+
+
 class Trees:
-    """Compiled context trees: `step[node * width + symbol]` and `cost[node * width + symbol, language]` in bits."""
+    """The trees of all languages, and a bounded memory of code lengths of (context, byte) under all of them: a text's bytes meet it
+    at once, and only what it does not have yet goes through the trees, a language at a time."""
+
+    def __init__(self, names: list[str], trees: list[Tree], order: int):
+        self.names, self.trees, self.order = names, trees, order
+        self.forget()
+
+    def __getstate__(self):
+        return self.names, self.trees, self.order
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+    @property
+    def nbytes(self) -> int:
+        return sum(t.nbytes for t in self.trees)
+
+    def forget(self) -> None:
+        size = max(10, (REMEMBERED // max(1, len(self.names))).bit_length() - 1)
+        self.shift, self.mask = np.uint64(64 - size), (1 << size) - 1
+        self.key = np.full(1 << size, -1, np.int64)
+        self.cost = np.zeros((1 << size, len(self.names)), np.float32)
+        self.used = 0
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def _places(self, key: np.ndarray) -> np.ndarray:
+        """The places of remembered keys, the free place where their search ends for others."""
+        slot = self._slot(key)
+        found = self.key[slot]
+        open_ = np.flatnonzero((found != key) & (found != -1))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & self.mask
+            found = self.key[slot[open_]]
+            open_ = open_[(found != key[open_]) & (found != -1)]
+        return slot
+
+    def _remember(self, key: np.ndarray) -> None:
+        if self.used + len(key) > len(self.key) // 2:
+            self.forget()
+        context, byte = key >> 8, key & 255
+        costs = np.stack([t.bits(context, byte) for t in self.trees], 1).astype(np.float32)
+        self.used += len(key)
+        left = np.arange(len(key))
+        while len(left):
+            slot = self._places(key[left])
+            # of keys that end at one free place the first takes it
+            _, first = np.unique(slot, return_index=True)
+            self.key[slot[first]], self.cost[slot[first]] = key[left[first]], costs[left[first]]
+            left = np.delete(left, first)
 
-    names: list[str]
-    symbol: np.ndarray
-    width: int
-    step: np.ndarray
-    cost: np.ndarray
-    order: int
+    def _codes(self, key: np.ndarray) -> np.ndarray:
+        slot = self._places(key)
+        if (new := self.key[slot] != key).any():
+            self._remember(np.unique(key[new]))
+            slot = self._places(key)
+            if (new := self.key[slot] != key).any():  # all was forgotten on the way
+                self._remember(np.unique(key[new]))
+                slot = self._places(key)
+        return self.cost[slot]
 
-    def bits(self, data: np.ndarray, starts: np.ndarray, block: int = 1 << 18) -> np.ndarray:
+    def bits(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Code length of each text under each language; starts has one more entry than there are texts."""
-        n, out = len(starts) - 1, np.zeros((len(starts) - 1, len(self.names)))
-        for lo in range(int(starts[0]), int(starts[-1]), block):
-            hi = min(lo + block, int(starts[-1]))
-            back = max(int(starts[0]), lo - self.order)
-            sym = self.symbol[data[back:hi]]
+        out, begin, end = np.zeros((len(starts) - 1, len(self.names))), int(starts[0]), int(starts[-1])
+        # what one block needs is remembered at once
+        block = min(1 << 18, len(self.key) // 4)
+        for lo in range(begin, end, block):
+            hi = min(lo + block, end)
+            back = max(begin, lo - self.order)
+            digit = data[back:hi].astype(np.int64) + 1
             first, last = np.searchsorted(starts, lo, "right") - 1, np.searchsorted(starts, hi, "left")
             cuts = starts[first:last]
-            node = np.zeros(hi - lo, np.int32)
-            none = self.width - 1
+            key = np.zeros(hi - lo, np.int64)
             for k in range(1, self.order + 1):
-                prev = np.full(hi - lo, none, np.int32)
+                # 0 stands before a text's first byte
+                prev = np.zeros(hi - lo, np.int64)
                 skip = max(0, k - (lo - back))
-                prev[skip:] = sym[lo - back + skip - k : len(sym) - k]
+                prev[skip:] = digit[lo - back + skip - k : len(digit) - k]
                 for j in range(k):
                     at = cuts + j
-                    prev[at[(at >= lo) & (at < hi)] - lo] = none
-                node *= self.width
-                node += prev
-                node = self.step[node]
-            node = np.where(node >= len(self.cost) // self.width, node - len(self.cost) // self.width, node)
-            cost = self.cost[node * self.width + sym[lo - back :]]
+                    prev[at[(at >= lo) & (at < hi)] - lo] = 0
+                key <<= 9
+                key |= prev
+            key <<= 8
+            key |= digit[lo - back :] - 1
             inner = np.clip(cuts - lo, 0, None)
             keep = np.append(np.diff(np.append(inner, hi - lo)) > 0, False)[: len(inner)]
-            out[first:last][keep] += np.add.reduceat(cost, inner[keep], axis=0, dtype=np.float64)
-        assert n == len(out)
+            out[first:last][keep] += np.add.reduceat(self._codes(key), inner[keep], axis=0, dtype=np.float64)
         return out
 
 
-def count_contexts(data: bytes, order: int, symbol: np.ndarray, width: int, breaks: list[int]) -> list[tuple[np.ndarray, ...]]:
-    """For each order the contexts (as base-`width` numbers, nearest byte most significant), and context number, symbol and count of
-    what follows them."""
-    sym = symbol[np.frombuffer(data, np.uint8)].astype(np.int64)
-    place = np.zeros(len(sym), np.int64)
-    place[breaks] = 1
-    inside = np.arange(len(sym)) - np.maximum.accumulate(np.where(place > 0, np.arange(len(sym)), 0))
-    found, key = [], np.zeros(len(sym), np.int64)
+def grown(texts: list[bytes], order: int) -> Tree:
+    """The context tree of whole texts."""
+    data = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    inside = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    tree, context = Tree([], [], [], []), np.zeros(len(data), np.int64)
+    below: tuple[np.ndarray, np.ndarray] | None = None
     for k in range(order + 1):
         if k:
-            key[k:] = key[k:] * width + sym[:-k]
+            context[k:] = context[k:] << 9 | (data[:-k] + 1)
         ok = inside >= k
-        pairs, n = np.unique(key[ok] * width + sym[ok], return_counts=True)
-        ctx, row = np.unique(pairs // width, return_inverse=True)
+        pair, n = np.unique(context[ok] << 8 | data[ok], return_counts=True)
+        ctx, row = np.unique(pair >> 8, return_inverse=True)
         keep = np.bincount(row, n, len(ctx)) >= (LEAST if k else 1)
         some = keep[row]
-        found.append((ctx[keep], (np.cumsum(keep) - 1)[row[some]], (pairs % width)[some], n[some]))
-    return found
+        pair, n, row, ctx = pair[some], n[some], (np.cumsum(keep) - 1)[row[some]], ctx[keep]
+        total, distinct = np.bincount(row, n, len(ctx)), np.bincount(row, minlength=len(ctx))
+        if below is None:
+            left = (256 - distinct) / 256
+        else:
+            # whatever is seen here is seen after the shorter context too
+            seen = below[1][np.searchsorted(below[0], (pair >> 17) << 8 | (pair & 255))]
+            left = 1 - np.bincount(row, seen, len(ctx))
+        more = left > 1e-12
+        bottom = total + np.where(more, distinct, 0)
+        share = n / bottom[row]
+        below = pair, share
+        tree.contexts.append(ctx), tree.pairs.append(pair), tree.costs.append(-np.log2(share))
+        tree.escapes.append(np.where(more, np.log2(np.where(more, left, 1)) - np.log2(distinct / bottom), 0.0))
+    return tree
 
 
 def train(samples: dict[str, list[bytes]], order: int = ORDER) -> Trees:
-    """Compile one tree for each language from whole texts."""
+    """One tree for each language from whole texts."""
     names = sorted(samples)
-    seen = np.zeros(256, bool)
-    for texts in samples.values():
-        for t in texts:
-            seen[np.frombuffer(t, np.uint8)] = True
-    # symbols: the seen bytes, then one class for each unseen byte alike, then the mark for "before the text"
-    alphabet = int(seen.sum()) + 1
-    width = alphabet + 1
-    symbol = np.full(256, alphabet - 1, np.int32)
-    symbol[seen] = np.arange(alphabet - 1)
-    weight = np.ones(alphabet)
-    weight[-1] = 256 - (alphabet - 1)
-    counted = []
-    for name in names:
-        texts = [t for t in samples[name] if t]
-        ends = np.cumsum([0] + [len(t) for t in texts])
-        counted.append(count_contexts(b"".join(texts), order, symbol, width, list(ends[:-1])) if texts else None)
-    nodes = [np.unique(np.concatenate([c[k][0] for c in counted if c] or [np.zeros(1, np.int64)])) for k in range(order + 1)]
-    nodes[0] = np.zeros(1, np.int64)
-    base = np.cumsum([0] + [len(x) for x in nodes])
-    total = int(base[-1])
-    step = np.empty((2 * total, width), np.int32)
-    step[:] = np.concatenate([np.arange(total) + total, np.arange(total) + total])[:, None]
-    parent = [np.zeros(1, np.int64)]
-    for k in range(1, order + 1):
-        up = np.searchsorted(nodes[k - 1], nodes[k] // width)
-        parent.append(up)
-        step[base[k - 1] + up, nodes[k] % width] = base[k] + np.arange(len(nodes[k]))
-    cost = np.full((total * width, len(names)), 8.0, np.float32)
-    for at, found in enumerate(counted):
-        p = np.full((1, alphabet), 1 / 256)
-        for k in range(order + 1):
-            if k:
-                p = p[parent[k]]
-            if found and len(found[k][0]):
-                ctx, row, seen_symbol, times = found[k]
-                rows = np.searchsorted(nodes[k], ctx) if k else np.zeros(1, np.int64)
-                p = p.copy()
-                # a part of the contexts at a time, as rows are as wide as the alphabet
-                for lo in range(0, len(rows), 2048):
-                    hi = min(len(rows), lo + 2048)
-                    first, last = np.searchsorted(row, [lo, hi])
-                    c = np.zeros((hi - lo, alphabet))
-                    c[row[first:last] - lo, seen_symbol[first:last]] = times[first:last]
-                    distinct, n = (c > 0).sum(1), c.sum(1)
-                    rest = np.where(c > 0, 0.0, p[rows[lo:hi]])
-                    left = (rest * weight).sum(1)
-                    bottom = n + np.where(left > 0, distinct, 0)
-                    p[rows[lo:hi]] = np.where(c > 0, c / bottom[:, None], rest * (distinct / bottom / np.where(left > 0, left, 1))[:, None])
-            view = cost[base[k] * width : base[k + 1] * width, at].reshape(len(nodes[k]), width)
-            view[:] = 0
-            view[:, :alphabet] = -np.log2(np.maximum(p, 1e-300))
-            cost[base[k] * width : base[k + 1] * width, at] = view.ravel()
-    return Trees(names, symbol, width, step.ravel(), cost, order)
+    return Trees(names, [grown(samples[n], order) for n in names], order)
 
 
 def sample(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id") -> dict[str, list[bytes]]:

@@ -120,11 +120,12 @@ def test_code_lengths_are_those_of_the_trees():
     data = np.frombuffer(b"abra", np.uint8)
     total = trees.bits(data, np.array([0, 4]))[0]
     # after any context the 256 bytes' probabilities sum to one
-    width = trees.width
-    unseen = 256 - (width - 2)
-    for node in range(len(trees.cost) // width):
-        rows = np.exp2(-trees.cost[node * width : node * width + width - 1].astype(float))
-        assert np.allclose(rows[:-1].sum(0) + unseen * rows[-1], 1, atol=2e-2)
+    for context in (b"", b"a", b"br", b"ana", b"zz", b"\xff", b"band"):
+        every = np.frombuffer(b"".join(context + bytes([b]) for b in range(256)), np.uint8)
+        size = len(context) + 1
+        before = trees.bits(np.frombuffer(context, np.uint8), np.array([0, len(context)]))
+        after = trees.bits(every, np.arange(0, 256 * size + 1, size))
+        assert np.allclose(np.exp2(before - after).sum(0), 1, atol=1e-6)
     assert total[0] < total[1]
 
 
@@ -161,6 +162,33 @@ def test_code_lengths_by_recursion():
     assert len(known) > 5
 
 
+def test_models_grow_with_the_sum_of_their_trees(monkeypatch):
+    """40 languages take what their trees take alone; a memory too small for one block's code lengths changes nothing."""
+    rng = random.Random(3)
+    texts = {}
+    for k in range(40):
+        letters = [chr(0x100 + 20 * k + i) for i in range(20)]
+        texts[f"l{k:02}"] = [" ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(400)).encode() for _ in range(3)]
+    alone = sum(language.train({n: t}).nbytes for n, t in texts.items())
+    trees = language.train(texts)
+    assert trees.nbytes == alone and trees.cost.size <= language.REMEMBERED
+    data = b"".join(t[0] for t in texts.values())
+    starts = np.cumsum([0] + [len(t[0]) for t in texts.values()])
+    got = trees.bits(np.frombuffer(data, np.uint8), starts)
+    assert (got.argmin(1) == np.arange(40)).all()
+    monkeypatch.setattr(language, "REMEMBERED", 1 << 10)
+    trees.forget()
+    assert np.array_equal(trees.bits(np.frombuffer(data, np.uint8), starts), got)
+
+
+def test_ties_and_languages_of_too_long_texts(spark, monkeypatch):
+    same = [(i, "abc def ghi " * 3, "b" if i % 2 else "a") for i in range(40)]
+    docs = spark.createDataFrame(same + [(100 + i, "xyz " * 100, "long") for i in range(9)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(language, "BYTES", 200)
+    out = language.identify(docs).collect()
+    assert {r.lang_pred for r in out} == {"a"} and {r.score for r in out if r.doc_id < 100} == {0.5}
+
+
 def test_sample_is_bounded_before_it_is_collected(spark, monkeypatch):
     monkeypatch.setattr(language, "DOCS", 5)
     monkeypatch.setattr(language, "BYTES", 100)
