@@ -8,15 +8,15 @@ import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import IDF, PCA, CountVectorizer, NGram, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
-from palimpsest.operators.metrics import select_l2
-from palimpsest.operators.resample import group_holdout
+from palimpsest.operators import logistic as G
+from palimpsest.operators.selection import hash_ranked
 from palimpsest.sources.staging import written
 
-GRID = (1e-5, 1e-4, 1e-3, 1e-2, 1e-1)
+GRID = G.GRID
 
 
 def _sub(a, b) -> Column:
@@ -54,24 +54,33 @@ def projected(rows: DataFrame, vector: str, train: Column, k: int) -> DataFrame:
     return model.transform(rows).withColumn("projected", F.zip_with(vector_to_array("_p"), F.array(*[F.lit(x) for x in shift]), lambda a, b: a - b)).drop("_v", "_p")
 
 
+def _width(rows: DataFrame, vector: Column) -> int | None:
+    found = rows.where(vector.isNotNull()).select(F.size(vector)).first()
+    return None if found is None else found[0]
+
+
+PROBED = "fold int, label int, probability double, l2_lambda double"
+
+
 def probe(rows: DataFrame, vector: str, label: str, folds: int, grid: tuple[float, ...] = GRID, intercept: bool = True) -> DataFrame:
-    """[M24-M27, M39, M44] Per fold: scale on training rows, fit each penalty, choose by validation loss, score the test rows
+    """[M24-M27, M39] Per fold: scale on training rows, fit each penalty, choose by validation loss, score the test rows
     once. rows(id, fold_bucket, vector, label); gives id, fold, label, probability, l2_lambda."""
-    out = None
-    for fold in range(folds):
-        part = F.when(F.col("fold_bucket") == fold, "test").when(F.col("fold_bucket") == (fold + 1) % folds, "validation").otherwise("train")
-        data = scaled(rows.withColumn("partition", part), vector, F.col("partition") == "train").withColumn("features", array_to_vector("scaled")).withColumn("y", F.col(label).cast("double"))
-        data = written(data.select("id", "partition", "features", "y"), "probe")
-        fits, losses = {}, []
-        for lam in grid:
-            fits[lam] = LogisticRegression(featuresCol="features", labelCol="y", regParam=lam, elasticNetParam=0.0, standardization=False, fitIntercept=intercept, maxIter=60).fit(data.where("partition = 'train'"))
-            scored = fits[lam].transform(data.where("partition = 'validation'")).select("y", vector_to_array("probability")[1].alias("p"))
-            losses.append((fold, lam, scored.agg(F.avg(X.log_loss("y", "p"))).first()[0]))
-        table = rows.sparkSession.createDataFrame(losses, "fold int, l2_lambda double, validation_log_loss double")
-        best = select_l2(table, ["fold"]).first()["l2_lambda"]
-        test = fits[best].transform(data.where("partition = 'test'")).select("id", F.lit(fold).alias("fold"), F.col("y").cast("int").alias("label"), vector_to_array("probability")[1].alias("probability"), F.lit(best).alias("l2_lambda"))
-        out = test if out is None else out.unionByName(test)
-    return out
+    return probes(rows, {"probe": F.col(vector)}, label, folds, grid, intercept).drop("arm")
+
+
+def probes(rows: DataFrame, arms: dict[str, Column], label: str, folds: int, grid: tuple[float, ...] = GRID, intercept: bool = True) -> DataFrame:
+    """[M25, M44] probe() of every arm (a vector) at once: arm, id, fold, label, probability, l2_lambda. Folds, arms and penalties
+    are fitted together in each pass over the rows."""
+    widths = {name: _width(rows, v) for name, v in arms.items()}
+    if None in widths.values():
+        return rows.sparkSession.createDataFrame([], f"arm string, id {rows.schema['id'].dataType.simpleString()}, {PROBED}")
+    data = G.folds_design(rows, F.concat(*[v.cast("array<double>") for v in arms.values()]), label, folds)
+    every, at = [], 0
+    for name, width in widths.items():
+        every += [G.Arm(fold, name, tuple(range(at, at + width))) for fold in range(folds)]
+        at += width
+    scales, models = G.fit(data, every, grid, intercept, "constant")
+    return G.scored(data, scales, G.chosen(data, scales, models)).select("arm", "id", F.col("split").alias("fold"), "label", "probability", "l2_lambda")
 
 
 def boosted(rows: DataFrame, vector: str, label: str, fold: int, folds: int, trees: int = 20) -> DataFrame:
@@ -141,34 +150,42 @@ def text_pipeline(rows: DataFrame, texts: list[str], numeric: list[str], categor
     return model.transform(rows.where("not _train")).select("id", F.col("y").cast("int").alias("label"), vector_to_array("probability")[1].alias("probability"))
 
 
-def four_arms(rows: DataFrame, group: str, target: str, base: list[str], preference: list[str], seed: int = 17, fraction: float = 0.2, key: str = "id") -> DataFrame:
-    """[M19, M20] arm, id, group, label and probability of held-out groups under four sets of numeric columns: base alone, preference alone,
-    both, and both with the preference columns dealt again among the rows of each side of the split."""
-    held = group_holdout(rows, group, fraction, seed)
-    nth = lambda tag: F.row_number().over(Window.partitionBy("held_out", "_slice").orderBy(F.sha2(F.concat(F.lit(f"{tag}:{seed}:"), F.col(key).cast("string")), 256)))
-    # rows are dealt again within slices of hash, so no task sees a whole side
-    held = held.withColumn("_slice", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(64)))
-    own = held.withColumn("_at", nth("natural"))
-    dealt = held.select("held_out", "_slice", nth("dealt").alias("_at"), *[F.col(c).alias(f"_new_{c}") for c in preference])
-    own = own.join(dealt, ["held_out", "_slice", "_at"])
-    arms = {"no_preference": base, "preference_only": preference, "full": base + preference, "shuffled": base + [f"_new_{c}" for c in preference]}
-    out = None
-    for arm, columns in arms.items():
-        data = numeric_part(own, columns, ~F.col("held_out"), "_v").withColumn("features", array_to_vector("_v")).withColumn("y", F.col(target).cast("double"))
-        model = LogisticRegression(featuresCol="features", labelCol="y", regParam=1e-4, standardization=False, maxIter=60).fit(data.where("not held_out"))
-        part = model.transform(data.where("held_out")).select(F.lit(arm).alias("arm"), F.col(key).alias("id"), F.col(group).alias("lineage_id"), F.col("y").cast("int").alias("label"), vector_to_array("probability")[1].alias("probability"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def arm_matrix(tables: dict[str, DataFrame], group: str, target: str, base: list[str], preference: list[str], seeds: list[int]) -> DataFrame:
-    """[M21-M23] condition, seed, and four_arms() of each table (a condition) and seed."""
-    out = None
-    for condition, rows in tables.items():
-        for seed in seeds:
-            part = four_arms(rows, group, target, base, preference, seed).select(F.lit(condition).alias("condition"), F.lit(seed).alias("seed"), "*")
-            out = part if out is None else out.unionByName(part)
-    return out
+def four_arms(rows: DataFrame, group: str, target: str, base: list[str], preference: list[str], seed: int = 17, fraction: float = 0.2, key: str = "id", bucket: str | None = None) -> DataFrame:
+    """[M19, M20] arm_matrix() of one table and seed: arm, id, lineage_id, label, probability."""
+    return arm_matrix(rows.withColumn("condition", F.lit("rows")), group, target, base, preference, [seed], fraction, key, bucket).drop("condition", "seed", "l2_lambda")
+
+
+def arm_matrix(rows: DataFrame, group: str, target: str, base: list[str], preference: list[str], seeds: list[int], fraction: float = 0.2, key: str = "id", bucket: str | None = None) -> DataFrame:
+    """[M19-M23] condition, seed, arm, id, lineage_id, label, probability, l2_lambda of the held-out groups of every condition and
+    seed, under four sets of numeric columns: base alone, preference alone, both, and both with the preference columns dealt again
+    within each side of the split (and bucket). Missing numbers take training medians; the penalty is 1 / n. Conditions, seeds and
+    arms are fitted together. rows(condition, key, group, target, ...); a training side of one class is an error."""
+    rows = rows.select("condition", F.col(key).alias("id"), F.col(group).alias("lineage_id"), F.col(target).cast("double").alias("y"), *[F.col(c).cast("double").alias(f"b_{c}") for c in base], *[F.col(c).cast("double").alias(f"p_{c}") for c in preference], (F.lit(0) if bucket is None else F.col(bucket)).alias("bucket"))
+    rows = rows.where("lineage_id is not null").withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    groups = rows.select("condition", "seed", "lineage_id").distinct()
+    many = groups.groupBy("condition", "seed").agg(F.count("*").alias("n"))
+    held = F.least(F.greatest(F.bround(F.col("n") * F.lit(fraction)), F.lit(1)), F.greatest(F.col("n") - 1, F.lit(1)))
+    side = hash_ranked(groups, X.stable_hash(F.col("seed"), F.col("lineage_id")), ["condition", "seed"], ["lineage_id"]).join(F.broadcast(many), ["condition", "seed"])
+    side = side.select("condition", "seed", "lineage_id", (F.col("nth") <= held).alias("held_out"))
+    cell = ["condition", "seed", "held_out", "bucket"]
+    place = lambda tag: F.sha2(F.concat(F.lit(f"{tag}:"), F.col("seed").cast("string"), F.lit(":"), F.col("id").cast("string")), 256)
+    rows = written(rows.join(side, ["condition", "seed", "lineage_id"]), "arms")
+    own = hash_ranked(rows, place("natural"), cell, ["id"]).drop("place")
+    dealt = hash_ranked(rows, place("dealt"), cell, ["id"]).select(*cell, "nth", *[F.col(f"p_{c}").alias(f"n_{c}") for c in preference])
+    own = own.join(dealt, [*cell, "nth"])
+    splits = sorted((r["condition"], r["seed"]) for r in many.select("condition", "seed").collect())
+    if not splits:
+        kind = rows.schema["id"].dataType.simpleString()
+        return rows.sparkSession.createDataFrame([], f"condition string, seed int, arm string, id {kind}, lineage_id {rows.schema['lineage_id'].dataType.simpleString()}, label int, probability double, l2_lambda double")
+    number = F.create_map(*[F.lit(x) for i, (c, s) in enumerate(splits) for x in (f"{s}:{c}", i)])
+    features = F.array(*[F.col(f"b_{c}") for c in base], *[F.col(f"p_{c}") for c in preference], *[F.col(f"n_{c}") for c in preference])
+    role = F.when(F.col("held_out"), G.TEST).otherwise(G.TRAIN)
+    data = G.design(own, features, F.col("y"), F.array(number[F.concat(F.col("seed").cast("string"), F.lit(":"), F.col("condition").cast("string"))]), F.array(role), keep=["condition", "seed", "lineage_id"])
+    nb, np_ = len(base), len(preference)
+    sets = {"no_preference": range(nb), "preference_only": range(nb, nb + np_), "full": range(nb + np_), "shuffled": [*range(nb), *range(nb + np_, nb + 2 * np_)]}
+    arms = [G.Arm(i, name, tuple(columns)) for i in range(len(splits)) for name, columns in sets.items()]
+    scales, models = G.fit(data, arms, c=1.0)
+    return G.scored(data, scales, models, keep=["condition", "seed", "lineage_id"]).select("condition", "seed", "arm", "id", "lineage_id", "label", "probability", "l2_lambda")
 
 
 VALUE_STATE = "fold int, weights array<array<double>>"

@@ -8,6 +8,7 @@ from palimpsest.functions import text as X
 from palimpsest.operators import alignment as A
 from palimpsest.operators import audit as U
 from palimpsest.operators import corpora as C
+from palimpsest.operators import logistic as G
 from palimpsest.operators import metrics as M
 from palimpsest.operators import models as L
 from palimpsest.operators import resample as R
@@ -20,6 +21,8 @@ from palimpsest.sources.fixture import EPISODES_SQL, FLAGS_SQL, table
 from palimpsest.sources.staging import written
 
 FOLDS = 5
+#: Seeds of resampled splits, and planted effects of votes.
+SEEDS, EFFECTS = [17, 18, 19], (0.0, 0.5, 1.5)
 
 _STATS = FLAGS_SQL + """
 , stats AS (SELECT lineage_id, count(*) AS episodes, count(*) FILTER (e.future_revised) AS future_revised, count(*) FILTER (selected_index = 1) AS selected_b,
@@ -656,9 +659,80 @@ def _(spark, sf_dir):
 
 @query("session_arms")
 def _(spark, sf_dir):
-    """Whether a session goes on, by its round and size, by votes, by both, and by votes dealt again."""
-    rows = sessions(spark, sf_dir).withColumn("id", F.concat_ws(":", F.col("session_id").cast("string"), F.col("round").cast("string")))
-    return M.binary_metrics(L.arm_matrix({"events": rows}, "session_id", "continues", ["round"], [f"pref_{v}" for v in Z.VOTES], [17]), ["condition", "seed", "arm"])
+    """Whether a session goes on, by its round and size, by votes, by both, and by votes dealt again among rows of the same round."""
+    rows = sessions(spark, sf_dir).withColumn("id", F.concat_ws(":", F.col("session_id").cast("string"), F.col("round").cast("string"))).withColumn("condition", F.lit("events"))
+    return M.binary_metrics(L.arm_matrix(rows, "session_id", "continues", ["round"], [f"pref_{v}" for v in Z.VOTES], SEEDS, bucket="round"), ["condition", "seed", "arm"])
+
+
+def session_effects(spark, sf_dir):
+    """Every vote of events under each planted effect: it is kept on if a hash is below the chance that its vote and a mood of its
+    session give."""
+    u = lambda *parts: F.conv(F.substring(X.stable_hash(17, *parts), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    rows = sessions(spark, sf_dir).withColumn("effect", F.explode(F.array(*[F.lit(e) for e in EFFECTS])))
+    mood = u(F.lit("mood"), F.col("session_id")) * 2 - 1
+    sway = F.when(F.col("vote") == "a", 1.0).when(F.col("vote") == "b", -1.0).otherwise(0.0)
+    stays = u(F.lit("stay"), F.col("session_id"), F.col("round")) < X.sigmoid(0.3 + 0.8 * mood + F.col("effect") * sway)
+    return rows.withColumns({"target": stays.cast("int"), "id": F.concat_ws(":", F.col("session_id").cast("string"), F.col("round").cast("string")), "condition": F.concat(F.lit("effect_"), F.col("effect").cast("string"))})
+
+
+@query("session_effect_matrix")
+def _(spark, sf_dir):
+    """Planted effects by seeds, four arms each: mean losses and what votes gain over the base."""
+    out = L.arm_matrix(session_effects(spark, sf_dir), "session_id", "target", ["round", "size"], [f"pref_{v}" for v in Z.VOTES], SEEDS, bucket="round")
+    loss = out.groupBy("condition", "seed", "arm").agg(F.avg(X.log_loss("label", "probability")).alias("loss"), F.count("*").alias("n"))
+    wide = loss.groupBy("condition", "seed").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("arm") == a, F.col("loss"))).alias(a) for a in ("no_preference", "preference_only", "full", "shuffled")])
+    return wide.withColumns({"gain": F.col("no_preference") - F.col("full"), "control_gain": F.col("shuffled") - F.col("full")})
+
+
+_FITS = """
+WITH RECURSIVE q AS (SELECT doc_id % 5 AS bucket, quality AS y, ln(1 + length(text)) AS chars, ln(1 + length(text) - length(replace(text, ' ', ''))) AS gaps FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND text IS NOT NULL),
+l AS (SELECT bucket, y, 'chars' AS arm, chars AS x FROM q UNION ALL SELECT bucket, y, 'gaps', gaps FROM q),
+tr AS (SELECT f::INT AS fold, arm, y, x FROM l, range(5) t(f) WHERE bucket <> f AND bucket <> (f + 1) % 5),
+s AS (SELECT fold, arm, avg(x) AS m, CASE WHEN stddev_pop(x) <= 1e-6 THEN 1 ELSE stddev_pop(x) END AS sd, count(*) AS n FROM tr GROUP BY fold, arm),
+z AS (SELECT fold, arm, y, (x - m) / sd AS x FROM tr JOIN s USING (fold, arm)),
+it(i, fold, arm, l2, b, w) AS (
+  SELECT 0, fold, arm, l2, 0.0::DOUBLE, 0.0::DOUBLE FROM s, (VALUES (1e-5::DOUBLE), (1e-4), (1e-3), (1e-2), (1e-1), (1.0), (10.0), (100.0)) g(l2)
+  UNION ALL SELECT i + 1, fold, arm, l2, b - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), w - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (
+    SELECT i, fold, arm, l2, b, w, avg(p - y) AS g0, avg((p - y) * x) + l2 * w AS g1, avg(p * (1 - p)) AS h00, avg(p * (1 - p) * x) AS h01, avg(p * (1 - p) * x * x) + l2 AS h11
+    FROM (SELECT i, fold, arm, l2, b, w, x, y, 1 / (1 + exp(-(b + w * x))) AS p FROM it JOIN z USING (fold, arm) WHERE i < 14) GROUP BY i, fold, arm, l2, b, w)),
+done AS (SELECT * FROM it WHERE i = 14)
+"""
+
+
+def quality_fits(spark, sf_dir):
+    """All folds, two arms of one column and eight penalties, fitted together on labelled documents."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("label")).where("label is not null"), "doc_id")
+    gaps = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))
+    rows = docs.select(F.col("doc_id").alias("id"), (F.col("doc_id") % FOLDS).cast("int").alias("fold_bucket"), "label", F.array(F.log1p(F.length("text").cast("double")), F.log1p(gaps.cast("double"))).alias("v"))
+    data = G.folds_design(rows, F.col("v"), "label", FOLDS)
+    return data, *G.fit(data, [G.Arm(f, name, (i,)) for f in range(FOLDS) for i, name in enumerate(("chars", "gaps"))], G.EXTENDED_GRID)
+
+
+@query("logistic_coefficients", _FITS + "SELECT fold, arm, l2 AS l2_lambda, n AS train_rows, round(b, 6) AS intercept, round(w, 6) AS weight FROM done JOIN s USING (fold, arm)")
+def _(spark, sf_dir):
+    _, _, models = quality_fits(spark, sf_dir)
+    rows = [(fold, arm, l2, n, round(b, 6) + 0.0, round(w[0], 6) + 0.0) for fold, arm, l2, n, b, w in G.coefficients(models)]
+    return spark.createDataFrame(rows, "fold int, arm string, l2_lambda double, train_rows long, intercept double, weight double")
+
+
+@query("logistic_selected_scores", _FITS + """
+, v AS (SELECT fold, arm, l2, avg(-ln(CASE WHEN y = 1 THEN p ELSE 1 - p END)) AS loss FROM (
+    SELECT d.fold, d.arm, l2, y, least(greatest(1 / (1 + exp(-(b + w * (x - m) / sd))), 1e-7), 1 - 1e-7) AS p FROM done d JOIN s USING (fold, arm) JOIN l ON l.arm = d.arm AND l.bucket = (d.fold + 1) % 5) GROUP BY fold, arm, l2),
+best AS (SELECT fold, arm, max(l2) AS l2 FROM (SELECT *, min(loss) OVER (PARTITION BY fold, arm) AS least FROM v) WHERE loss <= least + 1e-12 GROUP BY fold, arm)
+SELECT d.fold, d.arm, l2 AS l2_lambda, count(*) AS n, sum(y)::BIGINT AS positives, round(avg(1 / (1 + exp(-(b + w * (x - m) / sd)))), 6) AS mean_probability
+FROM best JOIN done d USING (fold, arm, l2) JOIN s USING (fold, arm) JOIN l ON l.arm = d.arm AND l.bucket = d.fold GROUP BY d.fold, d.arm, l2""")
+def _(spark, sf_dir):
+    """The penalty that validation rows choose for each fold and arm, and the scores of the test rows."""
+    data, scales, models = quality_fits(spark, sf_dir)
+    out = G.scored(data, scales, G.chosen(data, scales, models))
+    return out.groupBy(F.col("split").alias("fold"), "arm", "l2_lambda").agg(F.count("*").alias("n"), F.sum("label").cast("long").alias("positives"), F.round(F.avg("probability"), 6).alias("mean_probability"))
+
+
+@query("matched_control_metrics")
+def _(spark, sf_dir):
+    """Arms of vector geometry with eight penalties each, every fold at once."""
+    v = {"context": F.col("context"), "generic": L.geometry("context", "candidate_a", "candidate_b"), "choice": L.choice_geometry("context", "candidate_a", "candidate_b")}
+    return M.binary_metrics(L.probes(triples(spark, sf_dir), v, "label", FOLDS, G.EXTENDED_GRID), ["arm", "fold"])
 
 
 @query("tfidf_logistic_metrics")
