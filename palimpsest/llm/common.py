@@ -27,8 +27,10 @@ def prepare(spark: SparkSession) -> SparkSession:
 def batch_rows(spark: SparkSession, n: int):
     """Within, jobs send at most n rows to Python at once: for rows that hold many bytes each."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
-    yield
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

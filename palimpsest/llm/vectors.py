@@ -111,14 +111,17 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
     exclude against the score it has by then.
 
     Cases: vectors that are null, empty or hold null or non-finite components take no part, nor do rows without vec_id;
-    only vectors of the query's length are candidates; rows equal in vec_id and vector count once, and no row with the
-    query's vec_id is its candidate; ties go to the smaller vec_id; a query with fewer candidates has fewer rows;
-    components and scores beyond 64 bits count as the nearest 64-bit number; other columns are not looked at.
+    only vectors of the query's length are candidates; queries and candidates are rows, not ids: rows that repeat a vec_id are
+    candidates each, also of each other, and queries each, with a list of its own under the same query_id; ties go to the
+    smaller vec_id; a query with fewer candidates has fewer rows; components and scores beyond 64 bits count as the nearest
+    64-bit number; other columns are not looked at.
     """
     spark = prepare(vectors.sparkSession)
-    rows = usable(vectors.select("vec_id", "embedding")).select("vec_id", "dim", F.transform("v", lambda x: F.floor(F.greatest(F.least(x * scale, F.lit(9.2e18)), F.lit(-9.2e18)))).alias("v")).distinct()
-    rows = written(rows.withColumn("norm", F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), "vectors")
-    kind = rows.schema["vec_id"].dataType.simpleString()
+    rows = usable(vectors.select("vec_id", "embedding")).select("vec_id", "dim", F.transform("v", lambda x: F.floor(F.greatest(F.least(x * scale, F.lit(9.2e18)), F.lit(-9.2e18)))).alias("v"))
+    rows = rows.withColumn("norm", F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    # from here on rows go by their number, which is written with them
+    rows = written(rows.withColumnRenamed("vec_id", "name").withColumn("vec_id", F.monotonically_increasing_id()), "vectors")
+    named, kind = rows.schema["name"].dataType.simpleString(), "bigint"
     fitted = {}
     for dim, longest, many in rows.groupBy("dim").agg(F.max("norm"), F.count("*")).collect():
         pivots = int(min(MOST_PIVOTS, FIT // 4, max(PIVOTS, many**0.5 / 8)))
@@ -134,7 +137,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
                     centre[p] = wide[near == p].mean(0)
         fitted[dim] = (float(longest), centre, np.array([r["vec_id"] for r in found], object), exact)
     if not fitted:
-        return spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score long")
+        return spark.createDataFrame([], f"query_id {named}, rank int, vec_id {named}, score long")
     shared = Shared(spark, fitted)
 
     def to_pivots(v: np.ndarray, dim: int, extra: bool) -> np.ndarray:
@@ -171,14 +174,18 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
                 d = to_pivots(v, dim, False)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), dim, np.int32)), ids, pa.array([x.tobytes() for x in v.astype("<i8")], pa.binary()), pa.array(bound), pa.array((v.astype(np.float64) ** 2).sum(1)), pa.array(list(d), pa.list_(pa.float64()))], ["dim", "query_id", "packed", "bound", "norm", "far"])
 
-    queries = written(rows.where(F.col("vec_id") % every == 0).select("vec_id", "dim", "v").mapInArrow(asked, f"dim int, query_id {kind}, packed binary, bound long, norm double, far array<double>"), "queries")
+    queries = written(rows.where(F.col("name") % every == 0).select("vec_id", "dim", "v").mapInArrow(asked, f"dim int, query_id {kind}, packed binary, bound long, norm double, far array<double>"), "queries")
     longest = F.create_map(*[F.lit(x) for dim, f in fitted.items() for x in (int(dim), f[0])])
     places = queries.select("dim", "query_id", "norm", "bound", F.posexplode("far").alias("pivot", "away"))
     spans = index.select(F.col("dim").alias("d"), F.col("pivot").alias("p"), "tile", "lo", "hi")
     gap = F.greatest(F.col("lo") - F.col("away"), F.col("away") - F.col("hi"), F.lit(0.0))
     best = (F.col("norm") + longest[F.col("dim")] - gap * gap) / 2 + _slack(F.col("norm"), longest[F.col("dim")])
-    reach = places.join(spans, (F.col("dim") == F.col("d")) & (F.col("pivot") == F.col("p")) & (best >= F.col("bound"))).select("query_id", "tile", best.alias("best"), "bound")
-    nearest = written(reach.withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("best"), "tile"))).where(F.col("nth") <= NEAREST).select("query_id", "tile"), "nearest")
+    reach = written(places.join(spans, (F.col("dim") == F.col("d")) & (F.col("pivot") == F.col("p")) & (best >= F.col("bound"))).select("query_id", "tile", best.alias("best"), "bound"), "reach")
+    # the nearest tiles of each query, taken from each task's own first ones
+    first_tiles = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("best")).alias("far"), "tile"))), 1, NEAREST)
+    own = reach.withColumn("_part", F.pmod(F.xxhash64("tile"), F.lit(64))).groupBy("query_id", "_part").agg(first_tiles.alias("t"))
+    nearest = own.groupBy("query_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("t"))), 1, NEAREST).alias("t"))
+    nearest = written(nearest.select("query_id", F.explode(F.col("t")["tile"]).alias("tile")), "nearest")
     chunks = max(1, -(-queries.count() // QUERY_ROWS))
 
     def searched(pairs: DataFrame) -> DataFrame:
@@ -204,15 +211,23 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
 
         return met.mapInArrow(run, f"query_id {kind}, vec_id {kind}, score long")
 
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    # ties go by the candidates' names, of one name by their numbers
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "name", "vec_id")
+    names = rows.select(F.col("vec_id").alias("_row"), "name")
+
+    def best_of(found: DataFrame) -> DataFrame:
+        found = found.select("query_id", "vec_id", "score").join(names, F.col("vec_id") == F.col("_row")).drop("_row")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
     with batch_rows(spark, TILE_BATCH):
-        first = written(searched(nearest).distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "first")
+        first = written(best_of(searched(nearest)), "first")
     sure = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") == k).select(F.col("query_id").alias("of"), "least")
     rest = reach.join(sure, F.col("query_id") == F.col("of"), "left").where(F.col("least").isNull() | (F.col("best") >= F.col("least"))).select("query_id", "tile").join(nearest, ["query_id", "tile"], "left_anti")
     with batch_rows(spark, TILE_BATCH):
         more = written(searched(rest), "more")
-    found = first.select("query_id", "vec_id", "score").union(more).distinct()
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = best_of(first.select("query_id", "vec_id", "score").union(more))
+    asking = rows.where(F.col("name") % every == 0).select(F.col("vec_id").alias("_query"), F.col("name").alias("_name"))
+    return found.join(asking, F.col("query_id") == F.col("_query")).select(F.col("_name").alias("query_id"), "rank", F.col("name").alias("vec_id"), "score")
 
 
 def op7_exact_top_k(spark, sf_dir):
@@ -220,12 +235,12 @@ def op7_exact_top_k(spark, sf_dir):
 
 
 OP7_SQL = """
-WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
            WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
-      FROM v q JOIN v c ON len(q.v) = len(c.v) AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+s AS (SELECT q.n, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+      FROM v q JOIN v c ON len(q.v) = len(c.v) AND q.n <> c.n WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 

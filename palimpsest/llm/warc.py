@@ -6,7 +6,8 @@ never a whole archive or payload.
 
 Of rows whose payloads are equal, those with the smallest page_id are responses (rows that repeat that page_id too) and
 the others revisit it; payloads below `least` bytes are always responses. A null html is an empty payload, a null url
-has no target URI, a null page_id counts as larger than any other. Archives go to the folder that all executors share,
+has no target URI, a null page_id counts as larger than any other and has no id header; ids of any characters are encoded byte
+by byte, and WARC-Record-ID also has the record's place, so that rows which repeat a page_id stay apart. Archives go to the folder that all executors share,
 under names made from run and task, so that a repeated task replaces its own file.
 """
 
@@ -61,16 +62,29 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None, revisit: bool) -> bytes:
-    """One WARC record as one gzip member."""
+def encoded(page_id: str) -> str:
+    """An id as it stands in a header: bytes that are not plain by their numbers."""
+    return "".join(chr(b) if chr(b).isalnum() and b < 128 or chr(b) in "-._~" else f"%{b:02X}" for b in page_id.encode())
+
+
+def decoded(text: str) -> str:
+    return re.sub(rb"%([0-9A-F]{2})", lambda m: bytes([int(m[1], 16)]), text.encode()).decode()
+
+
+def record(page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None, revisit: bool, row: str = "0") -> bytes:
+    """One WARC record as one gzip member. `row` tells rows of one page_id apart in WARC-Record-ID; a null id has no header."""
     uri = lambda x: f"<urn:palimpsest:page:{x}>"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {uri('' if page_id is None else page_id)}", f"WARC-Date: {DATE}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:palimpsest:record:{'' if page_id is None else encoded(page_id)}:{row}>", f"WARC-Date: {DATE}"]
+    if page_id is not None:
+        head.append(f"X-Page-ID: {uri(encoded(page_id))}")
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\s\x00-\x20]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url))
     if revisit:
-        head += [f"WARC-Profile: {SAME_PAYLOAD}", f"WARC-Refers-To: {uri('' if refers_to is None else refers_to)}"]
+        head.append(f"WARC-Profile: {SAME_PAYLOAD}")
+        if refers_to is not None:
+            head.append(f"X-Refers-To-Page: {uri(encoded(refers_to))}")
     head += [f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Block-Digest: sha1:{base32_sha1(block)}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
     return packer.compress("\r\n".join(head).encode() + b"\r\n\r\n") + packer.compress(block) + packer.compress(b"\r\n\r\n") + packer.flush()
@@ -128,7 +142,7 @@ def fields(head: bytes) -> dict[str, str]:
 
 def read_records(stream) -> Iterator[tuple[str | None, int, str, str, str | None]]:
     """(page_id, payload bytes, payload digest, type, refers to) of every record, digests verified."""
-    name = lambda x: re.fullmatch(r"<urn:palimpsest:page:(.*)>", x)[1] or None
+    name = lambda x: None if x is None else decoded(re.fullmatch(r"<urn:palimpsest:page:(.*)>", x)[1])
     members = Members(stream)
     while members.begin():
         head = fields(members.until(b"\r\n\r\n"))
@@ -147,11 +161,11 @@ def read_records(stream) -> Iterator[tuple[str | None, int, str, str, str | None
         if head["warc-block-digest"] != "sha1:" + base64.b32encode(block.digest()).decode():
             raise ValueError(f"block digest of {head['warc-record-id']} does not match")
         if head["warc-type"] == "revisit":
-            yield name(head["warc-record-id"]), int(fields(http)["content-length"]), stated, "revisit", name(head["warc-refers-to"])
+            yield name(head.get("x-page-id")), int(fields(http)["content-length"]), stated, "revisit", name(head.get("x-refers-to-page"))
         else:
             if base64.b32encode(digest.digest()).decode() != stated:
                 raise ValueError(f"payload digest of {head['warc-record-id']} does not match")
-            yield name(head["warc-record-id"]), size, stated, "response", None
+            yield name(head.get("x-page-id")), size, stated, "response", None
 
 
 def decide(pages: DataFrame, least: int = 0) -> DataFrame:
@@ -194,7 +208,7 @@ def write(pages: DataFrame, least: int = 0) -> DataFrame:
                     temporary = f"{path}.{task.taskAttemptId()}.tmp"
                     out, n, size = open_path(temporary, "wb"), 0, 0
                 payload = html.encode()
-                size += out.write(record(page_id, url, payload, base32_sha1(payload), first, revisit))
+                size += out.write(record(page_id, url, payload, base32_sha1(payload), first, revisit, f"{task.partitionId()}.{part}.{n}"))
                 n += 1
                 if size >= ARCHIVE:
                     close()

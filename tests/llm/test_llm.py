@@ -533,6 +533,22 @@ def test_top_k_by_brute_force(spark, monkeypatch):
     assert vectors.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_top_k_keeps_rows_apart(spark, monkeypatch):
+    """Two different queries of one id, equal candidates, and rows that share the query's id."""
+    monkeypatch.setattr(vectors, "FIT", 8)
+    monkeypatch.setattr(vectors, "INDEX_ROWS", 3)
+    rng = np.random.default_rng(9)
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [0.5, 1.0]), (3, [0.1, 0.1])] + [(int(i), rng.standard_normal(2).tolist()) for i in rng.integers(60, 120, 40)]
+    got = collections.Counter((r.query_id, r.rank, r.vec_id, r.score) for r in vectors.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect())
+    v = [(i, [math.floor(256 * x) for x in e]) for i, e in rows]
+    want = collections.Counter()
+    for q, (i, a) in enumerate(v):
+        if i % 50 == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), j) for c, (j, b) in enumerate(v) if c != q)[:5]
+            want.update((i, rank, j, -s) for rank, (s, j) in enumerate(best, 1))
+    assert got == want
+
+
 def test_links_by_brute_force(spark, monkeypatch):
     monkeypatch.setattr(vectors, "JOIN_ROWS", 32)
     rows = vector_rows()
@@ -679,6 +695,18 @@ def test_archives(spark):
     assert warc.read(warc.write(pages.where("false"))).count() == 0
 
 
+def test_ids_of_any_characters(spark):
+    ids = ["", None, "a\nb", "a\r\n\r\nb", "50%2F", "é😀 :>", "same", "same"]
+    pages = spark.createDataFrame([(x, None, "p" if x != "same" else "q") for x in ids], "page_id string, url string, html string")
+    got = [(r.page_id, r.record_type, r.refers_to) for r in warc.read(warc.write(pages)).collect()]
+    first = min(x for x in ids if x is not None and x != "same")
+    want = [(x, "response", None) if x in ("same", first) else (x, "revisit", first) for x in ids]
+    assert collections.Counter(got) == collections.Counter(want)
+    raw = [warc.record("same", None, b"", warc.base32_sha1(b""), None, False, str(k)) for k in range(2)]
+    heads = [zlib.decompress(x, 31).split(b"\r\n")[2] for x in raw]
+    assert heads[0].startswith(b"WARC-Record-ID") and heads[0] != heads[1]
+
+
 # --- pipeline
 
 
