@@ -5,14 +5,16 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import IDF, PCA, CountVectorizer, NGram, RegexTokenizer
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
+from palimpsest.operators import boosting as T
 from palimpsest.operators import logistic as G
+from palimpsest.operators import sparse as Q
+from palimpsest.operators.projections import BASE_CATEGORICAL, BASE_NUMERIC, BASE_TEXT, FeatureSet
 from palimpsest.operators.selection import hash_ranked
 from palimpsest.sources.staging import written
 
@@ -83,71 +85,40 @@ def probes(rows: DataFrame, arms: dict[str, Column], label: str, folds: int, gri
     return G.scored(data, scales, G.chosen(data, scales, models)).select("arm", "id", F.col("split").alias("fold"), "label", "probability", "l2_lambda")
 
 
-def boosted(rows: DataFrame, vector: str, label: str, fold: int, folds: int, trees: int = 20) -> DataFrame:
-    """[M45] Shallow boosted trees with early stopping on the validation bucket; scores of the test bucket."""
-    data = rows.withColumn("features", array_to_vector(F.col(vector).cast("array<double>"))).withColumn("y", F.col(label).cast("double")).withColumn("is_validation", F.col("fold_bucket") == (fold + 1) % folds)
-    model = GBTClassifier(featuresCol="features", labelCol="y", maxDepth=2, stepSize=0.03, subsamplingRate=0.8, featureSubsetStrategy="0.25", maxIter=trees, validationIndicatorCol="is_validation", seed=17)
-    fit = model.fit(data.where(F.col("fold_bucket") != fold))
-    return fit.transform(data.where(F.col("fold_bucket") == fold)).select("id", F.lit(fold).alias("fold"), F.col("y").cast("int").alias("label"), vector_to_array("probability")[1].alias("probability"))
-
-
-def boosted_arms(rows: DataFrame, arms: dict[str, str], label: str, folds: int, trees: int = 20) -> DataFrame:
-    """[M46] boosted() of every arm (a vector column) and fold: arm, id, fold, label, probability."""
-    out = None
-    for arm, vector in arms.items():
-        for fold in range(folds):
-            part = boosted(rows, vector, label, fold, folds, trees).select(F.lit(arm).alias("arm"), "*")
-            out = part if out is None else out.unionByName(part)
-    return out
-
-
-def tfidf(rows: DataFrame, text: str, train: Column, terms: int = 2000, least: int = 2) -> DataFrame:
-    """[M17, M18] Unit-length TF-IDF of words and pairs with 1 + ln tf and smoothed idf, as `features`."""
-    words = RegexTokenizer(inputCol=text, outputCol="_w", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False).transform(rows)
-    words = NGram(n=2, inputCol="_w", outputCol="_g").transform(words).withColumn("_t", F.concat("_w", "_g"))
-    counter = CountVectorizer(inputCol="_t", outputCol="_c", vocabSize=terms, minDF=least).fit(words.where(train))
-    counted = counter.transform(words)
-    idf = IDF(inputCol="_c", outputCol="_i").fit(counted.where(train))
-    df, n = np.array(idf.docFreq, float), float(idf.numDocs)
-    # one row, of as many numbers as there are terms
-    weights = rows.sparkSession.createDataFrame([((np.log((1 + n) / (1 + df)) + 1).tolist(),)], "_idf array<double>")
-    counted = counted.crossJoin(F.broadcast(weights))
-    raw = F.zip_with(vector_to_array("_c"), F.col("_idf"), lambda c, w: F.when(c > 0, (1 + F.ln(c)) * w).otherwise(0.0))
-    norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda s, x: s + x * x))
-    return counted.withColumn("_raw", raw).withColumn("_norm", norm).withColumn("tfidf", F.when(F.col("_norm") > 0, F.transform("_raw", lambda x: x / F.col("_norm"))).otherwise(F.col("_raw"))).drop("_w", "_g", "_t", "_c", "_raw", "_norm", "_idf")
-
-
-def numeric_part(rows: DataFrame, columns: list[str], train: Column, into: str = "numeric") -> DataFrame:
-    """[M17, M18] Columns with missing values as the training median, then by training mean and deviation."""
-    medians = rows.where(train).agg(*[F.percentile(c, F.lit(0.5)).alias(f"_m_{c}") for c in columns])
-    filled = F.array(*[F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}"), F.lit(0.0)) for c in columns])
-    rows = rows.crossJoin(F.broadcast(medians)).withColumn("_filled", filled).drop(*[f"_m_{c}" for c in columns])
-    return scaled(rows, "_filled", train, into).drop("_filled")
-
-
-def one_hot_part(rows: DataFrame, column: str, train: Column, into: str = "categories", most: int = 1000) -> DataFrame:
-    """[M17, M18] One component for each training value in order (the most frequent ones, at most `most`); others are all zeros."""
-    values = rows.where(train & F.col(column).isNotNull()).groupBy(column).count().orderBy(F.desc("count"), column).limit(most).agg(F.sort_array(F.collect_list(column)).alias("_values"))
-    return rows.crossJoin(F.broadcast(values)).withColumn(into, F.transform("_values", lambda v: (v.eqNullSafe(F.col(column))).cast("double"))).drop("_values")
-
-
-def text_pipeline(rows: DataFrame, texts: list[str], numeric: list[str], categorical: list[str], label: str, train: Column, c: float = 1.0, terms: int = 2000) -> DataFrame:
-    """[M17, M18] TF-IDF of each text, numbers and one-hot categories fitted on training rows, then a logistic model with penalty
-    1 / (c n); probability of every row that is not a training row. rows(id, ...)."""
-    parts = []
-    for k, text in enumerate(texts):
-        rows = tfidf(rows.withColumn(text, F.coalesce(text, F.lit(""))), text, train, terms).withColumnRenamed("tfidf", f"_text_{k}")
-        parts.append(f"_text_{k}")
-    if numeric:
-        rows = numeric_part(rows, numeric, train, "_numeric")
-        parts.append("_numeric")
-    for k, column in enumerate(categorical):
-        rows = one_hot_part(rows, column, train, f"_category_{k}")
-        parts.append(f"_category_{k}")
-    rows = rows.withColumn("features", array_to_vector(F.concat(*parts))).withColumn("y", F.col(label).cast("double")).withColumn("_train", train)
-    n = max(1, rows.where("_train").count())
-    model = LogisticRegression(featuresCol="features", labelCol="y", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=60).fit(rows.where("_train"))
-    return model.transform(rows.where("not _train")).select("id", F.col("y").cast("int").alias("label"), vector_to_array("probability")[1].alias("probability"))
+def boosted_arms(rows: DataFrame, blocks: dict[str, Column], arms: dict[str, tuple[str, ...]], label: str, folds: int, settings: T.Settings = T.Settings()) -> DataFrame:
+    """[M45, M46] Second-order boosted trees of every arm (names of blocks, which are vectors) and fold, grown together: id, arm, fold,
+    label, probability, rounds. rows(id, fold_bucket, label, ...)."""
+    starts, at = {}, 0
+    for name, v in blocks.items():
+        if (width := _width(rows, v)) is None:
+            return rows.sparkSession.createDataFrame([], f"id {rows.schema['id'].dataType.simpleString()}, arm string, fold int, label int, probability double, rounds int")
+        starts[name], at = range(at, at + width), at + width
+    role = [F.when(F.col("fold_bucket") == f, G.TEST).when(F.col("fold_bucket") == (f + 1) % folds, G.VALIDATION).otherwise(G.TRAIN) for f in range(folds)]
+    data, _ = T.binned(rows, F.concat(*[v.cast("array<double>") for v in blocks.values()]), F.col(label), F.array(*[F.lit(f) for f in range(folds)]), F.array(*role))
+    every = [G.Arm(f, name, tuple(i for b in parts for i in starts[b])) for name, parts in arms.items() for f in range(folds)]
+    return T.scored(data, T.boost(data, every, settings))
+
+
+def text_models(rows: DataFrame, splits: DataFrame, texts: list[str], numeric: list[str], categorical: list[str], sets: dict[str, tuple[str, ...]] | None = None, c: float = 1.0, terms: int = 2000, averaged: bool = False) -> DataFrame:
+    """[M17, M18, M21] TF-IDF of texts, numbers and categories fitted on the training rows of each split, and a logistic model with
+    penalty 1 / (c n) for each split and feature set (names of blocks; without sets one of all): id, split, feature_set, label and
+    probability of test rows. rows(id, label, ...), splits(id, split, role). averaged takes mini-batch steps instead of quasi-Newton."""
+    data, blocks = Q.design(rows, splits, texts, numeric, categorical, terms)
+    sets = sets or {"all": tuple(dict.fromkeys(b for _, b in blocks.start))}
+    models = Q.models_of(data, blocks, sets, c)
+    return Q.scored(data, (Q.fit_averaged if averaged else lambda d, m: Q.fit(d, m, done=1e-4))(data, models))
+
+
+def feature_set_models(rows: DataFrame, splits: DataFrame, sets: list[FeatureSet], terms: int = 2000, c: float = 1.0) -> DataFrame:
+    """[P20, M21] text_models() of feature sets as masks over one design. A set that is shuffled reads the columns with `_shuffled`
+    behind their name in place of those that base sets do not have."""
+    base = {*BASE_TEXT, *BASE_NUMERIC, *BASE_CATEGORICAL}
+    own = lambda f, c: f"{c}_shuffled" if f.shuffled and c not in base else c
+    texts = list(dict.fromkeys(own(f, c) for f in sets for c in f.text))
+    numeric = list(dict.fromkeys(own(f, c) for f in sets for c in f.numeric))
+    categorical = list(dict.fromkeys(c for f in sets for c in f.categorical))
+    masks = {f.name: (*[f"text:{own(f, c)}" for c in f.text], *[f"number:{own(f, c)}" for c in f.numeric], *[f"category:{c}" for c in f.categorical]) for f in sets}
+    return text_models(rows, splits, texts, numeric, categorical, masks, c, terms)
 
 
 def four_arms(rows: DataFrame, group: str, target: str, base: list[str], preference: list[str], seed: int = 17, fraction: float = 0.2, key: str = "id", bucket: str | None = None) -> DataFrame:
@@ -211,62 +182,76 @@ class ValueNetwork:
 
 
 def value_networks(rows: DataFrame, folds: int, hidden: int = 32, bottleneck: int = 8, epochs: int = 30, rate: float = 3e-3, decay: float = 1e-2, seed: int = 17, most: int = 20_000) -> dict[int, list[list[float]]]:
-    """[M37, M38, M41] A ranker q(B) - q(A) for each fold, trained on at most about `most` hash-first rows outside of its test bucket,
+    """[M37, M38] A ranker q(B) - q(A) for each fold, trained on at most about `most` hash-first rows outside of its test bucket,
     with early stopping on its validation bucket. rows(id, fold_bucket, context, candidate_a, candidate_b, label from 0 to 1: 1 where B is
-    selected, or a mix with a teacher's probability); with shuffled labels it is the control. A few kilobytes for each fold."""
-    sample = rows.select("id", "fold_bucket", "context", "candidate_a", "candidate_b", F.col("label").cast("double").alias("label"))
+    selected, or a mix with a teacher's probability). A few kilobytes for each fold."""
+    nets = transfer_networks(rows.withColumn("labels", F.array(F.col("label").cast("double"))), folds, hidden, bottleneck, epochs, rate, decay, seed, most)
+    return {fold: weights for (_, fold), weights in nets.items()}
+
+
+def transfer_networks(rows: DataFrame, folds: int, hidden: int = 32, bottleneck: int = 8, epochs: int = 30, rate: float = 3e-3, decay: float = 1e-2, seed: int = 17, most: int = 20_000) -> dict[tuple[int, int], list[list[float]]]:
+    """[M37, M41] value_networks() for each place in rows' column labels (array<double>: authentic ones, and dealt again for controls) and
+    fold, one grouped training by (replica, fold)."""
+    sample = rows.select("id", "fold_bucket", "context", "candidate_a", "candidate_b", F.col("labels").cast("array<double>").alias("labels"))
     share = max(1, -(-rows.count() // most))
     sample = sample.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(share)) == 0).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where("fold_bucket <> fold")
+    sample = sample.select("*", F.posexplode("labels").alias("replica", "label")).drop("labels")
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id")
-        fold = int(part["fold"].iat[0])
-        c, a, b = (np.stack(part[x].to_numpy()).astype(np.float64) for x in ("context", "candidate_a", "candidate_b"))
-        y = part["label"].to_numpy(float)
-        valid = part["fold_bucket"].to_numpy() == (fold + 1) % folds
-        train = ~valid
-        fa, fb = _view(c, a), _view(c, b)
-        mean, sd = np.concatenate([fa[train], fb[train]]).mean(0), np.concatenate([fa[train], fb[train]]).std(0)
-        sd[sd <= 1e-6] = 1
-        fa, fb = (fa - mean) / sd, (fb - mean) / sd
-        rng = np.random.default_rng(seed + fold)
-        p = [rng.standard_normal((fa.shape[1], hidden)) / fa.shape[1] ** 0.5, np.zeros(hidden), rng.standard_normal((hidden, bottleneck)) / hidden**0.5, np.zeros(bottleneck), rng.standard_normal(bottleneck) / bottleneck**0.5]
-        m, v = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
-
-        def forward(x):
-            h = np.tanh(x @ p[0] + p[1])
-            z = np.tanh(h @ p[2] + p[3])
-            return h, z, z @ p[4]
-
-        best, kept, wait, t = np.inf, [x.copy() for x in p], 0, 0
-        loss = lambda q, y: np.logaddexp(0, q).mean() - (q * y).mean()
-        for _ in range(epochs):
-            for at in np.array_split(rng.permutation(np.flatnonzero(train)), max(1, int(train.sum()) // 64)):
-                (ha, za, qa), (hb, zb, qb) = forward(fa[at]), forward(fb[at])
-                d = (1 / (1 + np.exp(-(qb - qa))) - y[at]) / len(at)
-                g = [0.0] * 5
-                for x, h, z, s in ((fb[at], hb, zb, d), (fa[at], ha, za, -d)):
-                    dz = s[:, None] * p[4] * (1 - z**2)
-                    dh = dz @ p[2].T * (1 - h**2)
-                    for k, inc in enumerate((x.T @ dh, dh.sum(0), h.T @ dz, dz.sum(0), z.T @ s)):
-                        g[k] = g[k] + inc
-                t += 1
-                for k in range(5):
-                    m[k] += 0.1 * (g[k] - m[k])
-                    v[k] += 0.001 * (g[k] ** 2 - v[k])
-                    p[k] -= rate * (m[k] / (1 - 0.9**t) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8) + decay * p[k])
-            now = loss(forward(fb[valid])[2] - forward(fa[valid])[2], y[valid]) if valid.any() else 0.0
-            if now < best - 1e-6:
-                best, kept, wait = now, [x.copy() for x in p], 0
-            else:
-                wait += 1
-                if wait >= 5:
-                    break
-        p[:] = kept
-        flat = [mean, sd, p[0].ravel(), p[1], p[2].ravel(), p[3], p[4]]
-        return pd.DataFrame({"fold": [np.int32(fold)], "weights": [[x.tolist() for x in flat]]})
-
-    return {r["fold"]: r["weights"] for r in sample.groupBy("fold").applyInPandas(fit, VALUE_STATE).collect()}
+        replica, fold = int(part["replica"].iat[0]), int(part["fold"].iat[0])
+        flat = trained(part, fold, folds, hidden, bottleneck, epochs, rate, decay, seed + fold + 1000 * replica)
+        return pd.DataFrame({"replica": [np.int32(replica)], "fold": [np.int32(fold)], "weights": [flat]})
+
+    return {(r["replica"], r["fold"]): r["weights"] for r in sample.groupBy("replica", "fold").applyInPandas(fit, f"replica int, {VALUE_STATE}").collect()}
+
+
+def trained(part: pd.DataFrame, fold: int, folds: int, hidden: int, bottleneck: int, epochs: int, rate: float, decay: float, seed: int) -> list[list[float]]:
+    """Weights of one ranker on one bounded part."""
+    c, a, b = (np.stack(part[x].to_numpy()).astype(np.float64) for x in ("context", "candidate_a", "candidate_b"))
+    y = part["label"].to_numpy(float)
+    valid = part["fold_bucket"].to_numpy() == (fold + 1) % folds
+    train = ~valid
+    fa, fb = _view(c, a), _view(c, b)
+    mean, sd = np.concatenate([fa[train], fb[train]]).mean(0), np.concatenate([fa[train], fb[train]]).std(0)
+    sd[sd <= 1e-6] = 1
+    fa, fb = (fa - mean) / sd, (fb - mean) / sd
+    rng = np.random.default_rng(seed)
+    p = [rng.standard_normal((fa.shape[1], hidden)) / fa.shape[1] ** 0.5, np.zeros(hidden), rng.standard_normal((hidden, bottleneck)) / hidden**0.5, np.zeros(bottleneck), rng.standard_normal(bottleneck) / bottleneck**0.5]
+    m, v = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
+
+    def forward(x):
+        h = np.tanh(x @ p[0] + p[1])
+        z = np.tanh(h @ p[2] + p[3])
+        return h, z, z @ p[4]
+
+    best, kept, wait, t = np.inf, [x.copy() for x in p], 0, 0
+    loss = lambda q, y: np.logaddexp(0, q).mean() - (q * y).mean()
+    for _ in range(epochs):
+        for at in np.array_split(rng.permutation(np.flatnonzero(train)), max(1, int(train.sum()) // 64)):
+            (ha, za, qa), (hb, zb, qb) = forward(fa[at]), forward(fb[at])
+            d = (1 / (1 + np.exp(-(qb - qa))) - y[at]) / len(at)
+            g = [0.0] * 5
+            for x, h, z, s in ((fb[at], hb, zb, d), (fa[at], ha, za, -d)):
+                dz = s[:, None] * p[4] * (1 - z**2)
+                dh = dz @ p[2].T * (1 - h**2)
+                for k, inc in enumerate((x.T @ dh, dh.sum(0), h.T @ dz, dz.sum(0), z.T @ s)):
+                    g[k] = g[k] + inc
+            t += 1
+            for k in range(5):
+                m[k] += 0.1 * (g[k] - m[k])
+                v[k] += 0.001 * (g[k] ** 2 - v[k])
+                p[k] -= rate * (m[k] / (1 - 0.9**t) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8) + decay * p[k])
+        now = loss(forward(fb[valid])[2] - forward(fa[valid])[2], y[valid]) if valid.any() else 0.0
+        if now < best - 1e-6:
+            best, kept, wait = now, [x.copy() for x in p], 0
+        else:
+            wait += 1
+            if wait >= 5:
+                break
+    p[:] = kept
+    flat = [mean, sd, p[0].ravel(), p[1], p[2].ravel(), p[3], p[4]]
+    return [x.tolist() for x in flat]
 
 
 def _batches(columns: list[str], run, kind: str, rows: DataFrame) -> DataFrame:
@@ -298,19 +283,44 @@ def value_network(rows: DataFrame, folds: int, **settings) -> DataFrame:
     return _batches(["id", "fold_bucket", "label", "context", "candidate_a", "candidate_b"], run, f"id {kind}, fold int, label int, probability double", rows)
 
 
+def _states(net: ValueNetwork, c: np.ndarray, a: np.ndarray, b: np.ndarray, selected_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    (ha, qa), (hb, qb) = (net.values(c, x) for x in (a, b))
+    hs, hr = np.where(selected_b[:, None], hb, ha), np.where(selected_b[:, None], ha, hb)
+    gap = np.where(selected_b, qb - qa, qa - qb)
+    return np.concatenate([ha + hb, np.abs(ha - hb), np.abs(qa - qb)[:, None]], 1), np.concatenate([hs, hr, hs - hr, gap[:, None]], 1)
+
+
+def transfer_states(rows: DataFrame, nets: dict[tuple[int, int], list[list[float]]]) -> DataFrame:
+    """[M42, G50] id, fold_bucket, and for each replica (in order) its two states in `blind` and `choice_aware` (arrays of arrays) by
+    the network whose fold tests the row's bucket, so that no row's state comes from a network that saw it.
+    rows(id, fold_bucket, context, candidate_a, candidate_b, label = 1 where B is selected)."""
+    replicas = sorted({r for r, _ in nets})
+
+    def run(table, wide):
+        bucket, b = table["fold_bucket"].to_numpy(), table["label"].to_numpy(zero_copy_only=False) == 1
+        out: list[list] = [[None] * len(replicas) for _ in range(2)]
+        for k, replica in enumerate(replicas):
+            for fold in np.unique(bucket):
+                at = np.flatnonzero(bucket == fold)
+                found = _states(ValueNetwork(nets[replica, int(fold)]), *(wide[x][at] for x in ("context", "candidate_a", "candidate_b")), b[at])
+                for side, x in zip(out, found, strict=True):
+                    side[k] = np.zeros((len(bucket), x.shape[1])) if side[k] is None else side[k]
+                    side[k][at] = x
+        kind = pa.list_(pa.list_(pa.float64()))
+        both = [pa.array([[x[i].tolist() for x in side] for i in range(len(bucket))], kind) for side in out]
+        yield pa.RecordBatch.from_arrays([table["id"], table["fold_bucket"].cast(pa.int32()), *both], ["id", "fold_bucket", "blind", "choice_aware"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return _batches(["id", "fold_bucket", "label", "context", "candidate_a", "candidate_b"], run, f"id {kind}, fold_bucket int, blind array<array<double>>, choice_aware array<array<double>>", rows)
+
+
 def value_states(rows: DataFrame, weights: list[list[float]]) -> DataFrame:
     """[M40, M42] id and two states of each row by one network: `blind` (sum and absolute difference of the candidates' states, and of
     values) does not tell which candidate was selected; `choice_aware` has the selected one, the other, and their differences.
     rows(id, context, candidate_a, candidate_b, label = 1 where B is selected)."""
 
     def run(table, wide):
-        net = ValueNetwork(weights)
-        (ha, qa), (hb, qb) = (net.values(wide["context"], wide[c]) for c in ("candidate_a", "candidate_b"))
-        b = table["label"].to_numpy(zero_copy_only=False) == 1
-        hs, hr = np.where(b[:, None], hb, ha), np.where(b[:, None], ha, hb)
-        gap = np.where(b, qb - qa, qa - qb)
-        blind = np.concatenate([ha + hb, np.abs(ha - hb), np.abs(qa - qb)[:, None]], 1)
-        aware = np.concatenate([hs, hr, hs - hr, gap[:, None]], 1)
+        blind, aware = _states(ValueNetwork(weights), wide["context"], wide["candidate_a"], wide["candidate_b"], table["label"].to_numpy(zero_copy_only=False) == 1)
         yield pa.RecordBatch.from_arrays([table["id"], pa.array(list(blind), pa.list_(pa.float64())), pa.array(list(aware), pa.list_(pa.float64()))], ["id", "blind", "choice_aware"])
 
     kind = rows.schema["id"].dataType.simpleString()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as X
 from palimpsest.operators import metrics as M
 from palimpsest.operators import resample as R
+from palimpsest.sources.staging import written
 
 Z = 1.959963984540054
 # Comparisons of feature sets, as name, reference and candidate.
@@ -193,3 +194,30 @@ def artifact_counts(episodes: DataFrame, audit: DataFrame) -> DataFrame:
     both = n.crossJoin(audit)
     return both.select((F.col("rows") == F.col("accepted_examples")).alias("rows_match"), (F.col("ids") == F.col("rows")).alias("ids_unique"), (F.col("lineages") == F.col("articles_with_examples")).alias("lineages_match"),
                        (F.col("revised") == F.col("future_revised_examples")).alias("outcomes_match"), (F.col("revised") + F.col("future_stable_examples") == F.col("rows")).alias("outcomes_complete"))
+
+
+def boosted_aggregate(pooled: DataFrame, treatment: str, control: str, replicas: str, replicates: int = 1000, seed: int = 17, least_negative: int = 4) -> DataFrame:
+    """[G52, G53] One row for each comparison of `treatment` in pooled(episode_id, lineage_id, arm, label, probability): with `control`,
+    with each arm named `replicas`..., and with their mean: mean loss difference, interval over lineages, whether both are below zero,
+    rows of both arms that are not there once, and, alike in all rows, the replicas that it beats and the verdict: better than
+    control and mean, and than at least `least_negative` replicas."""
+    loss = pooled.select("episode_id", "lineage_id", "arm", X.log_loss("label", "probability", 1e-7).alias("loss"))
+    one = lambda arm: F.max(F.when(F.col("arm") == arm, F.col("loss")))
+    names = sorted(r[0] for r in pooled.where(F.col("arm").startswith(replicas)).select("arm").distinct().collect())
+    wide = loss.groupBy("episode_id", "lineage_id").agg(one(treatment).alias("t"), one(control).alias("c"), F.avg(F.when(F.col("arm").startswith(replicas), F.col("loss"))).alias("m"), *[one(n).alias(f"r{i}") for i, n in enumerate(names)])
+    parts = [(control, "c"), *[(n, f"r{i}") for i, n in enumerate(names)], ("mean of replicas", "m")]
+    # each comparison's sums by lineage in one pass, as columns of one table
+    sums = wide.groupBy("lineage_id").agg(F.count("*").alias("n"), *[F.sum(F.col("t") - F.col(x)).alias(x) for _, x in parts])
+    sums = written(sums, "sums")
+    total = sums.agg(F.sum("n").alias("n"), *[F.sum(x).alias(x) for _, x in parts]).first()
+    repeated = pooled.groupBy("arm", "episode_id").agg(F.count("*").alias("k")).groupBy("arm").agg(F.count_if(F.col("k") > 1).alias("repeated"), F.count("*").alias("episodes"))
+    whole = {r["arm"]: (r["repeated"], r["episodes"]) for r in repeated.collect()}
+    out = []
+    for k, (name, x) in enumerate(parts):
+        i = R.interval(R.bootstrap(sums.select("lineage_id", "n", F.col(x).alias("total")), "lineage_id", "total", "n", replicates, seed + k)).first()
+        mean = total[x] / total["n"] if total["n"] else None
+        own = [whole.get(n, (0, 0)) for n in (treatment, *([name] if x != "m" else names))]
+        out.append((f"{treatment} - {name}", mean, i["lower"], i["upper"], mean is not None and mean < 0 and i["upper"] is not None and i["upper"] < 0, int(sum(r for r, _ in own) + sum(abs(e - own[0][1]) for _, e in own))))
+    negative = sum(m is not None and m < 0 for _, m, *_ in out[1:-1])
+    supported = bool(out[0][4] and out[-1][4] and negative >= least_negative)
+    return pooled.sparkSession.createDataFrame([(*r, negative, supported) for r in out], "comparison string, mean_difference double, lower double, upper double, passed boolean, faulty_rows int, negative_replicas int, supported boolean")

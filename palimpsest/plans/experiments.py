@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
 from palimpsest.operators import alignment as A
 from palimpsest.operators import audit as U
+from palimpsest.operators import boosting as T
 from palimpsest.operators import corpora as C
 from palimpsest.operators import logistic as G
 from palimpsest.operators import metrics as M
 from palimpsest.operators import models as L
+from palimpsest.operators import reports as B
 from palimpsest.operators import resample as R
 from palimpsest.operators import selection as S
 from palimpsest.operators import sessions as Z
@@ -633,28 +637,102 @@ def _(spark, sf_dir):
     return M.binary_metrics(L.value_network(triples(spark, sf_dir), FOLDS), ["fold"])
 
 
-@query("value_states", _TRI + " SELECT id, (2 * 8 + 1)::INT AS blind, (3 * 8 + 1)::INT AS choice_aware FROM t")
+def stated_network(dim: int) -> list[list[float]]:
+    """A network whose weights follow a rule, so that SQL can compute its states: 4 * dim inputs, two units, two states."""
+    first = [[math.sin(i * (k + 1) + 1) / 16 for k in range(2)] for i in range(4 * dim)]
+    return [[0.0] * (4 * dim), [1.0] * (4 * dim), [x for row in first for x in row], [0.1, 0.2], [math.cos(k + 2 * j) / 2 for k in range(2) for j in range(2)], [0.0, -0.05], [1.0, 2.0]]
+
+
+_STATES = _TRI + """
+, y AS (SELECT vec_id AS id, label % 2 AS y FROM embeddings), w AS (SELECT id, c, y, unnest([{'s': 'a', 'x': a}, {'s': 'b', 'x': b}], recursive := true) FROM t JOIN y USING (id)),
+v AS (SELECT id, s, y, list_concat(list_concat(list_concat(c, x), list_transform(list_zip(x, c), lambda z: z[1] * z[2])), list_transform(list_zip(x, c), lambda z: abs(z[1] - z[2]))) AS v FROM w),
+h AS (SELECT id, s, y, tanh(list_inner_product(v, list_transform(range(len(v)), lambda i: sin(i + 1) / 16)) + 0.1) AS h1, tanh(list_inner_product(v, list_transform(range(len(v)), lambda i: sin(i * 2 + 1) / 16)) + 0.2) AS h2 FROM v),
+z AS (SELECT id, s, y, tanh(h1 * cos(0) / 2 + h2 * cos(1) / 2) AS z1, tanh(h1 * cos(2) / 2 + h2 * cos(3) / 2 - 0.05) AS z2 FROM h),
+p AS (SELECT a.id, a.y, a.z1 AS a1, a.z2 AS a2, b.z1 AS b1, b.z2 AS b2, a.z1 + 2 * a.z2 AS qa, b.z1 + 2 * b.z2 AS qb FROM z a JOIN z b ON a.id = b.id AND a.s = 'a' AND b.s = 'b')
+SELECT id, round(a1 + b1, 6) AS blind_0, round(abs(a2 - b2), 6) AS blind_3, round(abs(qa - qb), 6) AS blind_4,
+  round(CASE WHEN y = 1 THEN b1 ELSE a1 END, 6) AS aware_0, round(CASE WHEN y = 1 THEN a2 ELSE b2 END, 6) AS aware_3, round(CASE WHEN y = 1 THEN b2 - a2 ELSE a2 - b2 END, 6) AS aware_5, round(CASE WHEN y = 1 THEN qb - qa ELSE qa - qb END, 6) AS aware_6 FROM p
+"""
+
+
+@query("value_states", _STATES)
 def _(spark, sf_dir):
-    """Sizes of both states of every row, by a network trained on shuffled labels."""
+    """Entries of both states of every row under a network whose weights follow a rule."""
     rows = triples(spark, sf_dir)
-    dealt = C.within_label_shuffle(rows.select("id", "fold_bucket", "label"), ["fold_bucket"], "id", "label").select("id", "shuffled")
-    control = rows.join(dealt, "id").withColumn("label", F.col("shuffled"))
-    states = L.value_states(rows, L.value_networks(control, 3, epochs=2, most=2000)[0])
-    return states.select("id", F.size("blind").alias("blind"), F.size("choice_aware").alias("choice_aware"))
+    dim = rows.select(F.size("context")).first()
+    states = L.value_states(rows, stated_network(dim[0] if dim else 1))
+    pick = lambda c, i: F.round(F.col(c)[i], 6).alias(f"{'aware' if c == 'choice_aware' else c}_{i}")
+    return states.select("id", *[pick("blind", i) for i in (0, 3, 4)], *[pick("choice_aware", i) for i in (0, 3, 5, 6)])
+
+
+REPLICAS = 5
+
+
+def transfer(spark, sf_dir):
+    """Triples with out-of-fold states of networks trained on authentic labels (replica 0) and on labels dealt again within each
+    fold's bucket."""
+    rows = written(triples(spark, sf_dir), "triples")
+    labels = rows.select("id", "fold_bucket", "label")
+    for k in range(REPLICAS):
+        dealt = C.within_label_shuffle(rows.select("id", "fold_bucket", "label"), ["fold_bucket"], "id", "label", 100 + k)
+        labels = labels.join(dealt.select("id", F.col("shuffled").alias(f"r{k}")), "id")
+    every = labels.select("id", F.array("label", *[f"r{k}" for k in range(REPLICAS)]).cast("array<double>").alias("labels"))
+    nets = L.transfer_networks(rows.join(every, "id"), FOLDS)
+    states = L.transfer_states(rows, nets).select("id", "blind", "choice_aware")
+    return written(rows.join(states, "id"), "states")
+
+
+@query("shuffled_transfer_metrics")
+def _(spark, sf_dir):
+    """Probes on geometry, on authentic states and on each control's states, all folds, arms and penalties fitted together."""
+    rows = transfer(spark, sf_dir)
+    arms = {"generic": L.geometry("context", "candidate_a", "candidate_b"), "mrq_blind": F.col("blind")[0], "mrq_choice_aware": F.col("choice_aware")[0]}
+    arms |= {f"shuffled_r{k:02d}": F.col("choice_aware")[k + 1] for k in range(REPLICAS)}
+    return M.binary_metrics(L.probes(rows, arms, "label", FOLDS, G.EXTENDED_GRID), ["arm"])
+
+
+def boosted(spark, sf_dir):
+    """Eight arms of boosted trees over geometry and states, scored out of fold."""
+    rows = transfer(spark, sf_dir)
+    blocks = {"generic": L.geometry("context", "candidate_a", "candidate_b")} | {f"s{k}": F.col("choice_aware")[k] for k in range(REPLICAS + 1)}
+    arms = {"xgb_generic_all": ("generic",), "xgb_authentic_mrq_only": ("s0",), "xgb_generic_plus_authentic_mrq": ("generic", "s0")}
+    arms |= {f"xgb_generic_plus_shuffled_mrq_r{k:02d}": ("generic", f"s{k + 1}") for k in range(REPLICAS)}
+    return L.boosted_arms(rows, blocks, arms, "label", FOLDS, T.Settings(rate=0.1, patience=10))
 
 
 @query("gbt_arm_metrics")
 def _(spark, sf_dir):
-    rows = triples(spark, sf_dir)
-    return M.binary_metrics(L.boosted_arms(rows, {"context": "context"}, "label", FOLDS), ["fold"])
+    return M.binary_metrics(boosted(spark, sf_dir), ["arm", "fold"])
 
 
-@query("text_pipeline_metrics")
+@query("boosted_aggregate")
 def _(spark, sf_dir):
-    """Words, length and source of labelled documents, for a held-out fifth."""
+    """The arm with authentic states against the generic one, each control and their mean: pooled rows once each, intervals over
+    groups, and whether the states are supported."""
+    pooled = boosted(spark, sf_dir).select(F.col("id").alias("episode_id"), F.floor(F.col("id") / 5).cast("string").alias("lineage_id"), "arm", "fold", "label", "probability")
+    return B.boosted_aggregate(written(pooled, "pooled"), "xgb_generic_plus_authentic_mrq", "xgb_generic_all", "xgb_generic_plus_shuffled_mrq_r")
+
+
+def labelled(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("label")), "doc_id")
-    rows = docs.select(F.col("doc_id").alias("id"), "text", "n_chars", "source", "label", (F.col("doc_id") % 5 != 0).alias("train"))
-    return M.binary_metrics(L.text_pipeline(rows, ["text"], ["n_chars"], ["source"], "label", F.col("train"), terms=500))
+    return docs.select(F.col("doc_id").alias("id"), "text", "n_chars", "source", "label")
+
+
+@query("text_pipeline_metrics")
+def _(spark, sf_dir):
+    """Words, length and source of labelled documents, for a held-out fifth: quasi-Newton and averaged mini-batch steps."""
+    rows = labelled(spark, sf_dir)
+    splits = rows.select("id", F.lit(0).alias("split"), F.when(F.col("id") % 5 == 0, G.TEST).otherwise(G.TRAIN).alias("role"))
+    both = [L.text_models(rows, splits, ["text"], ["n_chars"], ["source"], averaged=a).withColumn("steps", F.lit(name)) for a, name in ((False, "quasi-Newton"), (True, "averaged"))]
+    return M.binary_metrics(both[0].unionByName(both[1]), ["steps"])
+
+
+@query("tfidf_logistic_metrics")
+def _(spark, sf_dir):
+    """Words of labelled documents, three folds, each with the vocabulary and weights of its own training rows."""
+    rows = labelled(spark, sf_dir)
+    splits = rows.select("id", F.explode(F.array(*[F.lit(f) for f in range(3)])).alias("split"))
+    splits = splits.withColumn("role", F.when(F.col("id") % 3 == F.col("split"), G.TEST).otherwise(G.TRAIN))
+    return M.binary_metrics(L.text_models(rows, splits, ["text"], [], []).withColumnRenamed("split", "fold"), ["fold"])
 
 
 @query("session_arms")
@@ -733,10 +811,3 @@ def _(spark, sf_dir):
     """Arms of vector geometry with eight penalties each, every fold at once."""
     v = {"context": F.col("context"), "generic": L.geometry("context", "candidate_a", "candidate_b"), "choice": L.choice_geometry("context", "candidate_a", "candidate_b")}
     return M.binary_metrics(L.probes(triples(spark, sf_dir), v, "label", FOLDS, G.EXTENDED_GRID), ["arm", "fold"])
-
-
-@query("tfidf_logistic_metrics")
-def _(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("int").alias("label")), "doc_id").withColumn("fold_bucket", (F.col("doc_id") % 3).cast("int"))
-    rows = L.tfidf(docs, "text", F.col("fold_bucket") == 2).select(F.col("doc_id").alias("id"), "fold_bucket", F.col("tfidf").alias("v"), "label")
-    return M.binary_metrics(L.probe(written(rows, "tfidf"), "v", "label", 3), ["fold"])

@@ -8,10 +8,12 @@ from palimpsest.functions import text as X
 from palimpsest.operators import alignment as A
 from palimpsest.operators import audit as U
 from palimpsest.operators import metrics as M
+from palimpsest.operators import models as L
 from palimpsest.operators import projections as J
 from palimpsest.operators import reports as B
+from palimpsest.operators import resample as R
 from palimpsest.operators import verify as V
-from palimpsest.plans.experiments import _L2, _MEMBERS, _PRED, candidates, members_of, predictions
+from palimpsest.plans.experiments import _L2, _MEMBERS, _PRED, SEEDS, candidates, members_of, predictions
 from palimpsest.plans.registry import query
 from palimpsest.plans.revisions import episodes, replaced, versions
 from palimpsest.sources.fixture import CELLS_SQL, EPISODES_SQL, TOKENS_SQL, table
@@ -287,9 +289,39 @@ def _(spark, sf_dir):
     return J.matched_shuffle(wide(spark, sf_dir)).select("episode_id", F.md5("rejected_sentence").alias("rejected"), "rejected_chars", "rejected_tokens", "char_delta", "token_delta")
 
 
-@query("feature_set_columns", "SELECT * FROM (VALUES ('baseline', 3, 4, 1, false), ('plus_edit_geometry', 3, 8, 1, false), ('plus_lexical_relation', 3, 6, 1, false), ('plus_rejected_text', 4, 4, 1, false), ('plus_text_geometry', 4, 8, 1, false), ('plus_text_lexical', 4, 6, 1, false), ('plus_geometry_lexical', 3, 10, 1, false), ('full_preference', 4, 10, 1, false), ('matched_shuffled_full_preference', 4, 10, 1, true)) t(name, text, numeric, categorical, shuffled)")
+@query("feature_set_columns", _WIDE + """
+, t AS (SELECT * FROM (VALUES ('baseline', 3, 4, 1, false), ('plus_edit_geometry', 3, 8, 1, false), ('plus_lexical_relation', 3, 6, 1, false), ('plus_rejected_text', 4, 4, 1, false), ('plus_text_geometry', 4, 8, 1, false), ('plus_text_lexical', 4, 6, 1, false), ('plus_geometry_lexical', 3, 10, 1, false), ('full_preference', 4, 10, 1, false), ('matched_shuffled_full_preference', 4, 10, 1, true)) t(name, text, numeric, categorical, shuffled))
+SELECT name, text, numeric, categorical, shuffled, count(*) AS rows, sum(length(before2) + length(mid) + length(context_after) + CASE WHEN text = 4 THEN length(old) ELSE 0 END)::BIGINT AS chars,
+  sum(CASE WHEN numeric IN (8, 10) THEN gone_chars + gone_tokens + kept_chars - gone_chars + kept_tokens - gone_tokens ELSE 0 END)::BIGINT AS geometry FROM wide, t GROUP BY ALL""")
 def _(spark, sf_dir):
-    """How many columns of each kind a feature set takes from wide episodes."""
-    columns = wide(spark, sf_dir).columns
-    count = lambda names: sum(c in columns for c in names)
-    return spark.createDataFrame([(f.name, count(f.text), count(f.numeric), count(f.categorical), f.shuffled) for f in J.feature_sets()], "name string, text int, numeric int, categorical int, shuffled boolean")
+    """What each feature set takes from wide episodes: columns of each kind, and over all rows the characters of its texts and the sum
+    of its geometry."""
+    rows = wide(spark, sf_dir)
+    total = rows.agg(F.count("*").alias("rows"), *[F.coalesce(F.sum(F.length(c)), F.lit(0)).alias(c) for c in (*J.BASE_TEXT, *J.REJECTED_TEXT)], *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in J.GEOMETRY])
+    count = lambda names: sum(c in rows.columns for c in names)
+    own = lambda names: sum((F.col(c) for c in names), F.lit(0)).cast("long")
+    sets = [F.struct(F.lit(f.name).alias("name"), F.lit(count(f.text)).alias("text"), F.lit(count(f.numeric)).alias("numeric"), F.lit(count(f.categorical)).alias("categorical"), F.lit(f.shuffled).alias("shuffled"), "rows", own(f.text).alias("chars"), own([c for c in f.numeric if c in J.GEOMETRY]).alias("geometry")) for f in J.feature_sets()]
+    return total.select(F.inline(F.array(*sets)))
+
+
+def ablation(spark, sf_dir):
+    """Log loss and Brier score of nine feature sets for each seed: held-out articles, and rejected sentences dealt again for the last set."""
+    wide = written(J.wide_episodes(versions(spark, sf_dir), A.version_order(None, "version_id")), "wide")
+    given = [c for c in dict.fromkeys(c for f in J.feature_sets() if f.shuffled for c in (*f.text, *f.numeric)) if c not in (*J.BASE_TEXT, *J.BASE_NUMERIC)]
+    rows = None
+    for seed in SEEDS:
+        dealt = J.matched_shuffle(wide, seed).select("episode_id", *[F.col(c).alias(f"{c}_shuffled") for c in given])
+        held = R.group_holdout(wide.select("episode_id", "article_key"), "article_key", 0.2, seed).select("episode_id", "held_out")
+        part = wide.join(dealt, "episode_id").join(held, "episode_id").withColumn("id", F.concat(F.lit(f"{seed}:"), "episode_id")).withColumn("label", F.col("revised_again_next_version"))
+        rows = part if rows is None else rows.unionByName(part)
+    rows = written(rows, "ablation")
+    roles = rows.select("id", F.array_position(F.array(*[F.lit(str(s)) for s in SEEDS]), F.substring_index("id", ":", 1)).alias("split"), F.when(F.col("held_out"), 3).otherwise(1).alias("role")).withColumn("split", F.col("split") - 1)
+    out = L.feature_set_models(rows, roles, J.feature_sets())
+    scores = M.binary_metrics(out, ["split", "feature_set"])
+    return scores.select(F.array(*[F.lit(s) for s in SEEDS])[F.col("split")].alias("seed"), "feature_set", "n", "log_loss", "brier", "null_log_loss")
+
+
+@query("ablation_gains")
+def _(spark, sf_dir):
+    """What each evidence about the rejected sentence adds to the baseline: gains of feature sets in held-out articles over seeds."""
+    return B.comparison_gains(written(ablation(spark, sf_dir), "losses"))
