@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import argparse
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +25,7 @@ from palimpsest.operators import verify as V
 from palimpsest.session import local_session
 from palimpsest.settings import Extraction, names, numbers
 from palimpsest.sources import artifacts as R
+from palimpsest.sources import publication as B
 from palimpsest.sources import tables as T
 
 
@@ -51,7 +51,7 @@ def extract(spark, args) -> dict:
     replaced = A.replacements(found, order, **own.arguments())
     A.episodes(replaced, args.seed, args.examples or None).write.parquet(f"{args.output}/episodes")
     audit = U.extraction_audit(found, order, replaced, spark.read.parquet(f"{args.output}/episodes")).first().asDict()
-    R.write_json(Path(args.output) / "audit.json", audit)
+    B.put_json(spark, f"{args.output}/audit.json", audit)
     return audit
 
 
@@ -64,7 +64,7 @@ def pairs(spark, args) -> dict:
     held = spark.read.parquet(args.episodes)
     out = A.temporal_pairs(found, order, held, args.target or None, args.seed)
     out.write.parquet(f"{args.output}/table")
-    return R.write_pairs(args.output, spark.read.parquet(f"{args.output}/table"), held, args.target or None, args.seed)
+    return B.write_pairs(args.output, spark.read.parquet(f"{args.output}/table"), held, args.target or None, args.seed)
 
 
 def audit_context(spark, args) -> dict:
@@ -94,12 +94,12 @@ def splits(spark, args) -> dict:
     buckets = spark.read.parquet(f"{args.output}/assigned")
     members = P.membership(buckets, args.folds)
     summary = P.partition_summary(members, stats)
-    R.write_split(args.output, buckets, members, summary, {"folds": args.folds, "seed": args.seed})
+    B.write_split(args.output, buckets, members, summary, {"folds": args.folds, "seed": args.seed})
     return {"gates": P.gates(P.balance(summary, stats, args.folds)).first().asDict(), "verification": P.verification(members, stats, args.folds).first().asDict()}
 
 
 def _members(spark, args) -> tuple[DataFrame, int]:
-    settings = R.load_json(Path(args.splits) / "settings.json")
+    settings = B.get_json(spark, f"{args.splits}/settings.json")
     return P.membership(spark.read.parquet(f"{args.splits}/buckets"), settings["folds"]), settings["folds"]
 
 
@@ -120,7 +120,7 @@ def probes(spark, args) -> dict:
     """Probes of arms (columns of vectors by episode_id) over folds, with a report for each arm and fold."""
     rows = J.labelled(spark.read.parquet(args.vectors), J.future_labels(spark.read.parquet(args.episodes)))
     buckets = spark.read.parquet(f"{args.splits}/buckets")
-    folds = R.load_json(Path(args.splits) / "settings.json")["folds"]
+    folds = B.get_json(spark, f"{args.splits}/settings.json")["folds"]
     known = tuple(c for c, kind in rows.dtypes if kind.startswith("array"))
     e = spark.read.parquet(args.episodes).select("episode_id", "lineage_id").join(buckets, "lineage_id")
     data = rows.join(e, "episode_id").select(F.col("episode_id").alias("id"), "lineage_id", F.col("bucket").alias("fold_bucket"), "label", *known)
@@ -176,15 +176,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     if "output" not in needed:
         found = run(spark, args)
     else:
-        target, done = args.output, {}
 
-        def fill(folder: Path) -> None:
-            args.output = str(folder)
-            done.update(run(spark, args))
-            R.write_json(folder / "report.json", json.loads(json.dumps(done, default=str)))
+        def fill(folder: str) -> dict:
+            args.output = folder
+            done = run(spark, args)
+            B.put_json(spark, f"{folder}/report.json", json.loads(json.dumps(done, default=str)))
+            return done
 
-        R.published(target, fill, args.force)
-        found = done
+        found = B.publish(spark, args.output, fill, args.force)
     print(json.dumps(found, default=str, sort_keys=True))
     return found
 

@@ -11,9 +11,6 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from palimpsest.sources.tables import write_jsonl
 
 BLOCK = 1 << 20
 
@@ -103,25 +100,6 @@ def is_complete(folder: str | Path, wanted: dict) -> bool:
     return at.exists() and load_json(at).get("contract_sha256") == wanted["contract_sha256"]
 
 
-def write_split(path: str, assignment: DataFrame, members: DataFrame, summary: DataFrame, settings: dict) -> None:
-    """[K04] Bucket of each lineage, members by fold and partition, the summary, and the settings."""
-    assignment.write.mode("overwrite").parquet(f"{path}/buckets")
-    members.write.mode("overwrite").partitionBy("fold", "partition").parquet(f"{path}/members")
-    summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
-    write_json(Path(path) / "settings.json", settings)
-
-
-def write_pairs(path: str, pairs: DataFrame, excluded: DataFrame, target: int | None, seed: int) -> dict:
-    """[K06, U08] Temporal pairs as JSON lines, and an audit of them: counts, overlap with excluded lineages, and its gates."""
-    write_jsonl(pairs, f"{path}/pairs")
-    both = pairs.select("lineage_id").distinct().join(excluded.select("lineage_id").distinct(), "lineage_id", "left_semi").count()
-    r = pairs.agg(F.count("*").alias("n"), F.countDistinct("temporal_pair_id").alias("ids"), F.countDistinct("lineage_id").alias("lineages")).first()
-    audit = {"seed": seed, "target_pairs": target, "accepted_pairs": r.n, "temporal_lineages": r.lineages, "evaluation_lineage_overlap": both}
-    audit["gates"] = {"target_pair_count_reached": target is None or r.n >= target, "temporal_lineages_disjoint_from_evaluation": both == 0, "temporal_pair_ids_unique": r.ids == r.n}
-    write_json(Path(path) / "audit.json", audit)
-    return audit
-
-
 def inspected(tables: dict[str, DataFrame]) -> list[dict]:
     """[S30] Name, columns and rows of each table."""
     return [{"table": n, "columns": df.columns, "rows": df.count()} for n, df in sorted(tables.items())]
