@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
 from palimpsest.operators.alignment import selected_text, similarity_ratio, windows
-from palimpsest.operators.selection import before_head
+from palimpsest.operators.selection import before_head, in_parts
 
 QUANTILES = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
 VERSION_BANDS = ("1", "2", "3", "4", "5", "6-10", "11+", "non_numeric")
@@ -101,14 +101,12 @@ def lineage_concentration(episodes: DataFrame) -> DataFrame:
 
 def quantiles(rows: DataFrame, field: str, at: tuple[float, ...], by: list[str] = ()) -> DataFrame:
     """[G08, G09, F39, F40] by, n and `q`, exact quantiles with linear interpolation. Values are counted, and ranks come from
-    sums over coarse parts of each group's range and a sum within a part, so no task holds a group's values."""
+    sums over parts of each group that end at its approximate quantiles and a sum within a part, so no task holds a group's
+    values, wherever they lie."""
     by = list(by)
     rows = rows.select(*by, F.col(field).cast("double").alias("_x")).where("_x is not null")
-    ends = rows.groupBy(*by).agg(F.min("_x").alias("_low"), F.max("_x").alias("_high"), F.count("*").alias("n"))
     counted = rows.groupBy(*by, "_x").agg(F.count("*").alias("_k"))
-    counted = counted.join(ends, by) if by else counted.crossJoin(F.broadcast(ends))
-    head = F.when(F.col("_high") > F.col("_low"), F.floor((F.col("_x") - F.col("_low")) / (F.col("_high") - F.col("_low")) * 4096)).otherwise(0)
-    placed = before_head(counted, head, by, F.col("_k"))
+    placed = before_head(in_parts(counted, "_x", by, n=F.sum("_k")), F.col("_part"), by, F.col("_k"))
     w = Window.partitionBy(*by, "_head").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("_below", F.col("_before") + F.coalesce(F.sum("_k").over(w), F.lit(0)))
     value = lambda r: F.max(F.when((F.col("_below") <= r) & (r < F.col("_below") + F.col("_k")), F.col("_x")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
-from palimpsest.operators.selection import ranked
+from palimpsest.operators.selection import in_parts, ranked
 
 CELL = ["fold", "partition"]
 # The corpora, and columns that tell the outcome.
@@ -178,12 +178,13 @@ def within_label_shuffle(rows: DataFrame, by: list[str], key: str, label: str, s
     return a.join(b, [*by, "_nth"]).drop("_nth")
 
 
-def block_shift(rows: DataFrame, source: str, order: list[str], key: str, block: int, seed: int = 17, head: Column | None = None) -> DataFrame:
-    """[W11, T07, M16] key and donor: rows of a source sorted and cut in blocks, each shifted by a hashed non-zero amount; a
-    last block of one joins the one before. head is a coarse form of the first order column, by which tasks share a source."""
+def block_shift(rows: DataFrame, source: str, order: list[str], key: str, block: int, seed: int = 17) -> DataFrame:
+    """[W11, T07, M16] key and donor: rows of a source sorted (by a number first) and cut in blocks, each shifted by a hashed
+    non-zero amount; a last block of one joins the one before. Tasks share a source by parts that end at quantiles of the number;
+    rows of one number are sorted by one task."""
     rows = rows.select(source, key, *[c for c in order if c != key])
     sizes = rows.groupBy(source).agg(F.count("*").alias("_n"))
-    rows = ranked(rows, F.lit(0) if head is None else head, [*order, key], [source], "_rn").withColumn("_rn", F.col("_rn") - 1).join(sizes, source)
+    rows = ranked(in_parts(rows, order[0], [source]), F.col("_part"), [*order, key], [source], "_rn").drop("_part").withColumn("_rn", F.col("_rn") - 1).join(sizes, source)
     number = F.floor(F.col("_rn") / block)
     number = F.when((F.col("_n") % block == 1) & (F.col("_rn") == F.col("_n") - 1) & (F.col("_n") > 1), number - 1).otherwise(number)
     rows = rows.withColumn("_block", number)

@@ -6,21 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
-from palimpsest.operators.selection import before_head
+from palimpsest.operators.selection import before_head, in_parts
 
 LN2 = 0.6931471805599453
 
 
 def _steps(rows: DataFrame, by: list[str], p: str, label: str) -> DataFrame:
-    """Per distinct score: rows, positives, and both counted below it; scores are dealt by coarse value, so ties meet and no
-    task sees a whole group."""
+    """Per distinct score: rows, positives, and both counted below it; scores are dealt into parts that end at quantiles, so
+    ties meet and no task sees a whole group, also where all scores are near 0."""
     at = rows.groupBy(*by, F.col(p).alias("p")).agg(F.count("*").alias("n"), F.sum(label).alias("pos"))
-    coarse = F.floor(F.least(F.greatest(F.col("p"), F.lit(0.0)), F.lit(1.0)) * 4096)
+    at = in_parts(at, "p", by)
     for name, value in (("n", F.col("n")), ("pos", F.col("pos"))):
-        at = before_head(at, coarse, by, value)
+        at = before_head(at, F.col("_part"), by, value)
         w = Window.partitionBy(*by, "_head").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
         at = at.withColumn(f"{name}_below", F.coalesce(F.sum(name).over(w), F.lit(0)) + F.col("_before")).drop("_head", "_before")
-    return at
+    return at.drop("_part")
 
 
 def roc_auc(rows: DataFrame, by: list[str] = (), p: str = "probability", label: str = "label") -> DataFrame:

@@ -132,8 +132,7 @@ def wide_episodes(versions: DataFrame, order: list[Column], least: int = 25, mos
 def matched_shuffle(episodes: DataFrame, seed: int = 17, block: int = 16) -> DataFrame:
     """[M16, W11] Rejected sentences exchanged within blocks of like ones of a source (by length and similarity), with every column
     that is derived from the pair computed again."""
-    head = F.floor(F.col("rejected_chars") / 16)
-    donors = block_shift(episodes, "source", ["rejected_chars", "edit_similarity"], "episode_id", block, seed, head)
+    donors = block_shift(episodes, "source", ["rejected_chars", "edit_similarity"], "episode_id", block, seed)
     given = episodes.select(F.col("episode_id").alias("donor"), F.col("rejected_sentence").alias("given"))
     rows = episodes.withColumn("original_rejected", F.col("rejected_sentence")).join(donors, "episode_id").join(given, "donor").withColumn("rejected_sentence", F.col("given")).drop("given", "donor")
     return rows.withColumns(_pair_columns())

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as X
 from palimpsest.operators import metrics as M
 from palimpsest.operators import resample as R
+from palimpsest.operators.audit import quantiles
 from palimpsest.sources.staging import written
 
 Z = 1.959963984540054
@@ -172,10 +173,8 @@ def specificity_report(candidates: DataFrame, dimensions: DataFrame, reference:
 
 
 def probability_quantiles(rows: DataFrame, by: list[str], at: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
-    """[G30] Quantiles of forecasts with linear interpolation. Forecasts are counted by distinct value before they are merged."""
-    counted = rows.groupBy(*by, "probability").agg(F.count("*").alias("k"))
-    q = F.percentile("probability", F.array(*[F.lit(p) for p in at]), F.col("k"))
-    return counted.groupBy(*by).agg(q.alias("q")).select(*by, *[F.col("q")[i].alias(f"p{round(100 * p):02d}") for i, p in enumerate(at)])
+    """[G30] Quantiles of forecasts with linear interpolation; no task holds the forecasts of a group."""
+    return quantiles(rows, "probability", at, by).select(*by, *[F.col("q")[i].alias(f"p{round(100 * p):02d}") for i, p in enumerate(at)])
 
 
 def learnability(runs: DataFrame) -> DataFrame:

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
+from palimpsest.sources.staging import written
+
+#: Parts of a group that is ranked by a number, a power of two, and the size from which a group is cut into parts.
+PARTS = 1024
+LARGE = 4096
 
 
 def qualifying(rows: DataFrame, lineage: Column, least: int, distinct: str | None = None) -> DataFrame:
@@ -55,6 +60,30 @@ def ranked(rows: DataFrame, head: Column, order: list, by: list[str] = (), name:
     return rows.withColumn(name, nth.cast("int")).drop("_head", "_before")
 
 
+def in_parts(rows: DataFrame, value: str, by: list[str] = (), tie: Column | None = None, large: int = LARGE, **sums: Column) -> DataFrame:
+    """rows with `_part`, a head for before_head() and ranked() in order of the number `value`, and sums of their group. The
+    parts of a group end at its quantiles, from a sketch whose error is a sixteenth of a part, so their sizes do not depend on
+    how the values lie in their range. Groups of up to `large` rows are one part, so the table of ends, which goes to the shared
+    folder at once, is at most two bytes a row. Rows of one value share a part; with `tie`, the rows of a value that fills parts
+    by itself are dealt over as many by its hash, in no order among themselves. Nulls come first, NaN last."""
+    by = list(by)
+    # one literal, as an expression for each of so many shares makes plans slow
+    shares = F.split(F.lit(",".join(str(i / PARTS) for i in range(1, PARTS))), ",").cast("array<double>")
+    ends = F.percentile_approx(value, shares, 16 * PARTS)
+    ends = F.when(F.count(value) > large, F.sort_array(ends))
+    # a sketch depends on the order in which tasks' parts are merged, so its ends are written once for all that read them
+    groups = written(rows.groupBy(*by).agg(ends.alias("_ends"), *[v.alias(k) for k, v in sums.items()]), "ends")
+    rows = rows.join(groups, by) if by else rows.crossJoin(F.broadcast(groups))
+    steps = F.array(*[F.lit(PARTS >> i) for i in range(1, PARTS.bit_length())])
+    # binary search: how many ends are less than the value, or at most the value
+    ends_where = lambda holds: F.aggregate(steps, F.lit(0), lambda at, step: F.when(holds(F.element_at("_ends", at + step)), at + step).otherwise(at))
+    part = ends_where(lambda end: end < F.col(value))
+    if tie is not None:
+        filled = ends_where(lambda end: end <= F.col(value)) - part
+        part = part.cast("long") * (2 * PARTS) + F.when(filled > 1, 1 + F.pmod(F.xxhash64(tie), filled)).otherwise(0)
+    return rows.withColumn("_part", F.when(F.col("_ends").isNull() | F.col(value).isNull(), F.lit(-1)).otherwise(part)).drop("_ends")
+
+
 def hash_ranked(rows: DataFrame, place: Column, by: list[str] = (), tie: list[str] = ()) -> DataFrame:
     """rows with `place` and `nth`, their number from 1 in order of place."""
     return ranked(rows.withColumn("place", place), F.substring("place", 1, 3), ["place", *tie], by)
