@@ -12,6 +12,7 @@ from palimpsest.operators import audit as U
 from palimpsest.operators import boosting as T
 from palimpsest.operators import corpora as C
 from palimpsest.operators import logistic as G
+from palimpsest.operators import masks as K
 from palimpsest.operators import metrics as M
 from palimpsest.operators import models as L
 from palimpsest.operators import reports as B
@@ -159,6 +160,28 @@ def _(spark, sf_dir):
     return C.mask_indices(placed(spark, sf_dir)).select("fold", "partition", "episode_id", "words", F.array_join(F.col("mask_indices").cast("array<string>"), ",").alias("mask"))
 
 
+_MASKED = _CELLS + f"""
+, w AS (SELECT fold, partition, episode_id, list_filter(string_split_regex({_SER}, '\\s+'), lambda x: x <> '') AS w FROM placed)
+, u AS (SELECT fold, partition, episode_id, len(w) AS words, unnest(w) AS word, unnest(range(len(w))) AS i FROM w)
+, k AS (SELECT *, ceil(length(word) / 4.0)::BIGINT AS n, row_number() OVER (PARTITION BY fold, partition, episode_id ORDER BY sha256('mask:17:' || fold || ':' || partition || ':' || episode_id || ':' || i)) <= greatest(1, least(words, round_even(words * 0.15::DOUBLE, 0))) AS chosen FROM u)
+, s AS (SELECT *, least(62, coalesce(sum(n) OVER (PARTITION BY fold, partition, episode_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS a, least(62, sum(n) OVER (PARTITION BY fold, partition, episode_id ORDER BY i)) AS b FROM k)
+, m AS (SELECT fold, partition, episode_id, max(b) AS kept, coalesce(sum(b - a) FILTER (chosen), 0) AS masked, coalesce(sum((b - a) * (a + 1 + b) // 2) FILTER (chosen), 0) AS places FROM s GROUP BY ALL)
+, c AS (SELECT fold, partition, count(*) AS records, sum(kept)::BIGINT AS kept, sum(greatest(masked, 1))::BIGINT AS masked, sum(greatest(places, 1))::BIGINT AS places, count(*) FILTER (masked = 0) AS fallbacks FROM m GROUP BY fold, partition)
+"""
+
+
+def masked_pieces(spark, sf_dir):
+    """Whole-word masks of all episodes in all cells on pieces of up to 4 characters, 64 places a record."""
+    rows = placed(spark, sf_dir)
+    words = rows.select(*C.CELL, "episode_id", K.chunk_words(X.split_tokens(C.serialised())).alias("pieces"))
+    return K.token_masks(words.join(C.mask_indices(rows), [*C.CELL, "episode_id"]), "pieces", max_length=64)
+
+
+@query("token_mask_counts", _MASKED + "SELECT * FROM c")
+def _(spark, sf_dir):
+    return K.mask_counts(masked_pieces(spark, sf_dir), C.CELL)
+
+
 @query("serialised_episode_text", EPISODES_SQL + f"SELECT episode_id, md5({_SER}) AS digest, {_WORDS.format(_SER)}::INT AS tokens FROM episodes")
 def _(spark, sf_dir):
     return episodes(spark, sf_dir).select("episode_id", F.md5(C.serialised()).alias("digest"), X.token_count(C.serialised()).alias("tokens"))
