@@ -143,11 +143,17 @@ def swap_consistency(original: DataFrame, swapped: DataFrame, answers: DataFrame
     return out.select("*", X.share("consistent", "items").alias("consistency"), X.share("consensus_correct", "consistent").alias("consensus_accuracy"), F.coalesce(lower, F.lit(0.0)).alias("lower"), F.coalesce(upper, F.lit(1.0)).alias("upper"))
 
 
+def with_base(per: DataFrame, baseline: str) -> DataFrame:
+    """per(arm, fold, loss) with `base`, the baseline's loss in the fold; folds without one are left out. A window, not a join of the
+    rows with themselves: means that are taken twice differ in their last digits, and the baseline would beat itself."""
+    base = F.max(F.when(F.col("arm") == baseline, F.col("loss"))).over(Window.partitionBy("fold"))
+    return per.withColumn("base", base).where("base is not null")
+
+
 def arm_summary(rows: DataFrame, baseline: str = "generic") -> DataFrame:
     """[G45-G50, G52, J11, G62] Pooled scores of each arm, folds in which it beats the baseline, and spread over folds."""
     per = rows.groupBy("arm", "fold").agg(F.avg(X.log_loss("label", "probability")).alias("loss"), F.count("*").alias("n"))
-    base = per.where(F.col("arm") == baseline).select("fold", F.col("loss").alias("base"))
-    folds = per.join(F.broadcast(base), "fold").groupBy("arm").agg(F.count_if(F.col("loss") < F.col("base")).alias("folds_beating_baseline"), F.avg("loss").alias("fold_mean"), F.percentile("loss", F.lit(0.5)).alias("fold_median"),
+    folds = with_base(per, baseline).groupBy("arm").agg(F.count_if(F.col("loss") < F.col("base")).alias("folds_beating_baseline"), F.avg("loss").alias("fold_mean"), F.percentile("loss", F.lit(0.5)).alias("fold_median"),
                                                                    F.min("loss").alias("fold_least"), F.max("loss").alias("fold_most"), (F.sum(F.col("loss") * F.col("n")) / F.sum("n")).alias("weighted_loss"))
     return folds.join(rows.groupBy("arm").agg(F.count("*").alias("n"), F.avg(X.brier("label", "probability")).alias("brier")), "arm")
 
