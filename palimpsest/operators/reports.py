@@ -153,10 +153,9 @@ def full_summary(rows: DataFrame, baseline: str = "generic") -> DataFrame:
     rate of all other folds."""
     per = rows.groupBy("arm", "fold").agg(F.count("*").alias("n"), F.sum("label").alias("pos"), F.avg(X.log_loss("label", "probability")).alias("loss"))
     all_ = per.groupBy("arm").agg(F.sum("n").alias("all_n"), F.sum("pos").alias("all_pos"))
-    base = per.where(F.col("arm") == baseline).select("fold", F.col("loss").alias("base"))
     rate = (F.col("all_pos") - F.col("pos")) / (F.col("all_n") - F.col("n"))
     constant = -(F.col("pos") * F.ln(rate) + (F.col("n") - F.col("pos")) * F.ln(1 - rate))
-    out = per.join(F.broadcast(all_), "arm").join(F.broadcast(base), "fold").groupBy("arm").agg(
+    out = M.with_base(per, baseline).join(F.broadcast(all_), "arm").groupBy("arm").agg(
         F.sum("n").alias("n"), (F.sum(F.col("loss") * F.col("n")) / F.sum("n")).alias("log_loss"), F.count_if(F.col("loss") < F.col("base")).alias("folds_beating_baseline"), (F.sum(constant) / F.sum("n")).alias("constant_prior_log_loss"),
     )
     return out.withColumn("beats_constant", F.col("log_loss") < F.col("constant_prior_log_loss"))
