@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,37 +13,90 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as X
 
 OPCODES = "array<struct<tag:string,i1:int,i2:int,j1:int,j2:int>>"
+#: Rows whose sentences are Python objects at a time.
+SLICE = 64
 
 
 def _matcher(a, b) -> difflib.SequenceMatcher:
     return difflib.SequenceMatcher(a=a, b=b, autojunk=False)
 
 
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else _matcher(x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+def _ratio(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for a, b in batches:
+        yield pa.array([_matcher(x.as_py(), y.as_py()).ratio() if x.is_valid and y.is_valid else None for x, y in zip(a, b, strict=True)], pa.float64())
 
 
 def similarity_ratio(a, b) -> Column:
-    """[R12] Twice the matched characters over all characters, by longest matching blocks."""
-    return F.pandas_udf(_ratio, "double")(X.col(a), X.col(b))
+    """[R12] Twice the matched characters over all characters, by longest matching blocks. Where one text holds the other, that is
+    the one block, and no text goes to Python; the work on others grows with the product of their lengths."""
+    a, b = X.col(a), X.col(b)
+    inside = F.contains(a, b) | F.contains(b, a)
+    m, n = F.length(a), F.length(b)
+    held = F.when(m + n == 0, 1.0).otherwise(2.0 * F.least(m, n) / (m + n))
+    return F.when(inside, held).otherwise(F.arrow_udf(_ratio, "double")(F.when(~inside, a), F.when(~inside, b)))
 
 
 def _opcodes(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     names = ("tag", "i1", "i2", "j1", "j2")
     kind = pa.list_(pa.struct([(n, pa.string() if n == "tag" else pa.int32()) for n in names]))
-    for old, new in batches:
-        pairs = zip(old.to_pylist(), new.to_pylist(), strict=True)
-        yield pa.array([None if a is None or b is None else [dict(zip(names, op, strict=True)) for op in _matcher(a, b).get_opcodes()] for a, b in pairs], kind)
-
-
-def opcodes(old, new, normalise=X.normalise_sentence) -> Column:
-    """Edit operations between two sentence arrays, compared in normalised form."""
-    return F.arrow_udf(_opcodes, OPCODES)(F.transform(X.col(old), normalise), F.transform(X.col(new), normalise))
-
-
-def future_map(middle, future, strict: bool = True) -> Column:
-    """[R01, R07] Map of each aligned sentence of `middle` to its continuation in `future`, null where it went. Equal
-    sentences and replaced blocks of one size go by position; not strict, any replaced sentence counts as gone."""
+    for olds, news in batches:
+        parts = []
+        for at in range(0, len(olds), SLICE):
+            old, new = olds.slice(at, SLICE), news.slice(at, SLICE)
+            # sentences as numbers: equal ones have equal numbers
+            ids = pa.chunked_array([old.flatten(), new.flatten()]).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            ends = [np.cumsum(np.asarray(x.value_lengths().fill_null(0))) for x in (old, new)]
+            a, b = (np.split(x, e[:-1]) for x, e in zip((ids[: len(old.flatten())], ids[len(old.flatten()) :]), ends, strict=True))
+            known = np.asarray(old.is_valid()) & np.asarray(new.is_valid())
+            parts.append(pa.array([[dict(zip(names, op, strict=True)) for op in _matcher(x.tolist(), y.tolist()).get_opcodes()] if k else None for x, y, k in zip(a, b, known, strict=True)], kind))
+        yield pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
+def opcodes(old, new) -> Column:
+    """Edit operations between two arrays of sentences in normalised form, by longest matching blocks."""
+    return F.arrow_udf(_opcodes, OPCODES)(X.col(old), X.col(new))
+
+
+def with_opcodes(rows: DataFrame, pairs: dict[str, tuple[str, str]], normalise=X.normalise_sentence) -> DataFrame:
+    """rows with the opcodes() of pairs of columns, compared in normalised form, under the names of `pairs`, which come in
+    order: a first column may be a second one of pairs before.
+
+    Where sentences were only replaced where they stand, no matching block leaves its place, so opcodes are the runs of equal and
+    of differing places, and nothing goes to Python. That is so for arrays of one size without repetitions in which what differs is in
+    one of them alone: all together they have as many values as one array and the places that differ."""
+    for c in dict.fromkeys(a for a, _ in pairs.values()):
+        if c not in {b for _, b in pairs.values()}:
+            rows = rows.withColumn(f"_{c}", F.transform(c, normalise))
+
+    def form(a: str, b: str) -> Column:
+        # a sentence that stands where an equal one stood has its form; a place of a null array is null, and so not equal
+        return F.transform(b, lambda s, i: F.when(s == F.get(a, i), F.get(f"_{a}", i)).otherwise(normalise(s)))
+
+    for a, b in pairs.values():
+        rows = rows.withColumn(f"_{b}", form(a, b))
+    # each step is a column of its own: what stands in a lambda is computed again for every element
+    rows = rows.withColumns({f"_{n}_same": F.zip_with(f"_{a}", f"_{b}", lambda x, y: x == y) for n, (a, b) in pairs.items()})
+    differ = lambda n: F.size(F.filter(f"_{n}_same", lambda s: ~s))
+    fine = {f"_{n}_fine": (F.size(f"_{a}") == F.size(f"_{b}")) & (F.size(F.array_distinct(F.concat(f"_{a}", f"_{b}"))) == F.size(f"_{a}") + differ(n)) for n, (a, b) in pairs.items()}
+    rows = rows.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in fine.items()})
+    turns = lambda n: F.filter(F.transform(f"_{n}_same", lambda s, i: F.when((i == 0) | (s != F.get(f"_{n}_same", i - 1)), i)), lambda i: i.isNotNull())
+    rows = rows.withColumns({f"_{n}_at": F.when(F.col(f"_{n}_fine"), turns(n)) for n in pairs})
+
+    def run(n: str, size: Column, at: Column, k: Column) -> Column:
+        end = F.coalesce(F.get(f"_{n}_at", k + 1), size)
+        return F.struct(F.when(F.get(f"_{n}_same", at), "equal").otherwise("replace").alias("tag"), at.alias("i1"), end.alias("i2"), at.alias("j1"), end.alias("j2"))
+
+    def found(n: str, a: str, b: str) -> Column:
+        here = F.transform(f"_{n}_at", lambda at, k: run(n, F.size(f"_{n}_same"), at, k))
+        return F.when(F.col(f"_{n}_fine"), here).otherwise(opcodes(*[F.when(~F.col(f"_{n}_fine"), F.col(f"_{c}")) for c in (a, b)]))
+
+    kept = [c for c in rows.columns if not c.startswith("_")]
+    return rows.select(*kept, *[found(n, a, b).alias(n) for n, (a, b) in pairs.items()])
+
+
+def futures(ops, future, strict: bool = True) -> Column:
+    """Place and continuation in `future` of each sentence that was aligned by ops, in order; null where it went. Equal sentences and
+    replaced blocks of one size go by position; not strict, any replaced sentence counts as gone."""
     sentences = X.col(future)
 
     def entries(op: Column) -> Column:
@@ -51,7 +104,12 @@ def future_map(middle, future, strict: bool = True) -> Column:
         rows = F.when(op["i2"] > op["i1"], F.sequence(op["i1"], op["i2"] - 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(rows, lambda i: F.struct(i.alias("key"), F.when(keeps, F.get(sentences, op["j1"] + i - op["i1"])).alias("value")))
 
-    return F.map_from_entries(F.flatten(F.transform(opcodes(middle, future), entries)))
+    return F.flatten(F.transform(X.col(ops), entries))
+
+
+def future_map(middle, future, strict: bool = True) -> Column:
+    """[R01, R07] futures() as a map of each sentence of `middle`."""
+    return F.map_from_entries(futures(opcodes(*[F.transform(X.col(c), X.normalise_sentence) for c in (middle, future)]), future, strict))
 
 
 def windows(versions: DataFrame, order: list[Column], size: int = 3) -> DataFrame:
@@ -86,17 +144,21 @@ def replacements(versions: DataFrame, order: list[Column], least: int = 20, most
     one-to-one blocks of valid sentences whose future is known, as no other can be an episode."""
     rows = windows(versions, order)
     rows = rows.where((F.size("sentences_0") > 0) & (F.size("sentences_1") > 0) & (F.size("sentences_2") > 0))
-    rows = rows.withColumn("ops", opcodes("sentences_0", "sentences_1")).withColumn("future", future_map("sentences_1", "sentences_2"))
-    rows = rows.withColumn("op", F.explode(F.filter("ops", lambda o: o["tag"] == "replace")))
-    i, j = F.col("op")["i1"], F.col("op")["j1"]
-    one = (F.col("op")["i2"] - i == 1) & (F.col("op")["j2"] - j == 1)
-    rows = rows.select(
-        "lineage_id", "source", "article_id", F.col("version_0").alias("v0_version_id"), F.col("version_1").alias("v1_version_id"), F.col("version_2").alias("v2_version_id"), "nth",
-        j.alias("selected_sentence_index"), F.get("sentences_0", i).alias("rejected"), F.get("sentences_1", j).alias("selected"),
-        F.element_at("future", j).alias("v2_sentence"), F.map_contains_key("future", j).alias("resolved"), one.alias("one"),
-        X.context_before(F.col("sentences_1"), j, before).alias("context_before"), X.context_after(F.col("sentences_1"), j, after).alias("context_after"),
-        (j / F.greatest(F.lit(1), F.size("sentences_1") - 1)).alias("sentence_position"),
-    )
+    rows = with_opcodes(rows, {"ops": ("sentences_0", "sentences_1"), "next": ("sentences_1", "sentences_2")})
+    rows = rows.withColumn("future", futures("next", "sentences_2"))
+    # what a block needs is taken before rows are made of blocks, so that none of them copies whole versions; futures are in order of
+    # their place and leave none out
+    def block(op: Column) -> Column:
+        i, j = op["i1"], op["j1"]
+        return F.struct(
+            j.alias("selected_sentence_index"), F.get("sentences_0", i).alias("rejected"), F.get("sentences_1", j).alias("selected"),
+            F.get("future", j)["value"].alias("v2_sentence"), F.get("future", j).isNotNull().alias("resolved"), ((op["i2"] - i == 1) & (op["j2"] - j == 1)).alias("one"),
+            X.context_before(F.col("sentences_1"), j, before).alias("context_before"), X.context_after(F.col("sentences_1"), j, after).alias("context_after"),
+            (j / F.greatest(F.lit(1), F.size("sentences_1") - 1)).alias("sentence_position"),
+        )
+
+    blocks = F.transform(F.filter("ops", lambda o: o["tag"] == "replace"), block)
+    rows = rows.select("lineage_id", "source", "article_id", F.col("version_0").alias("v0_version_id"), F.col("version_1").alias("v1_version_id"), F.col("version_2").alias("v2_version_id"), "nth", F.inline(blocks))
     usable = F.col("one") & X.valid_sentence("rejected", least, most) & X.valid_sentence("selected", least, most) & F.col("resolved")
     rows = rows.withColumn("edit_similarity", similarity_ratio(*[F.when(usable, X.normalise_sentence(c)) for c in ("rejected", "selected")]))
     reason = (
@@ -153,12 +215,13 @@ def temporal_pairs(versions: DataFrame, order: list[Column], excluded: DataFrame
     aligned and scored in folded form without punctuation, one row for each pair of texts in that form (the first in hash
     order); with target, the first `target` of them, and an error if there are fewer."""
     rows = windows(versions.join(excluded.select("lineage_id").distinct(), "lineage_id", "left_anti"), order, 2)
-    rows = rows.withColumn("op", F.explode(opcodes("sentences_0", "sentences_1", X.normalise_temporal)))
-    i, j = F.col("op")["i1"], F.col("op")["j1"]
-    rows = rows.where((F.col("op")["tag"] == "replace") & (F.col("op")["i2"] - i == 1) & (F.col("op")["j2"] - j == 1))
-    rows = rows.select("lineage_id", F.concat("lineage_id", F.lit("::"), "version_0", F.lit("->"), "version_1", F.lit("::"), j.cast("string"), F.lit("::temporal")).alias("temporal_pair_id"),
-                       X.normalise_space(F.get("sentences_0", i)).alias("earlier_text"), X.normalise_space(F.get("sentences_1", j)).alias("later_text"),
-                       X.context_before(F.col("sentences_1"), j).alias("context_before"), X.context_after(F.col("sentences_1"), j).alias("context_after"))
+    rows = with_opcodes(rows, {"ops": ("sentences_0", "sentences_1")}, X.normalise_temporal)
+    one = lambda o: (o["tag"] == "replace") & (o["i2"] - o["i1"] == 1) & (o["j2"] - o["j1"] == 1)
+    block = lambda o: F.struct(o["j1"].alias("at"), F.get("sentences_0", o["i1"]).alias("earlier"), F.get("sentences_1", o["j1"]).alias("later"),
+                               X.context_before(F.col("sentences_1"), o["j1"]).alias("context_before"), X.context_after(F.col("sentences_1"), o["j1"]).alias("context_after"))
+    rows = rows.select("lineage_id", "version_0", "version_1", F.inline(F.transform(F.filter("ops", one), block)))
+    rows = rows.select("lineage_id", F.concat("lineage_id", F.lit("::"), "version_0", F.lit("->"), "version_1", F.lit("::"), F.col("at").cast("string"), F.lit("::temporal")).alias("temporal_pair_id"),
+                       X.normalise_space("earlier").alias("earlier_text"), X.normalise_space("later").alias("later_text"), "context_before", "context_after")
     rows = rows.where(X.valid_temporal("earlier_text", least, most) & X.valid_temporal("later_text", least, most))
     rows = rows.withColumns({"earlier_form": X.normalise_temporal("earlier_text"), "later_form": X.normalise_temporal("later_text")})
     rows = rows.withColumn("edit_similarity", similarity_ratio("earlier_form", "later_form")).where(F.col("edit_similarity").between(low, high))

@@ -239,8 +239,9 @@ def _(spark, sf_dir):
     """Sentences of the middle version by fate in the next, by both rules."""
     w = Window.partitionBy("lineage_id").orderBy("version_id")
     rows = versions(spark, sf_dir).withColumn("next", F.lead("sentences").over(w)).where("next is not null")
-    rows = rows.select("lineage_id", A.future_map("sentences", "next").alias("f"), A.future_map("sentences", "next", strict=False).alias("g"))
-    gone = lambda c: F.size(F.map_filter(c, lambda k, v: v.isNull()))
+    rows = A.with_opcodes(rows, {"ops": ("sentences", "next")})
+    rows = rows.select("lineage_id", A.futures("ops", "next").alias("f"), A.futures("ops", "next", strict=False).alias("g"))
+    gone = lambda c: F.size(F.filter(c, lambda e: e["value"].isNull()))
     return rows.groupBy("lineage_id").agg(F.sum(F.size("f")).alias("aligned"), F.sum(gone("f")).alias("gone"), F.sum(gone("g")).alias("gone_or_replaced"))
 
 
