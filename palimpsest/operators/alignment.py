@@ -114,11 +114,12 @@ def future_map(middle, future, strict: bool = True) -> Column:
 
 def windows(versions: DataFrame, order: list[Column], size: int = 3) -> DataFrame:
     """[W01, W02] Each version with those after it: sentences_0.., version_0.. for `size` consecutive versions, and `nth`."""
-    w = Window.partitionBy("lineage_id").orderBy(*order)
-    out = versions.withColumn("nth", F.row_number().over(w))
-    for k in range(size):
-        out = out.withColumn(f"sentences_{k}", F.lead("sentences", k).over(w)).withColumn(f"version_{k}", F.lead("version_id", k).over(w))
-    return out.where(F.col(f"version_{size - 1}").isNotNull())
+    # the order is a column and all leads are in one select: one sort of whole versions
+    rows = versions.withColumns({f"_order_{i}": o for i, o in enumerate(order)})
+    w = Window.partitionBy("lineage_id").orderBy(*[f"_order_{i}" for i in range(len(order))])
+    leads = [x for k in range(1, size) for x in (F.lead("sentences", k).over(w).alias(f"sentences_{k}"), F.lead("version_id", k).over(w).alias(f"version_{k}"))]
+    out = rows.select(*versions.columns, F.row_number().over(w).alias("nth"), *leads).where(F.col(f"version_{size - 1}").isNotNull())
+    return out.withColumns({"sentences_0": F.col("sentences"), "version_0": F.col("version_id")})
 
 
 def version_order(created: str | None, version: str) -> list[Column]:
@@ -155,18 +156,20 @@ def replacements(versions: DataFrame, order: list[Column], least: int = 20, most
             F.get("future", j)["value"].alias("v2_sentence"), F.get("future", j).isNotNull().alias("resolved"), ((op["i2"] - i == 1) & (op["j2"] - j == 1)).alias("one"),
             X.context_before(F.col("sentences_1"), j, before).alias("context_before"), X.context_after(F.col("sentences_1"), j, after).alias("context_after"),
             (j / F.greatest(F.lit(1), F.size("sentences_1") - 1)).alias("sentence_position"),
+            *[X.valid_sentence(c, least, most).alias(f"valid_{n}") for n, c in (("rejected", F.get("sentences_0", i)), ("selected", F.get("sentences_1", j)))],
+            *[X.normalise_sentence(c).alias(f"form_{n}") for n, c in (("rejected", F.get("sentences_0", i)), ("selected", F.get("sentences_1", j)))],
         )
 
     blocks = F.transform(F.filter("ops", lambda o: o["tag"] == "replace"), block)
     rows = rows.select("lineage_id", "source", "article_id", F.col("version_0").alias("v0_version_id"), F.col("version_1").alias("v1_version_id"), F.col("version_2").alias("v2_version_id"), "nth", F.inline(blocks))
-    usable = F.col("one") & X.valid_sentence("rejected", least, most) & X.valid_sentence("selected", least, most) & F.col("resolved")
-    rows = rows.withColumn("edit_similarity", similarity_ratio(*[F.when(usable, X.normalise_sentence(c)) for c in ("rejected", "selected")]))
+    usable = F.col("one") & F.col("valid_rejected") & F.col("valid_selected") & F.col("resolved")
+    rows = rows.withColumn("edit_similarity", similarity_ratio(F.when(usable, F.col("form_rejected")), F.when(usable, F.col("form_selected"))))
     reason = (
-        F.when(~F.col("one"), "ambiguous_replacement").when(~X.valid_sentence("rejected", least, most), "invalid_rejected_sentence")
-        .when(~X.valid_sentence("selected", least, most), "invalid_selected_sentence").when(~F.col("resolved"), "future_unresolved")
+        F.when(~F.col("one"), "ambiguous_replacement").when(~F.col("valid_rejected"), "invalid_rejected_sentence")
+        .when(~F.col("valid_selected"), "invalid_selected_sentence").when(~F.col("resolved"), "future_unresolved")
         .when(F.col("edit_similarity") < low, "similarity_below_min").when(F.col("edit_similarity") > high, "similarity_above_max")
     )
-    return rows.withColumn("reason", reason)
+    return rows.withColumn("reason", reason).drop("valid_rejected", "valid_selected", "form_rejected", "form_selected")
 
 
 def episodes(replaced: DataFrame, seed: int = 17, most: int | None = None) -> DataFrame:

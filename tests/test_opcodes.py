@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from palimpsest.operators import alignment as A
+from palimpsest.operators import selection as S
 
 
 def test_opcodes_equal_difflib(spark):
@@ -48,3 +49,19 @@ def test_ratio_equals_difflib(spark):
     rows = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "id int, a string, b string")
     out = {r["id"]: r["r"] for r in rows.select("id", A.similarity_ratio("a", "b").alias("r")).collect()}
     assert all(out[i] == (None if a is None or b is None else difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()) for i, (a, b) in enumerate(pairs))
+
+
+def test_versions_are_sorted_once(spark):
+    rows = spark.createDataFrame([("a", str(k), [f"s{k}", "t"]) for k in range(5)], "lineage_id string, version_id string, sentences array<string>")
+    out = A.windows(rows, A.version_order(None, "version_id"))
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Window [") == 1
+    got = [(r["nth"], r["version_0"], r["version_2"], r["sentences_1"]) for r in out.orderBy("nth").collect()]
+    assert got == [(1, "0", "2", ["s1", "t"]), (2, "1", "3", ["s2", "t"]), (3, "2", "4", ["s3", "t"])]
+
+
+def test_balanced_subset_reads_its_rows_once(spark):
+    rows = spark.range(400).select(F.col("id").alias("source_id"), (F.col("id") % 2).cast("int").alias("target"))
+    out = S.balanced_subset(rows, 31)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    assert {r["target"]: r["count"] for r in out.groupBy("target").count().collect()} == {0: 15, 1: 16}
