@@ -286,7 +286,7 @@ def _(spark, sf_dir):
 , f AS (SELECT *, ((pos - CASE WHEN size > 1 THEN ('0x' || substr(sha256('17' || chr(31) || source || chr(31) || block), 1, 8))::BIGINT % greatest(size - 1, 1) + 1 ELSE 0 END) % size + size) % size AS src FROM s)
 SELECT f.episode_id, md5(g.old) AS rejected, g.gone_chars::INT AS rejected_chars, g.gone_tokens::INT AS rejected_tokens, (f.kept_chars - g.gone_chars)::INT AS char_delta, (f.kept_tokens - g.gone_tokens)::INT AS token_delta FROM f JOIN f g ON f.source = g.source AND f.block = g.block AND f.src = g.pos""")
 def _(spark, sf_dir):
-    return J.matched_shuffle(wide(spark, sf_dir)).select("episode_id", F.md5("rejected_sentence").alias("rejected"), "rejected_chars", "rejected_tokens", "char_delta", "token_delta")
+    return J.matched_shuffle(written(wide(spark, sf_dir), "wide")).select("episode_id", F.md5("rejected_sentence").alias("rejected"), "rejected_chars", "rejected_tokens", "char_delta", "token_delta")
 
 
 @query("feature_set_columns", _WIDE + """
