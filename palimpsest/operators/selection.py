@@ -94,8 +94,10 @@ def hash_ranked(rows: DataFrame, place: Column, by: list[str] = (), tie: list[st
 def balanced_subset(rows: DataFrame, size: int, seed: int = 17, key: str = "source_id", target: str = "target") -> DataFrame:
     """[A07] The hash-first floor(size / 2) of class 0 and the rest of class 1."""
     rows = rows.withColumn("_place", F.sha2(F.concat(F.lit(f"diagnostic-subset:{seed}:"), F.col(key).cast("string")), 256))
-    first = lambda c, n: rows.where(F.col(target) == c).orderBy("_place", key).limit(n)
-    return first(0, size // 2).unionByName(first(1, size - size // 2)).drop("_place")
+    # both classes in one pass over rows; tasks keep no more than the first ones
+    nth = F.row_number().over(Window.partitionBy(target).orderBy("_place", key))
+    picked = rows.where(F.col(target).isin(0, 1)).withColumn("_nth", nth).where(F.col("_nth") <= size - size // 2)
+    return picked.where(F.col("_nth") <= F.when(F.col(target) == 0, size // 2).otherwise(size - size // 2)).drop("_place", "_nth")
 
 
 def whole_sessions(rows: DataFrame, session: str, limit: int, seed: int = 1729) -> DataFrame:
