@@ -143,3 +143,26 @@ def test_boosted_arms_and_their_aggregate(spark):
     assert found["t - g"].mean_difference == pytest.approx((loss["t"] - loss["g"]).mean())
     bad = pooled.unionByName(pooled.where("arm = 'r0' and episode_id = 3"))
     assert {r.comparison: r.faulty_rows for r in B.boosted_aggregate(bad, "t", "g", "r", 10).collect()} == {"t - g": 0, "t - r0": 1, "t - mean of replicas": 1}
+
+
+def test_passes_go_by_rows_not_by_files_and_leave_nothing_behind(spark, monkeypatch):
+    """Rows of many partitions are few files, so histograms are sent by few tasks; no plan holds a list of quantiles for each column;
+    broadcasts are destroyed on the driver; models that are dealt over tasks are those of one task."""
+    from pyspark.core.broadcast import Broadcast
+
+    destroyed = []
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, blocking=False, own=Broadcast.destroy: destroyed.append(1) or own(self, blocking))
+    df = spark.range(300).select("id", F.array(*[F.pmod(F.xxhash64("id", F.lit(j)), F.lit(50)).cast("double") for j in range(70)]).alias("v"), (F.col("id") % 3 % 2).cast("int").alias("label")).repartition(12)
+    role = F.when(F.col("id") % 5 == 0, VALIDATION).otherwise(TRAIN)
+    data, edges = T.binned(df, F.col("v"), F.col("label"), F.array(F.lit(0)), F.array(role))
+    assert len(data.inputFiles()) == 1
+    want = np.array([sorted(r["v"][69] for r in df.collect())]).ravel()
+    assert np.isfinite(edges[69]).sum() == len(set(want)) and set(edges[69][np.isfinite(edges[69])]) == set(want)
+    arms = [Arm(0, str(n), tuple(range(n, 70))) for n in range(5)]
+    settings = T.Settings(rate=0.3, least_curvature=1.0, l2=1.0, l1=0.0, rounds=2, patience=3)
+    found = []
+    for shares in (1, 3):
+        monkeypatch.setattr(T, "SHARES", shares)
+        found.append([(m.best, m.losses, [(t.column.tolist(), t.bin.tolist(), t.value.tolist()) for t in m.trees]) for m in T.boost(data, arms, settings)])
+    assert found[0] == found[1] and any(trees for *_, trees in found[0])
+    assert len(destroyed) >= 2 * (1 + 2 * 2)
