@@ -15,15 +15,75 @@ from palimpsest.functions import text as X
 OPCODES = "array<struct<tag:string,i1:int,i2:int,j1:int,j2:int>>"
 #: Rows whose sentences are Python objects at a time.
 SLICE = 64
+#: Pairs of characters that are compared as one number: with all blocks within, and for the longest block alone.
+SMALL, LARGE = 1 << 19, 1 << 26
 
 
 def _matcher(a, b) -> difflib.SequenceMatcher:
     return difflib.SequenceMatcher(a=a, b=b, autojunk=False)
 
 
+def _places(a: str, b: str) -> tuple[int, int]:
+    """Which characters of a (rows, from the lowest bits on) and b (columns) are equal, as bits of one number, and the bytes of a row:
+    at least a bit behind b is free, so that no run goes on in the next row."""
+    wide = len(b) // 8 + 1
+    at: dict[str, int] = {}
+    for j, c in enumerate(b):
+        at[c] = at.get(c, 0) | 1 << j
+    rows, none = {c: x.to_bytes(wide, "little") for c, x in at.items()}, bytes(wide)
+    return int.from_bytes(b"".join([rows.get(c, none) for c in a]), "little"), wide
+
+
+def _longest(equal: int, wide: int) -> tuple[int, int, int]:
+    """Row, column and size of the longest run, of such the first row and in it the first column."""
+    run, size, last = equal, 0, 0
+    while run:
+        last, size = run, size + 1
+        run = (run << 8 * wide + 1) & equal
+    i, j = divmod((last & -last).bit_length() - 1, 8 * wide) if size else (0, 0)
+    return i + 1 - size, j + 1 - size, size
+
+
+def _matched_within(a: str, b: str) -> int:
+    equal, wide = _places(a, b)
+    total, todo = 0, [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        if a1 - a0 == 1:
+            total += b.find(a[a0], b0, b1) >= 0
+        elif b1 - b0 == 1:
+            total += a.find(b[b0], a0, a1) >= 0
+        else:
+            columns = int.from_bytes(((1 << b1) - (1 << b0)).to_bytes(wide, "little") * (a1 - a0), "little")
+            i, j, size = _longest(equal >> 8 * wide * a0 & columns, wide)
+            if size:
+                total += size
+                i += a0
+                todo += [x for x in ((a0, i, b0, j), (i + size, a1, j + size, b1)) if x[0] < x[1] and x[2] < x[3]]
+    return total
+
+
+def matched(a: str, b: str) -> int:
+    """Characters in difflib's matching blocks of two texts, found by shifts of bits; in difflib itself where these would be too many."""
+    total, todo = 0, [(a, b)]
+    while todo:
+        a, b = todo.pop()
+        if not a or not b:
+            continue
+        if len(a) * len(b) <= SMALL:
+            total += _matched_within(a, b)
+            continue
+        i, j, size = _longest(*_places(a, b)) if len(a) * len(b) <= LARGE else _matcher(a, b).find_longest_match()
+        if size:
+            total += size
+            todo += [(a[:i], b[:j]), (a[i + size :], b[j + size :])]
+    return total
+
+
 def _ratio(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    ratio = lambda a, b: 2.0 * matched(a, b) / (len(a) + len(b)) if a or b else 1.0
     for a, b in batches:
-        yield pa.array([_matcher(x.as_py(), y.as_py()).ratio() if x.is_valid and y.is_valid else None for x, y in zip(a, b, strict=True)], pa.float64())
+        yield pa.array([ratio(x.as_py(), y.as_py()) if x.is_valid and y.is_valid else None for x, y in zip(a, b, strict=True)], pa.float64())
 
 
 def similarity_ratio(a, b) -> Column:

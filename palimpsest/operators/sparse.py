@@ -145,22 +145,24 @@ def _entries(batch: pa.RecordBatch):
 
 def _gradients(data: DataFrame, models: list[Model], points: dict[int, np.ndarray]) -> dict[int, tuple[float, np.ndarray, int]]:
     """Of each model at its point: mean loss with penalty, gradient, and rows, over the training rows of data."""
-    state = [(k, models[k].split, models[k].allowed, w) for k, w in points.items()]
+    # weights outside of a set are 0, so that its models take the entries of a split as they are
+    state = [(k, models[k].split, models[k].allowed, np.append(np.where(models[k].allowed, w[:-1], 0), w[-1])) for k, w in points.items()]
 
     def step(state, batch):
         row, at, value = _entries(batch)
         split, y = batch.column("split").to_numpy(), batch.column("y").to_numpy()
-        for k, s, allowed, w in state:
+        for s in np.unique(split).tolist():
             rows = split == s
-            if not rows.any():
-                continue
-            pick = rows[row]
-            r, a, v = row[pick], at[pick], value[pick]
-            some = allowed[a]
-            r, a, v = r[some], a[some], v[some]
-            z = np.bincount(r, v * w[a], batch.num_rows) + w[-1]
-            e = np.where(rows, 0.5 + 0.5 * np.tanh(z / 2) - y, 0)
-            yield k, np.concatenate([[(np.logaddexp(0, z) - y * z)[rows].sum(), rows.sum()], np.bincount(a, v * e[r], len(w) - 1), [e.sum()]])
+            r, a, v, t = row, at, value, y
+            if not rows.all():
+                pick = rows[row]
+                r, a, v, t = (np.cumsum(rows) - 1)[row[pick]], at[pick], value[pick], y[rows]
+            r, a = r.astype(np.intp), a.astype(np.intp)  # once, not in each sum
+            for k, _, allowed, w in (x for x in state if x[1] == s):
+                z = np.bincount(r, v * w[a], len(t)) + w[-1]
+                e = 0.5 + 0.5 * np.tanh(z / 2) - t
+                g = np.bincount(a, v * e[r], len(allowed))
+                yield k, np.concatenate([[(np.logaddexp(0, z) - t * z).sum(), len(t)], np.where(allowed, g, 0), [e.sum()]])
 
     found = summed(data.where(F.col("role") == TRAIN).select("split", "y", "at", "value"), state, step)
     out = {}

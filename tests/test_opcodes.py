@@ -65,3 +65,23 @@ def test_balanced_subset_reads_its_rows_once(spark):
     out = S.balanced_subset(rows, 31)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
     assert {r["target"]: r["count"] for r in out.groupBy("target").count().collect()} == {0: 15, 1: 16}
+
+
+def test_matched_characters_are_those_of_difflib(monkeypatch):
+    """By bits, by the longest block alone and through difflib; on alphabets where ties abound."""
+    rng = random.Random(5)
+    pairs = [("", ""), ("", "a"), ("abcab", "cabca"), ("a" * 70, "a" * 64), ("\U0001f600é漢" * 5, "é漢\U0001f600" * 4)]
+    pairs += [tuple("".join(rng.choice(letters) for _ in range(rng.randint(0, most))) for _ in range(2)) for letters in ("ab", "abc", "abcdefgh ", "aé漢") for most in (3, 8, 9, 17, 60) for _ in range(60)]
+    want = [sum(m.size for m in difflib.SequenceMatcher(None, a, b, False).get_matching_blocks()) for a, b in pairs]
+    for small, large in ((1 << 19, 1 << 26), (64, 1 << 26), (64, 512), (0, 0)):
+        monkeypatch.setattr(A, "SMALL", small)
+        monkeypatch.setattr(A, "LARGE", large)
+        assert [A.matched(a, b) for a, b in pairs] == want
+
+
+def test_ratio_of_unlike_sentences_needs_no_loop_over_characters(monkeypatch):
+    """Unlike sentences of a few hundred characters never reach difflib."""
+    monkeypatch.setattr(A, "_matcher", None)
+    rng = random.Random(6)
+    a, b = ("".join(rng.choice("etaoin shrdlu") for _ in range(600)) for _ in range(2))
+    assert next(A._ratio(iter([(pa.array([a, None, ""]), pa.array([b, "x", ""]))]))).to_pylist() == [difflib.SequenceMatcher(None, a, b, False).ratio(), None, 1.0]
