@@ -174,8 +174,10 @@ def future_map(middle, future, strict: bool = True) -> Column:
 
 def windows(versions: DataFrame, order: list[Column], size: int = 3) -> DataFrame:
     """[W01, W02] Each version with those after it: sentences_0.., version_0.. for `size` consecutive versions, and `nth`."""
-    # the order is a column and all leads are in one select: one sort of whole versions
+    # the order is a column and all leads are in one select: one sort of whole versions, in as many parts as are set, which are not
+    # put together by compressed size: versions of a lineage are alike, and a task would hold many times what is shuffled
     rows = versions.withColumns({f"_order_{i}": o for i, o in enumerate(order)})
+    rows = rows.repartition(int(versions.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lineage_id")
     w = Window.partitionBy("lineage_id").orderBy(*[f"_order_{i}" for i in range(len(order))])
     leads = [x for k in range(1, size) for x in (F.lead("sentences", k).over(w).alias(f"sentences_{k}"), F.lead("version_id", k).over(w).alias(f"version_{k}"))]
     out = rows.select(*versions.columns, F.row_number().over(w).alias("nth"), *leads).where(F.col(f"version_{size - 1}").isNotNull())

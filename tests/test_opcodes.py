@@ -85,3 +85,11 @@ def test_ratio_of_unlike_sentences_needs_no_loop_over_characters(monkeypatch):
     rng = random.Random(6)
     a, b = ("".join(rng.choice("etaoin shrdlu") for _ in range(600)) for _ in range(2))
     assert next(A._ratio(iter([(pa.array([a, None, ""]), pa.array([b, "x", ""]))]))).to_pylist() == [difflib.SequenceMatcher(None, a, b, False).ratio(), None, 1.0]
+
+
+def test_windows_of_whole_versions_keep_their_parts(spark):
+    """Parts of versions are not put together by their size in a shuffle, where versions that are alike take little room."""
+    rows = spark.range(30).selectExpr("cast(id % 10 as string) as lineage_id", "cast(id div 10 as string) as version_id", "array('a', 'b') as sentences")
+    found = A.windows(rows, A.version_order(None, "version_id"))
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    assert sorted(r["lineage_id"] for r in found.collect()) == sorted(str(i) for i in range(10))
