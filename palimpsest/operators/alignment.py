@@ -17,6 +17,8 @@ OPCODES = "array<struct<tag:string,i1:int,i2:int,j1:int,j2:int>>"
 SLICE = 64
 #: Pairs of characters that are compared as one number: with all blocks within, and for the longest block alone.
 SMALL, LARGE = 1 << 19, 1 << 26
+#: Bytes of sentences in a part of whole versions.
+PART = 48 << 20
 
 
 def _matcher(a, b) -> difflib.SequenceMatcher:
@@ -172,12 +174,22 @@ def future_map(middle, future, strict: bool = True) -> Column:
     return F.map_from_entries(futures(opcodes(*[F.transform(X.col(c), X.normalise_sentence) for c in (middle, future)]), future, strict))
 
 
-def windows(versions: DataFrame, order: list[Column], size: int = 3) -> DataFrame:
-    """[W01, W02] Each version with those after it: sentences_0.., version_0.. for `size` consecutive versions, and `nth`."""
-    # the order is a column and all leads are in one select: one sort of whole versions, in as many parts as are set, which are not
+def parts(rows: DataFrame, size: Column) -> int:
+    """Parts in which whole versions meet: as many as are set, and more where the sum of size, bytes of sentences, is over PART for each.
+    The bytes are counted, in a pass over rows: what is set and the size of files say little of what a task will hold."""
+    total = rows.agg(F.sum(size)).first()[0] or 0
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // PART))
+
+
+def windows(versions: DataFrame, order: list[Column], size: int = 3, n_parts: int | None = None) -> DataFrame:
+    """[W01, W02] Each version with those after it: sentences_0.., version_0.. for `size` consecutive versions, and `nth`. n_parts, where the
+    caller has a cheaper source for parts(), spares a pass over versions."""
+    # the order is a column and all leads are in one select: one sort of whole versions, in parts by their bytes, which are not
     # put together by compressed size: versions of a lineage are alike, and a task would hold many times what is shuffled
+    if n_parts is None:
+        n_parts = parts(versions, F.aggregate("sentences", F.lit(0).cast("long"), lambda n, s: n + F.coalesce(F.octet_length(s), F.lit(0))))
     rows = versions.withColumns({f"_order_{i}": o for i, o in enumerate(order)})
-    rows = rows.repartition(int(versions.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lineage_id")
+    rows = rows.repartition(n_parts, "lineage_id")
     w = Window.partitionBy("lineage_id").orderBy(*[f"_order_{i}" for i in range(len(order))])
     leads = [x for k in range(1, size) for x in (F.lead("sentences", k).over(w).alias(f"sentences_{k}"), F.lead("version_id", k).over(w).alias(f"version_{k}"))]
     out = rows.select(*versions.columns, F.row_number().over(w).alias("nth"), *leads).where(F.col(f"version_{size - 1}").isNotNull())
@@ -201,11 +213,11 @@ def raw_order(created: str | None, version: str) -> list[Column]:
     return [F.col(version)] if created is None else [F.col(created).isNull(), F.col(created), F.col(version)]
 
 
-def replacements(versions: DataFrame, order: list[Column], least: int = 20, most: int = 500, low: float = 0.15, high: float = 0.98, before: int = 1, after: int = 1) -> DataFrame:
+def replacements(versions: DataFrame, order: list[Column], least: int = 20, most: int = 500, low: float = 0.15, high: float = 0.98, before: int = 1, after: int = 1, n_parts: int | None = None) -> DataFrame:
     """[R02-R04, W04] One row for each replaced block of each window of three versions, with `reason` null where it is an
     episode. versions(lineage_id, source, article_id, version_id, sentences, order columns). Similarity is taken only of
     one-to-one blocks of valid sentences whose future is known, as no other can be an episode."""
-    rows = windows(versions, order)
+    rows = windows(versions, order, n_parts=n_parts)
     rows = rows.where((F.size("sentences_0") > 0) & (F.size("sentences_1") > 0) & (F.size("sentences_2") > 0))
     rows = with_opcodes(rows, {"ops": ("sentences_0", "sentences_1"), "next": ("sentences_1", "sentences_2")})
     rows = rows.withColumn("future", futures("next", "sentences_2"))

@@ -27,7 +27,7 @@ def funnel(replaced: DataFrame) -> DataFrame:
     return replaced.groupBy(F.coalesce("reason", F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
-def extraction_audit(versions: DataFrame, order: list[Column], replaced: DataFrame, episodes: DataFrame) -> DataFrame:
+def extraction_audit(versions: DataFrame, order: list[Column], replaced: DataFrame, episodes: DataFrame, n_parts: int | None = None) -> DataFrame:
     """[R13, R14] One row: articles, windows, replaced blocks, episodes (as they are after duplicates and limits), their
     rates, and how many of each were left out by reason."""
     per = versions.groupBy("lineage_id").agg(F.count("*").alias("n"))
@@ -35,7 +35,7 @@ def extraction_audit(versions: DataFrame, order: list[Column], replaced: DataFra
     blocks = replaced.agg(F.count("*").alias("replacement_opcodes_seen"), *[count_if(F.col("reason") == r).alias(r) for r in EXCLUSIONS[2:]])
     kept = episodes.agg(F.countDistinct("lineage_id").alias("articles_with_examples"), F.count("*").alias("accepted_examples"), count_if("future_revised").alias("future_revised_examples"))
     few = lambda k: F.coalesce(F.size(f"sentences_{k}"), F.lit(0)) <= 0
-    left = windows(versions, order).agg(count_if(few(0) | few(1) | few(2)).alias("empty_version"))
+    left = windows(versions, order, n_parts=n_parts).agg(count_if(few(0) | few(1) | few(2)).alias("empty_version"))
     out = articles.crossJoin(blocks).crossJoin(kept).crossJoin(left)
     return out.select(
         "articles_seen", "articles_with_examples", "version_windows_seen", "replacement_opcodes_seen", "accepted_examples", X.share("accepted_examples", "replacement_opcodes_seen").alias("acceptance_rate"),

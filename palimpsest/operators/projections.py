@@ -111,11 +111,11 @@ def _pair_columns() -> dict[str, Column]:
     }
 
 
-def wide_episodes(versions: DataFrame, order: list[Column], least: int = 25, most: int = 600, low: float = 0.20, high: float = 0.98, before: int = 2, after: int = 1, limit: int | None = None) -> DataFrame:
+def wide_episodes(versions: DataFrame, order: list[Column], least: int = 25, most: int = 600, low: float = 0.20, high: float = 0.98, before: int = 2, after: int = 1, limit: int | None = None, n_parts: int | None = None) -> DataFrame:
     """[R08-R10, R07] Episodes with lengths, word counts and their differences, one for each episode_id (the first in order of
     windows); an outcome counts as revised where the sentence went or was replaced. limit keeps the first in order of article."""
     sizes = versions.groupBy("lineage_id").agg(F.count("*").alias("n_versions"))
-    rows = replacements(versions, order, least, most, low, high, before, after).where("reason is null").join(sizes, "lineage_id")
+    rows = replacements(versions, order, least, most, low, high, before, after, n_parts).where("reason is null").join(sizes, "lineage_id")
     changed = F.col("v2_sentence").isNull() | (X.normalise_sentence("v2_sentence") != X.normalise_sentence("selected"))
     rows = rows.select(
         F.concat("lineage_id", F.lit("::"), "v0_version_id", F.lit("->"), "v1_version_id", F.lit("::"), F.col("selected_sentence_index").cast("string")).alias("episode_id"),

@@ -19,8 +19,13 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revisions(table(spark, sf_dir, "documents"))
 
 
+def version_parts(spark: SparkSession, sf_dir: str) -> int:
+    """A.parts() of versions() by the bytes of the documents that they are made of: each has three."""
+    return A.parts(table(spark, sf_dir, "documents"), 3 * F.octet_length("text").cast("long"))
+
+
 def replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.replacements(versions(spark, sf_dir), A.version_order(None, "version_id"))
+    return A.replacements(versions(spark, sf_dir), A.version_order(None, "version_id"), n_parts=version_parts(spark, sf_dir))
 
 
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,7 +299,7 @@ SELECT articles AS articles_seen, l AS articles_with_examples, articles AS versi
  0::BIGINT AS too_few_versions, 0::BIGINT AS empty_version, ambiguous AS ambiguous_replacement, r AS invalid_rejected_sentence, m AS invalid_selected_sentence, 0::BIGINT AS future_unresolved, lo AS similarity_below_min, hi AS similarity_above_max FROM blocks, s, e""" % (TOKENS_SQL.format("old"), TOKENS_SQL.format("mid")))
 def _(spark, sf_dir):
     found = replaced(spark, sf_dir)
-    return U.extraction_audit(versions(spark, sf_dir), A.version_order(None, "version_id"), found, A.episodes(found))
+    return U.extraction_audit(versions(spark, sf_dir), A.version_order(None, "version_id"), found, A.episodes(found), version_parts(spark, sf_dir))
 
 
 @query("lineage_concentration", EPISODES_SQL + """

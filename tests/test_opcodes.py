@@ -93,3 +93,13 @@ def test_windows_of_whole_versions_keep_their_parts(spark):
     found = A.windows(rows, A.version_order(None, "version_id"))
     assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
     assert sorted(r["lineage_id"] for r in found.collect()) == sorted(str(i) for i in range(10))
+
+
+def test_parts_of_versions_grow_with_their_bytes(spark, monkeypatch):
+    """Whatever is set: ten times the versions meet in ten times the parts, so a task holds no more of them."""
+    rows = lambda n: spark.range(3 * n).selectExpr(f"cast(id % {n} as string) as lineage_id", f"cast(id div {n} as string) as version_id", "array(repeat('é', 50), null, 'b') as sentences")
+    monkeypatch.setattr(A, "PART", 1000)
+    order = A.version_order(None, "version_id")
+    assert [A.windows(rows(n), order).rdd.getNumPartitions() for n in (10, 40, 400)] == [4, 13, 122]
+    assert A.windows(rows(40), order, n_parts=7).rdd.getNumPartitions() == 7
+    assert A.windows(rows(40), order).count() == 40 and A.parts(rows(40).limit(0), F.lit(1)) == 4
