@@ -287,11 +287,12 @@ def sentences_or_split(sentences="sentences", text="text") -> Column:
     return F.when(F.size(X.col(sentences)) > 0, X.col(sentences)).otherwise(X.sentence_split(text))
 
 
-def temporal_pairs(versions: DataFrame, order: list[Column], excluded: DataFrame, target: int | None = None, seed: int = 17, low: float = 0.05, high: float = 0.995, least: int = 20, most: int = 500) -> DataFrame:
+def temporal_pairs(versions: DataFrame, order: list[Column], excluded: DataFrame, target: int | None = None, seed: int = 17, low: float = 0.05, high: float = 0.995, least: int = 20, most: int = 500, n_parts: int | None = None) -> DataFrame:
     """[R11, W02, J05, U08, T04] Replaced pairs of consecutive versions of lineages that are not in excluded(lineage_id),
     aligned and scored in folded form without punctuation, one row for each pair of texts in that form (the first in hash
     order); with target, the first `target` of them, and an error if there are fewer."""
-    rows = windows(versions.join(excluded.select("lineage_id").distinct(), "lineage_id", "left_anti"), order, 2)
+    # excluded lineages go after the window, whose parts and order serve the join: whole versions are shuffled and sorted once at any size
+    rows = windows(versions, order, 2, n_parts).join(excluded.select("lineage_id").distinct(), "lineage_id", "left_anti")
     rows = with_opcodes(rows, {"ops": ("sentences_0", "sentences_1")}, X.normalise_temporal)
     one = lambda o: (o["tag"] == "replace") & (o["i2"] - o["i1"] == 1) & (o["j2"] - o["j1"] == 1)
     block = lambda o: F.struct(o["j1"].alias("at"), F.get("sentences_0", o["i1"]).alias("earlier"), F.get("sentences_1", o["j1"]).alias("later"),

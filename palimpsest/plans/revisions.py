@@ -225,27 +225,25 @@ temporal AS (SELECT id AS temporal_pair_id, lineage_id, earlier AS earlier_text,
 @query("temporal_pairs_external", TEMPORAL_SQL + "SELECT temporal_pair_id, lineage_id, md5(earlier_text) AS a, md5(later_text) AS b, round(sim, 9) AS sim, md5(cb) AS before, md5(ca) AS after FROM temporal")
 def _(spark, sf_dir):
     v = versions(spark, sf_dir)
-    pairs = A.temporal_pairs(v, A.version_order(None, "version_id"), episodes(spark, sf_dir))
+    pairs = A.temporal_pairs(v, A.version_order(None, "version_id"), episodes(spark, sf_dir), n_parts=version_parts(spark, sf_dir))
     return pairs.select("temporal_pair_id", "lineage_id", F.md5("earlier_text").alias("a"), F.md5("later_text").alias("b"), F.round("edit_similarity", 9).alias("sim"), F.md5("context_before").alias("before"), F.md5("context_after").alias("after"))
 
 
 @query("similarity_ratio_adjacent", CELLS_SQL + "SELECT lineage_id, '1' AS version_id, i::INT AS i, round(sim1, 9) AS ratio FROM cells WHERE c1 UNION ALL SELECT lineage_id, '2', i::INT, round(sim2, 9) FROM cells WHERE c2")
 def _(spark, sf_dir):
     """Character similarity of each line and its revision; every line of the fixture, by difflib."""
-    v = versions(spark, sf_dir)
-    w = Window.partitionBy("lineage_id").orderBy("version_id")
-    rows = v.withColumn("next", F.lead("sentences").over(w)).where("next is not null").select("lineage_id", "version_id", F.posexplode(F.arrays_zip("sentences", "next")).alias("i", "s"))
-    rows = rows.where("s.sentences <> s.next").select("lineage_id", "version_id", "i", F.col("s.sentences").alias("a"), F.col("s.next").alias("b"))
+    rows = A.windows(versions(spark, sf_dir), [F.col("version_id")], 2, version_parts(spark, sf_dir))
+    rows = rows.select("lineage_id", "version_id", F.posexplode(F.arrays_zip("sentences_0", "sentences_1")).alias("i", "s"))
+    rows = rows.where("s.sentences_0 <> s.sentences_1").select("lineage_id", "version_id", "i", F.col("s.sentences_0").alias("a"), F.col("s.sentences_1").alias("b"))
     return rows.select("lineage_id", "version_id", "i", F.round(A.similarity_ratio(X.normalise_sentence("a"), X.normalise_sentence("b")), 9).alias("ratio"))
 
 
 @query("sentence_fates", CELLS_SQL + "SELECT lineage_id, (2 * count(*))::BIGINT AS aligned, 0::BIGINT AS gone, (count(*) FILTER (c1) + count(*) FILTER (c2))::BIGINT AS gone_or_replaced FROM cells GROUP BY lineage_id")
 def _(spark, sf_dir):
     """Sentences of the middle version by fate in the next, by both rules."""
-    w = Window.partitionBy("lineage_id").orderBy("version_id")
-    rows = versions(spark, sf_dir).withColumn("next", F.lead("sentences").over(w)).where("next is not null")
-    rows = A.with_opcodes(rows, {"ops": ("sentences", "next")})
-    rows = rows.select("lineage_id", A.futures("ops", "next").alias("f"), A.futures("ops", "next", strict=False).alias("g"))
+    rows = A.windows(versions(spark, sf_dir), [F.col("version_id")], 2, version_parts(spark, sf_dir))
+    rows = A.with_opcodes(rows, {"ops": ("sentences_0", "sentences_1")})
+    rows = rows.select("lineage_id", A.futures("ops", "sentences_1").alias("f"), A.futures("ops", "sentences_1", strict=False).alias("g"))
     gone = lambda c: F.size(F.filter(c, lambda e: e["value"].isNull()))
     return rows.groupBy("lineage_id").agg(F.sum(F.size("f")).alias("aligned"), F.sum(gone("f")).alias("gone"), F.sum(gone("g")).alias("gone_or_replaced"))
 

@@ -103,3 +103,21 @@ def test_parts_of_versions_grow_with_their_bytes(spark, monkeypatch):
     assert [A.windows(rows(n), order).rdd.getNumPartitions() for n in (10, 40, 400)] == [4, 13, 122]
     assert A.windows(rows(40), order, n_parts=7).rdd.getNumPartitions() == 7
     assert A.windows(rows(40), order).count() == 40 and A.parts(rows(40).limit(0), F.lit(1)) == 4
+
+
+def test_excluded_lineages_cost_no_second_sort_of_versions(spark, monkeypatch):
+    """Where excluded lineages are too many for a broadcast, whole versions are shuffled and sorted once, in parts by their bytes."""
+    monkeypatch.setattr(A, "PART", 300)
+    rows = spark.range(30).selectExpr("cast(id % 10 as string) as lineage_id", "cast(id div 10 as string) as version_id", "array('the first line is here', concat('the other line ends as ', repeat(chr(int(97 + id)), 3))) as sentences")
+    excluded = spark.range(4).selectExpr("cast(id as string) as lineage_id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = A.temporal_pairs(rows, A.version_order(None, "version_id"), excluded)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        found = sorted((r["lineage_id"], r["temporal_pair_id"]) for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # of versions for the window, of excluded lineages for the join
+    assert plan.count("SortMergeJoin") == 1 and plan.count("Sort [lineage_id") == 2
+    assert found == [(str(k), f"{k}::{v}->{v + 1}::1::temporal") for k in range(4, 10) for v in range(2)]
