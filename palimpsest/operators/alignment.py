@@ -19,6 +19,8 @@ SLICE = 64
 SMALL, LARGE = 1 << 19, 1 << 26
 #: Bytes of sentences in a part of whole versions.
 PART = 48 << 20
+#: Parts of whole versions whose episodes meet in one part.
+JOINED = 8
 
 
 def _matcher(a, b) -> difflib.SequenceMatcher:
@@ -178,18 +180,23 @@ def parts(rows: DataFrame, size: Column) -> int:
     """Parts in which whole versions meet: as many as are set, and more where the sum of size, bytes of sentences, is over PART for each.
     The bytes are counted, in a pass over rows: what is set and the size of files say little of what a task will hold."""
     total = rows.agg(F.sum(size)).first()[0] or 0
-    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // PART))
+    return max(_set(rows), -(-int(total) // PART))
+
+
+def _set(rows: DataFrame) -> int:
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def windows(versions: DataFrame, order: list[Column], size: int = 3, n_parts: int | None = None) -> DataFrame:
     """[W01, W02] Each version with those after it: sentences_0.., version_0.. for `size` consecutive versions, and `nth`. n_parts, where the
-    caller has a cheaper source for parts(), spares a pass over versions."""
+    caller has a cheaper source for parts(), spares a pass over versions; 0 where it has dealt lineages into them, so that versions stay."""
     # the order is a column and all leads are in one select: one sort of whole versions, in parts by their bytes, which are not
     # put together by compressed size: versions of a lineage are alike, and a task would hold many times what is shuffled
     if n_parts is None:
         n_parts = parts(versions, F.aggregate("sentences", F.lit(0).cast("long"), lambda n, s: n + F.coalesce(F.octet_length(s), F.lit(0))))
     rows = versions.withColumns({f"_order_{i}": o for i, o in enumerate(order)})
-    rows = rows.repartition(n_parts, "lineage_id")
+    if n_parts:
+        rows = rows.repartition(n_parts, "lineage_id")
     w = Window.partitionBy("lineage_id").orderBy(*[f"_order_{i}" for i in range(len(order))])
     leads = [x for k in range(1, size) for x in (F.lead("sentences", k).over(w).alias(f"sentences_{k}"), F.lead("version_id", k).over(w).alias(f"version_{k}"))]
     out = rows.select(*versions.columns, F.row_number().over(w).alias("nth"), *leads).where(F.col(f"version_{size - 1}").isNotNull())
@@ -246,12 +253,14 @@ def replacements(versions: DataFrame, order: list[Column], least: int = 20, most
     return rows.withColumn("reason", reason).drop("valid_rejected", "valid_selected", "form_rejected", "form_selected")
 
 
-def episodes(replaced: DataFrame, seed: int = 17, most: int | None = None) -> DataFrame:
+def episodes(replaced: DataFrame, seed: int = 17, most: int | None = None, n_parts: int = 0) -> DataFrame:
     """[P01-P05, R05, T04] Episodes of replacements(): the first of each episode_id in order of windows, candidates in a
     hashed order, and whether the retained sentence was revised later; with most, the first so many in order of lineage,
-    window and sentence."""
+    window and sentence. Where n_parts, the parts of whole versions, are many, so are those in which episodes meet."""
     rows = replaced.where(F.col("reason").isNull())
     rows = rows.withColumn("episode_id", F.concat("lineage_id", F.lit("::"), "v0_version_id", F.lit("->"), "v1_version_id", F.lit("::"), F.col("selected_sentence_index").cast("string")))
+    if n_parts // JOINED > _set(rows):
+        rows = rows.repartition(n_parts // JOINED, "episode_id")
     first = rows.groupBy("episode_id").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "episode_id"]), "nth").alias("r")).select("episode_id", "r.*")
     if most is not None:
         first = first.orderBy("lineage_id", "nth", "selected_sentence_index").limit(most)

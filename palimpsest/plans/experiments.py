@@ -21,7 +21,7 @@ from palimpsest.operators import selection as S
 from palimpsest.operators import sessions as Z
 from palimpsest.operators import splits as P
 from palimpsest.plans.registry import query
-from palimpsest.plans.revisions import TEMPORAL_SQL, episodes, version_parts, versions
+from palimpsest.plans.revisions import TEMPORAL_SQL, episodes, versions
 from palimpsest.sources.fixture import EPISODES_SQL, FLAGS_SQL, table
 from palimpsest.sources.staging import written
 
@@ -202,7 +202,7 @@ def corpora(spark, sf_dir):
     """Records of all corpora, episodes, temporal pairs and members; pairs count three times, for a pool that is large
     enough."""
     e = written(episodes(spark, sf_dir), "episodes")
-    pairs = A.temporal_pairs(versions(spark, sf_dir), A.version_order(None, "version_id"), e, n_parts=version_parts(spark, sf_dir))
+    pairs = A.temporal_pairs(versions(spark, sf_dir), A.version_order(None, "version_id"), e, n_parts=0)
     pairs = written(pairs.crossJoin(spark.range(3)).withColumn("temporal_pair_id", F.concat_ws("#", "temporal_pair_id", F.col("id").cast("string"))).drop("id"), "pairs")
     m = members_of(e.select("lineage_id").distinct())
     buckets = P.hash_folds(pairs.select("lineage_id").distinct(), FOLDS)

@@ -204,9 +204,10 @@ def _(spark, sf_dir):
 
 @query("artifact_counts", EPISODES_SQL + "SELECT true AS rows_match, true AS ids_unique, true AS lineages_match, true AS outcomes_match, true AS outcomes_complete FROM (SELECT count(*) FROM episodes)")
 def _(spark, sf_dir):
-    found = replaced(spark, sf_dir)
-    e = A.episodes(found)
-    return B.artifact_counts(e, U.extraction_audit(versions(spark, sf_dir), A.version_order(None, "version_id"), found, e, version_parts(spark, sf_dir)))
+    n_parts = version_parts(spark, sf_dir)
+    found = replaced(spark, sf_dir, n_parts)
+    e = A.episodes(found, n_parts=n_parts)
+    return B.artifact_counts(e, U.extraction_audit(versions(spark, sf_dir, n_parts), A.version_order(None, "version_id"), found, e, 0))
 
 
 # --- projections ------------------------------------------------------------------------------------------------
@@ -271,7 +272,7 @@ _WIDE = CELLS_SQL + f"""
 
 
 def wide(spark, sf_dir):
-    return J.wide_episodes(versions(spark, sf_dir), A.version_order(None, "version_id"), n_parts=version_parts(spark, sf_dir))
+    return J.wide_episodes(versions(spark, sf_dir), A.version_order(None, "version_id"), n_parts=0)
 
 
 @query("wide_episodes", _WIDE + "SELECT episode_id, 1 AS version_index, 3::BIGINT AS n_versions, md5(before2) AS before, md5(context_after) AS after, kept_chars::INT AS retained_chars, gone_chars::INT AS rejected_chars, kept_tokens::INT AS retained_tokens, gone_tokens::INT AS rejected_tokens, (kept_chars - gone_chars)::INT AS char_delta, (kept_tokens - gone_tokens)::INT AS token_delta, round(sim1, 9) AS edit_similarity, c2::INT AS revised_again_next_version FROM wide")
@@ -306,7 +307,7 @@ def _(spark, sf_dir):
 
 def ablation(spark, sf_dir):
     """Log loss and Brier score of nine feature sets for each seed: held-out articles, and rejected sentences dealt again for the last set."""
-    wide = written(J.wide_episodes(versions(spark, sf_dir), A.version_order(None, "version_id"), n_parts=version_parts(spark, sf_dir)), "wide")
+    wide = written(J.wide_episodes(versions(spark, sf_dir), A.version_order(None, "version_id"), n_parts=0), "wide")
     given = [c for c in dict.fromkeys(c for f in J.feature_sets() if f.shuffled for c in (*f.text, *f.numeric)) if c not in (*J.BASE_TEXT, *J.BASE_NUMERIC)]
     rows = None
     for seed in SEEDS:

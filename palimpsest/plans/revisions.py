@@ -15,8 +15,9 @@ from palimpsest.sources.fixture import CELLS_SQL, EPISODES_SQL, FLAGS_SQL, TEMPO
 _SPACE = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 
 
-def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return revisions(table(spark, sf_dir, "documents"))
+def versions(spark: SparkSession, sf_dir: str, n_parts: int | None = None) -> DataFrame:
+    """Versions that lie together by lineage, in version_parts(): windows of them take n_parts=0."""
+    return revisions(table(spark, sf_dir, "documents"), n_parts or version_parts(spark, sf_dir))
 
 
 def version_parts(spark: SparkSession, sf_dir: str) -> int:
@@ -24,12 +25,13 @@ def version_parts(spark: SparkSession, sf_dir: str) -> int:
     return A.parts(table(spark, sf_dir, "documents"), 3 * F.octet_length("text").cast("long"))
 
 
-def replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.replacements(versions(spark, sf_dir), A.version_order(None, "version_id"), n_parts=version_parts(spark, sf_dir))
+def replaced(spark: SparkSession, sf_dir: str, n_parts: int | None = None) -> DataFrame:
+    return A.replacements(versions(spark, sf_dir, n_parts), A.version_order(None, "version_id"), n_parts=0)
 
 
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.episodes(replaced(spark, sf_dir))
+    n_parts = version_parts(spark, sf_dir)
+    return A.episodes(replaced(spark, sf_dir, n_parts), n_parts=n_parts)
 
 
 # --- ingest -----------------------------------------------------------------------------------------------------
@@ -225,14 +227,14 @@ temporal AS (SELECT id AS temporal_pair_id, lineage_id, earlier AS earlier_text,
 @query("temporal_pairs_external", TEMPORAL_SQL + "SELECT temporal_pair_id, lineage_id, md5(earlier_text) AS a, md5(later_text) AS b, round(sim, 9) AS sim, md5(cb) AS before, md5(ca) AS after FROM temporal")
 def _(spark, sf_dir):
     v = versions(spark, sf_dir)
-    pairs = A.temporal_pairs(v, A.version_order(None, "version_id"), episodes(spark, sf_dir), n_parts=version_parts(spark, sf_dir))
+    pairs = A.temporal_pairs(v, A.version_order(None, "version_id"), episodes(spark, sf_dir), n_parts=0)
     return pairs.select("temporal_pair_id", "lineage_id", F.md5("earlier_text").alias("a"), F.md5("later_text").alias("b"), F.round("edit_similarity", 9).alias("sim"), F.md5("context_before").alias("before"), F.md5("context_after").alias("after"))
 
 
 @query("similarity_ratio_adjacent", CELLS_SQL + "SELECT lineage_id, '1' AS version_id, i::INT AS i, round(sim1, 9) AS ratio FROM cells WHERE c1 UNION ALL SELECT lineage_id, '2', i::INT, round(sim2, 9) FROM cells WHERE c2")
 def _(spark, sf_dir):
     """Character similarity of each line and its revision; every line of the fixture, by difflib."""
-    rows = A.windows(versions(spark, sf_dir), [F.col("version_id")], 2, version_parts(spark, sf_dir))
+    rows = A.windows(versions(spark, sf_dir), [F.col("version_id")], 2, 0)
     rows = rows.select("lineage_id", "version_id", F.posexplode(F.arrays_zip("sentences_0", "sentences_1")).alias("i", "s"))
     rows = rows.where("s.sentences_0 <> s.sentences_1").select("lineage_id", "version_id", "i", F.col("s.sentences_0").alias("a"), F.col("s.sentences_1").alias("b"))
     return rows.select("lineage_id", "version_id", "i", F.round(A.similarity_ratio(X.normalise_sentence("a"), X.normalise_sentence("b")), 9).alias("ratio"))
@@ -241,7 +243,7 @@ def _(spark, sf_dir):
 @query("sentence_fates", CELLS_SQL + "SELECT lineage_id, (2 * count(*))::BIGINT AS aligned, 0::BIGINT AS gone, (count(*) FILTER (c1) + count(*) FILTER (c2))::BIGINT AS gone_or_replaced FROM cells GROUP BY lineage_id")
 def _(spark, sf_dir):
     """Sentences of the middle version by fate in the next, by both rules."""
-    rows = A.windows(versions(spark, sf_dir), [F.col("version_id")], 2, version_parts(spark, sf_dir))
+    rows = A.windows(versions(spark, sf_dir), [F.col("version_id")], 2, 0)
     rows = A.with_opcodes(rows, {"ops": ("sentences_0", "sentences_1")})
     rows = rows.select("lineage_id", A.futures("ops", "sentences_1").alias("f"), A.futures("ops", "sentences_1", strict=False).alias("g"))
     gone = lambda c: F.size(F.filter(c, lambda e: e["value"].isNull()))
@@ -296,8 +298,9 @@ def _(spark, sf_dir):
 SELECT articles AS articles_seen, l AS articles_with_examples, articles AS version_windows_seen, opcodes AS replacement_opcodes_seen, n AS accepted_examples, n / opcodes::DOUBLE AS acceptance_rate, f AS future_revised_examples, n - f AS future_stable_examples, f / n::DOUBLE AS future_revised_rate,
  0::BIGINT AS too_few_versions, 0::BIGINT AS empty_version, ambiguous AS ambiguous_replacement, r AS invalid_rejected_sentence, m AS invalid_selected_sentence, 0::BIGINT AS future_unresolved, lo AS similarity_below_min, hi AS similarity_above_max FROM blocks, s, e""" % (TOKENS_SQL.format("old"), TOKENS_SQL.format("mid")))
 def _(spark, sf_dir):
-    found = replaced(spark, sf_dir)
-    return U.extraction_audit(versions(spark, sf_dir), A.version_order(None, "version_id"), found, A.episodes(found), version_parts(spark, sf_dir))
+    n_parts = version_parts(spark, sf_dir)
+    found = replaced(spark, sf_dir, n_parts)
+    return U.extraction_audit(versions(spark, sf_dir, n_parts), A.version_order(None, "version_id"), found, A.episodes(found, n_parts=n_parts), 0)
 
 
 @query("lineage_concentration", EPISODES_SQL + """

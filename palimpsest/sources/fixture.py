@@ -16,16 +16,18 @@ def changed(tag: str, key: Column, i: Column, values: tuple[str, ...] = ("0", "1
     return F.substring(F.sha2(F.concat(F.lit(f"{tag}\x1f"), key.cast("string"), F.lit("\x1f"), i.cast("string")), 256), 64, 1).isin(*values)
 
 
-def sentence_rows(docs: DataFrame) -> DataFrame:
+def sentence_rows(docs: DataFrame, *more: str) -> DataFrame:
     """Documents with a line that is not empty; sentences are these lines, each after its number, so that all differ."""
     lines = F.filter(F.transform(F.split("text", "\n"), X.normalise_space), lambda s: s != "")
     numbered = F.transform(lines, lambda s, i: F.concat(F.lpad(i.cast("string"), 5, "0"), F.lit(" "), s))
-    return docs.select("doc_id", "source", numbered.alias("sentences")).where(F.size("sentences") > 0)
+    return docs.select("doc_id", "source", *more, numbered.alias("sentences")).where(F.size("sentences") > 0)
 
 
-def revisions(docs: DataFrame) -> DataFrame:
-    """Three versions of each document: as it is, with ' amended' or ' 12 dead' at some lines, then ' updated' at some."""
-    rows = sentence_rows(docs)
+def revisions(docs: DataFrame, n_parts: int = 0) -> DataFrame:
+    """Three versions of each document: as it is, with ' amended' or ' 12 dead' at some lines, then ' updated' at some. With n_parts
+    documents are dealt by lineage, a third of the bytes of their versions, which then lie together."""
+    docs = docs.select("doc_id", "source", "text", F.concat("source", F.lit("::"), F.col("doc_id").cast("string")).alias("lineage_id"))
+    rows = sentence_rows(docs.repartition(n_parts, "lineage_id") if n_parts else docs, "lineage_id")
     key = F.col("doc_id")
     amended = lambda i: F.when(changed("number", key, i, tuple("01234567")), F.lit(" 12 dead")).otherwise(F.lit(" amended"))
 
@@ -34,8 +36,8 @@ def revisions(docs: DataFrame) -> DataFrame:
 
     rows = rows.withColumn("second", mark("sentences", "amended", amended)).withColumn("third", mark("second", "updated", lambda i: F.lit(" updated")))
     version = lambda n, c: F.struct(F.lit(n).alias("version_id"), F.col(c).alias("sentences"))
-    rows = rows.select("doc_id", "source", F.explode(F.array(version("1", "sentences"), version("2", "second"), version("3", "third"))).alias("v"))
-    return rows.select(F.concat("source", F.lit("::"), F.col("doc_id").cast("string")).alias("lineage_id"), "source", F.col("doc_id").cast("string").alias("article_id"), "v.version_id", "v.sentences")
+    rows = rows.select("doc_id", "source", "lineage_id", F.explode(F.array(version("1", "sentences"), version("2", "second"), version("3", "third"))).alias("v"))
+    return rows.select("lineage_id", "source", F.col("doc_id").cast("string").alias("article_id"), "v.version_id", "v.sentences")
 
 
 _LINES = "list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '')"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import alignment as A
 from palimpsest.operators import selection as S
+from palimpsest.plans import revisions as P
 
 
 def test_opcodes_equal_difflib(spark):
@@ -121,3 +122,17 @@ def test_excluded_lineages_cost_no_second_sort_of_versions(spark, monkeypatch):
     # of versions for the window, of excluded lineages for the join
     assert plan.count("SortMergeJoin") == 1 and plan.count("Sort [lineage_id") == 2
     assert found == [(str(k), f"{k}::{v}->{v + 1}::1::temporal") for k in range(4, 10) for v in range(2)]
+
+
+def test_versions_are_dealt_as_documents_and_episodes_meet_in_more_parts(spark, monkeypatch, tmp_path):
+    """Versions are made where their lineages lie, so that a third of their bytes is dealt, once; episodes follow the bytes of versions."""
+    text = "\n".join(["a line of the document that is long enough"] * 40)
+    spark.range(60).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit(text).alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    same = lambda: sorted(map(tuple, P.episodes(spark, str(tmp_path)).select("episode_id", "candidate_a", "future_revised").collect()))
+    few = same()
+    monkeypatch.setattr(A, "PART", 3 * 60 * len(text) // 48)
+    assert P.version_parts(spark, str(tmp_path)) in (48, 49)
+    plan = P.replaced(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate explode") < plan.index("Exchange hashpartitioning")
+    assert P.episodes(spark, str(tmp_path)).rdd.getNumPartitions() == 6 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert same() == few != []
