@@ -2,6 +2,7 @@
 
 import difflib
 import random
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import alignment as A
 from palimpsest.operators import selection as S
+from palimpsest.plans import registry
 from palimpsest.plans import revisions as P
 
 
@@ -136,3 +138,14 @@ def test_versions_are_dealt_as_documents_and_episodes_meet_in_more_parts(spark,
     assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate explode") < plan.index("Exchange hashpartitioning")
     assert P.episodes(spark, str(tmp_path)).rdd.getNumPartitions() == 6 > int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert same() == few != []
+
+
+def test_future_label_in_more_parts_than_are_set(spark, monkeypatch, tmp_path):
+    text = "\n".join(["a line of the document that is long enough"] * 40)
+    spark.range(60).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit(text).alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = lambda: registry.queries()["future_label"](spark, str(tmp_path))
+    few = sorted(map(tuple, labels().collect()))
+    monkeypatch.setattr(A, "PART", 3 * 60 * len(text) // 48)
+    plan = labels()._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(episode_id#\d+, 6\)", plan) and re.search(r"hashpartitioning\(lineage_id#\d+, 4[89]\)", plan)
+    assert sorted(map(tuple, labels().collect())) == few != []
