@@ -166,3 +166,24 @@ def test_passes_go_by_rows_not_by_files_and_leave_nothing_behind(spark, monkeypa
         found.append([(m.best, m.losses, [(t.column.tolist(), t.bin.tolist(), t.value.tolist()) for t in m.trees]) for m in T.boost(data, arms, settings)])
     assert found[0] == found[1] and any(trees for *_, trees in found[0])
     assert len(destroyed) >= 2 * (1 + 2 * 2)
+
+
+def test_networks_learn_from_every_row_and_hold_batches(spark, monkeypatch):
+    """Beyond 20,000 rows, of which a hash picked a share before: the networks are those of all rows, whatever their number, and a
+    task reads them from its file in bounded pieces."""
+    n = 20_400
+    x = lambda k: F.array(*[F.pmod(F.xxhash64("id", F.lit(10 * k + j)), F.lit(1000)).cast("double") / 500 - 1 for j in range(2)])
+    rows = spark.range(n).select("id", (F.col("id") % 3).cast("int").alias("fold_bucket"), x(1).alias("context"), x(2).alias("candidate_a"), x(3).alias("candidate_b"))
+    rows = rows.withColumn("labels", F.array((F.col("candidate_b")[0] > F.col("candidate_a")[0]).cast("double"), (F.col("id") % 2).cast("double"))).cache()
+    nets = L.transfer_networks(rows, 3, hidden=3, bottleneck=2, epochs=1)
+    assert set(nets) == {(r, f) for r in range(2) for f in range(3)}
+    pdf = rows.toPandas().sort_values("id")
+    for replica, fold in ((0, 1), (1, 2)):
+        part = pdf[pdf.fold_bucket != fold].assign(label=pdf.labels.str[replica])
+        want = L.trained(part, fold, 3, 3, 2, 1, 3e-3, 1e-2, 17 + fold + 1000 * replica)
+        assert all(np.allclose(a, b, atol=1e-9) for a, b in zip(want, nets[replica, fold], strict=True))
+    spool, most = L._Spool(), []
+    spool.add(np.random.default_rng(2).standard_normal((5000, 7)))
+    spool.file.flush()
+    L._fitted(lambda at: most.append(len(at)) or spool.read(at), 2, 0, np.arange(5000) % 4 == 0, 3, 2, 1, 3e-3, 1e-2, 17)
+    assert max(most) <= 1024 and sum(most) == 2 * 3750 + 3750 + 1250
