@@ -187,3 +187,11 @@ def test_networks_learn_from_every_row_and_hold_batches(spark, monkeypatch):
     spool.file.flush()
     L._fitted(lambda at: most.append(len(at)) or spool.read(at), 2, 0, np.arange(5000) % 4 == 0, 3, 2, 1, 3e-3, 1e-2, 17)
     assert max(most) <= 1024 and sum(most) == 2 * 3750 + 3750 + 1250
+
+
+def test_networks_do_not_switch_by_the_number_of_rows(spark):
+    """A row more in a fold's test bucket leaves the fold's network as it is, also from 20,000 rows to 20,001."""
+    x = lambda k: F.array(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1000)).cast("double") / 500 - 1)
+    rows = spark.range(20_001).select("id", F.when(F.col("id") == 20_000, 0).otherwise(F.col("id") % 3).cast("int").alias("fold_bucket"), x(1).alias("context"), x(2).alias("candidate_a"), x(3).alias("candidate_b"), (F.col("id") % 2).cast("int").alias("label"))
+    less, more = (L.value_networks(r, 3, hidden=2, bottleneck=2, epochs=1) for r in (rows.where("id < 20000"), rows))
+    assert less[0] == more[0] and less[1] != more[1]
