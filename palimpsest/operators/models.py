@@ -11,7 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as X
@@ -19,8 +19,8 @@ from palimpsest.operators import boosting as T
 from palimpsest.operators import logistic as G
 from palimpsest.operators import sparse as Q
 from palimpsest.operators.projections import BASE_CATEGORICAL, BASE_NUMERIC, BASE_TEXT, FeatureSet
-from palimpsest.operators.selection import hash_ranked
-from palimpsest.sources.staging import written
+from palimpsest.operators.selection import before_head, hash_ranked
+from palimpsest.sources.staging import drop, written
 
 GRID = G.GRID
 
@@ -130,33 +130,49 @@ def four_arms(rows: DataFrame, group: str, target: str, base: list[str], prefere
     return arm_matrix(rows.withColumn("condition", F.lit("rows")), group, target, base, preference, [seed], fraction, key, bucket).drop("condition", "seed", "l2_lambda")
 
 
-def arm_matrix(rows: DataFrame, group: str, target: str, base: list[str], preference: list[str], seeds: list[int], fraction: float = 0.2, key: str = "id", bucket: str | None = None) -> DataFrame:
+def arm_matrix(rows: DataFrame, group: str, target: str, base: list[str], preference: list[str], seeds: list[int], fraction: float = 0.2, key: str = "id", bucket: str | None = None, conditions: dict[str, Column] | None = None) -> DataFrame:
     """[M19-M23] condition, seed, arm, id, lineage_id, label, probability, l2_lambda of the held-out groups of every condition and
     seed, under four sets of numeric columns: base alone, preference alone, both, and both with the preference columns dealt again
     within each side of the split (and bucket). Missing numbers take training medians; the penalty is 1 / n. Conditions, seeds and
-    arms are fitted together. rows(condition, key, group, target, ...); a training side of one class is an error."""
-    rows = rows.select("condition", F.col(key).alias("id"), F.col(group).alias("lineage_id"), F.col(target).cast("double").alias("y"), *[F.col(c).cast("double").alias(f"b_{c}") for c in base], *[F.col(c).cast("double").alias(f"p_{c}") for c in preference], (F.lit(0) if bucket is None else F.col(bucket)).alias("bucket"))
-    rows = rows.where("lineage_id is not null").withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
-    groups = rows.select("condition", "seed", "lineage_id").distinct()
-    many = groups.groupBy("condition", "seed").agg(F.count("*").alias("n"))
+    arms are fitted together. rows(condition, key, group, target, ...); a training side of one class is an error. With `conditions`
+    (targets by name) all of them have the same rows, which are then given, split and dealt once."""
+    named = [F.col("condition")] if conditions is None else [F.lit(c) for c in conditions]
+    targets = [F.col(target)] if conditions is None else list(conditions.values())
+    rows = rows.select((named[0] if conditions is None else F.lit("")).alias("condition"), F.col(key).alias("id"), F.col(group).alias("lineage_id"), F.array(*[y.cast("double") for y in targets]).alias("y"), *[F.col(c).cast("double").alias(f"b_{c}") for c in base], *[F.col(c).cast("double").alias(f"p_{c}") for c in preference], (F.lit(0) if bucket is None else F.col(bucket)).alias("bucket"))
+    rows = rows.where("lineage_id is not null")
+    groups = rows.select("condition", "lineage_id").distinct()
+    many = groups.groupBy("condition").agg(F.count("*").alias("n"))
     held = F.least(F.greatest(F.bround(F.col("n") * F.lit(fraction)), F.lit(1)), F.greatest(F.col("n") - 1, F.lit(1)))
-    side = hash_ranked(groups, X.stable_hash(F.col("seed"), F.col("lineage_id")), ["condition", "seed"], ["lineage_id"]).join(F.broadcast(many), ["condition", "seed"])
-    side = side.select("condition", "seed", "lineage_id", (F.col("nth") <= held).alias("held_out"))
+    groups = groups.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    side = hash_ranked(groups, X.stable_hash(F.col("seed"), F.col("lineage_id")), ["condition", "seed"], ["lineage_id"]).join(F.broadcast(many), "condition")
+    side = side.groupBy("condition", "lineage_id").agg(F.collect_list(F.struct("seed", (F.col("nth") <= held).alias("held_out"))).alias("sides"))
     cell = ["condition", "seed", "held_out", "bucket"]
     place = lambda tag: F.sha2(F.concat(F.lit(f"{tag}:"), F.col("seed").cast("string"), F.lit(":"), F.col("id").cast("string")), 256)
+
+    def placed(rows: DataFrame, tag: str) -> DataFrame:
+        """hash_ranked(), but the hash is taken again behind the shuffle: it is most of what would be sent."""
+        rows = before_head(rows, F.substring(place(tag), 1, 3), cell, F.lit(1))
+        nth = F.row_number().over(Window.partitionBy(*cell, "_head").orderBy(place(tag), "id")) + F.col("_before")
+        return rows.withColumn("nth", nth.cast("int")).drop("_head", "_before")
+
     # no broadcasts: rows in memory are many times their compressed files, by which the planner would choose
-    rows = written(rows.join(side.hint("merge"), ["condition", "seed", "lineage_id"]), "arms")
-    own = hash_ranked(rows, place("natural"), cell, ["id"]).drop("place")
-    dealt = hash_ranked(rows, place("dealt"), cell, ["id"]).select(*cell, "nth", *[F.col(f"p_{c}").alias(f"n_{c}") for c in preference])
-    own = own.join(dealt.hint("merge"), [*cell, "nth"])
-    splits = sorted((r["condition"], r["seed"]) for r in many.select("condition", "seed").collect())
+    rows = written(rows.join(side.hint("merge"), ["condition", "lineage_id"]), "arms")
+    by_seed = rows.select("*", F.inline("sides")).drop("sides")
+    dealt = placed(by_seed.select(*cell, "id", *[f"p_{c}" for c in preference]), "dealt")
+    dealt = dealt.select(*cell, "nth", *[F.col(f"p_{c}").alias(f"n_{c}") for c in preference])
+    own = placed(by_seed, "natural").join(dealt.hint("merge"), [*cell, "nth"])
+    found = sorted(r["condition"] for r in many.select("condition").collect())
+    splits = sorted((c, s) for c in (found if conditions is None or not found else conditions) for s in seeds)
     if not splits:
         kind = rows.schema["id"].dataType.simpleString()
         return rows.sparkSession.createDataFrame([], f"condition string, seed int, arm string, id {kind}, lineage_id {rows.schema['lineage_id'].dataType.simpleString()}, label int, probability double, l2_lambda double")
+    each = F.explode(F.array(*[F.struct(c.alias("condition"), F.col("y")[i].alias("y")) for i, c in enumerate(named)]))
+    own = own.withColumn("_each", each).withColumns({"condition": F.col("_each.condition"), "y": F.col("_each.y")})
     number = F.create_map(*[F.lit(x) for i, (c, s) in enumerate(splits) for x in (f"{s}:{c}", i)])
     features = F.array(*[F.col(f"b_{c}") for c in base], *[F.col(f"p_{c}") for c in preference], *[F.col(f"n_{c}") for c in preference])
     role = F.when(F.col("held_out"), G.TEST).otherwise(G.TRAIN)
     data = G.design(own, features, F.col("y"), F.array(number[F.concat(F.col("seed").cast("string"), F.lit(":"), F.col("condition").cast("string"))]), F.array(role), keep=["condition", "seed", "lineage_id"])
+    drop(rows)
     nb, np_ = len(base), len(preference)
     sets = {"no_preference": range(nb), "preference_only": range(nb, nb + np_), "full": range(nb + np_), "shuffled": [*range(nb), *range(nb + np_, nb + 2 * np_)]}
     arms = [G.Arm(i, name, tuple(columns)) for i in range(len(splits)) for name, columns in sets.items()]

@@ -766,20 +766,21 @@ def _(spark, sf_dir):
 
 
 def session_effects(spark, sf_dir):
-    """Every vote of events under each planted effect: it is kept on if a hash is below the chance that its vote and a mood of its
-    session give."""
+    """Every vote of events, and its target under each planted effect: it is kept on if a hash is below the chance that its vote and a
+    mood of its session give."""
     u = lambda *parts: F.conv(F.substring(X.stable_hash(17, *parts), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    rows = sessions(spark, sf_dir).withColumn("effect", F.explode(F.array(*[F.lit(e) for e in EFFECTS])))
+    rows = sessions(spark, sf_dir)
     mood = u(F.lit("mood"), F.col("session_id")) * 2 - 1
     sway = F.when(F.col("vote") == "a", 1.0).when(F.col("vote") == "b", -1.0).otherwise(0.0)
-    stays = u(F.lit("stay"), F.col("session_id"), F.col("round")) < X.sigmoid(0.3 + 0.8 * mood + F.col("effect") * sway)
-    return rows.withColumns({"target": stays.cast("int"), "id": F.concat_ws(":", F.col("session_id").cast("string"), F.col("round").cast("string")), "condition": F.concat(F.lit("effect_"), F.col("effect").cast("string"))})
+    stays = lambda effect: u(F.lit("stay"), F.col("session_id"), F.col("round")) < X.sigmoid(0.3 + 0.8 * mood + F.lit(effect) * sway)
+    return rows.withColumn("id", F.concat_ws(":", F.col("session_id").cast("string"), F.col("round").cast("string"))), {f"effect_{e}": stays(e).cast("int") for e in EFFECTS}
 
 
 @query("session_effect_matrix")
 def _(spark, sf_dir):
     """Planted effects by seeds, four arms each: mean losses and what votes gain over the base."""
-    out = L.arm_matrix(session_effects(spark, sf_dir), "session_id", "target", ["round", "size"], [f"pref_{v}" for v in Z.VOTES], SEEDS, bucket="round")
+    rows, targets = session_effects(spark, sf_dir)
+    out = L.arm_matrix(rows, "session_id", "target", ["round", "size"], [f"pref_{v}" for v in Z.VOTES], SEEDS, bucket="round", conditions=targets)
     loss = out.groupBy("condition", "seed", "arm").agg(F.avg(X.log_loss("label", "probability")).alias("loss"), F.count("*").alias("n"))
     wide = loss.groupBy("condition", "seed").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("arm") == a, F.col("loss"))).alias(a) for a in ("no_preference", "preference_only", "full", "shuffled")])
     return wide.withColumns({"gain": F.col("no_preference") - F.col("full"), "control_gain": F.col("shuffled") - F.col("full")})

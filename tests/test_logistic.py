@@ -128,3 +128,19 @@ def test_planted_effects_are_found(spark):
     assert len(rows) == len(E.EFFECTS) * len(E.SEEDS)
     gain = {e: np.mean([r.gain for r in rows if r.condition == f"effect_{e}"]) for e in E.EFFECTS}
     assert gain[1.5] > gain[0.0] + 0.01
+
+
+def test_conditions_of_the_same_rows_are_dealt_once(spark, monkeypatch):
+    """Targets by name give what rows of each condition give; votes are staged once, whatever the conditions and seeds, and removed."""
+    rng, kept, gone = np.random.default_rng(4), [], []
+    rows = [(i, i // 4, i % 4, float(rng.random()), int(rng.random() < 0.5), int(rng.random() < 0.5), int(rng.random() < 0.5)) for i in range(160)]
+    df = spark.createDataFrame(rows, "id int, g int, bucket int, b double, pref int, x int, y int")
+    long = df.withColumn("condition", F.explode(F.array(F.lit("x"), F.lit("y")))).withColumn("target", F.when(F.col("condition") == "x", F.col("x")).otherwise(F.col("y")))
+    want = L.arm_matrix(long, "g", "target", ["b"], ["pref"], [1, 2], bucket="bucket")
+    monkeypatch.setattr(L, "written", lambda t, name, own=L.written: kept.append((name, own(t, name))) or kept[-1][1])
+    monkeypatch.setattr(L, "drop", lambda *t, own=L.drop: gone.extend(x.count() for x in t) or own(*t))
+    got = L.arm_matrix(df, "g", "", ["b"], ["pref"], [1, 2], bucket="bucket", conditions={"x": F.col("x"), "y": F.col("y")})
+    assert [name for name, _ in kept] == ["arms"] and gone == [160]
+    key = lambda r: (r.condition, r.seed, r.arm, r.id)
+    a, b = ({key(r): (r.lineage_id, r.label, round(r.probability, 9)) for r in t.collect()} for t in (want, got))
+    assert a == b and len(a) == 2 * 2 * 4 * 32
