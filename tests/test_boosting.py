@@ -195,3 +195,24 @@ def test_networks_do_not_switch_by_the_number_of_rows(spark):
     rows = spark.range(20_001).select("id", F.when(F.col("id") == 20_000, 0).otherwise(F.col("id") % 3).cast("int").alias("fold_bucket"), x(1).alias("context"), x(2).alias("candidate_a"), x(3).alias("candidate_b"), (F.col("id") % 2).cast("int").alias("label"))
     less, more = (L.value_networks(r, 3, hidden=2, bottleneck=2, epochs=1) for r in (rows.where("id < 20000"), rows))
     assert less[0] == more[0] and less[1] != more[1]
+
+
+def test_driver_keeps_one_scan_a_pass_and_no_rows(spark, monkeypatch, tmp_path):
+    """Models dealt over tasks come from one scan of shares, as plans of passes stay with the driver; labels and states meet their rows
+    without a broadcast, which the driver would hold whole."""
+    from palimpsest.plans import experiments as E
+
+    df = spark.range(60).select("id", F.array(*[F.pmod(F.xxhash64("id", F.lit(j)), F.lit(50)).cast("double") for j in range(4)]).alias("v"), (F.col("id") % 2).cast("int").alias("label"))
+    data, _ = T.binned(df, F.col("v"), F.col("label"), F.array(F.lit(0)), F.array(F.lit(TRAIN)))
+    passes = []
+    monkeypatch.setattr(T, "SHARES", 3)
+    monkeypatch.setattr(T, "summed", lambda rows, *a, own=T.summed: passes.append(rows) or own(rows, *a))
+    T.boost(data, [Arm(0, str(n), tuple(range(n, 4))) for n in range(3)], T.Settings(least_curvature=0.1, rounds=2))
+    assert len(passes) > 3 and all(p._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 1 for p in passes[1:])
+    plans = []
+    spark.range(60).select(F.col("id").alias("vec_id"), F.array(F.rand(1), F.rand(2)).cast("array<float>").alias("embedding"), (F.col("id") % 2).cast("int").alias("label")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    nets = lambda rows, folds, own=L.transfer_networks: plans.append(rows) or own(rows, folds, 2, 2, 1)
+    monkeypatch.setattr(L, "transfer_networks", nets)
+    monkeypatch.setattr(E, "written", lambda t, name, own=E.written: (plans.append(t) if name == "states" else None) or own(t, name))
+    assert E.transfer(spark, str(tmp_path)).count() == 58
+    assert len(plans) == 2 and not any("BroadcastHashJoin" in p._jdf.queryExecution().executedPlan().toString() for p in plans)
